@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, media, packing, sharding, topk
+from . import bpe, langid, license_scan, line_dedup, media, packing, sharding, topk, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels outside the held-out third."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes; equal texts share a shard."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
@@ -27,6 +32,11 @@ def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out quarter."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document without the lines that at least 3 documents share."""
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
@@ -48,9 +58,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
     "op4_topk": op4_topk,
     "op5_license": op5_license,
+    "op6_langid": op6_langid,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
