@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netdrift.operators import connect, describe, events, network, panel
+from netdrift.operators import bootstrap, connect, describe, diagnostics, events, matrices, model, network, panel, stationarity
 from netdrift.session import table
 from netdrift.sources import panels
 
@@ -262,3 +262,152 @@ def e06_episode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def e07_episode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events.episode_summary(_named_episodes(spark, sf_dir)))
+
+
+# stationarity
+on_panels("t01_adf", stationarity.adf)
+on_panels("t02_kpss", stationarity.kpss)
+on_panels("t03_phillips_perron", stationarity.phillips_perron)
+on_panels("t04_battery", stationarity.battery)
+
+# diagnostics
+on_panels("g01_jarque_bera", lambda p: diagnostics.jarque_bera(p).select("panel_id", "series", "jb", "p"))
+on_panels("g01_jarque_bera_stat", lambda p: diagnostics.jarque_bera(p).select("panel_id", "series", "jb"))
+on_panels("g02_anderson_darling", diagnostics.anderson_darling)
+on_panels("g03_kolmogorov_smirnov", diagnostics.kolmogorov_smirnov)
+on_panels("g04_cramer_von_mises", diagnostics.cramer_von_mises)
+on_panels("g05_normality_report", diagnostics.normality_report)
+on_panels("g06_ljung_box", diagnostics.ljung_box)
+on_panels("g06_ljung_box_stat", lambda p: diagnostics.ljung_box(p).select("panel_id", "series", "q"))
+on_panels("g07_arch_lm", diagnostics.arch_lm)
+on_panels("g08_multivariate_arch_lm", lambda p: diagnostics.multivariate_arch_lm(panel.pack(p)))
+on_panels("g09_portmanteau", lambda p: diagnostics.portmanteau(panel.pack(p)))
+on_panels("g10_hosking", lambda p: diagnostics.hosking(panel.pack(p)))
+on_panels("g11_hosking_squares", lambda p: diagnostics.hosking(panel.pack(p), square=True))
+on_panels("g12_joint_jarque_bera", diagnostics.joint_jarque_bera)
+on_panels("g13_mardia", lambda p: diagnostics.mardia(panel.pack(p)))
+on_panels("g14_mardia_robust", lambda p: diagnostics.mardia(panel.pack(p), robust=True))
+on_panels("g15_autocorrelation_lr", lambda p: diagnostics.autocorrelation_lr(panel.pack(p)))
+on_panels("g16_block_lengths", diagnostics.suggest_block_lengths)
+
+
+def _white(p: DataFrame, residual: bool) -> DataFrame:
+    """Whitened residuals (filtered coefficients) or one-step innovations of the fitted panels, as a panel."""
+    fitted = model.fit(model.packed_design(p))
+    rows = model.predictions(fitted, panel.lagged_design(panel.pack(p)))
+    white = matrices.whiten(rows.select("panel_id", "ts", "t", F.col("residual" if residual else "innovation").alias("u"), F.col("s").alias("sigma")))
+    long = white.select("panel_id", "ts", "t", F.posexplode("w").alias("_i", "value")).join(F.broadcast(model.nodes(p)), "panel_id")
+    return long.select("panel_id", "ts", "t", F.col("names")[F.col("_i")].alias("series"), (F.col("_i") + 1).alias("pos"), "value")
+
+
+def _validated(p: DataFrame) -> DataFrame:
+    white = _white(p, True)
+    joint = diagnostics.mardia(panel.pack(white), robust=True)
+    return diagnostics.normality_report(white, 1000).join(joint, "panel_id")
+
+
+on_panels("g17_validate_normality", _validated)
+on_panels("g18_validate_blocks", lambda p: diagnostics.suggest_block_lengths(_white(p, False)))
+
+
+# matrices
+def _label_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per embedding label: the 6 x 6 second moments of the first six dimensions, row-major, as m."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
+    moments = [F.avg(F.col("embedding")[i].cast("double") * F.col("embedding")[j].cast("double")) for i in range(6) for j in range(6)]
+    return rows.groupBy(F.col("label").cast("string").alias("id")).agg(F.array(*moments).alias("m"))
+
+
+@query
+def m01_positive_definite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(matrices.positive_definite(_label_covariances(spark, sf_dir)).drop("m"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
+    rows = rows.select(F.col("label").cast("string").alias("panel_id"), "vec_id", F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("u"))
+    return rows.join(F.broadcast(_label_covariances(spark, sf_dir).select(F.col("id").alias("panel_id"), F.col("m").alias("sigma"))), "panel_id")
+
+
+def _spread(rows: DataFrame, column: str) -> DataFrame:
+    """panel_id, vec_id and the six components."""
+    return rounded(rows.select("panel_id", "vec_id", *[F.col(column)[i].alias(f"{column}{i}") for i in range(6)]))
+
+
+@query
+def m02_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(matrices.whiten(_vectors(spark, sf_dir)), "w")
+
+
+@query
+def m03_whiten_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(matrices.whiten(_vectors(spark, sf_dir), scaled=True), "w")
+
+
+@query
+def m04_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = matrices.whiten(_vectors(spark, sf_dir), scaled=True, center=False)
+    return _spread(matrices.colour(white), "v")
+
+
+# models
+ORDERS = (1, 2)
+KAPPAS = (0.94, 0.96, 0.98, 0.99)
+
+
+def _design(p: DataFrame, lags: int = 1) -> DataFrame:
+    return model.packed_design(p, lags)
+
+
+on_panels("k01_ols_prior", lambda p: model.ols_prior(_design(p)).select("panel_id", F.posexplode("b").alias("i", "b")))
+on_panels("k02_filter", lambda p: model.fit(_design(p)).select("panel_id", "ts", "t", "loglik", *[F.aggregate(c, F.lit(0.0), lambda a, v: a + v).alias(c) for c in ("beta", "sigma", "s", "innovation")]))
+on_panels("k03_loglik", lambda p: model.grid_search(p, (1,), KAPPAS, KAPPAS).select("panel_id", "kappa1", "kappa2", "loglik"))
+on_panels("k04_aic", lambda p: model.grid_search(p, (1,), (0.99,), (0.96,)).select("panel_id", "aic", "t_eff"))
+on_panels("k05_grid_search", lambda p: model.grid_search(p, ORDERS, KAPPAS, KAPPAS))
+on_panels("k06_continuous_search", lambda p: model.continuous_search(p, (1,), n_starts=3, tol=1e-3))
+on_panels("k07_diagnose", lambda p: model.diagnose(p, model.grid_search(p, ORDERS, KAPPAS, KAPPAS), ORDERS, top=5))
+on_panels("k08_choose", lambda p: model.choose(model.diagnose(p, model.grid_search(p, ORDERS, KAPPAS, KAPPAS), ORDERS, top=5)))
+on_panels("k09_predictions", lambda p: model.predictions(model.fit(_design(p)), panel.lagged_design(panel.pack(p))).select("panel_id", "t", F.posexplode(F.arrays_zip("innovation", "residual")).alias("i", "e")).select("panel_id", "t", "i", "e.innovation", "e.residual"))
+
+# connectedness of fitted panels
+on_panels("c01_moving_average", lambda p: model.phi(model.fit(_design(p)), 5, 1, 10).groupBy("panel_id", "h").agg(F.avg(F.aggregate("phi", F.lit(0.0), lambda a, v: a + F.abs(v))).alias("size")))
+on_panels("c02_gfevd", lambda p: model.connectedness(p))
+on_panels("c09_gfevd_same_date", lambda p: model.theta_long(model.theta(model.fit(_design(p)), sigma="sigma"), model.nodes(p)).drop("theta_g"))
+on_panels("c12_sigma_before", lambda p: model.fit(_design(p)).select("panel_id", "t", *[F.col(c)[0].alias(c) for c in ("sigma", "sigma_before")]))
+
+
+def connectedness_indices(p: DataFrame) -> DataFrame:
+    """The end-to-end fit: per panel, date and node what it sends and receives, and the date's total."""
+    theta = model.connectedness(p).drop("theta_g")
+    return connect.net(theta).join(connect.tci(theta), ["panel_id", "ts"])
+
+
+on_panels("c11_connectedness", connectedness_indices)
+
+
+# bootstrap
+def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.draws(panels.shipping_panel(spark, sf_dir), replicas=100, horizon=10, sub_nodes=("AF", "NO", "RF"))
+
+
+@query
+def b01_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.resampled_rows(panel.pack(panels.nation_panels(spark, sf_dir)), 50, 20)
+
+
+@query
+def b03_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_draws(spark, sf_dir).select("panel_id", "rep", "t", "tci", "tci_sub"))
+
+
+@query
+def b05_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bootstrap.bands(_draws(spark, sf_dir)))
+
+
+@query
+def b04_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile bands of order prices by week, as bands of draws."""
+    rows = table(spark, sf_dir, "orders").select(panels.week("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"))
+    found = rows.groupBy("ts").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return rounded(found.select("ts", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")))

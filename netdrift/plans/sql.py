@@ -268,4 +268,5 @@ SELECT series, ts, {r6('value', 'value')}, {r6('p95', 'p95')}, {r6('p99', 'p99')
     "e05_episodes": w(EPISODES, f"SELECT series, start_date, end_date, duration_days, {r6('max_value', 'max_value')} FROM episodes"),
     "e06_episode_events": w(EPISODES, f"SELECT series, start_date, end_date, duration_days, {r6('max_value', 'max_value')}, events FROM named"),
     "e07_episode_summary": w(EPISODES, f"SELECT series, count(*) AS episodes, count(*) FILTER (events <> '-') AS with_event, {r6('avg(CASE WHEN events <> chr(45) THEN 1.0 ELSE 0.0 END) * 100', 'percent')} FROM named GROUP BY series"),
+    "b04_percentiles": f"SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS ts, {r6('quantile_cont(o_totalprice, 0.025)', 'lo')}, {r6('quantile_cont(o_totalprice, 0.975)', 'hi')} FROM orders GROUP BY 1",
 }
