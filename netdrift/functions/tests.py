@@ -252,6 +252,8 @@ def kpss(x: np.ndarray, trend: str = "c") -> dict:
     if trend not in _KPSS:
         raise ValueError("trend must be 'c' or 'ct'")
     size = len(x)
+    if size < 3 or np.ptp(x) == 0:
+        raise ValueError("series too short or constant")
     e = _regress(x, np.column_stack(_deterministic(size, trend)))[2]
     products = [float(e[i:] @ e[: size - i]) for i in range(size)] if size <= 64 else None
     product = (lambda i: products[i]) if products else (lambda i: float(e[i:] @ e[: size - i]))
@@ -271,6 +273,8 @@ def kpss(x: np.ndarray, trend: str = "c") -> dict:
 def phillips_perron(x: np.ndarray, trend: str = "c") -> dict:
     """Z-tau with a Newey-West variance of ceil(12 (T / 100)^(1/4)) lags."""
     trend = _trend(trend)
+    if len(x) < 3 or np.ptp(x) == 0:
+        raise ValueError("series too short or constant")
     lags = math.ceil(12 * (len(x) / 100) ** 0.25)
     y = x[1:]
     z = np.column_stack([x[:-1], *_deterministic(len(y), trend)])

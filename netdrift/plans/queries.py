@@ -41,7 +41,7 @@ def on_theta(name: str, job: Callable[[DataFrame], DataFrame]) -> None:
 def net_index(theta: DataFrame) -> DataFrame:
     """The regions' net values as index series, with bands of 1.96 deviations over 12 rows."""
     by = Window.partitionBy("series").orderBy("ts")
-    rows = connect.net(theta).select(F.col("node").alias("series"), "ts", F.row_number().over(Window.partitionBy("node").orderBy("ts")).cast("long").alias("t"), F.col("net_idx").alias("value"))
+    rows = connect.net(theta).select(F.col("node").alias("series"), "ts", F.row_number().over(Window.partitionBy("node").orderBy("ts")).cast("long").alias("t"), (F.round("net_idx", 9) + F.lit(0.0)).alias("value"))
     sd = F.coalesce(F.stddev_samp("value").over(by.rowsBetween(-11, 0)), F.lit(0.0))
     return rows.withColumns({"lo": F.col("value") - 1.96 * sd, "hi": F.col("value") + 1.96 * sd})
 
@@ -119,7 +119,7 @@ on_panels("d03_spearman", describe.rank_correlation)
 on_panels("d04_kendall", describe.kendall_tau)
 on_panels("d05_rolling_volatility", describe.rolling_volatility)
 on_panels("d06_rolling_correlation", lambda p: describe.rolling_correlation(p).drop("above"))
-on_panels("d07_above_static", lambda p: describe.rolling_correlation(p).groupBy("panel_id", "a", "b").agg(F.count("*").alias("windows"), F.sum(F.col("above").cast("long")).alias("above")))
+on_panels("d07_above_static", lambda p: describe.rolling_correlation(p).groupBy("panel_id", "a", "b").agg(F.count("*").alias("windows"), F.count(F.when(F.round("rolling", 9) >= F.round("static", 9), 1)).alias("above")))
 on_panels("d08_histogram", describe.histogram)
 on_panels("d08_histogram_standardized", lambda p: describe.histogram(p, 30, True))
 on_panels("d09_box", describe.box)

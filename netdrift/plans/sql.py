@@ -73,7 +73,7 @@ EDGES = THETA + """, edges AS (
 
 #: Net values of regions as index series with bands of 1.96 rolling deviations.
 INDEX = NET + """, plain AS (
-  SELECT node AS series, ts, row_number() OVER (PARTITION BY node ORDER BY ts) AS t, (s - r) * 20 AS value FROM net
+  SELECT node AS series, ts, row_number() OVER (PARTITION BY node ORDER BY ts) AS t, round((s - r) * 20, 9) + 0.0 AS value FROM net
 ), idx AS (
   SELECT *, value - 1.96 * sd AS lo, value + 1.96 * sd AS hi FROM (
     SELECT *, coalesce(stddev_samp(value) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 0.0) AS sd FROM plain)
@@ -167,7 +167,7 @@ SELECT *, stddev_samp(value) OVER (PARTITION BY panel_id, series ORDER BY t ROWS
     "d06_rolling_correlation": w(PAIRS, f"""SELECT panel_id, a, b, ts, {r6('rolling', 'rolling')}, {r6('static', 'static')} FROM (
 SELECT *, CASE WHEN min(x) OVER f < max(x) OVER f AND min(y) OVER f < max(y) OVER f THEN corr(x, y) OVER f END AS rolling, count(*) OVER f AS n, corr(x, y) OVER (PARTITION BY panel_id, a, b) AS static FROM pairs
 WINDOW f AS (PARTITION BY panel_id, a, b ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE n = 252"""),
-    "d07_above_static": w(PAIRS, """SELECT panel_id, a, b, count(*) AS windows, count(*) FILTER (rolling >= static) AS above FROM (
+    "d07_above_static": w(PAIRS, """SELECT panel_id, a, b, count(*) AS windows, count(*) FILTER (round(rolling, 9) >= round(static, 9)) AS above FROM (
 SELECT *, CASE WHEN min(x) OVER f < max(x) OVER f AND min(y) OVER f < max(y) OVER f THEN corr(x, y) OVER f END AS rolling, count(*) OVER f AS n, corr(x, y) OVER (PARTITION BY panel_id, a, b) AS static FROM pairs
 WINDOW f AS (PARTITION BY panel_id, a, b ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE n = 252 GROUP BY ALL"""),
     "d08_histogram": w(PANEL, f"""
@@ -253,7 +253,7 @@ SELECT ts, source, target, {r6('weight', 'weight')}, {r6('weight / (SELECT max(w
     "n15_group_edges": w(GROUPED, f"""
 SELECT x.ts, CASE WHEN x.theta > y.theta THEN x.from_node ELSE x.to_node END AS source, CASE WHEN x.theta > y.theta THEN x.to_node ELSE x.from_node END AS target, {r6('abs(x.theta - y.theta)', 'weight')}
 FROM grouped x JOIN grouped y ON x.ts = y.ts AND x.to_node = y.from_node AND x.from_node = y.to_node WHERE x.to_node < x.from_node AND abs(x.theta - y.theta) > 1e-9"""),
-    "n16_contributions": w(THETA, f"SELECT ts, to_node, from_node, {r6('100 * theta / sum(theta) OVER (PARTITION BY ts)', 'share')} FROM theta WHERE to_node = 'ASIA' AND from_node <> 'ASIA'"),
+    "n16_contributions": w(THETA, f"SELECT ts, to_node, from_node, {r6('100 * theta / CASE WHEN sum(theta) OVER (PARTITION BY ts) = 0 THEN 1 ELSE sum(theta) OVER (PARTITION BY ts) END', 'share')} FROM theta WHERE to_node = 'ASIA' AND from_node <> 'ASIA'"),
     "n17_all_contributions": w(THETA, f"""
 , s AS (SELECT ts, to_node, from_node, 100 * theta / CASE WHEN sum(theta) OVER (PARTITION BY ts, to_node) = 0 THEN 1 ELSE sum(theta) OVER (PARTITION BY ts, to_node) END AS share FROM theta),
 o AS (SELECT to_node, from_node, CAST(row_number() OVER (PARTITION BY to_node ORDER BY CASE WHEN to_node = from_node THEN 1 ELSE 0 END, round(avg(share), 9) DESC, from_node) AS INTEGER) AS place FROM s GROUP BY to_node, from_node)

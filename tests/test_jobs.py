@@ -1,0 +1,210 @@
+"""Jobs on the given small tables against SQL, and on edge fixtures."""
+
+import datetime
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from netdrift.functions import kernels, tests
+from netdrift.operators import bootstrap, connect, describe, diagnostics, events, matrices, model, network, panel, stationarity
+from netdrift.plans import queries, sql
+from netdrift.sources import panels
+
+SF = "/root/testdata/sf0.001"
+DAY = datetime.date(2000, 1, 1)
+
+
+def day(i):
+    return DAY + datetime.timedelta(days=i)
+
+
+@pytest.fixture(scope="module")
+def con():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events documents embeddings".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def value(x):
+    return round(x, 5) + 0.0 if isinstance(x, float) else x.isoformat()[:10] if hasattr(x, "isoformat") else x
+
+
+@pytest.mark.parametrize("name", sorted(sql.ORACLE))
+def test_query_equals_sql(spark, con, name):
+    found = queries.QUERIES[name](spark, SF)
+    rel = con.sql(sql.ORACLE[name])
+    order = sorted(rel.columns)
+    assert order == sorted(found.columns)
+    at = [list(rel.columns).index(c) for c in order]
+    want = sorted((tuple(value(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+    got = sorted((tuple(value(x) for x in r) for r in found.select(*order).collect()), key=repr)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, abs_tol=2e-5)) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+@pytest.fixture(scope="module")
+def two(spark):
+    rng = np.random.default_rng(8)
+    rows = [(p, day(t), t + 1, s, i + 1, float(rng.normal())) for p in ("a", "b") for i, s in enumerate(("u", "v", "w")) for t in range(80)]
+    return spark.createDataFrame(rows, "panel_id string, ts date, t long, series string, pos int, value double").cache()
+
+
+def test_panel_errors(two):
+    with pytest.raises(ValueError, match="no such series"):
+        panel.choose_series(two, ["u", "missing"])
+    with pytest.raises(ValueError):
+        panel.lagged_design(panel.pack(two), 0)
+    with pytest.raises(ValueError):
+        panel.numeric_columns(two.select("panel_id", "value"))
+    assert panel.lagged_design(panel.pack(two), 80).count() == 0
+
+
+def test_univariate_jobs_equal_kernels(two):
+    rows = {(r["panel_id"], r["series"]): r for r in two.groupBy("panel_id", "series").agg(F.collect_list(F.struct("t", "value")).alias("v")).collect()}
+    series = {k: np.array([x["value"] for x in sorted(r["v"], key=lambda x: x["t"])]) for k, r in rows.items()}
+    null = tests.cramer_von_mises_null(80, 500)
+    for job, kernel, names in (
+        (diagnostics.jarque_bera(two), tests.jarque_bera, ("jb", "p")), (diagnostics.anderson_darling(two), tests.anderson_darling, ("stat", "p")),
+        (diagnostics.kolmogorov_smirnov(two), tests.kolmogorov_smirnov, ("d", "p")), (diagnostics.cramer_von_mises(two), lambda x: tests.cramer_von_mises(x, null), ("w2", "p")),
+        (diagnostics.ljung_box(two, 6), lambda x: tests.ljung_box(x, 6), ("q", "p")), (diagnostics.arch_lm(two, 3), lambda x: tests.arch_lm(x, 3), ("lm", "p")),
+    ):
+        for r in job.collect():
+            want = kernel(series[r["panel_id"], r["series"]])
+            assert np.allclose([r[n] for n in names], want, atol=1e-8), names
+
+
+def test_constant_series(spark):
+    rows = [("a", day(t), t + 1, s, i, v) for t in range(30) for i, (s, v) in enumerate((("flat", 1.0), ("line", float(t))), 1)]
+    flat = spark.createDataFrame(rows, "panel_id string, ts date, t long, series string, pos int, value double")
+    assert describe.correlation(flat).first()["corr"] is None
+    assert {r["series"]: r["skewness"] for r in describe.moments(flat).collect()}["flat"] == 0.0
+    assert all(r["acf"] == 0 for r in describe.autocorrelation(flat, 3).where("series = 'flat'").collect())
+    assert describe.histogram(flat).where("series = 'flat'").count() == 1
+    adf = {r["series"]: r for r in stationarity.adf(flat).collect()}
+    assert adf["flat"]["stat"] is None and adf["flat"]["error"]
+    vote = {r["series"]: r for r in stationarity.battery(flat).collect()}["flat"]
+    assert vote["adf_decision"] == "Error" and vote["pp_decision"] == "Not computed"
+    assert stationarity.battery(flat.where("t <= 19")).count() == 0
+
+
+def test_connectedness_invariants(two):
+    long = model.connectedness(two, horizon=8).cache()
+    assert long.groupBy("panel_id", "ts", "to_node").agg(F.sum("theta").alias("s")).where(F.abs(F.col("s") - 1) > 1e-9).count() == 0
+    total = {(r["panel_id"], r["ts"]): r["tci"] for r in connect.tci(long).collect()}
+    trace = {(r["panel_id"], r["ts"]): r["tci"] for r in connect.tci_from_trace(long).collect()}
+    assert all(abs(total[k] - trace[k]) < 1e-9 for k in total) and len(total) == 2 * 79
+    nets = connect.net(long).groupBy("panel_id", "ts").agg(F.sum("net_idx").alias("s"))
+    assert nets.where(F.abs("s") > 1e-9).count() == 0
+    everything = connect.sub_network(long, ["u", "v", "w"])
+    assert connect.tci(everything).join(connect.tci(long).withColumnRenamed("tci", "whole"), ["panel_id", "ts"]).where(F.abs(F.col("tci") - F.col("whole")) > 1e-9).count() == 0
+    assert connect.sub_network(long, []).count() == 0
+    with pytest.raises(ValueError):
+        connect.sub_network(long, ["u", "nobody"])
+
+
+def test_fit_equals_kernel(two):
+    got = {r["t"]: r for r in model.fit(model.packed_design(two), keep=("gain", "p_filt", "p_pred")).where("panel_id = 'a'").collect()}
+    y = np.array([r["y"] for r in sorted(panel.pack(two).where("panel_id = 'a'").collect(), key=lambda r: r["t"])])
+    x = np.hstack([y[:-1], np.ones((79, 1))])
+    _, sigma0, a0, p0 = kernels.ols_prior(y[1:], x)
+    f = kernels.kalman(y[1:], x, sigma0, a0, p0, 0.99, 0.96, ("beta", "sigma"))
+    for t in (1, 40, 79):
+        assert np.allclose(got[t]["beta"], f.beta[0, t - 1]) and np.allclose(got[t]["sigma"], f.sigma[0, t - 1].ravel())
+    assert np.allclose(got[1]["sigma_before"], sigma0.ravel()) and np.allclose(got[2]["sigma_before"], got[1]["sigma"]) and len(got[1]["gain"]) == 36
+
+
+def test_selection(two):
+    grid = model.grid_search(two, (1, 2), (0.95, 0.99), (0.95, 0.99))
+    assert grid.count() == 16 and {r["t_eff"] for r in grid.collect()} == {78}
+    done = model.diagnose(two, grid, (1, 2), top=3)
+    assert done.where("tested").count() == 6
+    best = {r["panel_id"]: r for r in model.choose(done).collect()}
+    least = {r["panel_id"]: r["m"] for r in grid.groupBy("panel_id").agg(F.min("aic").alias("m")).collect()}
+    assert all(best[p]["passed"] or best[p]["aic"] == least[p] for p in best)
+    found = {r["panel_id"]: r for r in model.continuous_search(two, (1,), 0.95, 0.99, n_starts=2, tol=1e-3).collect()}
+    corner = {r["panel_id"]: r["m"] for r in grid.where("p = 1").groupBy("panel_id").agg(F.min("aic").alias("m")).collect()}
+    assert all(found[p]["opt_success"] for p in found) and set(corner) == set(found)
+
+
+def test_bootstrap_does_not_depend_on_partitions(two):
+    small = two.where("panel_id = 'a'")
+    one, many = (sorted((r["rep"], r["t"], r["tci"], tuple(r["pdc"])) for r in bootstrap.draws(small, 6, 10, horizon=5, sub_nodes=("u", "v"), chunk=c).collect()) for c in (6, 1))
+    assert np.allclose([x[2] for x in one], [x[2] for x in many], rtol=1e-8) and len(one) == 6 * 79
+    drawn = bootstrap.draws(small, 6, 10, horizon=5)
+    assert drawn.where("tci_sub <> 0").count() == 0
+    assert bootstrap.bands(drawn).where("lo > hi").count() == 0
+    rows = bootstrap.resampled_rows(panel.pack(small), 2, 80)
+    assert rows.where("t <> source").count() == 0
+
+
+def test_whitening_gives_unit_covariance(spark):
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(300, 2)) @ np.array([[1.0, 0.4], [0.0, 0.7]])
+    cov = (u.T @ u / 300).ravel().tolist()
+    rows = spark.createDataFrame([("a", i, x.tolist(), cov) for i, x in enumerate(u)], "panel_id string, i int, u array<double>, sigma array<double>")
+    w = np.array([r["w"] for r in matrices.whiten(rows, center=False).collect()])
+    assert np.allclose(w.T @ w / 300, np.eye(2), atol=1e-6)
+    assert np.allclose(np.array([r["w"] for r in matrices.whiten(rows).collect()]).mean(axis=0), 0, atol=1e-12)
+    back = matrices.colour(matrices.whiten(rows, scaled=True, center=False)).orderBy("i").collect()
+    assert np.allclose([r["v"] for r in back], u, atol=1e-6)
+    with pytest.raises(Exception, match="zca"):
+        matrices.whiten(rows, method="other").collect()
+
+
+def test_as_of(spark):
+    dates = spark.createDataFrame([(day(0),), (day(4),), (day(10),)], "ts date")
+    asks = spark.createDataFrame([("early", day(-3)), ("tie", day(2)), ("late", day(8)), ("hit", day(4)), ("end", day(99))], "request string, wanted date")
+    found = {how: {r["request"]: r["ts"] for r in network.as_of(asks, dates, how).collect()} for how in ("exact", "pad", "backfill", "nearest", "last")}
+    assert found["exact"] == {"early": None, "tie": None, "late": None, "hit": day(4), "end": None}
+    assert found["pad"] == {"early": day(0), "tie": day(0), "late": day(4), "hit": day(4), "end": day(10)}
+    assert found["backfill"] == {"early": day(0), "tie": day(4), "late": day(10), "hit": day(4), "end": day(10)}
+    assert found["nearest"] == {"early": day(0), "tie": day(0), "late": day(10), "hit": day(4), "end": day(10)}
+    assert set(found["last"].values()) == {day(10)}
+    with pytest.raises(ValueError):
+        network.as_of(asks, dates, "other")
+
+
+def test_network_edges(spark):
+    theta = spark.createDataFrame([(day(0), "a", "b", 0.5), (day(0), "b", "a", 0.2), (day(0), "a", "a", 0.5), (day(0), "b", "b", 0.8), (day(1), "a", "b", 0.3), (day(1), "b", "a", 0.3)], "ts date, to_node string, from_node string, theta double")
+    edge = network.net_edges(theta).collect()
+    assert [(r["ts"], r["source"], r["target"], round(r["weight"], 9)) for r in edge] == [(day(0), "b", "a", 0.3)]
+    zero = spark.createDataFrame([(day(0), "a", "b", 0.0), (day(0), "b", "a", 0.0)], theta.schema)
+    groups = spark.createDataFrame([("a", "one")], "node string, grp string")
+    assert {(r["to_node"], r["theta"]) for r in network.group_theta(zero, groups).collect()} == {("one", 0.0), ("Otros", 0.0)}
+    strength = network.out_strength(network.net_edges(theta), theta.select("ts", F.col("to_node").alias("node")).distinct())
+    assert {(r["ts"], r["node"]): r["share"] for r in strength.collect()}[day(1), "a"] == 0.0
+    assert network.edge_significance(network.net_edges(theta), spark.createDataFrame([], "ts date, node string, node2 string, lo double, hi double")).first()["significant"]
+
+
+def test_episodes(spark):
+    rows = [("s", day(3 * i), i + 1, v) for i, v in enumerate([9.0, 9.0, 1.0, 2.0, 9.0, 1.0, 9.0])]
+    index = spark.createDataFrame(rows, "series string, ts date, t long, value double")
+    found = sorted((r["start_date"], r["end_date"], r["duration_days"]) for r in events.episodes(index, 50).collect())
+    assert found == [(day(0), day(3), 4), (day(12), day(12), 1), (day(18), day(18), 1)]
+    periods = spark.createDataFrame([(2, day(2), day(5), "second"), (1, day(3), day(3), "first"), (3, day(90), day(91), "never")], "ord int, start date, end date, name string")
+    named = {r["start_date"]: r["events"] for r in events.episode_events(events.episodes(index, 50), periods).collect()}
+    assert named == {day(0): "first | second", day(12): "-", day(18): "-"}
+    upper = index.withColumn("hi", F.when(F.col("t") == 3, 99.0).otherwise(F.col("value")))
+    assert sorted(r["duration_days"] for r in events.episodes(upper, 50).collect())[-1] == 7
+    assert events.episodes(index.limit(0)).count() == 0
+
+
+def test_entry_without_the_training_data_operators():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(queries.QUERIES) <= set(entry.queries())
+
+
+def test_fixtures(spark):
+    flows = panels.nation_flows(spark, SF)
+    sums = flows.groupBy("ts", "to_node").agg(F.sum("theta").alias("s"), F.count("*").alias("n"))
+    assert sums.where((F.abs(F.col("s") - 1) > 1e-9) & (F.col("s") != 0)).count() == 0 and sums.where("n <> 25").count() == 0
+    ships = panels.shipping_panel(spark, SF)
+    assert ships.groupBy("ts").count().select("count").distinct().collect() == [(6,)]
