@@ -28,11 +28,36 @@ def generator(seed: int, panel_id: str, rep: int) -> np.random.Generator:
 
 def draws(panel: DataFrame, replicas: int = 1000, block: int = 20, p: int = 1, kappa1: float = 0.99, kappa2: float = 0.96, horizon: int = 20, sub_nodes: Sequence[str] = (), add_const: bool = True, seed: int = 7, chunk: int = 16) -> DataFrame:
     """One row per panel, replica and date. pdc holds the pairs i < j, row by row."""
-    spark = panel.sparkSession
+    wanted = list(sub_nodes)
+
+    def measured(row, reps, ys, xs, sigma0):
+        n = ys.shape[2]
+        a, big, first = kernels.diffuse_start(ys[:, 0], sigma0, kappa2, n * xs.shape[2])
+        g = kernels.kalman(ys, xs, first, a, big, kappa1, kappa2, ("beta", "sigma"), jitter=False)
+        mask, (i, j) = np.isin(np.array(row.names), wanted), np.triu_indices(n, 1)
+        for b, rep in enumerate(reps):
+            share, _, numer = kernels.gfevd(g.beta[b], g.sigma[b], p, horizon)
+            found = kernels.indices(share, mask, numer)
+            yield pd.DataFrame({"panel_id": row.panel_id, "rep": int(rep), "t": np.arange(ys.shape[1]) + 1, "tci": found["tci"], "net": list(found["net"]), "pdc": list(found["pdc"][:, i, j]), "tci_sub": found["tci_sub"], "net_sub": list(found["net_sub"])})
+
+    return _replicated(panel, measured, DRAWS, replicas, block, p, kappa1, kappa2, add_const, seed, chunk)
+
+
+def paths(panel: DataFrame, replicas: int = 1000, block: int = 20, p: int = 1, kappa1: float = 0.99, kappa2: float = 0.96, add_const: bool = True, seed: int = 7, chunk: int = 16) -> DataFrame:
+    """The simulated paths alone: panel_id, rep, t, y."""
+
+    def told(row, reps, ys, xs, sigma0):
+        for b, rep in enumerate(reps):
+            yield pd.DataFrame({"panel_id": row.panel_id, "rep": int(rep), "t": np.arange(ys.shape[1]) + 1, "y": list(ys[b])})
+
+    return _replicated(panel, told, "panel_id string, rep int, t bigint, y array<double>", replicas, block, p, kappa1, kappa2, add_const, seed, chunk)
+
+
+def _replicated(panel: DataFrame, tell, kind: str, replicas: int, block: int, p: int, kappa1: float, kappa2: float, add_const: bool, seed: int, chunk: int) -> DataFrame:
+    """``tell``'s rows of each panel and chunk of replicas, from paths with resampled innovations."""
     designs = model.packed_design(panel, p, add_const).join(model.nodes(panel), "panel_id")
-    chunks = spark.range(-(-replicas // chunk)).select((F.col("id") * chunk).alias("first"))
+    chunks = panel.sparkSession.range(-(-replicas // chunk)).select((F.col("id") * chunk).alias("first"))
     tasks = designs.crossJoin(F.broadcast(chunks)).repartition("panel_id", "first")  # panels x chunks of replicas
-    wanted = list(sub_nodes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -43,21 +68,12 @@ def draws(panel: DataFrame, replicas: int = 1000, block: int = 20, p: int = 1, k
                 f = kernels.kalman(y, x, sigma0, a0, p0, kappa1, kappa2, ("beta", "s", "innovation"))
                 white = np.einsum("tij,tj->ti", kernels.power(f.s[0], -0.5, scaled=True), f.innovation[0])
                 white = white - white.mean(axis=0)
-                colouring = kernels.power(f.s[0], 0.5, scaled=True)
                 reps = np.arange(row.first, min(row.first + chunk, replicas))
                 rows = np.stack([kernels.block_rows(generator(seed, row.panel_id, int(r)), steps, block) for r in reps])
-                start = x[0, : n * p].reshape(p, n)
-                ys, xs = kernels.simulate(f.beta[0], np.einsum("tij,btj->bti", colouring, white[rows]), start, p, add_const)
-                a, big, first = kernels.diffuse_start(ys[:, 0], sigma0, kappa2, n * x.shape[1])
-                g = kernels.kalman(ys, xs, first, a, big, kappa1, kappa2, ("beta", "sigma"), jitter=False)
-                mask = np.isin(np.array(row.names), wanted)
-                i, j = np.triu_indices(n, 1)
-                for b, rep in enumerate(reps):
-                    share, _, numer = kernels.gfevd(g.beta[b], g.sigma[b], p, horizon)
-                    found = kernels.indices(share, mask, numer)
-                    yield pd.DataFrame({"panel_id": row.panel_id, "rep": int(rep), "t": np.arange(steps) + 1, "tci": found["tci"], "net": list(found["net"]), "pdc": list(found["pdc"][:, i, j]), "tci_sub": found["tci_sub"], "net_sub": list(found["net_sub"])})
-
-    return tasks.mapInPandas(run, DRAWS)
+                shocks = np.einsum("tij,btj->bti", kernels.power(f.s[0], 0.5, scaled=True), white[rows])
+                yield from tell(row, reps, *kernels.simulate(f.beta[0], shocks, x[0, : n * p].reshape(p, n), p, add_const), sigma0)
+
+    return tasks.mapInPandas(run, kind)
 
 
 def bands(drawn: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -395,6 +395,12 @@ def b01_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.resampled_rows(panel.pack(panels.nation_panels(spark, sf_dir)), 50, 20)
 
 
+@query
+def b02_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = bootstrap.paths(panels.shipping_panel(spark, sf_dir), replicas=100)
+    return rounded(drawn.select("panel_id", "rep", "t", F.posexplode("y").alias("i", "y")))
+
+
 @query
 def b03_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_draws(spark, sf_dir).select("panel_id", "rep", "t", "tci", "tci_sub"))
