@@ -28,10 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, arrow_batches, slices
+from .common import SLICE_BYTES, arrow_batches, slices, trimmed
 
 #: Pieces that a worker's cache may hold before it starts anew, and bytes of new pieces encoded at once.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 JOINED_BYTES = 32 << 10
 
 #: White space other than blank and line feed; texts with any of it are encoded as they are.
@@ -80,9 +80,9 @@ class Codec:
         self.begins = np.r_[0, np.cumsum(self.lengths)]
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.decimals = [str(i) for i in range(len(table))]
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index: dict[str, int] = {}  # piece, without a leading blank -> its place in the lists below
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -138,7 +138,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
         if len(self.index) > CACHE_PIECES:
-            self._forget()
+            self.forget()
         odd = np.fromiter(map(odd_blanks, texts), bool, len(texts))
         even = pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string())
         cut = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
@@ -192,7 +192,7 @@ def _round_trip(path: str):
         c = codec(path)
         for batch in batches:
             rows = []
-            for texts in slices(batch, 2 * SLICE_BYTES):
+            for texts in slices(batch, SLICE_BYTES):
                 for ids in c.encode(texts):
                     decimal = " ".join(map(c.decimals.__getitem__, ids.tolist()))
                     raw = c.decode(ids)
@@ -207,7 +207,7 @@ def _round_trip(path: str):
 def token_digests(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_split (tokens that start inside a character)."""
     arrow_batches(docs.sparkSession)
-    digest = F.arrow_udf(hinted(_round_trip(path or default_json())), "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_split bigint")
+    digest = F.arrow_udf(hinted(trimmed(_round_trip(path or default_json()))), "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_split bigint")
     return docs.select(F.col(id_column).alias("doc_id"), digest(F.col(text_column)).alias("_t")).select("doc_id", "_t.*")
 
 

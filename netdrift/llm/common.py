@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +74,26 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[str]]:
         yield part
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system; workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """``run``, a generator over batches, with trim() at the end of its task."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str, spread: list[str]) -> DataFrame:
     """Add ``name``: gapless numbers from 0 within ``group``, without one task per group.
 

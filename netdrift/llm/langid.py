@@ -7,7 +7,8 @@ worker computes each once (a cache of bounded size). A document's probabilities
 log-probability of a run's positions is its vote, the votes add up over all runs, and a softmax follows.
 
 Fit, by backpropagation through time in numpy on the driver: about ``SAMPLE_ROWS`` labelled documents at most,
-chosen by a hash of the id, the same number for each language; of their runs the ``MAX_RUNS`` most frequent. A
+chosen by a hash of the id, the same number for each language; of their runs the ``MAX_RUNS`` most frequent
+(those that stand more than once, where there are 1000 of them). A
 run's target is the distribution of languages among its occurrences, each language weighing the same.
 
 Defined cases: documents with a null language are no training rows; a null text and a text without letters get
@@ -28,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import hinted
-from .common import arrow_batches, id_remainder, slices
+from .common import arrow_batches, id_remainder, slices, trimmed
 
 SAMPLE_ROWS = 4096
-MAX_RUNS = 40_000
+MAX_RUNS = 20_000
 MAX_RUN = 24
-CACHE_RUNS = 1_000_000
+CACHE_RUNS = 250_000
 HIDDEN = 24
 RUN = re.compile(r"[^\W\d_]{1,%d}" % MAX_RUN)
 UNKNOWN = "und"
@@ -123,7 +124,7 @@ class Network:
         d_wx[values] = np.add.reduceat(d_x.reshape(-1, 3 * h)[order], begin)
         return d_wx, d_u
 
-    def votes(self, raws: list[bytes], chunk: int = 8192) -> np.ndarray:
+    def votes(self, raws: list[bytes], chunk: int = 2048) -> np.ndarray:
         """(runs, languages): mean log-probabilities over a run's positions."""
         out = np.zeros((len(raws), len(self.langs)), np.float32)
         for n, at in by_length(raws).items():
@@ -186,8 +187,11 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Network | None:
     langs = sorted(sizes)
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, SAMPLE_ROWS / len(langs) / n) * (1 << 20)))) for lang, n in sizes.items()], F.lit(0))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share).select("lang", "text")
-    counts = sample.mapInArrow(_count_runs, "lang string, run string, n bigint").groupBy("run").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
-    kept = counts.orderBy(F.desc("n"), "run").limit(MAX_RUNS).collect()
+    counts = sample.mapInArrow(trimmed(_count_runs), "lang string, run string, n bigint").groupBy("run").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
+    best = [F.desc("n"), F.asc("run")]
+    kept = counts.where("n > 1").orderBy(*best).limit(MAX_RUNS).collect()  # most runs stand once: they stay where they are
+    if len(kept) < 1000:
+        kept = counts.orderBy(*best).limit(1000).collect()
     if not kept:
         return None
     kept.sort(key=lambda r: (-r["n"], r["run"]))
@@ -250,7 +254,7 @@ def predict_column(net: Network | None, text: Column) -> Column:
                 scores += b.tolist()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return F.arrow_udf(hinted(run), "lang string, score double")(text)
+    return F.arrow_udf(hinted(trimmed(run)), "lang string, score double")(text)
 
 
 def identify(docs: DataFrame) -> DataFrame:

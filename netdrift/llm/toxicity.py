@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import hinted
-from .common import arrow_batches, id_remainder, slices, written
+from .common import arrow_batches, id_remainder, slices, trimmed, written
 
 SAMPLE_ROWS = 16_000
 MAX_UNITS = 50_000
@@ -46,7 +46,7 @@ NEUTRAL = -0.1
 LEAST = 2.0
 STEMS = (8, 7, 6, 5, 4)
 PRIOR_DOCS = 4.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mode
     """A model from labelled rows of ``docs``; ``learn`` says which label rows may be learned from (all by default)."""
     arrow_batches(docs.sparkSession)
     sample = written(_sample(docs, labels, F.lit(True) if learn is None else learn), "toxic-sample")
-    counts = sample.mapInArrow(_count_units, "unit string, t bigint, c bigint").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.mapInArrow(trimmed(_count_units), "unit string, t bigint, c bigint").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = written(counts, "toxic-units")
     n1, n0 = counts.agg(F.sum("t"), F.sum("c")).first()
     if not n1 or not n0:
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mode
     rate = sample.agg(F.avg("toxic")).first()[0]
     scores = hierarchical({r["unit"]: (r["t"], r["c"]) for r in kept}, rate)
     model = Model({u: s if s >= LEAST else min(s, NEUTRAL) for u, s in scores.items()})  # weak evidence is none
-    seen = sample.mapInArrow(_statistics(model), "toxic int, n int, segments array<double>, positive array<double>").collect()
+    seen = sample.mapInArrow(trimmed(_statistics(model)), "toxic int, n int, segments array<double>, positive array<double>").collect()
     clean = [r for r in seen if not r["toxic"]]
     words = sum(r["n"] for r in clean)
     positive = np.array([s for r in clean for s in r["positive"]])
@@ -255,7 +255,7 @@ def score_column(model: Model, text: Column) -> Column:
                     out.append({"score": model.probability(segments, len(words)), "passages": passages})
             yield pa.array(out, kind)
 
-    return F.arrow_udf(hinted(run), f"score double, passages array<{PASSAGE}>")(text)
+    return F.arrow_udf(hinted(trimmed(run)), f"score double, passages array<{PASSAGE}>")(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
