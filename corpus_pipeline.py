@@ -26,7 +26,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that at least 3 of them share; n_chars follows the text."""
     kept = line_dedup.apply_bitmaps(line_dedup.with_bitmaps(docs))
-    kept = kept.withColumn("text", F.col("_text"))
+    kept = kept.withColumn("text", F.col("__text"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

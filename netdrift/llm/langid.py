@@ -267,5 +267,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs``, all columns, without texts that have no letters or whose language scores below ``least``."""
     net = fit(docs, id_remainder("doc_id", 4) != 2)
-    found = docs.withColumn("_lang", predict_column(net, F.col("text")))
-    return found.where((F.col("_lang.lang") != UNKNOWN) & (F.col("_lang.score") >= least)).drop("_lang")
+    found = docs.withColumn("__lang", predict_column(net, F.col("text")))
+    return found.where((F.col("__lang.lang") != UNKNOWN) & (F.col("__lang.score") >= least)).drop("__lang")

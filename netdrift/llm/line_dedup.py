@@ -151,31 +151,31 @@ def _kept(text: pa.Array, bitmap: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def with_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_column: str = "doc_id", text_column: str = "text", text_as: str = "_text") -> DataFrame:
-    """``docs`` with all its columns, and _n_lines, _n_dropped, _bitmap (null: all is kept) and the text as ``text_as``."""
+def with_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_column: str = "doc_id", text_column: str = "text", text_as: str = "__text") -> DataFrame:
+    """``docs`` with all its columns, and __n_lines, __n_dropped, __bitmap (null: all is kept) and the text as ``text_as``."""
     lost = dropped_lines(docs, min_chars, min_docs, id_column, text_column)
-    lost = lost.groupBy("doc", "row").agg(F.array_distinct(F.collect_list("position")).alias("_lost"))
+    lost = lost.groupBy("doc", "row").agg(F.array_distinct(F.collect_list("position")).alias("__lost"))
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.withColumns({
-        "_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "_row": F.xxhash64(F.col(id_column), text),
-        text_as: text, "_n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long"),
+        "__doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "__row": F.xxhash64(F.col(id_column), text),
+        text_as: text, "__n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long"),
     })
-    found = rows.join(lost.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left").drop("_doc", "_row")
-    return found.withColumn("_n_dropped", F.coalesce(F.size("_lost"), F.lit(0)).cast("long")).withColumn(
-        "_bitmap", F.when(F.col("_lost").isNotNull(), F.arrow_udf(_bitmap, "binary")("_n_lines", F.coalesce("_lost", F.array().cast("array<int>"))))
-    ).drop("_lost")
+    found = rows.join(lost.withColumnsRenamed({"doc": "__doc", "row": "__row"}), ["__doc", "__row"], "left").drop("__doc", "__row")
+    return found.withColumn("__n_dropped", F.coalesce(F.size("__lost"), F.lit(0)).cast("long")).withColumn(
+        "__bitmap", F.when(F.col("__lost").isNotNull(), F.arrow_udf(_bitmap, "binary")("__n_lines", F.coalesce("__lost", F.array().cast("array<int>"))))
+    ).drop("__lost")
 
 
-def apply_bitmaps(found: DataFrame, text_as: str = "_text") -> DataFrame:
+def apply_bitmaps(found: DataFrame, text_as: str = "__text") -> DataFrame:
     """The result of with_bitmaps with ``text_as`` cut down to the lines kept. Only texts that lose lines go to Python."""
-    loses = F.col("_bitmap").isNotNull()
-    return found.withColumn(text_as, F.coalesce(F.arrow_udf(_kept, "string")(F.when(loses, F.col(text_as)), F.col("_bitmap")), F.col(text_as)))
+    loses = F.col("__bitmap").isNotNull()
+    return found.withColumn(text_as, F.coalesce(F.arrow_udf(_kept, "string")(F.when(loses, F.col(text_as)), F.col("__bitmap")), F.col(text_as)))
 
 
 def line_digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for each document."""
     kept = apply_bitmaps(with_bitmaps(docs.select("doc_id", "text"), **options))
     return kept.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.sha2(F.col("_text").cast("binary"), 256).alias("kept_sha256"),
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
+        F.sha2(F.col("__text").cast("binary"), 256).alias("kept_sha256"),
     )

@@ -271,4 +271,4 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that are predicted to be toxic."""
     model = fit(docs, labels, id_remainder("doc_id", 3) != 1)
-    return docs.withColumn("_toxic", score_column(model, F.col("text"))).where(F.col("_toxic.score") < THRESHOLD).drop("_toxic")
+    return docs.withColumn("__toxic", score_column(model, F.col("text"))).where(F.col("__toxic.score") < THRESHOLD).drop("__toxic")

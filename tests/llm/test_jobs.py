@@ -19,7 +19,7 @@ ROWS = [
     (1, f"{LINE}\nfirst text here"), (2, f"  {LINE.upper()}\t\nsecond"), (3, f"{LINE}\n{LINE}"), (4, None), (5, ""), (6, "\n\n"),
     (7, BODY), (8, NEAR), (9, BODY), (9, BODY), (None, "a row without an id"), (10, "x" * 200_000), (11, "y " * 60_000), (12, "12 34 !!"), (13, "Released under the MIT License."),
 ]
-CLASHING = ["score", "size", "key", "row", "doc", "position", "bucket", "n", "node", "lang_pred", "_text", "_block", "shard", "length", "ids"]
+CLASHING = ["_kept", "_lang", "_toxic", "_lost", "score", "size", "key", "row", "doc", "position", "bucket", "n", "node", "lang_pred", "_text", "_block", "shard", "length", "ids"]
 
 
 @pytest.fixture(scope="module")
@@ -59,8 +59,8 @@ def line_truth(rows, min_chars=20, min_docs=3):
 def test_line_dedup(spark, docs):
     found = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in table(line_dedup.line_digests(docs))), key=str)
     assert found == line_truth(ROWS)
-    bitmaps = {r["doc_id"]: r for r in table(line_dedup.with_bitmaps(docs).select("doc_id", "_bitmap", "_n_lines", "score"))}
-    assert line_dedup.unpack(bitmaps[1]["_bitmap"], 2).tolist() == [False, True] and bitmaps[3]["_bitmap"] is None and bitmaps[1]["score"] == "clash"
+    bitmaps = {r["doc_id"]: r for r in table(line_dedup.with_bitmaps(docs).select("doc_id", "__bitmap", "__n_lines", "score"))}
+    assert line_dedup.unpack(bitmaps[1]["__bitmap"], 2).tolist() == [False, True] and bitmaps[3]["__bitmap"] is None and bitmaps[1]["score"] == "clash"
     assert line_dedup.line_digests(docs.limit(0)).count() == 0
 
 
@@ -264,9 +264,11 @@ def test_pipeline_on_awkward_rows(spark, docs):
     import corpus_pipeline
 
     for rows in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             rows = stage(spark, rows, SF)
-        rows.count()
+            assert rows.columns == docs.columns
+        assert all(r[c] == "clash" for r in rows.collect() for c in CLASHING)
+        corpus_pipeline.STAGES[-1][1](spark, rows, SF).count()
 
 
 def test_queries_match_sql(spark):
