@@ -200,6 +200,7 @@ def _round_trip(path: str):
                     rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), int(((first & 0xC0) == 0x80).sum())))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
+        c.forget()
 
     return run
 

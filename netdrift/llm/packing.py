@@ -50,6 +50,7 @@ def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
                     [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.int64()] * 4, pa.binary()), strict=True)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
+        c.forget()  # the worker lives on for other stages
 
     return run
 
