@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import hinted
-from .common import arrow_batches, id_remainder, slices, trimmed
+from .common import arrow_batches, id_remainder, slices, trimmed, written
 
 SAMPLE_ROWS = 4096
 MAX_RUNS = 20_000
@@ -189,7 +189,8 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Network | None:
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share).select("lang", "text")
     counts = sample.mapInArrow(trimmed(_count_runs), "lang string, run string, n bigint").groupBy("run").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
     best = [F.desc("n"), F.asc("run")]
-    kept = counts.where("n > 1").orderBy(*best).limit(MAX_RUNS).collect()  # most runs stand once: they stay where they are
+    # most runs stand once and stay where they are; the choice is written first, else the driver gets one from each task
+    kept = written(counts.where("n > 1").orderBy(*best).limit(MAX_RUNS), "lang-runs").collect()
     if len(kept) < 1000:
         kept = counts.orderBy(*best).limit(1000).collect()
     if not kept:
