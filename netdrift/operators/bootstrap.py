@@ -57,7 +57,7 @@ def _replicated(panel: DataFrame, tell, kind: str, replicas: int, block: int, p:
     """``tell``'s rows of each panel and chunk of replicas, from paths with resampled innovations."""
     designs = model.packed_design(panel, p, add_const).join(model.nodes(panel), "panel_id")
     chunks = panel.sparkSession.range(-(-replicas // chunk)).select((F.col("id") * chunk).alias("first"))
-    tasks = designs.crossJoin(F.broadcast(chunks)).repartition("panel_id", "first")  # panels x chunks of replicas
+    tasks = model.spread(designs.crossJoin(F.broadcast(chunks)), "panel_id", "first")  # panels x chunks of replicas
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

@@ -28,6 +28,11 @@ def packed_design(panel: DataFrame, p: int = 1, add_const: bool = True, skip: in
     return one.select("panel_id", F.lit(p).alias("p"), F.transform("r", lambda r: r["ts"]).alias("ts"), F.transform("r", lambda r: r["y"]).alias("y"), F.transform("r", lambda r: r["x"]).alias("x"))
 
 
+def spread(tasks: DataFrame, *columns: str) -> DataFrame:
+    """Dealt to a fixed number of partitions: rows are few and small but dear, and should not be gathered by their bytes."""
+    return tasks.repartition(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def matrix(cell) -> np.ndarray:
     return np.stack([np.asarray(r, float) for r in cell])
 
@@ -67,7 +72,7 @@ def fit(designs: DataFrame, kappa1: float = 0.99, kappa2: float = 0.96, keep: Se
                     flat = {n: v[cut] if n == "loglik" else list(v[cut].reshape(len(v[cut]), -1)) for n, v in columns.items()}
                     yield pd.DataFrame({"panel_id": row.panel_id, "ts": row.ts[cut], "t": np.arange(a, min(a + slice_rows, len(y))) + 1, **flat})
 
-    return designs.mapInPandas(run, ", ".join([FIT, *[f"{c} array<double>" for c in extra]]))
+    return spread(designs, "panel_id").mapInPandas(run, ", ".join([FIT, *[f"{c} array<double>" for c in extra]]))
 
 
 def predictions(fitted: DataFrame, design: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def likelihoods(designs: DataFrame, configurations: DataFrame, chunk: int = 32)
     """
     at = Window.partitionBy("p").orderBy("kappa2", "kappa1")
     chunks = configurations.withColumn("_c", F.floor((F.row_number().over(at) - 1) / chunk)).groupBy("p", "_c").agg(F.collect_list(F.struct("kappa1", "kappa2")).alias("points"))
-    tasks = designs.join(F.broadcast(chunks), "p").repartition("panel_id", "p", "_c")
+    tasks = spread(designs.join(F.broadcast(chunks), "p"), "panel_id", "p", "_c")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -154,7 +159,7 @@ def descend(value, points: np.ndarray, low: float, high: float, steps: int, tol:
 def continuous_search(panel: DataFrame, orders: Sequence[int], low: float = 0.94, high: float = 0.99, n_starts: int = 20, seed: int = 123, maxiter: int = 200, tol: float = 1e-4, add_const: bool = True, corners: bool = True) -> DataFrame:
     """The least AIC over (kappa1, kappa2) in the box, one row per panel and p; a start that fails is left out, and
     where all fail the centre stands with a null aic. One task holds a panel and an order, its starts batched."""
-    designs = all_designs(panel, orders, add_const).repartition("panel_id", "p")
+    designs = spread(all_designs(panel, orders, add_const), "panel_id", "p")
     first = np.array(starts(n_starts, low, high, seed, corners))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +191,7 @@ def diagnose(panel: DataFrame, grid: DataFrame, orders: Sequence[int], top: int
     """
     rank = Window.partitionBy("panel_id").orderBy(F.col("aic").asc_nulls_last(), "p", "kappa1", "kappa2")
     chosen = grid.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= top).select("panel_id", "p", "kappa1", "kappa2")
-    tasks = chosen.join(all_designs(panel, orders, add_const), ["panel_id", "p"]).repartition("panel_id", "p", "kappa1", "kappa2")
+    tasks = spread(chosen.join(all_designs(panel, orders, add_const), ["panel_id", "p"]), "panel_id", "p", "kappa1", "kappa2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
