@@ -200,6 +200,29 @@ def test_near_dedup_misses_no_link(spark):
     assert all(found[i] == root(i) for i in hashed if len(hashed[i]) > 4)
 
 
+def _classes(spark, rows):
+    found = near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"))
+    return {r["doc_id"]: r["class_id"] for r in table(found)}
+
+
+def _edited(rng, words, places, n):
+    words = list(words)
+    for at in rng.choice(places, n, replace=False):
+        words[at] = f"e{rng.integers(1 << 40)}"
+    return words
+
+
+def test_near_dedup_pairs_in_hot_buckets(spark):
+    """Pairs of near copies among thousands of strangers that share a template."""
+    rng = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, template + [f"u{x}" for x in rng.integers(1 << 40, size=50)]) for i in range(3000)]
+    order = rng.permutation(3000)[:200].tolist()
+    rows += [(3000 + i, _edited(rng, rows[i][1], np.arange(100, 150), 15)) for i in order]
+    found = _classes(spark, rows)
+    assert all(found[3000 + i] == i for i in order) and all(found[i] == i for i in range(3000))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     found = {r["node"]: r["root"] for r in table(near_dedup.components(spark.createDataFrame(chain, "u long, v long")))}
