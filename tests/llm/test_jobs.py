@@ -223,6 +223,28 @@ def test_near_dedup_pairs_in_hot_buckets(spark):
     assert all(found[3000 + i] == i for i in order) and all(found[i] == i for i in range(3000))
 
 
+def test_near_dedup_recall_at_the_threshold(spark):
+    """Scattered edits at a similarity of just 0.8 or more, in texts of 5 words and more."""
+    rng = np.random.default_rng(6)
+    rows, n = [], 0
+    for length in [*range(5, 13)] * 25 + [15, 20, 50, 51, 60, 100, 300] * 40:
+        base = [f"w{x}" for x in rng.integers(1 << 40, size=length)]
+        other = _edited(rng, base, length, length // 5) if n % 4 else [*base[: length // 2], "one", *base[length // 2 :]]
+        rows += [(2 * n, base), (2 * n + 1, other)]
+        n += 1
+    found = _classes(spark, rows)
+    lost = [len(rows[2 * i][1]) for i in range(n) if found[2 * i + 1] != 2 * i]
+    assert not [x for x in lost if x <= 50] and len(lost) <= 0.005 * n
+
+
+def test_near_dedup_short_templates(spark):
+    """Short texts one word apart, with thousands of strangers of equal words but two."""
+    rows = [(i, ["your", "order", f"a{i}", "was", "sent", f"b{i}"]) for i in range(3000)]
+    rows += [(3000 + i, ["your", "order", f"a{i}", "was", "sent", f"c{i}"]) for i in range(0, 3000, 7)]
+    found = _classes(spark, rows)
+    assert all(found[i] == i - 3000 * (i >= 3000) for i in found)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     found = {r["node"]: r["root"] for r in table(near_dedup.components(spark.createDataFrame(chain, "u long, v long")))}
