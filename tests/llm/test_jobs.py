@@ -245,6 +245,15 @@ def test_near_dedup_short_templates(spark):
     assert all(found[i] == i - 3000 * (i >= 3000) for i in found)
 
 
+def test_near_dedup_texts_that_share_an_id(spark):
+    """A text is not lost with its id: each has a class of its own."""
+    other = " ".join(f"else{i}" for i in range(40))
+    third = " ".join(f"third{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, BODY), (2, NEAR), (2, other), (3, third), (3, BODY.upper()), (3, other), (3, other), (4, third)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"]) for r in table(near_dedup.near_duplicates(docs))) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 3)]
+    assert sorted((r["doc_id"], r["text"]) for r in table(near_dedup.keep_one(docs))) == sorted([(1, BODY), (2, other), (3, third)])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     found = {r["node"]: r["root"] for r in table(near_dedup.components(spark.createDataFrame(chain, "u long, v long")))}
