@@ -15,7 +15,8 @@ than ``BROADCAST_BYTES`` they are broadcast, and else the join shuffles. A task
 over all blocks it sees, so that its bounds tighten as it goes; what tasks keep is merged by query.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, and rows without an id take no
-part; vectors of different lengths never meet; rows with the query's own id are no candidates of it; a query id
+part; vectors of different lengths never meet; rows with the query's own id are no candidates of it; rows that repeat are
+candidates each, with ranks of their own; a query id
 that repeats is answered once, from its first vector by value; fewer than k candidates give fewer rows; ties go
 to the smaller id. Scores are exact while |score| < 2^53.
 """
@@ -183,7 +184,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     pairs = pairs.select("dim", "qb", "q_ids", "q_data", "cb", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     found = pairs.mapInArrow(_search(k), FOUND)
     # each task gives k rows at most for a query it met; the k best of those are kept while aggregating
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score")
     )

@@ -162,6 +162,15 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def test_top_k_counts_rows_that_repeat(spark):
+    rng = np.random.default_rng(3)
+    ids, x = np.repeat(np.arange(40), 5), np.repeat(rng.integers(-9, 9, (40, 8)), 5, axis=0)
+    rows = [(int(i), (v / 256).tolist()) for i, v in zip(ids, x, strict=True)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 10 == 0, 5)
+    brute = [topk.top_k_brute(np.r_[i, ids[ids != i]], np.vstack([x[ids == i][:1], x[ids != i]]), np.r_[True, np.zeros(195, bool)], 5) for i in (0, 10, 20, 30)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in table(found)) == sum(brute, [])
+
+
 def test_near_dedup(spark, docs):
     found = {r["doc_id"]: r["class_id"] for r in table(near_dedup.near_duplicates(docs))}
     assert found[7] == found[8] == found[9] == 7 and found[4] == found[5] == 4 and found[6] == 6 and found[10] == 10 and None not in found
