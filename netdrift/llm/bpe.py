@@ -84,12 +84,13 @@ class Codec:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}  # piece, without a leading blank -> its place in the lists below
+        self.marks: dict[str, int] = {}  # marks at a piece's end -> their place; no pieces, so never among those
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _add(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        self.index.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
+    def _add(self, index: dict[str, int], keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        index.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
         self.first = np.r_[self.first, np.cumsum(size) - size + len(self.flat)]
         self.size = np.r_[self.size, size]
         self.flat = np.r_[self.flat, ids]
@@ -100,28 +101,28 @@ class Codec:
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.first[found] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
-    def _places(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+    def _places(self, index: dict[str, int], keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))
 
     def _learn(self, pieces: list[str]) -> None:
-        """Add pieces to the cache. Marks at a piece's end are encoded once for all pieces, under a key with \0."""
+        """Add pieces to the cache. Marks at a piece's end are encoded once for all pieces."""
         whole, marked, cores, marks = [], [], [], []
         for piece in pieces:
             core = piece.rstrip(string.punctuation)
             if len(core) < len(piece) and core and core[-1].isalnum():
                 marked.append(piece)
                 cores.append(core)
-                marks.append("\0" + piece[len(core) :])
+                marks.append(piece[len(core) :])
             else:
                 whole.append(piece)
         self._learn_joined(list({*whole, *cores}.difference(self.index)))
-        new = list(set(marks).difference(self.index))
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([m[1:] for m in new], add_special_tokens=False)]
+        new = list(set(marks).difference(self.marks))
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         if found:
-            self._add(new, np.concatenate(found), np.array([len(x) for x in found]))
+            self._add(self.marks, new, np.concatenate(found), np.array([len(x) for x in found]))
         if marked:
-            ids, size = self._gather(np.stack([self._places(cores), self._places(marks)], axis=1).ravel())
-            self._add(marked, ids, size.reshape(-1, 2).sum(axis=1))
+            ids, size = self._gather(np.stack([self._places(self.index, cores), self._places(self.marks, marks)], axis=1).ravel())
+            self._add(self.index, marked, ids, size.reshape(-1, 2).sum(axis=1))
 
     def _learn_joined(self, pieces: list[str]) -> None:
         """Encode many pieces as one text, each with what stands before it; a piece ends where its bytes end."""
@@ -133,11 +134,11 @@ class Codec:
         texts = ["".join(full[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         last = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-        self._add(pieces, ids, np.diff(np.r_[0, last]))
+        self._add(self.index, pieces, ids, np.diff(np.r_[0, last]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
-        if len(self.index) > CACHE_PIECES:
+        if len(self.index) + len(self.marks) > CACHE_PIECES:
             self.forget()
         odd = np.fromiter(map(odd_blanks, texts), bool, len(texts))
         even = pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string())
@@ -153,7 +154,7 @@ class Codec:
         rest[cut.offsets.to_numpy()[:-1]] = False
         heads = [t if o else _HEAD.match(t)[0] for t, o in zip(texts, odd, strict=True)]
         heads = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        ids, size = self._gather(self._places(pieces)[parts.indices.to_numpy()[rest]])
+        ids, size = self._gather(self._places(self.index, pieces)[parts.indices.to_numpy()[rest]])
         stops = np.r_[0, np.cumsum(size)][np.cumsum(counts)].tolist()
         return [np.concatenate([h, ids[a:b]]) for h, a, b in zip(heads, [0, *stops], stops, strict=False)]
 

@@ -116,6 +116,16 @@ def test_bpe_equals_tiktoken_and_round_trips():
     assert sorted(bpe.byte_characters().values()) == list(range(256))
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_bpe_texts_with_nuls_next_to_marks(order):
+    plain = bpe.Codec(bpe.default_json())
+    texts = ["one word. and more, here!", "a \0. b \0, c \0! d\0. \0", "another word. other, there!"][::order]
+    for parts in ([texts], [[t] for t in texts]):
+        codec = bpe.Codec(bpe.default_json())
+        found = [ids.tolist() for part in parts for ids in codec.encode(part)]
+        assert found == [plain.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_media_round_trips():
     rng = np.random.default_rng(0)
     for height, width in ((1, 1), (3, 5), (8, 9), (17, 4)):
