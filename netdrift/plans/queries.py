@@ -364,9 +364,9 @@ on_panels("k02_filter", lambda p: model.fit(_design(p)).select("panel_id", "ts",
 on_panels("k03_loglik", lambda p: model.grid_search(p, (1,), KAPPAS, KAPPAS).select("panel_id", "kappa1", "kappa2", "loglik"))
 on_panels("k04_aic", lambda p: model.grid_search(p, (1,), (0.99,), (0.96,)).select("panel_id", "aic", "t_eff"))
 on_panels("k05_grid_search", lambda p: model.grid_search(p, ORDERS, KAPPAS, KAPPAS))
-on_panels("k06_continuous_search", lambda p: model.continuous_search(p, (1,), n_starts=3, tol=1e-3))
-on_panels("k07_diagnose", lambda p: model.diagnose(p, model.grid_search(p, ORDERS, KAPPAS, KAPPAS), ORDERS, top=5))
-on_panels("k08_choose", lambda p: model.choose(model.diagnose(p, model.grid_search(p, ORDERS, KAPPAS, KAPPAS), ORDERS, top=5)))
+on_panels("k06_continuous_search", lambda p: model.continuous_search(p, (1,)))
+on_panels("k07_diagnose", lambda p: model.diagnose(p, model.grid_search(p, ORDERS, KAPPAS, KAPPAS), ORDERS))
+on_panels("k08_choose", lambda p: model.choose(model.diagnose(p, model.grid_search(p, ORDERS, KAPPAS, KAPPAS), ORDERS)))
 on_panels("k09_predictions", lambda p: model.predictions(model.fit(_design(p)), panel.lagged_design(panel.pack(p))).select("panel_id", "t", F.posexplode(F.arrays_zip("innovation", "residual")).alias("i", "e")).select("panel_id", "t", "i", "e.innovation", "e.residual"))
 
 # connectedness of fitted panels
@@ -387,17 +387,17 @@ on_panels("c11_connectedness", connectedness_indices)
 
 # bootstrap
 def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.draws(panels.shipping_panel(spark, sf_dir), replicas=100, horizon=10, sub_nodes=("AF", "NO", "RF"))
+    return bootstrap.draws(panels.shipping_panel(spark, sf_dir), sub_nodes=("AF", "NO", "RF"))
 
 
 @query
 def b01_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.resampled_rows(panel.pack(panels.nation_panels(spark, sf_dir)), 50, 20)
+    return bootstrap.resampled_rows(panel.pack(panels.nation_panels(spark, sf_dir)), 1000, 20)
 
 
 @query
 def b02_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = bootstrap.paths(panels.shipping_panel(spark, sf_dir), replicas=100)
+    drawn = bootstrap.paths(panels.shipping_panel(spark, sf_dir))
     return rounded(drawn.select("panel_id", "rep", "t", F.posexplode("y").alias("i", "y")))
 
 

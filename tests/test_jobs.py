@@ -208,3 +208,23 @@ def test_fixtures(spark):
     assert sums.where((F.abs(F.col("s") - 1) > 1e-9) & (F.col("s") != 0)).count() == 0 and sums.where("n <> 25").count() == 0
     ships = panels.shipping_panel(spark, SF)
     assert ships.groupBy("ts").count().select("count").distinct().collect() == [(6,)]
+
+
+def test_bootstrap_and_search_queries_take_the_operators_defaults(spark, monkeypatch):
+    from netdrift.operators import bootstrap, model
+    from netdrift.plans import queries
+
+    class Called(Exception):
+        pass
+
+    def seen(*args, **options):
+        raise Called(options)
+
+    monkeypatch.setattr(model, "grid_search", lambda *a, **k: None)
+    names = {"b02_paths": (bootstrap, "paths"), "b03_draws": (bootstrap, "draws"), "b05_bands": (bootstrap, "draws"), "k06_continuous_search": (model, "continuous_search"), "k07_diagnose": (model, "diagnose"), "k08_choose": (model, "diagnose")}
+    for name, (module, function) in names.items():
+        monkeypatch.setattr(module, function, seen)
+        with pytest.raises(Called) as found:
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert not {"replicas", "horizon", "n_starts", "tol", "top"} & set(found.value.args[0])
+    assert queries.QUERIES["b01_resample"](spark, "/root/testdata/sf0.001").agg({"rep": "max"}).first()[0] == 999
