@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netdrift.functions import special, tests
+from netdrift.functions import special, stats
 
 from . import describe
 from .panel import ALONG
@@ -92,7 +92,7 @@ def cramer_von_mises(panel: DataFrame, draws: int = 500, seed: int = 1234) -> Da
 
     def null(batches):
         for part in batches:
-            yield part.assign(null=[tests.cramer_von_mises_null(int(n), draws, seed) for n in part["n"]])
+            yield part.assign(null=[stats.cramer_von_mises_null(int(n), draws, seed) for n in part["n"]])
 
     nulls = stats.select("n").where("n >= 5").distinct().mapInPandas(null, "n bigint, null array<double>")
     joined = stats.join(nulls, "n", "left")
@@ -162,21 +162,21 @@ def per_panel(packed: DataFrame, test: Callable[[np.ndarray], tuple], names: lis
 
 
 def multivariate_arch_lm(packed: DataFrame, lags: int = 2, vech: bool = True, column: str = "y") -> DataFrame:
-    return per_panel(packed, lambda w: tests.multivariate_arch_lm(w, lags, vech), ["stat", "df", "p"], column)
+    return per_panel(packed, lambda w: stats.multivariate_arch_lm(w, lags, vech), ["stat", "df", "p"], column)
 
 
 def portmanteau(packed: DataFrame, lags: int = 10, column: str = "y") -> DataFrame:
-    return per_panel(packed, lambda w: tests.portmanteau(w, lags), ["stat", "df", "p"], column)
+    return per_panel(packed, lambda w: stats.portmanteau(w, lags), ["stat", "df", "p"], column)
 
 
 def hosking(packed: DataFrame, lags: int = 10, square: bool = False, column: str = "y") -> DataFrame:
     """With ``square`` of the squared values: a check for changing variance."""
-    return per_panel(packed, lambda w: tests.hosking(w**2 if square else w, lags), ["stat", "p", "df"], column)
+    return per_panel(packed, lambda w: stats.hosking(w**2 if square else w, lags), ["stat", "p", "df"], column)
 
 
 def mardia(packed: DataFrame, robust: bool = False, column: str = "y") -> DataFrame:
-    return per_panel(packed, lambda w: tests.mardia(w, robust), ["skew_stat", "skew_p", "kurt_z", "kurt_p"], column)
+    return per_panel(packed, lambda w: stats.mardia(w, robust), ["skew_stat", "skew_p", "kurt_z", "kurt_p"], column)
 
 
 def autocorrelation_lr(packed: DataFrame, lags: int = 5, column: str = "y") -> DataFrame:
-    return per_panel(packed, lambda w: tests.autocorrelation_lr(w, lags), ["stat", "p"], column)
+    return per_panel(packed, lambda w: stats.autocorrelation_lr(w, lags), ["stat", "p"], column)

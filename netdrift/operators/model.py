@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netdrift.functions import kernels, tests
+from netdrift.functions import kernels, stats
 
 from . import panel as panels
 
@@ -202,8 +202,8 @@ def diagnose(panel: DataFrame, grid: DataFrame, orders: Sequence[int], top: int
                     f = kernels.kalman(y, x, sigma0, a0, p0, row.kappa1, row.kappa2, ("s", "innovation"))
                     w = np.einsum("tij,tj->ti", kernels.power(f.s[0], -0.5), f.innovation[0])
                     w = w - w.mean(axis=0)
-                    skew = tests.mardia(w)
-                    p = [tests.hosking(w)[1], tests.hosking(w**2)[1], tests.joint_jarque_bera(w), skew[1], skew[3], tests.autocorrelation_lr(w)[1]]
+                    skew = stats.mardia(w)
+                    p = [stats.hosking(w)[1], stats.hosking(w**2)[1], stats.joint_jarque_bera(w), skew[1], skew[3], stats.autocorrelation_lr(w)[1]]
                 except (np.linalg.LinAlgError, ValueError, FloatingPointError):
                     continue
                 yield pd.DataFrame([[row.panel_id, row.p, row.kappa1, row.kappa2, *p]], columns=["panel_id", "p", "kappa1", "kappa2", *P_VALUES])

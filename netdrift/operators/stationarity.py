@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netdrift.functions import tests
+from netdrift.functions import stats
 
 RESULT = "panel_id string, series string, stat double, p double, lags int, nobs int, crit_1 double, crit_5 double, crit_10 double, error string"
 
@@ -29,16 +29,16 @@ def _each(panel: DataFrame, test, guarded: bool = True) -> DataFrame:
 
 def adf(panel: DataFrame, trend: str = "c") -> DataFrame:
     """Augmented Dickey-Fuller; a failing series gives its error and no numbers."""
-    return _each(panel, lambda x: tests.adf(x, trend))
+    return _each(panel, lambda x: stats.adf(x, trend))
 
 
 def kpss(panel: DataFrame, trend: str = "c") -> DataFrame:
-    return _each(panel, lambda x: tests.kpss(x, trend))
+    return _each(panel, lambda x: stats.kpss(x, trend))
 
 
 def phillips_perron(panel: DataFrame, trend: str = "c") -> DataFrame:
     """Phillips-Perron; a failing series fails the job."""
-    return _each(panel, lambda x: tests.phillips_perron(x, trend), guarded=False)
+    return _each(panel, lambda x: stats.phillips_perron(x, trend), guarded=False)
 
 
 def battery(panel: DataFrame, trend_adf: str = "c", trend_kpss: str = "c", trend_pp: str = "c", alpha: float = 0.05) -> DataFrame:
@@ -47,7 +47,7 @@ def battery(panel: DataFrame, trend_adf: str = "c", trend_kpss: str = "c", trend
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("t")["value"].dropna().to_numpy()
         out = list(key)
-        for test, trend in ((tests.adf, trend_adf), (tests.kpss, trend_kpss), (tests.phillips_perron, trend_pp)):
+        for test, trend in ((stats.adf, trend_adf), (stats.kpss, trend_kpss), (stats.phillips_perron, trend_pp)):
             try:
                 r = test(x, trend)
                 out += [r["stat"], r["p"]]

@@ -2,12 +2,17 @@
 
 import datetime
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netdrift.functions import kernels, tests
+from netdrift.functions import kernels, stats
 from netdrift.operators import bootstrap, connect, describe, diagnostics, events, matrices, model, network, panel, stationarity
 from netdrift.plans import queries, sql
 from netdrift.sources import panels
@@ -68,11 +73,11 @@ def test_panel_errors(two):
 def test_univariate_jobs_equal_kernels(two):
     rows = {(r["panel_id"], r["series"]): r for r in two.groupBy("panel_id", "series").agg(F.collect_list(F.struct("t", "value")).alias("v")).collect()}
     series = {k: np.array([x["value"] for x in sorted(r["v"], key=lambda x: x["t"])]) for k, r in rows.items()}
-    null = tests.cramer_von_mises_null(80, 500)
+    null = stats.cramer_von_mises_null(80, 500)
     for job, kernel, names in (
-        (diagnostics.jarque_bera(two), tests.jarque_bera, ("jb", "p")), (diagnostics.anderson_darling(two), tests.anderson_darling, ("stat", "p")),
-        (diagnostics.kolmogorov_smirnov(two), tests.kolmogorov_smirnov, ("d", "p")), (diagnostics.cramer_von_mises(two), lambda x: tests.cramer_von_mises(x, null), ("w2", "p")),
-        (diagnostics.ljung_box(two, 6), lambda x: tests.ljung_box(x, 6), ("q", "p")), (diagnostics.arch_lm(two, 3), lambda x: tests.arch_lm(x, 3), ("lm", "p")),
+        (diagnostics.jarque_bera(two), stats.jarque_bera, ("jb", "p")), (diagnostics.anderson_darling(two), stats.anderson_darling, ("stat", "p")),
+        (diagnostics.kolmogorov_smirnov(two), stats.kolmogorov_smirnov, ("d", "p")), (diagnostics.cramer_von_mises(two), lambda x: stats.cramer_von_mises(x, null), ("w2", "p")),
+        (diagnostics.ljung_box(two, 6), lambda x: stats.ljung_box(x, 6), ("q", "p")), (diagnostics.arch_lm(two, 3), lambda x: stats.arch_lm(x, 3), ("lm", "p")),
     ):
         for r in job.collect():
             want = kernel(series[r["panel_id"], r["series"]])
@@ -195,11 +200,14 @@ def test_episodes(spark):
     assert events.episodes(index.limit(0)).count() == 0
 
 
-def test_entry_without_the_training_data_operators():
-    import __spark_entry__ as entry
-
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(queries.QUERIES) <= set(entry.queries())
+def test_entry_without_the_training_data_operators(tmp_path):
+    """In a copy of the tree without the subpackage and the pipeline, everything else imports and is registered."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "netdrift", tmp_path / "netdrift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    say = "import sys, __spark_entry__ as e; print(len(e.queries()), any(n.startswith('netdrift.llm') for n in sys.modules), set(e.oracle_sql()) <= set(e.queries()), e.__file__)"
+    out = subprocess.run([sys.executable, "-c", say], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(queries.QUERIES)), "False", "True", str(tmp_path / "__spark_entry__.py")]
 
 
 def test_fixtures(spark):

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from netdrift.functions import kernels, special, tests
+from netdrift.functions import kernels, special, stats
 from netdrift.operators import model
 
 
@@ -172,31 +172,31 @@ def test_mardia_equals_products_of_all_rows():
     w = np.random.default_rng(4).normal(size=(60, 3))
     d = w - w.mean(axis=0)
     g = d @ np.linalg.inv(d.T @ d / 60) @ d.T
-    stat, _, z, _ = tests.mardia(w)
+    stat, _, z, _ = stats.mardia(w)
     assert abs(stat - 60 * (g**3).mean() / 6) < 1e-9 and abs(z - ((np.diag(g) ** 2).mean() - 15) / math.sqrt(8 * 15 / 60)) < 1e-9
-    assert tests.mardia(w[:4], robust=True) == (0.0, 1.0, 0.0, 1.0)
+    assert stats.mardia(w[:4], robust=True) == (0.0, 1.0, 0.0, 1.0)
 
 
 def test_degenerate_inputs():
     flat = np.ones(30)
-    assert tests.jarque_bera(flat)[0] == 0 and (tests.acf(flat, 5) == 0).all() and tests.arch_lm(flat, 2)[0] == 0
-    assert tests.anderson_darling(np.arange(7.0)) == (0.0, 1.0) and tests.kolmogorov_smirnov(np.arange(4.0)) == (0.0, 1.0)
-    assert tests.multivariate_arch_lm(np.ones((3, 2)), 1) == (0.0, 0, 1.0) and math.isnan(tests.hosking(np.ones((30, 2)))[0])
+    assert stats.jarque_bera(flat)[0] == 0 and (stats.acf(flat, 5) == 0).all() and stats.arch_lm(flat, 2)[0] == 0
+    assert stats.anderson_darling(np.arange(7.0)) == (0.0, 1.0) and stats.kolmogorov_smirnov(np.arange(4.0)) == (0.0, 1.0)
+    assert stats.multivariate_arch_lm(np.ones((3, 2)), 1) == (0.0, 0, 1.0) and math.isnan(stats.hosking(np.ones((30, 2)))[0])
     with pytest.raises(ValueError):
-        tests.adf(flat)
+        stats.adf(flat)
     with pytest.raises(ValueError):
-        tests.adf(np.arange(30.0), "x")
+        stats.adf(np.arange(30.0), "x")
 
 
 def test_unit_roots_tell_walks_from_noise():
     rng = np.random.default_rng(6)
     noise = rng.standard_normal(400)
     walk = np.cumsum(noise)
-    assert tests.adf(noise)["p"] < 0.01 and tests.adf(walk)["p"] > 0.05
-    assert tests.phillips_perron(noise)["p"] < 0.01 and tests.phillips_perron(walk)["p"] > 0.05
-    assert tests.kpss(noise)["p"] > 0.05 and tests.kpss(np.cumsum(noise + 0.2))["p"] == 0.01
-    assert abs(tests.mackinnon_p(-2.86154, "c") - 0.05) < 2e-3 and abs(tests.mackinnon_p(-1.941, "n") - 0.05) < 2e-3 and abs(tests.mackinnon_p(-3.41049, "ct") - 0.05) < 2e-3
-    assert tests.adf(noise, "nc")["critical"] == tests.adf(noise, "n")["critical"]
+    assert stats.adf(noise)["p"] < 0.01 and stats.adf(walk)["p"] > 0.05
+    assert stats.phillips_perron(noise)["p"] < 0.01 and stats.phillips_perron(walk)["p"] > 0.05
+    assert stats.kpss(noise)["p"] > 0.05 and stats.kpss(np.cumsum(noise + 0.2))["p"] == 0.01
+    assert abs(stats.mackinnon_p(-2.86154, "c") - 0.05) < 2e-3 and abs(stats.mackinnon_p(-1.941, "n") - 0.05) < 2e-3 and abs(stats.mackinnon_p(-3.41049, "ct") - 0.05) < 2e-3
+    assert stats.adf(noise, "nc")["critical"] == stats.adf(noise, "n")["critical"]
 
 
 def test_search_reaches_the_minimum():
