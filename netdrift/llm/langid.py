@@ -1,25 +1,25 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Text is lower-cased and read as runs of letters, at most ``MAX_RUN`` characters each (a longer run continues as the
-next). The network reads the UTF-8 bytes of a run in both directions and labels every byte position with
-probabilities of the learned languages; its states start anew at each run, so equal runs get equal labels and a
-worker computes each once (a cache of bounded size). A document's probabilities pool all its positions: the mean
-log-probability of a run's positions is its vote, the votes add up over all runs, and a softmax follows.
+Text is lower-cased and read as UTF-8 in windows of ``WINDOW`` bytes, one after another through the whole text. The
+network reads a window in both directions and gives every byte position, whatever stands there, probabilities of
+the learned languages; its states start anew with each window. A document's probabilities pool all its positions:
+the mean log-probability of a window's positions, times ``SHARP``, is its vote, and votes add up over the windows,
+weighted by their positions; a softmax follows.
 
-Fit, by backpropagation through time in numpy on the driver: about ``SAMPLE_ROWS`` labelled documents at most,
-chosen by a hash of the id, the same number for each language; of their runs the ``MAX_RUNS`` most frequent
-(those that stand more than once, where there are 1000 of them). A
-run's target is the distribution of languages among its occurrences, each language weighing the same.
+A cell is a gated recurrent unit with hard sigmoids (slope 0.2) for its gates and x / (1 + |x|) for its candidate.
+
+Fit, by backpropagation through time in numpy on the driver, on a bounded sample: about ``SAMPLE_ROWS`` labelled
+documents at most, chosen by a hash of the id, the same number for each language; and of their windows about
+``SAMPLE_WINDOWS`` at most, chosen by a hash, again the same number for each language. All of these are learned
+from, each language weighing the same.
 
 Defined cases: documents with a null language are no training rows; a null text and a text without letters get
 ``und`` and score 0; with nothing to learn from all get ``und``; with one language that is the answer for all with
-letters; repeated rows give repeated rows.
+letters; repeated rows give repeated rows; texts of any length are read whole, a few windows at a time.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,30 +29,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import hinted
-from .common import arrow_batches, id_remainder, slices, trimmed, written
+from .common import arrow_batches, fresh, id_remainder, slices, trimmed, written
 
 SAMPLE_ROWS = 4096
-MAX_RUNS = 20_000
-MAX_RUN = 24
-CACHE_RUNS = 250_000
-HIDDEN = 24
-RUN = re.compile(r"[^\W\d_]{1,%d}" % MAX_RUN)
+SAMPLE_WINDOWS = 8192
+WINDOW = 64
+HIDDEN = 16
+#: How far positions of a window count as evidence of their own.
+SHARP = 8.0
 UNKNOWN = "und"
+#: Windows that pass through the network at once.
+CHUNK = 1024
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def windows(raws: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of texts (positions, windows), padded with zeros; the bytes in each; and each text's number of windows."""
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    counts = -(-sizes // width)
+    flat = np.zeros(int(counts.sum()) * width, np.uint8)
+    filled = np.full(int(counts.sum()), width, np.int64)
+    for raw, n, size, at in zip(raws, counts.tolist(), sizes.tolist(), (np.cumsum(counts) - counts).tolist(), strict=True):
+        flat[at * width : at * width + size] = np.frombuffer(raw, np.uint8)
+        if n:
+            filled[at + n - 1] = size - (n - 1) * width
+    return flat.reshape(-1, width).T, filled, counts
 
 
-def by_length(raws: list[bytes]) -> dict[int, np.ndarray]:
-    """Indices of the runs of each byte length."""
-    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-    return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+def as_bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
 
 
 @dataclass
 class Network:
-    """Weights of both directions: bytes to gates (256, 3H), state to gates (H, 3H), and the output layer."""
+    """Weights of both directions (forth, back) and of the output layer.
+
+    x: (direction, part, byte, H) and u: (direction, part, H, H) for the parts update, reset, candidate;
+    v: (direction, H, language) and c: (language).
+    """
 
     langs: list[str]
     weights: dict[str, np.ndarray]
@@ -60,103 +73,132 @@ class Network:
     @classmethod
     def new(cls, langs: list[str], hidden: int = HIDDEN, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
-        def draw(*shape):
-            return (rng.standard_normal(shape) / np.sqrt(shape[0] if shape[0] != 256 else 4)).astype(np.float32)
-        return cls(langs, {"xf": draw(256, 3 * hidden), "uf": draw(hidden, 3 * hidden), "xb": draw(256, 3 * hidden), "ub": draw(hidden, 3 * hidden), "v": draw(2 * hidden, len(langs)), "c": np.zeros(len(langs), np.float32)})
-
-    def _states(self, x: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
-        """States after each position, for bytes ``x`` (runs, positions) read in their order."""
-        wx, u = self.weights["x" + way], self.weights["u" + way]
-        h = u.shape[0]
-        state, out = np.zeros((len(x), h), np.float32), np.empty((*x.shape, h), np.float32)
-        for t in range(x.shape[1]):
-            g, a = wx[x[:, t]], state @ u
-            zr = _sigmoid(g[:, : 2 * h] + a[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(g[:, 2 * h :] + r * a[:, 2 * h :])
+
+        def draw(scale: float, *shape: int) -> np.ndarray:
+            return (rng.standard_normal(shape) * scale).astype(np.float32)
+
+        return cls(langs, {"x": draw(0.5, 2, 3, 256, hidden), "u": draw(hidden**-0.5, 2, 3, hidden, hidden), "v": draw((2 * hidden) ** -0.5, 2, hidden, len(langs)), "c": np.zeros(len(langs), np.float32)})
+
+    def states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """(positions, direction, windows, H) for bytes ``x`` (positions, windows); all blocks in memory are whole."""
+        wx, u = self.weights["x"], self.weights["u"]
+        x, size, h = x.astype(np.intp), x.shape[1], u.shape[-1]
+        state = np.zeros((2, 1, size, h), wx.dtype)
+        g, a = np.empty((2, 3, size, h), wx.dtype), np.empty((2, 3, size, h), wx.dtype)
+        out = np.empty((len(x), 2, size, h), wx.dtype)
+        for t in range(len(x)):
+            for way, row in enumerate((x[t], x[-1 - t])):
+                for part in range(3):
+                    np.take(wx[way, part], row, axis=0, out=g[way, part], mode="clip")
+            np.matmul(state, u, out=a)
+            before = state if keep is None else state.copy()
+            for way in range(2):
+                gates, n, now = g[way, :2], g[way, 2], state[way, 0]
+                gates += a[way, :2]
+                gates *= 0.2
+                gates += 0.5
+                np.clip(gates, 0, 1, out=gates)
+                n += gates[1] * a[way, 2]
+                n /= 1 + np.abs(n)
+                now -= n
+                now *= gates[0]
+                now += n
+                out[-1 - t if way else t, way] = now
             if keep is not None:
-                keep.append((state, z, r, n, a[:, 2 * h :]))
-            state = n + z * (state - n)
-            out[:, t] = state
+                keep.append((before, g.copy(), a[:, 2].copy()))
         return out
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        """(runs, positions, languages) for runs of one length."""
-        both = np.concatenate([self._states(x, "f"), self._states(x[:, ::-1], "b")[:, ::-1]], axis=2)
-        return both @ self.weights["v"] + self.weights["c"]
-
-    def step(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Gradients of the weighted mean cross-entropy at all positions, and the loss."""
-        kept = {"f": [], "b": []}
-        forth, back = self._states(x, "f", kept["f"]), self._states(x[:, ::-1], "b", kept["b"])[:, ::-1]
-        both = np.concatenate([forth, back], axis=2)
-        scores = both @ self.weights["v"] + self.weights["c"]
-        scores -= scores.max(axis=2, keepdims=True)
-        log_p = scores - np.log(np.exp(scores).sum(axis=2, keepdims=True))
-        share = (weight / weight.sum() / x.shape[1])[:, None, None].astype(np.float32)
-        loss = -float((share * target[:, None, :] * log_p).sum())
-        d = share * (np.exp(log_p) - target[:, None, :])
-        h = forth.shape[2]
-        grads = {"v": np.tensordot(both, d, ([0, 1], [0, 1])), "c": d.sum(axis=(0, 1))}
-        d_both = d @ self.weights["v"].T
-        for way, seen, d_states in (("f", x, d_both[:, :, :h]), ("b", x[:, ::-1], d_both[:, ::-1, h:])):
-            grads["x" + way], grads["u" + way] = self._back(seen, way, kept[way], d_states)
-        return grads, loss
-
-    def _back(self, x: np.ndarray, way: str, kept: list, d_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u = self.weights["u" + way]
-        h = u.shape[0]
-        d_u, d_state = np.zeros_like(u), np.zeros((len(x), h), np.float32)
-        d_x = np.empty((*x.shape, 3 * h), np.float32)
-        for t in range(x.shape[1] - 1, -1, -1):
-            state, z, r, n, a_n = kept[t]
-            d_state = d_state + d_states[:, t]
-            d_n = d_state * (1 - z) * (1 - n * n)
-            d_z = d_state * (state - n) * z * (1 - z)
-            d_r = d_n * a_n * r * (1 - r)
-            d_x[:, t] = np.concatenate([d_z, d_r, d_n], axis=1)
-            d_a = np.concatenate([d_z, d_r, d_n * r], axis=1)
-            d_u += state.T @ d_a
-            d_state = d_state * z + d_a @ u.T
-        d_wx = np.zeros_like(self.weights["x" + way])
-        flat, order = x.ravel(), np.argsort(x.ravel(), kind="stable")
+    def log_probabilities(self, states: np.ndarray) -> np.ndarray:
+        """(languages, positions, windows)."""
+        v = self.weights["v"]
+        scores = states[:, 0] @ v[0]
+        scores += states[:, 1] @ v[1]
+        scores += self.weights["c"]
+        scores = np.ascontiguousarray(np.moveaxis(scores, 2, 0))
+        scores -= scores.max(axis=0)
+        scores -= np.log(np.exp(scores).sum(axis=0))
+        return scores
+
+    def step(self, x: np.ndarray, filled: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients of the weighted mean cross-entropy at all positions that are filled, and the loss; ``target`` is (windows, languages)."""
+        kept: list = []
+        both = self.states(x, kept)
+        log_p = np.moveaxis(self.log_probabilities(both), 0, 2)
+        share = (np.arange(len(x))[:, None] < filled) * weight
+        share = (share / share.sum())[:, :, None].astype(both.dtype)
+        d = share * (np.exp(log_p) - target)
+        grads = {"v": np.einsum("pdwh,pwl->dhl", both, d, optimize=True), "c": d.sum(axis=(0, 1))}
+        u, v = self.weights["u"], self.weights["v"]
+        h = u.shape[-1]
+        grads["u"] = np.zeros_like(u)
+        d_parts = np.empty((2, len(x), 3, x.shape[1], h), u.dtype)  # by position
+        d_state = np.zeros((2, x.shape[1], h), u.dtype)
+        for t in range(len(x) - 1, -1, -1):
+            before, parts, a_n = kept[t]
+            z, r, n = parts[:, 0], parts[:, 1], parts[:, 2]
+            d_state = d_state + np.stack([d[t] @ v[0].T, d[-1 - t] @ v[1].T])
+            d_n = d_state * (1 - z) * (1 - np.abs(n)) ** 2
+            d_z = 0.2 * d_state * (before[:, 0] - n) * ((z > 0) & (z < 1))
+            d_r = 0.2 * d_n * a_n * ((r > 0) & (r < 1))
+            for way, at in enumerate((t, len(x) - 1 - t)):
+                d_parts[way, at] = d_z[way], d_r[way], d_n[way]
+            d_a = np.stack([d_z, d_r, d_n * r], axis=1)
+            grads["u"] += np.swapaxes(before, 2, 3) @ d_a
+            d_state = d_state * z + (d_a @ np.swapaxes(u, 2, 3)).sum(axis=1)
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
         values, begin = np.unique(flat[order], return_index=True)
-        d_wx[values] = np.add.reduceat(d_x.reshape(-1, 3 * h)[order], begin)
-        return d_wx, d_u
-
-    def votes(self, raws: list[bytes], chunk: int = 2048) -> np.ndarray:
-        """(runs, languages): mean log-probabilities over a run's positions."""
-        out = np.zeros((len(raws), len(self.langs)), np.float32)
-        for n, at in by_length(raws).items():
-            for part in (at[i : i + chunk] for i in range(0, len(at), chunk)):
-                x = np.frombuffer(b"".join([raws[i] for i in part]), np.uint8).reshape(-1, n)
-                scores = self.logits(x)
-                scores -= scores.max(axis=2, keepdims=True)
-                out[part] = (scores - np.log(np.exp(scores).sum(axis=2, keepdims=True))).mean(axis=1)
+        grads["x"] = np.zeros_like(self.weights["x"])
+        for way in range(2):
+            for part in range(3):
+                grads["x"][way, part, values] = np.add.reduceat(d_parts[way, :, part].reshape(-1, h)[order], begin)
+        return grads, -float((share * target * log_p).sum())
+
+    def votes(self, x: np.ndarray, filled: np.ndarray) -> np.ndarray:
+        """(windows, languages): sums of log-probabilities over each window's positions."""
+        out = np.zeros((x.shape[1], len(self.langs)))
+        for at in range(0, x.shape[1], CHUNK):
+            log_p = self.log_probabilities(self.states(x[:, at : at + CHUNK]))
+            short = filled[at : at + CHUNK] < len(x)
+            log_p[:, :, short] *= np.arange(len(x))[:, None] < filled[at : at + CHUNK][short]
+            out[at : at + CHUNK] = log_p.sum(axis=1).T
         return out
 
-    def position_labels(self, text: str) -> list[tuple[int, int, np.ndarray]]:
-        """(start, stop, label of each UTF-8 byte) for every run of letters of the lower-cased text."""
-        text = text.lower()
-        return [(m.start(), m.end(), self.logits(np.frombuffer(m[0].encode(), np.uint8)[None])[0].argmax(axis=1)) for m in RUN.finditer(text)]
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The language and score of each text."""
+        x, filled, counts = windows([as_bytes(t) for t in texts])
+        total = np.zeros((len(texts), len(self.langs)))
+        has = np.flatnonzero(counts)
+        if len(has):
+            total[has] = np.add.reduceat(self.votes(x, filled), (np.cumsum(counts) - counts)[has], axis=0)
+        total *= SHARP / WINDOW
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        letters = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, p.max(axis=1), 0.0)
+
+    def position_labels(self, text: str) -> np.ndarray:
+        """The label of every byte of the lower-cased text, as an index into ``langs``."""
+        x, filled, _ = windows([as_bytes(text)])
+        labels = [self.log_probabilities(self.states(x[:, at : at + CHUNK])).argmax(axis=0).T.ravel() for at in range(0, x.shape[1], CHUNK)]
+        return np.concatenate(labels)[: filled.sum()] if labels else np.zeros(0, np.int64)
 
 
-def train(langs: list[str], runs: list[str], targets: np.ndarray, weights: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam over batches of runs of one length, in an order drawn from ``seed``."""
+def train(langs: list[str], x: np.ndarray, filled: np.ndarray, lang: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
+    """Adam over batches of windows, in an order drawn from ``seed``; ``lang`` is the index of each window's language."""
     net, rng = Network.new(langs, seed=seed), np.random.default_rng(seed)
-    raws = [r.encode("utf-8", "replace") for r in runs]
-    groups = {n: (np.frombuffer(b"".join([raws[i] for i in at]), np.uint8).reshape(-1, n), at) for n, at in by_length(raws).items()}
+    target = np.eye(len(langs), dtype=np.float32)[lang]
+    sizes = np.bincount(lang, weights=filled, minlength=len(langs))
+    weight = (1 / np.maximum(sizes, 1))[lang]
     first = {k: np.zeros_like(w) for k, w in net.weights.items()}
     second = {k: np.zeros_like(w) for k, w in net.weights.items()}
-    step = 0
-    for epoch in range(epochs):
-        parts = [(n, p) for n, (x, _) in groups.items() for p in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch))]
-        for i in rng.permutation(len(parts)):
-            n, part = parts[i]
-            x, at = groups[n]
-            grads, _ = net.step(x[part], targets[at[part]], weights[at[part]])
+    parts, step = max(1, len(lang) // batch), 0
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(len(lang)), parts):
+            grads, _ = net.step(x[:, part], filled[part], target[part], weight[part])
             step += 1
-            now = rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            now = rate * (1 - (step - 1) / (epochs * parts)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grads.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
@@ -164,16 +206,29 @@ def train(langs: list[str], runs: list[str], targets: np.ndarray, weights: np.nd
     return net
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, text -> lang, window, order (a hash of the window's bytes and place) of all windows."""
+    import xxhash
+
     for batch in batches:
         langs = iter(batch.column("lang").to_pylist())
         for texts in slices(batch.column("text")):
-            counts: Counter = Counter()
+            rows = []
             for text in texts:
-                lang = next(langs)
-                counts.update((lang, r) for r in RUN.findall(text.lower()))
-            rows = [(a, b, n) for (a, b), n in counts.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)] if rows else [pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], ["lang", "run", "n"])
+                lang, raw = next(langs), as_bytes(text)
+                rows += [(lang, raw[at : at + WINDOW], xxhash.xxh64_intdigest(raw[at : at + WINDOW], seed=at) >> 1) for at in range(0, len(raw), WINDOW)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "window", "order"])
+
+
+def _even_shares(rows: DataFrame, order: Column, most: int) -> tuple[list[str], DataFrame]:
+    """The values of ``lang``, and the rows with about most / (their number) of each at most, by a hash below a bound."""
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return [], rows
+    each = most / len(sizes)
+    bound = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, each / n) * (1 << 20)))])
+    return sorted(sizes), rows.where(F.pmod(order, F.lit(1 << 20)) < bound[F.col("lang")])
 
 
 def fit(docs: DataFrame, learn: Column | None = None) -> Network | None:
@@ -181,63 +236,15 @@ def fit(docs: DataFrame, learn: Column | None = None) -> Network | None:
     arrow_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known if learn is None else known.where(learn)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS // 8).collect()}
-    if not sizes:
+    _, sample = _even_shares(known, F.xxhash64("doc_id", F.lit("sample")), SAMPLE_ROWS)
+    cut = written(sample.select("lang", "text").mapInArrow(trimmed(_cut), "lang string, window binary, order bigint"), "lang-windows")
+    langs, chosen = _even_shares(cut, F.col("order"), SAMPLE_WINDOWS)
+    if not langs:
         return None
-    langs = sorted(sizes)
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, SAMPLE_ROWS / len(langs) / n) * (1 << 20)))) for lang, n in sizes.items()], F.lit(0))
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share).select("lang", "text")
-    counts = sample.mapInArrow(trimmed(_count_runs), "lang string, run string, n bigint").groupBy("run").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
-    best = [F.desc("n"), F.asc("run")]
-    # most runs stand once and stay where they are; the choice is written first, else the driver gets one from each task
-    kept = written(counts.where("n > 1").orderBy(*best).limit(MAX_RUNS), "lang-runs").collect()
-    if len(kept) < 1000:
-        kept = counts.orderBy(*best).limit(1000).collect()
-    if not kept:
-        return None
-    kept.sort(key=lambda r: (-r["n"], r["run"]))
+    rows = sorted((r["lang"], bytes(r["window"])) for r in chosen.select("lang", "window").collect())
+    x, filled, _ = windows([w for _, w in rows])
     place = {lang: i for i, lang in enumerate(langs)}
-    seen = np.zeros((len(kept), len(langs)))
-    for i, r in enumerate(kept):
-        for x in r["by"]:
-            seen[i, place[x["lang"]]] += x["n"]
-    even = seen / np.maximum(seen.sum(axis=0), 1)
-    return train(langs, [r["run"] for r in kept], (even / even.sum(axis=1, keepdims=True)).astype(np.float32), 1 + np.log(seen.sum(axis=1)))
-
-
-class Votes:
-    """The votes of runs met so far, in a worker."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.net.langs)), np.float32)
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        if len(self.index) > CACHE_RUNS:
-            self.forget()
-        runs, counts = [], []
-        for text in texts:
-            found = RUN.findall(text.lower())
-            runs += found
-            counts.append(len(found))
-        if new := list(set(runs).difference(self.index)):
-            self.index.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.net.votes([r.encode("utf-8", "replace") for r in new])])
-        at = np.fromiter(map(self.index.__getitem__, runs), np.int64, len(runs))
-        total = np.zeros((len(texts), len(self.net.langs)))
-        counts = np.array(counts, np.int64)
-        has = np.flatnonzero(counts)
-        if len(has):
-            total[has] = np.add.reduceat(self.table[at].astype(np.float64), (np.cumsum(counts) - counts)[has])
-        p = np.exp(total - total.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
-        letters = np.fromiter((n > 0 and any(map(str.isalpha, t)) for n, t in zip(counts, texts, strict=True)), bool, len(texts))
-        return [self.net.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, p.max(axis=1), 0.0)
+    return train(langs, x, filled, np.array([place[lang] for lang, _ in rows]))
 
 
 def predict_column(net: Network | None, text: Column) -> Column:
@@ -246,11 +253,10 @@ def predict_column(net: Network | None, text: Column) -> Column:
         return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
 
     def run(batches):
-        votes = Votes(net)
         for batch in batches:
             langs, scores = [], []
             for texts in slices(batch):
-                a, b = votes.predict(texts)
+                a, b = net.predict(texts)
                 langs += a
                 scores += b.tolist()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
@@ -268,5 +274,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs``, all columns, without texts that have no letters or whose language scores below ``least``."""
     net = fit(docs, id_remainder("doc_id", 4) != 2)
-    found = docs.withColumn("__lang", predict_column(net, F.col("text")))
-    return found.where((F.col("__lang.lang") != UNKNOWN) & (F.col("__lang.score") >= least)).drop("__lang")
+    (told,) = fresh(docs, "_lang")
+    found = docs.withColumn(told, predict_column(net, F.col("text")))
+    return found.where((F.col(told)["lang"] != UNKNOWN) & (F.col(told)["score"] >= least)).drop(told)
