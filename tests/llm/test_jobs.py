@@ -278,11 +278,62 @@ def test_toxicity(spark, docs, labels):
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
 
 
+def plain_score(model, text):
+    """A document's score by trying all segments, and its passages' expected numbers."""
+    import math
+    import re
+
+    found = re.findall(r"\w+", text.lower())
+    scores = []
+    for i, w in enumerate(found):
+        beginnings = [w] + [w[:n] + "*" for n in (8, 7, 6, 5, 4) if len(w) > n]
+        s = next((model.weights[u] for u in beginnings if u in model.weights), toxicity.NEUTRAL)
+        scores.append(toxicity.NEUTRAL if s > 0 and i and found[i - 1] == w else s)
+
+    def maximal(low, high):
+        best = max(((sum(scores[i:j]), i - j, i, j) for i in range(low, high) for j in range(i + 1, high + 1)), default=(0,))
+        return [] if best[0] <= 1e-12 else [*maximal(low, best[2]), best[0], *maximal(best[3], high)]
+
+    normal = sorted((model.scale * s - model.log_k - math.log(max(len(found), 1)) for s in maximal(0, len(found))), reverse=True)
+    told = [0.0] + [-math.log(1 - math.exp(-math.exp(-max(s, -6)))) if s <= 30 else s for s in normal[:1]]
+    for r in range(2, len(normal) + 1):
+        if normal[r - 1] <= 0:
+            break
+        total = sum(normal[:r])
+        told.append(total - (r - 1) * math.log(2 * max(total, 1)) + math.log(math.factorial(r) * math.factorial(r - 1)))
+    return 1 / (1 + math.exp(-min(model.logistic[0] + model.logistic[1] * min(max(told), 60.0), 30.0))), [math.exp(-s) for s in normal]
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, toxicity.id_remainder("doc_id", 3) != 1)
+    rows = docs.where("length(text) < 700 OR text IS NULL")
+    texts = defaultdict(list)
+    for r in rows.collect():
+        texts[r["doc_id"]].append(r["text"] or "")
+    whole = {r["doc_id"]: r for r in table(toxicity.score_documents(docs, labels)) if len(texts[r["doc_id"]]) == 1}
+    assert len(whole) > 100
+    for i, r in whole.items():
+        score, expected = plain_score(model, texts[i][0])
+        assert abs(r["score"] - score) < 1e-6 and r["predicted"] == int(score >= 0.7)
+        assert r["n_passages"] == sum(x <= toxicity.EXPECTED for x in expected) and r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+    assert any(r["predicted"] for r in whole.values())
+
+
+def test_toxicity_without_evidence_does_not_score_by_length(spark, docs):
+    given, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(given, labels)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "zq", "zq zw " * 40, "zq zw " * 30_000, "zq"])], "i int, text string")
+    assert len({r["s"]["score"] for r in rows.select(toxicity.score_column(model, F.col("text")).alias("s")).collect()}) == 1
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = [r for r in table(toxicity.score_documents(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id")) if r["held_out"]]
-    toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == x] for x in (1, 0))
-    assert np.mean(toxic) > 0.8 and np.mean(clean) < 0.01
+    toxic, clean = ([r for r in rows if r["toxic"] == x] for x in (1, 0))
+    assert np.mean([r["predicted"] for r in toxic]) > 0.8 and np.mean([r["predicted"] for r in clean]) < 0.01
+    # calibration: passages that chance would bring, on clean documents that nothing was learned from
+    assert sum(r["n_passages"] for r in clean) <= 1.5 * toxicity.EXPECTED * len(clean)
 
 
 def test_langid(spark, docs):
