@@ -9,7 +9,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 #: Rows and text bytes that a Python worker handles at once.
 BATCH_ROWS = 2048
 SLICE_BYTES = 4 << 20
+#: Parts of a group that get their numbers side by side; numbers do not depend on partitions.
+NUMBER_BLOCKS = 512
+#: A key of more than one row in so many counts as hot.
+HOT = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +80,9 @@ class Steps:
         return last
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Each of ``names``, or with underscores before it until no column of ``df`` has that name."""
-    taken, out = {c.lower() for c in df.columns}, []
+def fresh(df: DataFrame, *names: str, also: Iterable[str] = ()) -> list[str]:
+    """Each of ``names``, or with underscores before it until no column of ``df``, and none of ``also``, has that name."""
+    taken, out = {c.lower() for c in (*df.columns, *also)}, []
     for name in names:
         while name.lower() in taken:
             name = "_" + name
@@ -135,15 +139,24 @@ def trimmed(run):
     return whole
 
 
+def join_sized(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each key and ``n``, how many of the ``total`` rows have it.
+
+    Keys of over one row in ``HOT`` are broadcast, since fewer than ``HOT`` of them can exist; the others are
+    shuffled. ``rows`` must be cheap to read twice.
+    """
+    hot = table.where(F.col("n") > total // HOT).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("n") <= total // HOT).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str, spread: list[str]) -> DataFrame:
     """Add ``name``: gapless numbers from 0 within ``group``, without one task per group.
 
-    Rows of a group are spread over blocks by a hash of ``spread``; block counts (as many rows as groups
-    times blocks) become offsets, and row_number runs inside a block. ``df`` must be cheap to read twice.
+    Rows of a group are spread over ``NUMBER_BLOCKS`` blocks by a hash of ``spread``; block counts (as many rows as
+    groups times blocks) become offsets, and row_number runs inside a block. ``df`` must be cheap to read twice.
     """
-    spark = df.sparkSession
-    blocks = max(8, n_partitions(spark))
-    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*spread), F.lit(blocks)).cast("int"))
+    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*spread), F.lit(NUMBER_BLOCKS)).cast("int"))
     counts = dealt.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))

@@ -75,13 +75,16 @@ class Scanner:
 
     def base_places(self, plain: bytes) -> list[tuple[str, int]]:
         """(label, index of the first word) of each exact place."""
-        padded, found = b" " + plain + b" ", []
+        padded, hits = b" " + plain + b" ", []
         for label, phrase in self.base:
             at = padded.find(phrase)
             while at >= 0:
-                found.append((label, padded.count(b" ", 0, at)))
+                hits.append((label, at))
                 at = padded.find(phrase, at + 1)
-        return found
+        if not hits:
+            return hits
+        blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 0x20)  # one before each word
+        return list(zip([label for label, _ in hits], np.searchsorted(blanks, [at for _, at in hits]).tolist(), strict=True))
 
     def fuzzy_spans(self, plain: bytes) -> list[tuple[str, int, int, int, int]]:
         """(label, start, end, edits, notice length) in bytes of ``plain``; of overlapping ones of a notice the first."""

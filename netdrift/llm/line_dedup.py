@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, n_partitions, written
+from .common import arrow_batches, fresh, n_partitions, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Entries of one key that a task holds before it leaves the decision to the partial counts.
 LONG = 1 << 18
+SALTS = 64
 NO_ID = -(1 << 63)
 DROP, HELD, COUNT = 0, 1, 2
 STREAMED = "kind tinyint, a bigint, b bigint, doc bigint, row bigint, position int, n bigint"
@@ -120,9 +121,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_co
     ordered = entries.repartitionByRange(n_partitions(spark), "a", "b", F.desc("doc")).sortWithinPartitions("a", "b", F.desc("doc"), "row", "position")
     told = written(ordered.mapInArrow(_stream(min_docs), STREAMED), "line-stream")
     counts = told.where(F.col("kind") == COUNT).groupBy("a", "b").agg(F.sum("n").alias("docs"), F.max("doc").alias("top"))
-    # two keys for a partition, and those of over LONG entries: this table is small whatever the input
-    decided = F.broadcast(counts.where(F.col("docs") >= min_docs).select("a", "b", "top"))
-    late = told.where(F.col("kind") == HELD).join(decided, ["a", "b"]).where(F.col("doc") != F.col("top"))
+    # two keys for a partition, and those of over LONG entries; a long key's entries are dealt over SALTS
+    decided = counts.where(F.col("docs") >= min_docs).select("a", "b", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = told.where(F.col("kind") == HELD).withColumn("salt", F.pmod(F.xxhash64("doc", "row", "position"), F.lit(SALTS)).cast("int"))
+    late = held.join(decided, ["a", "b", "salt"]).where(F.col("doc") != F.col("top"))
     return told.where(F.col("kind") == DROP).select("doc", "row", "position").unionByName(late.select("doc", "row", "position"))
 
 
@@ -151,31 +153,43 @@ def _kept(text: pa.Array, bitmap: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def with_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_column: str = "doc_id", text_column: str = "text", text_as: str = "__text") -> DataFrame:
-    """``docs`` with all its columns, and __n_lines, __n_dropped, __bitmap (null: all is kept) and the text as ``text_as``."""
+def with_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_column: str = "doc_id", text_column: str = "text", names: tuple[str, str, str, str] = ("n_lines", "n_dropped", "bitmap", "kept_text")) -> DataFrame:
+    """``docs`` with all its columns, and under ``names`` the lines, those dropped, the bitmap (null: all is kept) and the
+    text, null being empty, still with all its lines. ``names`` must not be among the columns."""
+    n_lines, n_dropped, bitmap, text_as = names
+    if {c.lower() for c in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"{names}: docs has a column of that name")
     lost = dropped_lines(docs, min_chars, min_docs, id_column, text_column)
-    lost = lost.groupBy("doc", "row").agg(F.array_distinct(F.collect_list("position")).alias("__lost"))
+    doc, row, positions = fresh(docs, "_doc", "_row", "_lost", also=names)
+    lost = lost.groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(F.array_distinct(F.collect_list("position")).alias(positions))
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.withColumns({
-        "__doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "__row": F.xxhash64(F.col(id_column), text),
-        text_as: text, "__n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long"),
+        doc: F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), row: F.xxhash64(F.col(id_column), text),
+        text_as: text, n_lines: (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long"),
     })
-    found = rows.join(lost.withColumnsRenamed({"doc": "__doc", "row": "__row"}), ["__doc", "__row"], "left").drop("__doc", "__row")
-    return found.withColumn("__n_dropped", F.coalesce(F.size("__lost"), F.lit(0)).cast("long")).withColumn(
-        "__bitmap", F.when(F.col("__lost").isNotNull(), F.arrow_udf(_bitmap, "binary")("__n_lines", F.coalesce("__lost", F.array().cast("array<int>"))))
-    ).drop("__lost")
+    found = rows.join(lost, [doc, row], "left").drop(doc, row)
+    found = found.withColumn(n_dropped, F.coalesce(F.size(positions), F.lit(0)).cast("long"))
+    packed = F.arrow_udf(_bitmap, "binary")(F.col(n_lines), F.coalesce(positions, F.array().cast("array<int>")))
+    return found.withColumn(bitmap, F.when(F.col(positions).isNotNull(), packed)).drop(positions)
 
 
-def apply_bitmaps(found: DataFrame, text_as: str = "__text") -> DataFrame:
-    """The result of with_bitmaps with ``text_as`` cut down to the lines kept. Only texts that lose lines go to Python."""
-    loses = F.col("__bitmap").isNotNull()
-    return found.withColumn(text_as, F.coalesce(F.arrow_udf(_kept, "string")(F.when(loses, F.col(text_as)), F.col("__bitmap")), F.col(text_as)))
+def apply_bitmaps(found: DataFrame, text: str = "kept_text", bitmap: str = "bitmap") -> DataFrame:
+    """The result of with_bitmaps with its text cut down to the lines kept. Only texts that lose lines go to Python."""
+    loses = F.col(bitmap).isNotNull()
+    return found.withColumn(text, F.coalesce(F.arrow_udf(_kept, "string")(F.when(loses, F.col(text)), F.col(bitmap)), F.col(text)))
+
+
+def without_repeats(docs: DataFrame, text_column: str = "text", length_column: str = "n_chars", **options) -> DataFrame:
+    """``docs``, the same columns, with each text cut down to the lines kept; the length follows where there is such a column."""
+    names = fresh(docs, "n_lines", "n_dropped", "bitmap", "kept_text")
+    kept = apply_bitmaps(with_bitmaps(docs, text_column=text_column, names=tuple(names), **options), names[3], names[2])
+    kept = kept.withColumn(text_column, F.col(names[3]))
+    if length_column in docs.columns:
+        kept = kept.withColumn(length_column, F.length(text_column).cast(docs.schema[length_column].dataType))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for each document."""
     kept = apply_bitmaps(with_bitmaps(docs.select("doc_id", "text"), **options))
-    return kept.select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
-        F.sha2(F.col("__text").cast("binary"), 256).alias("kept_sha256"),
-    )
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

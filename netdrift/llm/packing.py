@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, default_json
-from .common import arrow_batches, n_partitions, slices, trimmed, written
+from .common import NUMBER_BLOCKS, arrow_batches, slices, trimmed, written
 
 LONGEST = 2048
 END_ID = 1
@@ -66,8 +66,7 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = LONGEST, end_i
     kind = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     pieces = rows.mapInArrow(trimmed(_pieces(path or default_json(), longest, end_id, with_ids)), kind)
-    blocks = max(8, n_partitions(spark))
-    pieces = written(pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int")), "pack-pieces")
+    pieces = written(pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(NUMBER_BLOCKS)).cast("int")), "pack-pieces")
     counts = pieces.groupBy("length", "_block").agg(F.count("*").alias("_n"))  # 12 lengths times blocks
     before = Window.orderBy(F.desc("length"), "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))

@@ -33,8 +33,8 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases and fuzzy notices in every document."""
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    """License phrases and fuzzy notices in every document, with the fuzzy ones' spans."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

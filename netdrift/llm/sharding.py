@@ -3,10 +3,11 @@
 Rows with equal text form a group that stays together. Groups are sorted by size, and each goes to the
 least-loaded bin through a heap. That runs in two levels, so that no task and not the driver holds all groups:
 
-1. Groups are dealt to blocks by a hash of their text. Each task streams its block's groups, largest first,
-   and puts each into the least loaded of the block's bins (a heap of ``bins`` loads is all it holds).
-2. The bins themselves, blocks x bins of them whatever the number of groups, are scheduled in the same way
-   over the shards on the driver.
+1. Groups are dealt to ``BLOCKS`` blocks by a hash of their text. A task streams one block's groups after
+   another, largest first, and puts each into the least loaded of the block's bins, one for each shard (a heap of
+   their loads is all it holds).
+2. The bins themselves, ``BLOCKS`` times the number of shards at most, whatever the number of groups or partitions,
+   are scheduled in the same way over the shards on the driver.
 
 A group larger than a bin's fair share ends up alone in its bin, and that bin is placed first in level 2, as
 in plain LPT. The shards differ by at most about one bin, or by the largest group where that is larger.
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, n_partitions, numbered, written
+from .common import content_key, join_sized, n_partitions, numbered, written
 
-#: Bins that level 2 schedules: this many, or 16 for each block where that is more.
-LEAST_BINS = 8192
+#: Blocks of level 1: the result depends on this number alone, not on partitions.
+BLOCKS = 1024
 
 
 def lpt(sizes: Iterable[tuple[int, object]], n: int) -> dict[object, int]:
@@ -58,21 +59,19 @@ def _bin_stream(bins: int):
 
 
 def assign_groups(groups: DataFrame, n_shards: int) -> DataFrame:
-    """``groups`` (key, bytes) -> key, shard. Bin loads alone reach the driver."""
+    """``groups`` (key, bytes, n) -> key, n, shard. Bin loads alone reach the driver."""
     spark = groups.sparkSession
-    blocks = n_partitions(spark)
-    bins = n_shards * max(1, -(-LEAST_BINS // (blocks * n_shards)))
     dealt = (
-        groups.select("key", "bytes", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
-        .repartition(blocks, "block")
+        groups.select("key", "bytes", "n", F.pmod(F.xxhash64("key"), F.lit(BLOCKS)).cast("int").alias("block"))
+        .repartition(n_partitions(spark), "block")
         .sortWithinPartitions("block", F.desc("bytes"), "key")
     )
-    kind = "key struct<a: bigint, b: bigint>, bytes bigint, block int, bin int"
-    binned = written(dealt.mapInArrow(_bin_stream(bins), kind), "shard-bins")
-    loads = binned.groupBy("block", "bin").agg(F.sum("bytes").alias("bytes")).collect()  # blocks x bins rows at most
+    kind = "key struct<a: bigint, b: bigint>, bytes bigint, n bigint, block int, bin int"
+    binned = written(dealt.mapInArrow(_bin_stream(n_shards), kind), "shard-bins")
+    loads = binned.groupBy("block", "bin").agg(F.sum("bytes").alias("bytes")).collect()  # BLOCKS x n_shards rows at most
     placed = lpt([(r["bytes"], (r["block"], r["bin"])) for r in loads], n_shards)
     where = spark.createDataFrame([(b, i, s) for (b, i), s in placed.items()] or [], "block int, bin int, shard int")
-    return binned.join(F.broadcast(where), ["block", "bin"]).select("key", "shard")
+    return binned.join(F.broadcast(where), ["block", "bin"]).select("key", "n", "shard")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -85,6 +84,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_column: str = "doc_i
         content_key(text).alias("key"),
     )
     rows = written(rows, "shard-rows")
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    placed = rows.join(assign_groups(groups, n_shards), "key").drop("key")
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    where = written(assign_groups(groups, n_shards), "shard-groups")
+    placed = join_sized(rows, where, "key", rows.count()).drop("key")
     return numbered(written(placed, "shard-placed"), ["shard"], ["doc_id", "text_crc32"], "slot", ["doc_id", "text_crc32"])

@@ -9,10 +9,11 @@ and with the squared lengths known, the inner product is at most sum of n/g * (m
 segments the bounds get tighter. A candidate is dropped for a query as soon as its bound is below the query's
 k-th best score so far; survivors get the exact integer score.
 
-Vectors are packed into blocks of bounded size, and every query block meets every candidate block once, by an
-equi-join on the block's number. The stated queries are a small share of the rows; while their blocks take less
-than ``BROADCAST_BYTES`` they are broadcast, and else the join shuffles. A task keeps the k best of each query
-over all blocks it sees, so that its bounds tighten as it goes; what tasks keep is merged by query.
+Vectors are packed into blocks of bounded size, and blocks into groups: about ``QUERY_GROUP`` blocks of queries and
+up to ``CANDIDATE_GROUP`` of candidates each. Every pair of a query group and a candidate group is a cell, the key of the
+one shuffle: a query block goes to all cells of its group's row and a candidate block to all of its column. A task
+streams its cells, the queries of a cell first, and keeps the k best of each query, so that its bounds tighten as it goes;
+what the cells keep is ranked by query. The plan is the same at all sizes.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, and rows without an id take no
 part; vectors of different lengths never meet; rows with the query's own id are no candidates of it; rows that repeat are
@@ -27,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_partitions, written
 
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 4096
-BROADCAST_BYTES = 64 << 20
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+QUERY_GROUP = 16
+CANDIDATE_GROUP = 16
+FOUND = "query_id bigint, vec_id bigint, score bigint, exact bigint, cell int"
 
 
 def _segments(x: np.ndarray, g: int) -> np.ndarray:
@@ -69,7 +71,7 @@ class BestK:
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.stats = [_segments(self.x, g) for g in levels(x.shape[1])]
-        self.exact = 0  # pairs that needed their exact score
+        self.exact = np.zeros(len(ids), np.int64)  # candidates that needed their exact score
 
     def meet(self, ids: np.ndarray, x: np.ndarray, stats: list[np.ndarray]) -> None:
         if np.isinf(self.scores[:, -1]).any():  # no bound yet: a first part gets exact scores
@@ -95,7 +97,7 @@ class BestK:
     def _score(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         own = self.ids[q] != ids[c]
         q, c = q[own], c[own]
-        self.exact += len(q)
+        self.exact += np.bincount(q, minlength=len(self.exact))
         score = np.einsum("ij,ij->i", self.x[q], x[c])
         good = score >= self.scores[q, -1]
         q, score, cand = q[good], score[good], ids[c[good]]
@@ -105,10 +107,10 @@ class BestK:
             order = np.lexsort((v, -s))[: self.k]
             self.scores[i], self.found[i] = s[order], v[order]
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, cell: int) -> pa.RecordBatch:
         real = np.isfinite(self.scores)
-        q = np.broadcast_to(self.ids[:, None], real.shape)[real]
-        return pa.record_batch([pa.array(q), pa.array(self.found[real]), pa.array(self.scores[real].astype(np.int64))], names=["query_id", "vec_id", "score"])
+        ids, exact = (np.broadcast_to(x[:, None], real.shape)[real] for x in (self.ids, self.exact))
+        return pa.record_batch([pa.array(ids), pa.array(self.found[real]), pa.array(self.scores[real].astype(np.int64)), pa.array(exact), pa.array(np.full(len(ids), cell, np.int32))], names=["query_id", "vec_id", "score", "exact", "cell"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -135,24 +137,25 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def _search(k: int):
+    """Blocks ordered by cell, queries before candidates -> the k best of each query in each cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, BestK] = {}
-        last, stats, ids, x = None, [], None, None
+        best: list[BestK] = []
+        cell = None
         for batch in batches:
             for row in batch.to_pylist():
-                dim, qb = row["dim"], row["qb"]
-                if qb not in best:
-                    q = np.frombuffer(row["q_ids"], np.int64)
-                    best[qb] = BestK(q, np.frombuffer(row["q_data"], np.int64).reshape(len(q), dim), k)
-                    if len(best) > 64:  # bounded: the oldest block's best go out, and may come again
-                        yield best.pop(next(iter(best))).rows()
-                if row["cb"] != last:
-                    last, ids = row["cb"], np.frombuffer(row["c_ids"], np.int64)
-                    x = np.frombuffer(row["c_data"], np.int64).reshape(len(ids), dim).astype(np.float64)
-                    stats = [_segments(x, g) for g in levels(dim)]
-                best[qb].meet(ids, x, stats)
-        for b in best.values():
-            yield b.rows()
+                if (here := (row["dim"], row["g"], row["h"])) != cell:
+                    yield from (b.rows(cell[2]) for b in best)
+                    best, cell = [], here
+                ids = np.frombuffer(row["ids"], np.int64)
+                x = np.frombuffer(row["data"], np.int64).reshape(len(ids), row["dim"]).astype(np.float64)
+                if not row["kind"]:
+                    best.append(BestK(ids, x, k))
+                elif best:
+                    stats = [_segments(x, g) for g in levels(row["dim"])]
+                    for b in best:
+                        b.meet(ids, x, stats)
+        yield from (b.rows(cell[2]) for b in best)
 
     return run
 
@@ -164,30 +167,37 @@ def quantized(vector: Column, scale: float = 256.0) -> Column:
     return F.when(good, F.transform(double, lambda x: F.floor(x * scale).cast("long")))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k rows of highest integer inner product for each query row."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", counts: bool = False) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k rows of highest integer inner product for each query row.
+
+    With ``counts`` also exact: how many of the query's candidates the bounds left for exact scores.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), quantized(F.col(vector_column)).alias("v"), is_query.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).withColumn("dim", F.size("v").cast("int"))
-    kind = "dim int, ids binary, data binary"
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v").cast("int"))
-    asked = asked.select("id", "v", "dim")
-    queries = written(asked.mapInArrow(lambda b: _pack(b, QUERY_BLOCK), kind).withColumn("qb", F.monotonically_increasing_id()), "topk-queries")
-    candidates = written(rows.select("id", "v", "dim").mapInArrow(lambda b: _pack(b, CANDIDATE_BLOCK), kind).withColumn("cb", F.monotonically_increasing_id()), "topk-candidates")
-    size = queries.agg(F.sum(F.octet_length("data") + F.octet_length("ids"))).first()[0] or 0
-    left = queries.select("dim", "qb", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    if size <= BROADCAST_BYTES:
-        pairs = candidates.repartition(n_partitions(spark)).join(F.broadcast(left), "dim")
-    else:  # candidates go to the partitions of every query block of their length
-        to = left.select("dim", "qb")
-        pairs = candidates.join(to, "dim").join(left.drop("dim"), "qb")
-    pairs = pairs.select("dim", "qb", "q_ids", "q_data", "cb", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    found = pairs.mapInArrow(_search(k), FOUND)
-    # each task gives k rows at most for a query it met; the k best of those are kept while aggregating
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "hit")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score")
-    )
+
+    def blocks(of: DataFrame, size: int, label: str) -> tuple[DataFrame, int]:
+        packed = of.select("id", "v", "dim").mapInArrow(lambda b: _pack(b, size), "dim int, ids binary, data binary")
+        packed = written(packed.withColumn("block", F.monotonically_increasing_id()), label)
+        return packed, packed.count()
+
+    queries, n_queries = blocks(asked, QUERY_BLOCK, "topk-queries")
+    candidates, n_candidates = blocks(rows, CANDIDATE_BLOCK, "topk-candidates")
+    across = max(1, -(-n_queries // QUERY_GROUP))
+    down = max(1, min(n_candidates, max(n_candidates // CANDIDATE_GROUP, 4 * n_partitions(spark))))
+    row, column = F.pmod(F.xxhash64("block"), F.lit(across)).cast("int"), F.pmod(F.xxhash64("block"), F.lit(down)).cast("int")
+    asks = queries.select("dim", row.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("h"), F.lit(False).alias("kind"), "block", "ids", "data")
+    offers = candidates.select("dim", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("g"), column.alias("h"), F.lit(True).alias("kind"), "block", "ids", "data")
+    cells = asks.unionByName(offers).repartition(n_partitions(spark), "dim", "g", "h").sortWithinPartitions("dim", "g", "h", "kind", "block")
+    found = written(cells.drop("block").mapInArrow(_search(k), FOUND), "topk-found")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    if not counts:
+        return best
+    # a query's count stands on each row that a cell keeps of it; cells differ in what they keep
+    seen = found.groupBy("query_id", "cell").agg(F.max("exact").alias("exact")).groupBy("query_id").agg(F.sum("exact").alias("exact"))
+    return best.join(seen, "query_id")
 
 
 def top_k_brute(ids: np.ndarray, x: np.ndarray, asks: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:

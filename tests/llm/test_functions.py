@@ -126,7 +126,7 @@ def test_bpe_texts_with_nuls_next_to_marks(order):
         assert found == [plain.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_media_round_trips():
+def test_media_round_trips(monkeypatch):
     rng = np.random.default_rng(0)
     for height, width in ((1, 1), (3, 5), (8, 9), (17, 4)):
         image = rng.integers(0, 256, (height, width, 3), dtype=np.uint8)
@@ -134,10 +134,15 @@ def test_media_round_trips():
         assert (media.read_bmp(media.write_bmp(image)) == image).all()
         assert (media.read_image(media.write_netpbm(image[:, :, :1])) == image[:, :, :1]).all()
         fine = image.astype(float).repeat(6, axis=0).repeat(6, axis=1)  # brute force: means of whole cells
-        small = media.area_resize(image, 2, 3)
         expected = fine.reshape(2, 3 * height, 3, 2 * width, 3).mean(axis=(1, 3))
-        assert np.allclose(small, expected)
+        for band in (1 << 18, 3 * width, 7 * width):  # whole, and bands of one and two rows
+            monkeypatch.setattr(media, "BAND", band)
+            assert np.allclose(media.area_resize(image, 2, 3), expected)
     assert (media.read_netpbm(b"P2\n# note\n2 1\n255\n7 9\n")[:, :, 0] == [[7, 9]]).all()
+    assert (media.read_netpbm(b"P2 3 1 15 0 7 15")[:, :, 0] == [[0, 119, 255]]).all() and (media.read_netpbm(b"P5 2 1 1\n\0\1")[:, :, 0] == [[0, 255]]).all()
+    for bad in (b"P2 1 1 15 16", b"P5 1 1 3\n\4", b"P2 2 1 255 7"):
+        with pytest.raises(ValueError):
+            media.read_netpbm(bad)
     payload, n = media.text_payload("")
     assert (payload, n) == (b" " * 192, 0) and len(media.text_payload("a" * 192)[0]) == 192 and len(media.text_payload("a" * 193)[0]) == 384
     with pytest.raises(ValueError):

@@ -2,14 +2,16 @@
 
 import hashlib
 import json
+import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netdrift.llm import bpe, langid, license_scan, line_dedup, media, near_dedup, packing, queries, sharding, topk, toxicity
+from netdrift.llm import bpe, common, langid, license_scan, line_dedup, media, near_dedup, packing, queries, sharding, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 LINE = "this line stands in many documents"
@@ -19,13 +21,16 @@ ROWS = [
     (1, f"{LINE}\nfirst text here"), (2, f"  {LINE.upper()}\t\nsecond"), (3, f"{LINE}\n{LINE}"), (4, None), (5, ""), (6, "\n\n"),
     (7, BODY), (8, NEAR), (9, BODY), (9, BODY), (None, "a row without an id"), (10, "x" * 200_000), (11, "y " * 60_000), (12, "12 34 !!"), (13, "Released under the MIT License."),
 ]
-CLASHING = ["_kept", "_lang", "_toxic", "_lost", "score", "size", "key", "row", "doc", "position", "bucket", "n", "node", "lang_pred", "_text", "_block", "shard", "length", "ids"]
+#: Every name that the code gives a column, and with underscores before it, so that no private name is missed.
+CODE = "".join(Path(m.__file__).read_text() for m in (bpe, common, langid, license_scan, line_dedup, media, near_dedup, packing, sharding, topk, toxicity))
+OWN = {"doc_id", "text", "lang", "source", "n_chars"}
+CLASHING = sorted({x.lower() for w in re.findall(r"[\"']([A-Za-z_]\w{0,20})[\"']", CODE) for x in (w, "_" + w.lstrip("_"), "__" + w.lstrip("_")) if x.lower() not in OWN and w.lower() not in OWN})
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en" if i is None or i % 2 else None, "s", 0, *["clash"] * len(CLASHING)) for i, t in ROWS]
-    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    rows = [(i, t, "en" if i is None or i % 2 else None, "s", 0, {"a": i}, *["clash"] * len(CLASHING)) for i, t in ROWS]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, meta map<string,long>, " + ", ".join(f"`{c}` string" for c in CLASHING)
     return spark.createDataFrame(rows, kinds).repartition(3)
 
 
@@ -59,8 +64,10 @@ def line_truth(rows, min_chars=20, min_docs=3):
 def test_line_dedup(spark, docs):
     found = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in table(line_dedup.line_digests(docs))), key=str)
     assert found == line_truth(ROWS)
-    bitmaps = {r["doc_id"]: r for r in table(line_dedup.with_bitmaps(docs).select("doc_id", "__bitmap", "__n_lines", "score"))}
-    assert line_dedup.unpack(bitmaps[1]["__bitmap"], 2).tolist() == [False, True] and bitmaps[3]["__bitmap"] is None and bitmaps[1]["score"] == "clash"
+    bitmaps = {r["doc_id"]: r for r in table(line_dedup.with_bitmaps(docs, names=("my lines", "my lost", "my bitmap", "my text")).select("doc_id", "my bitmap", "score"))}
+    assert line_dedup.unpack(bitmaps[1]["my bitmap"], 2).tolist() == [False, True] and bitmaps[3]["my bitmap"] is None and bitmaps[1]["score"] == "clash"
+    with pytest.raises(ValueError, match="has a column"):
+        line_dedup.with_bitmaps(docs)
     assert line_dedup.line_digests(docs.limit(0)).count() == 0
 
 
@@ -154,11 +161,13 @@ def test_top_k(spark):
     kept = [(i, v) for i, v in rows if i is not None and v is not None and len(v) == 5 and all(x is not None and np.isfinite(x) for x in v)]
     ids, x = np.array([i for i, _ in kept]), np.floor(256 * np.array([v for _, v in kept])).astype(np.int64)
     expected = topk.top_k_brute(ids, x, ids % 50 == 0, 5) + [(300, 1, 203, 128 * 256 + 64 * 512)]
-    for limit in (64 << 20, 0):  # broadcast, and shuffled
-        kept_limit, topk.BROADCAST_BYTES = topk.BROADCAST_BYTES, limit
-        found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in table(topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)))
-        topk.BROADCAST_BYTES = kept_limit
-        assert found == expected
+    for group in (16, 1):
+        kept = topk.QUERY_BLOCK, topk.CANDIDATE_BLOCK, topk.QUERY_GROUP
+        topk.QUERY_BLOCK, topk.CANDIDATE_BLOCK, topk.QUERY_GROUP = (1, 7, 1) if group == 1 else kept
+        found = table(topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5, counts=True))
+        topk.QUERY_BLOCK, topk.CANDIDATE_BLOCK, topk.QUERY_GROUP = kept
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == expected
+        assert all(5 <= r["exact"] <= 119 for r in found if r["query_id"] < 200)
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
