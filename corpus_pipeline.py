@@ -7,7 +7,6 @@ the last return the columns of documents; the last returns the packed pieces.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netdrift.llm import langid, line_dedup, near_dedup, packing, toxicity
 from netdrift.llm.common import table, written
@@ -25,11 +24,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that at least 3 of them share; n_chars follows the text."""
-    kept = line_dedup.apply_bitmaps(line_dedup.with_bitmaps(docs))
-    kept = kept.withColumn("text", F.col("__text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return line_dedup.without_repeats(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
