@@ -54,55 +54,69 @@ def approximate_erfinv(y: np.ndarray) -> np.ndarray:
         return x - (erf(x) - y) * math.sqrt(math.pi) / 2 * np.exp(x * x)
 
 
-def upper_gamma(a: float, x: float) -> float:
-    """Regularized upper incomplete gamma function Q(a, x): series below a + 1, continued fraction above."""
-    if not (a > 0 and x >= 0):
-        return math.nan
-    if x == 0:
-        return 1.0
-    if math.isinf(x):
-        return 0.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > abs(total) * 1e-16:
-            k += 1
-            term *= x / k
-            total += term
-        return min(1.0, max(0.0, 1 - total * front))
-    b, tiny = x + 1 - a, 1e-300
-    c, d = 1 / tiny, 1 / b
-    h = d
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lower_series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(a, x) without its front factor, for x < a + 1."""
+    term = 1 / a
+    total, k = term.copy(), a.copy()
+    for _ in range(100_000):
+        k += 1
+        term = term * x / k
+        total += term
+        if (np.abs(term) <= np.abs(total) * 1e-16).all():
+            break
+    return total
+
+
+def _upper_fraction(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Q(a, x) without its front factor, for x >= a + 1 (Lentz's continued fraction)."""
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = np.full_like(x, 1 / tiny), 1 / b
+    h = d.copy()
     for i in range(1, 100_000):
         n = -i * (i - a)
-        b += 2
+        b = b + 2
         d = n * d + b
-        d = 1 / (d if abs(d) > tiny else tiny)
+        d = 1 / np.where(np.abs(d) > tiny, d, tiny)
         c = b + n / c
-        c = c if abs(c) > tiny else tiny
+        c = np.where(np.abs(c) > tiny, c, tiny)
         h *= d * c
-        if abs(d * c - 1) < 1e-15:
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
-    return min(1.0, max(0.0, front * h))
+    return h
 
 
-def chi2_tail(stat: float, df: float) -> float:
-    """P(chi-square with df degrees > stat)."""
-    if stat is None or df is None or math.isnan(stat):
-        return math.nan
-    return 1.0 if stat <= 0 else upper_gamma(df / 2, stat / 2)
+def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularized upper incomplete gamma function Q(a, x); NaN outside a > 0, x >= 0."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    out = np.full(a.shape, math.nan)
+    fine = (a > 0) & (x >= 0)
+    out[fine & (x == 0)] = 1.0
+    out[fine & np.isinf(x)] = 0.0
+    for part, below in ((fine & (x > 0) & (x < a + 1), True), (fine & (x >= a + 1) & np.isfinite(x), False)):
+        p, q = a[part], x[part]
+        if p.size:
+            front = np.exp(p * np.log(q) - q - _lgamma(p))
+            out[part] = np.clip(1 - _lower_series(p, q) * front if below else front * _upper_fraction(p, q), 0.0, 1.0)
+    return out
 
 
-def chi2_tail_wilson_hilferty(stat: float, df: float) -> float:
-    """The cube-root normal approximation of chi2_tail; 1 where df <= 0 or stat < 0."""
-    if df <= 0 or stat < 0:
-        return 1.0
-    if math.isnan(stat):
-        return math.nan
-    spread = 2.0 / (9.0 * df)
-    z = ((stat / df) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)
-    return 1.0 - 0.5 * (1.0 + math.erf(z / math.sqrt(2.0)))
+def chi2_tail(stat: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(chi-square with df degrees > stat), elementwise; 1 where stat <= 0, NaN where it is NaN."""
+    stat, df = np.broadcast_arrays(np.asarray(stat, float), np.asarray(df, float))
+    return np.where(stat <= 0, 1.0, upper_gamma(df / 2, np.where(stat > 0, stat, math.nan) / 2))[()]
+
+
+def chi2_tail_wilson_hilferty(stat: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The cube-root normal approximation of chi2_tail, elementwise; 1 where df <= 0 or stat < 0."""
+    stat, df = np.broadcast_arrays(np.asarray(stat, float), np.asarray(df, float))
+    with np.errstate(all="ignore"):
+        spread = 2.0 / (9.0 * df)
+        z = (np.cbrt(stat / df) - (1 - spread)) / np.sqrt(spread)
+        return np.where((df <= 0) | (stat < 0), 1.0, 1.0 - normal_cdf(z))[()]
 
 
 def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:

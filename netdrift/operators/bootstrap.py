@@ -12,12 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netdrift.functions import kernels
 
 from . import model
+from . import panel as panels
 
 DRAWS = "panel_id string, rep int, t bigint, tci double, net array<double>, pdc array<double>, tci_sub double, net_sub array<double>"
 
@@ -79,15 +80,38 @@ def _replicated(panel: DataFrame, tell, kind: str, replicas: int, block: int, p:
 def bands(drawn: DataFrame, alpha: float = 0.05) -> DataFrame:
     """panel_id, t, metric, key, lo, hi: percentiles, interpolated between order statistics.
 
-    Scalars have key 0; net and pdc count their entries from 0. The band of the reversed pair is (-hi, -lo).
+    Scalars have key 0; net and pdc count their entries from 0. The band of the reversed pair is (-hi, -lo). All
+    metrics of a draw leave its row together, so draws are made once.
     """
-    parts = [drawn.select("panel_id", "t", F.lit(m).alias("metric"), F.lit(0).alias("key"), F.col(m).alias("value")) for m in ("tci", "tci_sub")]
-    parts += [drawn.select("panel_id", "t", F.lit(m).alias("metric"), F.posexplode(m).alias("key", "value")) for m in ("net", "net_sub", "pdc")]
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionByName(part)
-    found = long.groupBy("panel_id", "t", "metric", "key").agg(F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
-    return found.select("panel_id", "t", "metric", "key", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    def told(metric: str, values: Column) -> Column:
+        return F.transform(values, lambda x, i: F.struct(F.lit(metric).alias("metric"), i.alias("key"), x.alias("value")))
+
+    scalars = [told(m, F.array(m)) for m in ("tci", "tci_sub")]
+    long = drawn.select("panel_id", "t", F.explode(F.concat(*scalars, *[told(m, F.col(m)) for m in ("net", "net_sub", "pdc")])).alias("x"))
+    return percentile_bands(long.select("panel_id", "t", "x.*"), ["panel_id", "t", "metric", "key"], alpha)
+
+
+def percentile_bands(rows: DataFrame, by: Sequence[str], alpha: float = 0.05, value: str = "value") -> DataFrame:
+    """lo and hi of ``value`` in each group: exact percentiles, interpolated between order statistics."""
+    found = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    return found.select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+
+def named_bands(found: DataFrame, panel: DataFrame, p: int = 1) -> DataFrame:
+    """``bands`` with dates and names: panel_id, ts, metric, node, node2, lo, hi.
+
+    t counts the design's rows, which begin ``p`` dates after the panel's. node and node2 are null for scalars, and
+    node2 for net; a pair stands once, with the node that comes first in the panel as node.
+    """
+    dates = panels.pack(panel).select("panel_id", (F.col("t") - p).alias("t"), "ts").where("t > 0")
+    names = model.nodes(panel)
+    n = F.size("names")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    rows = found.join(names.withColumn("_pairs", pairs), "panel_id").join(dates, ["panel_id", "t"])
+    single, pair = F.col("metric").isin("net", "net_sub"), F.col("metric") == "pdc"
+    at = F.col("_pairs")[F.col("key")]
+    node = F.when(single, F.col("names")[F.col("key")]).when(pair, F.col("names")[at["i"]])
+    return rows.select("panel_id", "ts", "metric", node.alias("node"), F.when(pair, F.col("names")[at["j"]]).alias("node2"), "lo", "hi")
 
 
 def resampled_rows(packed: DataFrame, replicas: int, block: int, seed: int = 7) -> DataFrame:

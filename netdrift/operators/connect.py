@@ -40,12 +40,13 @@ def from_others(theta: DataFrame, scaled: bool = True) -> DataFrame:
 
 
 def net(theta: DataFrame, scaled: bool = True) -> DataFrame:
-    """node, to_idx, from_idx, net_idx = to - from. One shuffle: each entry gives a sent and a received share."""
+    """node, to_idx, from_idx, net_idx = to - from. One shuffle: each entry gives a sent and a received share, 0 on the diagonal."""
     by = keys(theta)
-    off = theta.where("to_node <> from_node").select(*by, F.explode(F.array(
-        F.struct(F.col("from_node").alias("node"), F.col("theta").alias("s"), F.lit(0.0).alias("r")),
-        F.struct(F.col("to_node").alias("node"), F.lit(0.0).alias("s"), F.col("theta").alias("r")))).alias("e"))
-    found = off.groupBy(*by, F.col("e.node").alias("node")).agg(F.sum("e.s").alias("s"), F.sum("e.r").alias("r"), (F.count("*") / 2 + 1).alias("n"))
+    value = F.when(F.col("to_node") != F.col("from_node"), F.col("theta")).otherwise(0.0)
+    both = theta.select(*by, F.explode(F.array(
+        F.struct(F.col("from_node").alias("node"), value.alias("s"), F.lit(0.0).alias("r")),
+        F.struct(F.col("to_node").alias("node"), F.lit(0.0).alias("s"), value.alias("r")))).alias("e"))
+    found = both.groupBy(*by, F.col("e.node").alias("node")).agg(F.sum("e.s").alias("s"), F.sum("e.r").alias("r"), (F.count("*") / 2).alias("n"))
     scale = 100 / F.col("n") if scaled else F.lit(1.0)
     return found.select(*by, "node", (F.col("s") * scale).alias("to_idx"), (F.col("r") * scale).alias("from_idx"), ((F.col("s") - F.col("r")) * scale).alias("net_idx"))
 

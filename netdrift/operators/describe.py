@@ -78,23 +78,26 @@ def rolling_volatility(panel: DataFrame, window: int = 60) -> DataFrame:
 
 
 def rolling_correlation(panel: DataFrame, window: int = 252) -> DataFrame:
-    """Correlation of each pair over its last ``window`` common rows, beside that of all its rows."""
+    """Correlation of each pair over its last ``window`` common rows, beside that of all its rows; ``above`` compares them to nine places."""
     by = Window.partitionBy("panel_id", "a", "b")
     frame = by.orderBy("ts").rowsBetween(-(window - 1), 0)
     rows = pairs(panel).withColumns({"rolling": corr("x", "y", frame), "_n": F.count("*").over(frame), "static": corr("x", "y", by)})
     kept = rows.where(F.col("_n") == window)
-    return kept.select("panel_id", "a", "b", "ts", "rolling", "static", (F.col("rolling") >= F.col("static")).alias("above"))
+    return kept.select("panel_id", "a", "b", "ts", "rolling", "static", (F.round("rolling", 9) >= F.round("static", 9)).alias("above"))
 
 
 def histogram(panel: DataFrame, bins: int = 60, standardize: bool = False) -> DataFrame:
-    """Density in equal bins from the least to the largest value, beside the normal density at the middles."""
+    """Density in equal bins from the least to the largest value, beside the normal density at the middles.
+
+    Places are rounded to nine digits, so that a value on an edge does not move by rounding errors.
+    """
     by = Window.partitionBy(*ALONG)
     rows = panel.withColumns({"mu": F.avg("value").over(by), "sd": F.stddev_samp("value").over(by)})
     if standardize:
         rows = rows.withColumn("value", (F.col("value") - F.col("mu")) / F.greatest("sd", F.lit(TINY))).withColumns({"mu": F.lit(0.0), "sd": F.lit(1.0)})
     rows = rows.withColumns({"low": F.min("value").over(by), "high": F.max("value").over(by), "n": F.count("value").over(by)})
     width = (F.col("high") - F.col("low")) / bins
-    place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    place = F.when(width > 0, F.least(F.floor(F.round((F.col("value") - F.col("low")) / width, 9)), F.lit(bins - 1))).otherwise(0).cast("int")
     found = rows.groupBy(*ALONG, place.alias("bin")).agg(F.count("*").alias("count"), *[F.first(c).alias(c) for c in ("mu", "sd", "low", "high", "n")])
     middle = F.col("low") + (F.col("bin") + 0.5) * width
     z = (middle - F.col("mu")) / F.col("sd")
@@ -143,11 +146,16 @@ def qq_points(panel: DataFrame) -> DataFrame:
     return rows.select(*ALONG, "i", approximate((F.col("i") - 0.5) / F.col("n")).alias("theory"), ((F.col("value") - F.col("mu")) / F.col("sd")).alias("z"))
 
 
-def pp_points(panel: DataFrame) -> DataFrame:
-    """Empirical share i / T against the normal distribution at the ordered z-scores, clipped off 0 and 1."""
+def ranked_normal(panel: DataFrame) -> DataFrame:
+    """The panel ranked inside each series (i of n), with f, the normal distribution at the z-score, clipped off 0 and 1."""
     rows = _ranked(panel)
     p = normal_cdf((F.col("value") - F.col("mu")) / F.col("sd"))
-    return rows.select(*ALONG, "i", (F.col("i") / F.col("n")).alias("empirical"), F.greatest(F.least(p, F.lit(1 - TINY)), F.lit(TINY)).alias("normal"))
+    return rows.withColumn("f", F.greatest(F.least(p, F.lit(1 - TINY)), F.lit(TINY)))
+
+
+def pp_points(panel: DataFrame) -> DataFrame:
+    """Empirical share i / T against the normal distribution at the ordered z-scores, clipped off 0 and 1."""
+    return ranked_normal(panel).select(*ALONG, "i", (F.col("i") / F.col("n")).alias("empirical"), F.col("f").alias("normal"))
 
 
 def autocorrelation(panel: DataFrame, lags: int = 24, square: bool = False) -> DataFrame:
@@ -180,9 +188,12 @@ def cross_correlation(panel: DataFrame, lags: int = 24) -> DataFrame:
     return found.select("panel_id", "a", "b", (F.col("k") - lags).alias("lag"), (F.coalesce("c", F.lit(0.0)) / F.col("norm")).alias("ccf"), (1.96 / F.sqrt("n")).alias("band"))
 
 
-def moments(panel: DataFrame) -> DataFrame:
-    """n, population skewness and excess kurtosis of each series; 0 where it does not vary."""
+def moment_columns() -> list[Column]:
+    """n, population skewness and excess kurtosis of value, as aggregates; 0 where it does not vary."""
     flat = F.var_pop("value") <= TINY
-    return panel.groupBy(*ALONG).agg(
-        F.count("value").alias("n"), F.when(flat, 0.0).otherwise(F.skewness("value")).alias("skewness"), F.when(flat, 0.0).otherwise(F.kurtosis("value")).alias("excess_kurtosis")
-    )
+    return [F.count("value").alias("n"), F.when(flat, 0.0).otherwise(F.skewness("value")).alias("skewness"), F.when(flat, 0.0).otherwise(F.kurtosis("value")).alias("excess_kurtosis")]
+
+
+def moments(panel: DataFrame) -> DataFrame:
+    """n, population skewness and excess kurtosis of each series."""
+    return panel.groupBy(*ALONG).agg(*moment_columns())

@@ -1,12 +1,13 @@
-"""Residual and normality diagnostics: univariate per series by Spark aggregates, multivariate per panel.
+"""Residual and normality diagnostics: univariate per series, multivariate per panel, all from sums that Spark takes.
 
-Univariate statistics are sums over ordered or lagged rows. Multivariate ones take a panel's rows as one (T, n)
-matrix, the unit of a test; panels are the parallel axis.
+Univariate statistics are sums over ordered or lagged rows. Multivariate ones are functions of cross products of a
+row with rows before it, or of third and fourth moments: each Arrow batch is summed where it lies, a panel's partial
+sums come together in one small group, and a finish on small matrices follows. No task holds a panel's rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,22 +22,24 @@ from .panel import ALONG
 
 def wilson_hilferty(stat: Column, df: Column) -> Column:
     """Tail probability of a chi-square value by the cube-root approximation."""
-    return F.pandas_udf(lambda s, d: pd.Series([special.chi2_tail_wilson_hilferty(a, b) for a, b in zip(s, d, strict=True)]), "double")(stat, df.cast("double"))
+    return F.pandas_udf(lambda s, d: pd.Series(special.chi2_tail_wilson_hilferty(s.to_numpy(), d.to_numpy())), "double")(stat, df.cast("double"))
 
 
 def chi2(stat: Column, df: Column) -> Column:
-    return F.pandas_udf(lambda s, d: pd.Series([special.chi2_tail(a, b) for a, b in zip(s, d, strict=True)]), "double")(stat, df.cast("double"))
+    return F.pandas_udf(lambda s, d: pd.Series(special.chi2_tail(s.to_numpy(), d.to_numpy())), "double")(stat, df.cast("double"))
+
+
+def jarque_bera_value() -> Column:
+    return F.col("n") / 6 * (F.col("skewness") ** 2 + 0.25 * F.col("excess_kurtosis") ** 2)
 
 
 def jarque_bera(panel: DataFrame) -> DataFrame:
-    jb = F.col("n") / 6 * (F.col("skewness") ** 2 + 0.25 * F.col("excess_kurtosis") ** 2)
-    return describe.moments(panel).withColumn("jb", jb).withColumn("p", wilson_hilferty(F.col("jb"), F.lit(2)))
+    return describe.moments(panel).withColumn("jb", jarque_bera_value()).withColumn("p", wilson_hilferty(F.col("jb"), F.lit(2)))
 
 
 def joint_jarque_bera(panel: DataFrame) -> DataFrame:
     """Per panel the sum of its series' statistics; an even chi-square's tail is a finite sum, so all stays in SQL."""
-    jb = F.col("n") / 6 * (F.col("skewness") ** 2 + 0.25 * F.col("excess_kurtosis") ** 2)
-    rows = describe.moments(panel).groupBy("panel_id").agg(F.sum(jb).alias("stat"), (2 * F.count("*")).cast("int").alias("df"))
+    rows = describe.moments(panel).groupBy("panel_id").agg(F.sum(jarque_bera_value()).alias("stat"), (2 * F.count("*")).cast("int").alias("df"))
     half = F.col("stat") / 2
     tail = F.aggregate(F.sequence(F.lit(1), (F.col("df") / 2).cast("int")), F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term")),
                        lambda a, i: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * half / i).alias("term")), lambda a: a["sum"])
@@ -50,69 +53,77 @@ def ljung_box(panel: DataFrame, lags: int = 10) -> DataFrame:
     return rows.groupBy(*ALONG).agg(q.alias("q")).withColumn("p", wilson_hilferty(F.col("q"), F.lit(lags)))
 
 
-def _ordered(panel: DataFrame) -> DataFrame:
-    """i, n and f = the clipped normal distribution at the ordered z-scores, and back = f counted from the other end."""
-    by = Window.partitionBy(*ALONG)
-    rows = describe.pp_points(panel).select(*ALONG, "i", F.count("*").over(by).alias("n"), F.col("normal").alias("f"))
-    mirrored = rows.select(*ALONG, (F.col("n") + 1 - F.col("i")).alias("i"), F.col("f").alias("back"))
-    return rows.join(mirrored, [*ALONG, "i"])
+def ordered_sums(panel: DataFrame) -> DataFrame:
+    """Per series, from one ranked pass: n, moments, and what the tests on ordered values sum up.
 
+    With F the clipped normal distribution at the i-th of n ordered z-scores: ad, the mean of
+    (2i - 1) ln F + (2n + 1 - 2i) ln(1 - F), which is Anderson and Darling's sum with its mirrored half told by the
+    same row; d, the largest gap to the empirical steps; and w2, Cramer and von Mises' statistic.
+    """
+    rows = describe.ranked_normal(panel)
+    i, n, f = F.col("i"), F.col("n"), F.col("f")
+    gap = F.greatest(i / n - f, f - (i - 1) / n)
+    return rows.groupBy(*ALONG).agg(
+        *describe.moment_columns(), F.avg((2 * i - 1) * F.log(f) + (2 * n + 1 - 2 * i) * F.log(1 - f)).alias("ad"),
+        F.max(gap).alias("d"), (1 / (12 * F.first("n")) + F.sum((f - (2 * i - 1) / (2 * n)) ** 2)).alias("w2"),
+    )
 
-def anderson_darling(panel: DataFrame) -> DataFrame:
-    """Adjusted statistic and its piecewise p; under 8 rows (0, 1)."""
-    rows = _ordered(panel)
-    found = rows.groupBy(*ALONG).agg(F.first("n").alias("n"), F.avg((2 * F.col("i") - 1) * (F.log("f") + F.log(1 - F.col("back")))).alias("m"))
-    stat = (-F.col("n") - F.col("m")) * (1 + 4 / F.col("n") - 25 / (F.col("n") * F.col("n")))
-    a = F.col("stat")
+
+def with_anderson_darling(sums: DataFrame) -> DataFrame:
+    """stat, adjusted, and its piecewise p; under 8 rows (0, 1)."""
+    n, short, a = F.col("n"), F.col("n") < 8, F.col("stat")
+    # fixed values: the piecewise p of Stephens
     p = (
         F.when(a < 0.2, 1 - F.exp(-13.436 + 101.14 * a - 223.73 * a * a)).when(a < 0.34, 1 - F.exp(-8.318 + 42.796 * a - 59.938 * a * a))
         .when(a < 0.6, F.exp(0.9177 - 4.279 * a - 1.38 * a * a)).otherwise(F.exp(1.2937 - 5.709 * a + 0.0186 * a * a))
     )
-    short = F.col("n") < 8
-    found = found.withColumn("stat", F.when(short, 0.0).otherwise(stat))
-    return found.select(*ALONG, "stat", F.when(short, 1.0).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))).alias("p"))
+    found = sums.withColumn("stat", F.when(short, 0.0).otherwise((-n - F.col("ad")) * (1 + 4 / n - 25 / (n * n))))
+    return found.withColumn("p", F.when(short, 1.0).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))))
+
+
+def anderson_darling(panel: DataFrame) -> DataFrame:
+    return with_anderson_darling(ordered_sums(panel)).select(*ALONG, "stat", "p")
+
+
+def kolmogorov_smirnov_p(n: Column, d: Column, terms: int = 100) -> Column:
+    root = F.sqrt(n)
+    lam = (root + 0.12 + 0.11 / root) * d
+    series = 2 * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam))
+    return F.when(n < 5, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))
 
 
 def kolmogorov_smirnov(panel: DataFrame, terms: int = 100) -> DataFrame:
-    rows = _ordered(panel)
-    gap = F.greatest(F.col("i") / F.col("n") - F.col("f"), F.col("f") - (F.col("i") - 1) / F.col("n"))
-    found = rows.groupBy(*ALONG).agg(F.first("n").alias("n"), F.max(gap).alias("d"))
-    root = F.sqrt("n")
-    found = found.withColumn("_lam", (root + 0.12 + 0.11 / root) * F.col("d"))
-    series = 2 * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * F.col("_lam") * F.col("_lam")))
-    short = F.col("n") < 5
-    return found.select(*ALONG, F.when(short, 0.0).otherwise(F.col("d")).alias("d"), F.when(short, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0))).alias("p"))
+    n, d = F.col("n"), F.col("d")
+    return ordered_sums(panel).select(*ALONG, F.when(n < 5, 0.0).otherwise(d).alias("d"), kolmogorov_smirnov_p(n, d, terms).alias("p"))
 
 
-def cramer_von_mises(panel: DataFrame, draws: int = 500, seed: int = 1234) -> DataFrame:
-    """The statistic by an aggregate; its null sample is drawn once for each series length, not for each series."""
-    rows = _ordered(panel)
-    u = (2 * F.col("i") - 1) / (2 * F.col("n"))
-    stats = rows.groupBy(*ALONG).agg(F.first("n").alias("n"), (1 / (12 * F.first("n")) + F.sum((F.col("f") - u) ** 2)).alias("w2"))
+def with_cramer_von_mises(sums: DataFrame, draws: int, seed: int = 1234) -> DataFrame:
+    """cvm and cvm_p. The null sample is drawn once for each series length that a batch holds."""
+
+    def tail(n: pd.Series, w2: pd.Series) -> pd.Series:
+        out = np.ones(len(n))
+        for size in n[n >= 5].unique():
+            at = (n == size).to_numpy()
+            null = stats.cramer_von_mises_null(int(size), draws, seed)
+            out[at] = (draws - np.searchsorted(null, w2[at], side="left")) / draws
+        return pd.Series(out)
 
-    def null(batches):
-        for part in batches:
-            yield part.assign(null=[stats.cramer_von_mises_null(int(n), draws, seed) for n in part["n"]])
+    return sums.withColumns({"cvm": F.when(F.col("n") < 5, 0.0).otherwise(F.col("w2")), "cvm_p": F.pandas_udf(tail, "double")("n", "w2")})
 
-    nulls = stats.select("n").where("n >= 5").distinct().mapInPandas(null, "n bigint, null array<double>")
-    joined = stats.join(nulls, "n", "left")
-    above = F.size(F.filter("null", lambda x: x >= F.col("w2"))) / F.lit(draws)
-    short = F.col("n") < 5
-    return joined.select(*ALONG, F.when(short, 0.0).otherwise(F.col("w2")).alias("w2"), F.when(short, 1.0).otherwise(above).alias("p"))
+
+def cramer_von_mises(panel: DataFrame, draws: int = 500, seed: int = 1234) -> DataFrame:
+    return with_cramer_von_mises(ordered_sums(panel), draws, seed).select(*ALONG, F.col("cvm").alias("w2"), F.col("cvm_p").alias("p"))
 
 
 def normality_report(panel: DataFrame, draws: int = 500) -> DataFrame:
-    """The univariate tests side by side, to four places."""
-    parts = [
-        jarque_bera(panel).select(*ALONG, "skewness", "excess_kurtosis", "jb", F.col("p").alias("jb_p")),
-        anderson_darling(panel).select(*ALONG, F.col("stat").alias("ad"), F.col("p").alias("ad_p")),
-        kolmogorov_smirnov(panel).select(*ALONG, F.col("d").alias("ks"), F.col("p").alias("ks_p")),
-        cramer_von_mises(panel, draws).select(*ALONG, F.col("w2").alias("cvm"), F.col("p").alias("cvm_p")),
-    ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.join(part, list(ALONG))
-    return found.select(*ALONG, *[F.round(c, 4).alias(c) for c in found.columns if c not in ALONG])
+    """The univariate tests side by side, to four places, from one ranked pass."""
+    n, d = F.col("n"), F.col("d")
+    found = with_cramer_von_mises(with_anderson_darling(ordered_sums(panel)), draws).withColumn("jb", jarque_bera_value())
+    told = {
+        "skewness": F.col("skewness"), "excess_kurtosis": F.col("excess_kurtosis"), "jb": F.col("jb"), "jb_p": wilson_hilferty(F.col("jb"), F.lit(2)),
+        "ad": F.col("stat"), "ad_p": F.col("p"), "ks": F.when(n < 5, 0.0).otherwise(d), "ks_p": kolmogorov_smirnov_p(n, d), "cvm": F.col("cvm"), "cvm_p": F.col("cvm_p"),
+    }
+    return found.select(*ALONG, *[F.round(x, 4).alias(name) for name, x in told.items()])
 
 
 def arch_lm(panel: DataFrame, lags: int = 5) -> DataFrame:
@@ -151,32 +162,109 @@ def suggest_block_lengths(panel: DataFrame, max_lag: int = 24) -> DataFrame:
     )
 
 
-def per_panel(packed: DataFrame, test: Callable[[np.ndarray], tuple], names: list[str], column: str = "y") -> DataFrame:
-    """One row of doubles per panel: ``test`` of its (T, n) matrix."""
+def lagged(packed: DataFrame, lags: int, column: str = "y", transform: Callable[[Column], Column] | None = None) -> DataFrame:
+    """panel_id, t, z: z is an array of the row (after ``transform``) and of the rows 1 to ``lags`` before, null where there is none."""
+    order = Window.partitionBy("panel_id").orderBy("t")
+    value = F.col(column) if transform is None else transform(F.col(column))
+    rows = packed.select("panel_id", "t", value.alias("v"))
+    return rows.select("panel_id", "t", F.array("v", *[F.lag("v", k).over(order) for k in range(1, lags + 1)]).alias("z"))
+
+
+def summed(rows: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray], finish: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:
+    """One row of doubles per panel: ``finish`` of the total of ``sums``, which is taken of the part of a panel that a batch holds."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [(panel_id, sums(own).ravel()) for panel_id, own in batch.groupby("panel_id", sort=False)]
+            yield pd.DataFrame({"panel_id": [x for x, _ in parts], "s": [x for _, x in parts]})
+
+    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.asarray(x) for x in parts["s"]], axis=0)
+        return pd.DataFrame([[key[0], *map(float, finish(total))]], columns=["panel_id", *names])
+
+    partials = rows.mapInPandas(partial, "panel_id string, s array<double>")
+    return partials.groupBy("panel_id").applyInPandas(whole, ", ".join(["panel_id string", *[f"{n} double" for n in names]]))
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.stack(rows.sort_values("t")[column].to_list())
-        return pd.DataFrame([[key[0], *map(float, test(matrix))]], columns=["panel_id", *names])
 
-    return packed.select("panel_id", "t", column).groupBy("panel_id").applyInPandas(one, ", ".join(["panel_id string", *[f"{n} double" for n in names]]))
+def with_ones(own: pd.DataFrame) -> np.ndarray:
+    """Rows of 1 and values for each lag, as stats.lagged_rows has them; zeros where a lag is missing."""
+    n = len(own["z"].iloc[0][0])
+    return np.stack([np.concatenate([np.zeros(n + 1) if x is None else np.r_[1.0, x] for x in z]) for z in own["z"]])
+
+
+def as_square(flat: np.ndarray) -> np.ndarray:
+    size = int(round(len(flat) ** 0.5))
+    return flat.reshape(size, size)
+
+
+def _from_products(rows: DataFrame, lags: int, finish: Callable[[np.ndarray, int], tuple], names: list[str]) -> DataFrame:
+    def last(total: np.ndarray) -> tuple:
+        g = as_square(total)
+        return finish(g, len(g) // (lags + 1) - 1)
+
+    return summed(rows, lambda own: stats.gram(with_ones(own)), last, names)
+
+
+def _complete(rows: DataFrame, lags: int) -> DataFrame:
+    return rows.where(F.col("z")[lags].isNotNull())
 
 
 def multivariate_arch_lm(packed: DataFrame, lags: int = 2, vech: bool = True, column: str = "y") -> DataFrame:
-    return per_panel(packed, lambda w: stats.multivariate_arch_lm(w, lags, vech), ["stat", "df", "p"], column)
+    """Of the rows' outer products, by their lower triangles or, without ``vech``, whole; under lags + 3 rows (0, 0, 1)."""
+
+    def outer(y: Column) -> Column:
+        inner = lambda a, i: F.transform(F.slice(y, 1, i + 1) if vech else y, lambda b: a * b)
+        return F.flatten(F.transform(y, inner))
+
+    if lags < 1:
+        return packed.select("panel_id").distinct().select("panel_id", *[F.lit(x).alias(n) for n, x in (("stat", 0.0), ("df", 0.0), ("p", 1.0))])
+
+    def finish(g: np.ndarray, n: int) -> tuple:
+        return stats.arch_from(g, n) if g[0, 0] > 2 else (0.0, 0, 1.0)
+
+    rows = _complete(lagged(packed, lags, column, outer), lags)
+    found = _from_products(rows, lags, finish, ["stat", "df", "p"])
+    every = packed.select("panel_id").distinct().join(found, "panel_id", "left")  # panels too short for a complete row
+    return every.select("panel_id", *[F.coalesce(n, F.lit(x)).alias(n) for n, x in (("stat", 0.0), ("df", 0.0), ("p", 1.0))])
 
 
 def portmanteau(packed: DataFrame, lags: int = 10, column: str = "y") -> DataFrame:
-    return per_panel(packed, lambda w: stats.portmanteau(w, lags), ["stat", "df", "p"], column)
+    return _from_products(lagged(packed, lags, column), lags, stats.portmanteau_from, ["stat", "df", "p"])
 
 
 def hosking(packed: DataFrame, lags: int = 10, square: bool = False, column: str = "y") -> DataFrame:
     """With ``square`` of the squared values: a check for changing variance."""
-    return per_panel(packed, lambda w: stats.hosking(w**2 if square else w, lags), ["stat", "p", "df"], column)
+    of = (lambda y: F.transform(y, lambda v: v * v)) if square else None
+    return _from_products(lagged(packed, lags, column, of), lags, stats.hosking_from, ["stat", "p", "df"])
+
+
+def autocorrelation_lr(packed: DataFrame, lags: int = 5, column: str = "y") -> DataFrame:
+    return _from_products(_complete(lagged(packed, lags, column), lags), lags, stats.autocorrelation_lr_from, ["stat", "p"])
 
 
 def mardia(packed: DataFrame, robust: bool = False, column: str = "y") -> DataFrame:
-    return per_panel(packed, lambda w: stats.mardia(w, robust), ["skew_stat", "skew_p", "kurt_z", "kurt_p"], column)
+    """Two passes of sums: means and covariances, one row a panel, and with them the third and fourth moments of whitened rows."""
+    rows = packed.select("panel_id", "t", F.array(column).alias("z"))
 
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [(k, stats.gram(with_ones(own)).ravel()) for k, own in batch.groupby("panel_id", sort=False)]
+            yield pd.DataFrame({"panel_id": [k for k, _ in parts], "s": [g for _, g in parts]})
 
-def autocorrelation_lr(packed: DataFrame, lags: int = 5, column: str = "y") -> DataFrame:
-    return per_panel(packed, lambda w: stats.autocorrelation_lr(w, lags), ["stat", "p"], column)
+    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        g = as_square(np.sum([np.asarray(x) for x in parts["s"]], axis=0))
+        mean = g[0, 1:] / g[0, 0]
+        white = stats.whitener(g[1:, 1:] / g[0, 0] - np.outer(mean, mean), robust)
+        return pd.DataFrame({"panel_id": [key[0]], "size": [g[0, 0]], "mean": [mean], "white": [white.ravel()]})
+
+    first = rows.mapInPandas(partial, "panel_id string, s array<double>").groupBy("panel_id").applyInPandas(whole, "panel_id string, size double, mean array<double>, white array<double>")
+
+    def sums(own: pd.DataFrame) -> np.ndarray:
+        y, mean = np.stack([np.asarray(z[0]) for z in own["z"]]), own["mean"].iloc[0]
+        white = np.asarray(own["white"].iloc[0]).reshape(len(mean), -1)
+        return np.r_[stats.mardia_sums((y - mean) @ white), len(own), 0.0 if len(own) == 0 else len(mean) * len(own)]
+
+    def finish(total: np.ndarray) -> tuple:
+        return stats.mardia_from(total[:-2], total[-2], int(round(total[-1] / total[-2])), robust)
+
+    return summed(rows.join(first, "panel_id"), sums, finish, ["skew_stat", "skew_p", "kurt_z", "kurt_p"])

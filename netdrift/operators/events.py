@@ -16,7 +16,7 @@ def _by() -> Window:
 def zones(index: DataFrame, burn_in: int = 200) -> DataFrame:
     """value with p95 and p99 of the rows after ``burn_in`` and the zone it falls in."""
     bounds = index.where(F.col("t") > burn_in).groupBy("series").agg(F.percentile("value", F.array(F.lit(0.95), F.lit(0.99))).alias("_p"))
-    rows = index.join(F.broadcast(bounds), "series").withColumns({"p95": F.col("_p")[0], "p99": F.col("_p")[1]}).drop("_p")
+    rows = index.join(bounds, "series").withColumns({"p95": F.col("_p")[0], "p99": F.col("_p")[1]}).drop("_p")
     return rows.withColumn("zone", F.when(F.col("value") > F.col("p99"), "above P99").when(F.col("value") >= F.col("p95"), "P95-P99").otherwise("normal"))
 
 
@@ -51,7 +51,7 @@ def episodes(index: DataFrame, quantile: float = 95.0) -> DataFrame:
     """
     limits = index.groupBy("series").agg(F.percentile("value", quantile / 100).alias("_limit"))
     upper = F.col("hi") >= F.col("_limit") if "hi" in index.columns else F.lit(False)
-    rows = index.join(F.broadcast(limits), "series").withColumn("_hot", (F.col("value") >= F.col("_limit")) | F.coalesce(upper, F.lit(False)))
+    rows = index.join(limits, "series").withColumn("_hot", (F.col("value") >= F.col("_limit")) | F.coalesce(upper, F.lit(False)))
     order = _by().orderBy("t")
     edge = F.when(F.lag("_hot").over(order) == F.col("_hot"), 0).otherwise(1)
     runs = rows.withColumn("_edge", edge).withColumn("_run", F.sum("_edge").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_hot")

@@ -18,6 +18,21 @@ def square(column: pd.Series) -> np.ndarray:
     return flat.reshape(len(flat), n, n)
 
 
+def second_moments(rows: DataFrame, by: str, column: str = "u") -> DataFrame:
+    """``by``, m: the mean outer product (row-major) of the vectors of each group, from sums over Arrow batches."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [(key, len(own), np.stack([np.asarray(x, float) for x in own[column]])) for key, own in batch.groupby(by, sort=False)]
+            yield pd.DataFrame({by: [k for k, *_ in parts], "n": [float(n) for _, n, _ in parts], "s": [(x.T @ x).ravel() for *_, x in parts]})
+
+    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({by: [key[0]], "m": [np.sum([np.asarray(x) for x in parts["s"]], axis=0) / parts["n"].sum()]})
+
+    sums = rows.select(by, column).mapInPandas(partial, f"`{by}` string, n double, s array<double>")
+    return sums.groupBy(by).applyInPandas(whole, f"`{by}` string, m array<double>")
+
+
 def positive_definite(matrices: DataFrame, column: str = "m", tol_symmetry: float = 1e-8, tol_eigen: float = 1e-10) -> DataFrame:
     """``matrices`` with ok, least_eigenvalue and reason; all matrices of a partition have one size."""
 

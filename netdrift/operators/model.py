@@ -117,11 +117,10 @@ def all_designs(panel: DataFrame, orders: Sequence[int], add_const: bool = True)
     return out
 
 
-def grid_search(panel: DataFrame, orders: Sequence[int], kappa1: Sequence[float], kappa2: Sequence[float], add_const: bool = True) -> DataFrame:
-    """The likelihoods of all p x kappa1 x kappa2, kappa1 fastest."""
-    spark = panel.sparkSession
-    points = spark.createDataFrame([(p, a, b) for p in orders for b in kappa2 for a in kappa1], "p int, kappa1 double, kappa2 double")
-    return likelihoods(all_designs(panel, orders, add_const), points)
+def grid_search(designs: DataFrame, orders: Sequence[int], kappa1: Sequence[float], kappa2: Sequence[float]) -> DataFrame:
+    """The likelihoods of all p x kappa1 x kappa2, kappa1 fastest, on the designs of ``all_designs``."""
+    points = designs.sparkSession.createDataFrame([(p, a, b) for p in orders for b in kappa2 for a in kappa1], "p int, kappa1 double, kappa2 double")
+    return likelihoods(designs, points)
 
 
 def starts(n: int, low: float, high: float, seed: int, corners: bool = True) -> list[tuple[float, float]]:
@@ -156,10 +155,10 @@ def descend(value, points: np.ndarray, low: float, high: float, steps: int, tol:
     return points, best, np.isfinite(best) & ~open_, rounds
 
 
-def continuous_search(panel: DataFrame, orders: Sequence[int], low: float = 0.94, high: float = 0.99, n_starts: int = 20, seed: int = 123, maxiter: int = 200, tol: float = 1e-4, add_const: bool = True, corners: bool = True) -> DataFrame:
-    """The least AIC over (kappa1, kappa2) in the box, one row per panel and p; a start that fails is left out, and
-    where all fail the centre stands with a null aic. One task holds a panel and an order, its starts batched."""
-    designs = spread(all_designs(panel, orders, add_const), "panel_id", "p")
+def continuous_search(designs: DataFrame, low: float = 0.94, high: float = 0.99, n_starts: int = 20, seed: int = 123, maxiter: int = 200, tol: float = 1e-4, corners: bool = True) -> DataFrame:
+    """The least AIC over (kappa1, kappa2) in the box, one row per panel and p of ``all_designs``; a start that fails is
+    left out, and where all fail the centre stands with a null aic. One task holds a panel and an order, its starts batched."""
+    designs = spread(designs, "panel_id", "p")
     first = np.array(starts(n_starts, low, high, seed, corners))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,14 +183,15 @@ def continuous_search(panel: DataFrame, orders: Sequence[int], low: float = 0.94
 P_VALUES = ["p_hmean", "p_harch", "p_norm", "p_mskew", "p_mkurt", "p_lm"]
 
 
-def diagnose(panel: DataFrame, grid: DataFrame, orders: Sequence[int], top: int = 20, add_const: bool = True) -> DataFrame:
+def diagnose(grid: DataFrame, designs: DataFrame, top: int = 20) -> DataFrame:
     """``grid`` with six p-values of the whitened innovations of each panel's ``top`` candidates by AIC.
 
-    Ties go by p, kappa1, kappa2. A candidate that fails stays untested, as do the others.
+    ``grid`` is from grid_search or continuous_search on the same ``designs``, and both are read twice: store what
+    is dear. Ties go by p, kappa1, kappa2. A candidate that fails stays untested, as do the others.
     """
     rank = Window.partitionBy("panel_id").orderBy(F.col("aic").asc_nulls_last(), "p", "kappa1", "kappa2")
     chosen = grid.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= top).select("panel_id", "p", "kappa1", "kappa2")
-    tasks = spread(chosen.join(all_designs(panel, orders, add_const), ["panel_id", "p"]), "panel_id", "p", "kappa1", "kappa2")
+    tasks = spread(chosen.join(designs, ["panel_id", "p"]), "panel_id", "p", "kappa1", "kappa2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -247,9 +247,43 @@ def theta(fitted: DataFrame, p: int = 1, horizon: int = 20, sigma: str = "sigma_
     return rows.mapInPandas(run, THETA)
 
 
+MEASURED = "panel_id string, ts date, tci double, to_idx array<double>, from_idx array<double>, net_idx array<double>, tci_sub double, net_sub array<double>, theta array<double>"
+
+
+def measures(fitted: DataFrame, names: DataFrame, p: int = 1, horizon: int = 20, sigma: str = "sigma_before", sub_nodes: Sequence[str] = ()) -> DataFrame:
+    """One row per panel and date: theta (row-major) and all its indices as arrays in the order of ``names``, which is
+    kept as a column; tci_sub and net_sub are of the network among ``sub_nodes`` alone (0 outside and without any).
+
+    A name that a panel lacks is an error.
+    """
+    wanted = list(sub_nodes)
+    rows = fitted.select("panel_id", "ts", "beta", F.col(sigma).alias("sigma")).join(names, "panel_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for panel_id, own in part.groupby("panel_id", sort=False):
+                known = list(own["names"].iloc[0])
+                if missing := set(wanted) - set(known):
+                    raise ValueError(f"no such node in {panel_id}: {sorted(missing)}")
+                n = len(known)
+                share, _, numer = kernels.gfevd(matrix(own["beta"]), matrix(own["sigma"]).reshape(-1, n, n), p, horizon)
+                found = kernels.indices(share, np.isin(known, wanted), numer)
+                yield pd.DataFrame({"panel_id": panel_id, "ts": own["ts"].to_numpy(), "tci": found["tci"], "to_idx": list(found["to"]), "from_idx": list(found["from"]), "net_idx": list(found["net"]),
+                                    "tci_sub": found["tci_sub"], "net_sub": list(found["net_sub"]), "theta": list(share.reshape(len(own), -1)), "names": [known] * len(own)})
+
+    return rows.mapInPandas(run, MEASURED + ", names array<string>")
+
+
+def node_indices(measured: DataFrame) -> DataFrame:
+    """panel_id, ts, node, to_idx, from_idx, net_idx, net_sub and the date's tci and tci_sub."""
+    columns = ["to_idx", "from_idx", "net_idx", "net_sub"]
+    rows = measured.select("panel_id", "ts", "tci", "tci_sub", F.explode(F.arrays_zip("names", *columns)).alias("x"))
+    return rows.select("panel_id", "ts", F.col("x.names").alias("node"), *[F.col("x")[c].alias(c) for c in columns], "tci", "tci_sub")
+
+
 def theta_long(thetas: DataFrame, names: DataFrame) -> DataFrame:
     """panel_id, ts, to_node, from_node, theta, theta_g."""
-    rows = thetas.join(F.broadcast(names), "panel_id").select("panel_id", "ts", "names", F.posexplode(F.arrays_zip("theta", "theta_g")).alias("_i", "_x"))
+    rows = thetas.join(names, "panel_id").select("panel_id", "ts", "names", F.posexplode(F.arrays_zip("theta", "theta_g")).alias("_i", "_x"))
     n = F.size("names")
     return rows.select("panel_id", "ts", F.col("names")[F.floor(F.col("_i") / n).cast("int")].alias("to_node"), F.col("names")[F.col("_i") % n].alias("from_node"), F.col("_x.theta").alias("theta"), F.col("_x.theta_g").alias("theta_g"))
 
@@ -270,3 +304,9 @@ def phi(fitted: DataFrame, n: int, p: int = 1, horizon: int = 20) -> DataFrame:
 def connectedness(panel: DataFrame, p: int = 1, kappa1: float = 0.99, kappa2: float = 0.96, horizon: int = 20, add_const: bool = True) -> DataFrame:
     """theta_long from end to end: design, prior, filter, covariance one step back, decomposition."""
     return theta_long(theta(fit(packed_design(panel, p, add_const), kappa1, kappa2), p, horizon), nodes(panel))
+
+
+def connectedness_indices(panel: DataFrame, p: int = 1, kappa1: float = 0.99, kappa2: float = 0.96, horizon: int = 20, add_const: bool = True, sub_nodes: Sequence[str] = ()) -> DataFrame:
+    """node_indices from end to end, with one filter and one decomposition for all of them."""
+    fitted = fit(packed_design(panel, p, add_const), kappa1, kappa2)
+    return node_indices(measures(fitted, nodes(panel), p, horizon, sub_nodes=sub_nodes))

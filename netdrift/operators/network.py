@@ -17,7 +17,8 @@ def as_of(requests: DataFrame, dates: DataFrame, how: str = "pad") -> DataFrame:
 
     how: 'exact', 'pad' (the last before or at), 'backfill' (the first after or at), 'nearest' (the earlier of two
     equally near), 'last' (the last of all). Requests outside clamp to the ends, but for 'exact', which gives null.
-    Dates and requests are ordered together and each looks along that order; they are few, one row per date.
+    Dates and requests are ordered together, in one task, and each looks along that order: one row per distinct date
+    of a calendar and per request, so some ten thousand rows for a century of days.
     """
     marks = dates.select(F.col("ts").alias("at"), F.lit(None).cast("string").alias("request"), F.col("ts").alias("ts")).distinct()
     asks = requests.select(F.col("wanted").alias("at"), "request", F.lit(None).cast("date").alias("ts"))
@@ -49,7 +50,7 @@ def theta_as_of(theta: DataFrame, requests: DataFrame, how: str = "pad") -> Data
 
 def group_of(nodes: DataFrame, groups: DataFrame, column: str = "node") -> DataFrame:
     """``nodes`` with grp; nodes that ``groups`` (node, grp) lacks are 'Otros'."""
-    small = F.broadcast(groups.select(F.col("node").alias("_node"), F.col("grp").alias("_grp")))
+    small = groups.select(F.col("node").alias("_node"), F.col("grp").alias("_grp"))
     return nodes.join(small, F.col(column) == F.col("_node"), "left").withColumn("grp", F.coalesce("_grp", F.lit(OTHER))).drop("_node", "_grp")
 
 
@@ -123,7 +124,7 @@ def relative_weight(edges: DataFrame, over_dates: bool = False) -> DataFrame:
 
 
 def every(dates: DataFrame, step: int = 1, wanted: Sequence[str] | None = None) -> DataFrame:
-    """Every ``step``-th of the ordered dates from the first on, or the listed ones."""
+    """Every ``step``-th of the ordered dates from the first on, or the listed ones. One task numbers the distinct dates."""
     if wanted is not None:
         listed = dates.sparkSession.createDataFrame([(d,) for d in wanted], "d string").select(F.to_date("d").alias("ts"))
         return dates.select("ts").distinct().join(listed, "ts", "left_semi")
@@ -131,19 +132,21 @@ def every(dates: DataFrame, step: int = 1, wanted: Sequence[str] | None = None)
     return numbered.where((F.col("_t") - 1) % max(1, step) == 0).drop("_t")
 
 
-def contributions(theta: DataFrame, target: str | None = None, include_self: bool = True) -> DataFrame:
+def contributions(theta: DataFrame, target: str | None = None, include_self: bool = True, order: Sequence[str] | None = None) -> DataFrame:
     """ts, to_node, from_node, share: what each node contributes to a target (or to every one), to 100 percent.
 
-    ``place`` orders the contributors by their mean share, with the target itself last.
+    ``place`` orders the contributors: those named in ``order`` first and in its order, then the others (by mean share
+    where there is no ``order``, by name where there is), with the target itself last.
     """
     rows = theta if target is None else theta.where(F.col("to_node") == target)
     rows = rows if include_self else rows.where("to_node <> from_node")
     total = F.sum("theta").over(Window.partitionBy("ts", "to_node"))
     rows = rows.select("ts", "to_node", "from_node", (100 * F.col("theta") / F.when(total == 0, 1.0).otherwise(total)).alias("share"))
     own = F.when(F.col("to_node") == F.col("from_node"), 1).otherwise(0)
-    order = rows.groupBy("to_node", "from_node").agg(F.avg("share").alias("mean"))
-    place = F.row_number().over(Window.partitionBy("to_node").orderBy(own, F.desc(F.round("mean", 9)), "from_node"))
-    return rows.join(F.broadcast(order.select("to_node", "from_node", place.alias("place"))), ["to_node", "from_node"])
+    means = rows.groupBy("to_node", "from_node").agg(F.avg("share").alias("mean"))
+    first = F.desc(F.round("mean", 9)) if order is None else F.coalesce(*[F.when(F.col("from_node") == c, i) for i, c in enumerate(order)], F.lit(len(order)))
+    place = F.row_number().over(Window.partitionBy("to_node").orderBy(own, first, "from_node"))
+    return rows.join(means.select("to_node", "from_node", place.alias("place")), ["to_node", "from_node"])
 
 
 def pair_name(a: Column, b: Column, longest: int = 12) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netdrift.operators import bootstrap, connect, describe, diagnostics, events, matrices, model, network, panel, stationarity
-from netdrift.session import table
+from netdrift.session import shared_folder, stored, table
 from netdrift.sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,8 @@ def net_index(theta: DataFrame) -> DataFrame:
 
 
 def tci_index(theta: DataFrame) -> DataFrame:
-    return connect.tci(theta).select(F.lit("tci").alias("series"), "ts", F.row_number().over(Window.partitionBy(F.lit("tci")).orderBy("ts")).cast("long").alias("t"), F.col("tci").alias("value"))
+    """The total index as a series, to nine places, so that ties with its percentiles are ties."""
+    return connect.tci(theta).select(F.lit("tci").alias("series"), "ts", F.row_number().over(Window.partitionBy(F.lit("tci")).orderBy("ts")).cast("long").alias("t"), (F.round("tci", 9) + F.lit(0.0)).alias("value"))
 
 
 # panel preparation
@@ -93,10 +94,7 @@ def p08_common_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p09_store_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panels written by panel_id to the shared folder, read back and summed."""
-    import uuid
-
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/netdrift-draws').rstrip('/')}/draws-{uuid.uuid4().hex}"
-    kept = panels.write_partitioned(panels.nation_panels(spark, sf_dir), folder)
+    kept = panels.write_partitioned(panels.nation_panels(spark, sf_dir), shared_folder(spark, "draws"))
     return rounded(kept.groupBy("panel_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 
 
@@ -119,7 +117,7 @@ on_panels("d03_spearman", describe.rank_correlation)
 on_panels("d04_kendall", describe.kendall_tau)
 on_panels("d05_rolling_volatility", describe.rolling_volatility)
 on_panels("d06_rolling_correlation", lambda p: describe.rolling_correlation(p).drop("above"))
-on_panels("d07_above_static", lambda p: describe.rolling_correlation(p).groupBy("panel_id", "a", "b").agg(F.count("*").alias("windows"), F.count(F.when(F.round("rolling", 9) >= F.round("static", 9), 1)).alias("above")))
+on_panels("d07_above_static", lambda p: describe.rolling_correlation(p).groupBy("panel_id", "a", "b").agg(F.count("*").alias("windows"), F.count(F.when(F.col("above"), 1)).alias("above")))
 on_panels("d08_histogram", describe.histogram)
 on_panels("d08_histogram_standardized", lambda p: describe.histogram(p, 30, True))
 on_panels("d09_box", describe.box)
@@ -161,6 +159,13 @@ def _as_of(how: str) -> Query:
     return run
 
 
+@query
+def n01_theta_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """theta itself at the dates that stand for the requests."""
+    asked = spark.createDataFrame(REQUESTS, "request string, wanted string").withColumn("wanted", F.to_date("wanted"))
+    return rounded(network.theta_as_of(panels.region_flows(spark, sf_dir), asked, "nearest"))
+
+
 QUERIES |= {f"n01_as_of_{how}": _as_of(how) for how in ("last", "exact", "pad", "backfill")} | {"n02_as_of_nearest": _as_of("nearest")}
 
 
@@ -226,6 +231,7 @@ def n15_group_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 on_theta("n16_contributions", lambda theta: network.contributions(theta, "ASIA", include_self=False).drop("place"))
+on_theta("n16_ordered_contributions", lambda theta: network.contributions(theta, "ASIA", order=["EUROPE", "AFRICA"]))
 on_theta("n17_all_contributions", network.contributions)
 
 
@@ -247,6 +253,13 @@ def e04_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.periods_in_sample(tci_index(panels.region_flows(spark, sf_dir)), panels.stress_periods(spark))
 
 
+@query
+def e04_periods_start_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods that begin inside the sample: the index is cut to dates from 1996 on, so that some began before."""
+    index = tci_index(panels.region_flows(spark, sf_dir)).where("ts >= '1996-06-01'")
+    return events.periods_in_sample(index, panels.stress_periods(spark), start_inside=True)
+
+
 on_theta("e05_episodes", lambda theta: events.episodes(tci_index(theta)))
 
 
@@ -276,11 +289,13 @@ on_panels("g01_jarque_bera_stat", lambda p: diagnostics.jarque_bera(p).select("p
 on_panels("g02_anderson_darling", diagnostics.anderson_darling)
 on_panels("g03_kolmogorov_smirnov", diagnostics.kolmogorov_smirnov)
 on_panels("g04_cramer_von_mises", diagnostics.cramer_von_mises)
+on_panels("g04_cramer_von_mises_stat", lambda p: diagnostics.cramer_von_mises(p).select("panel_id", "series", "w2"))
 on_panels("g05_normality_report", diagnostics.normality_report)
 on_panels("g06_ljung_box", diagnostics.ljung_box)
 on_panels("g06_ljung_box_stat", lambda p: diagnostics.ljung_box(p).select("panel_id", "series", "q"))
 on_panels("g07_arch_lm", diagnostics.arch_lm)
 on_panels("g08_multivariate_arch_lm", lambda p: diagnostics.multivariate_arch_lm(panel.pack(p)))
+on_panels("g08_multivariate_arch_lm_vec", lambda p: diagnostics.multivariate_arch_lm(panel.pack(p), vech=False))
 on_panels("g09_portmanteau", lambda p: diagnostics.portmanteau(panel.pack(p)))
 on_panels("g10_hosking", lambda p: diagnostics.hosking(panel.pack(p)))
 on_panels("g11_hosking_squares", lambda p: diagnostics.hosking(panel.pack(p), square=True))
@@ -296,7 +311,7 @@ def _white(p: DataFrame, residual: bool) -> DataFrame:
     fitted = model.fit(model.packed_design(p))
     rows = model.predictions(fitted, panel.lagged_design(panel.pack(p)))
     white = matrices.whiten(rows.select("panel_id", "ts", "t", F.col("residual" if residual else "innovation").alias("u"), F.col("s").alias("sigma")))
-    long = white.select("panel_id", "ts", "t", F.posexplode("w").alias("_i", "value")).join(F.broadcast(model.nodes(p)), "panel_id")
+    long = white.select("panel_id", "ts", "t", F.posexplode("w").alias("_i", "value")).join(model.nodes(p), "panel_id")
     return long.select("panel_id", "ts", "t", F.col("names")[F.col("_i")].alias("series"), (F.col("_i") + 1).alias("pos"), "value")
 
 
@@ -311,42 +326,50 @@ on_panels("g18_validate_blocks", lambda p: diagnostics.suggest_block_lengths(_wh
 
 
 # matrices
-def _label_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per embedding label: the 6 x 6 second moments of the first six dimensions, row-major, as m."""
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """panel_id (the label), vec_id, u: all components of every vector."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
-    moments = [F.avg(F.col("embedding")[i].cast("double") * F.col("embedding")[j].cast("double")) for i in range(6) for j in range(6)]
-    return rows.groupBy(F.col("label").cast("string").alias("id")).agg(F.array(*moments).alias("m"))
+    return rows.select(F.col("label").cast("string").alias("panel_id"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("u"))
 
 
 @query
 def m01_positive_definite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matrices.positive_definite(_label_covariances(spark, sf_dir)).drop("m"))
+    """The second moments of each label's vectors."""
+    return rounded(matrices.positive_definite(matrices.second_moments(_vectors(spark, sf_dir), "panel_id")).drop("m"))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
-    rows = rows.select(F.col("label").cast("string").alias("panel_id"), "vec_id", F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("u"))
-    return rows.join(F.broadcast(_label_covariances(spark, sf_dir).select(F.col("id").alias("panel_id"), F.col("m").alias("sigma"))), "panel_id")
+def _with_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_vectors with sigma, the second moments of all of them."""
+    rows = _vectors(spark, sf_dir).withColumn("whole", F.lit("all"))
+    sigma = matrices.second_moments(rows.select("whole", "u"), "whole").withColumnRenamed("m", "sigma")
+    return rows.join(sigma, "whole").drop("whole")
 
 
 def _spread(rows: DataFrame, column: str) -> DataFrame:
-    """panel_id, vec_id and the six components."""
-    return rounded(rows.select("panel_id", "vec_id", *[F.col(column)[i].alias(f"{column}{i}") for i in range(6)]))
+    """panel_id, vec_id, i and the component."""
+    return rounded(rows.select("panel_id", "vec_id", F.posexplode(column).alias("i", column)))
 
 
 @query
 def m02_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(matrices.whiten(_vectors(spark, sf_dir)), "w")
+    return _spread(matrices.whiten(_with_sigma(spark, sf_dir)), "w")
+
+
+@query
+def m02_whiten_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of the components: an eigenvector's sign is arbitrary."""
+    white = matrices.whiten(_with_sigma(spark, sf_dir), method="pca", center=False)
+    return _spread(white.withColumn("w", F.transform("w", lambda x: x * x)), "w")
 
 
 @query
 def m03_whiten_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(matrices.whiten(_vectors(spark, sf_dir), scaled=True), "w")
+    return _spread(matrices.whiten(_with_sigma(spark, sf_dir), scaled=True), "w")
 
 
 @query
 def m04_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    white = matrices.whiten(_vectors(spark, sf_dir), scaled=True, center=False)
+    white = matrices.whiten(_with_sigma(spark, sf_dir), scaled=True, center=False)
     return _spread(matrices.colour(white), "v")
 
 
@@ -361,28 +384,35 @@ def _design(p: DataFrame, lags: int = 1) -> DataFrame:
 
 on_panels("k01_ols_prior", lambda p: model.ols_prior(_design(p)).select("panel_id", F.posexplode("b").alias("i", "b")))
 on_panels("k02_filter", lambda p: model.fit(_design(p)).select("panel_id", "ts", "t", "loglik", *[F.aggregate(c, F.lit(0.0), lambda a, v: a + v).alias(c) for c in ("beta", "sigma", "s", "innovation")]))
-on_panels("k03_loglik", lambda p: model.grid_search(p, (1,), KAPPAS, KAPPAS).select("panel_id", "kappa1", "kappa2", "loglik"))
-on_panels("k04_aic", lambda p: model.grid_search(p, (1,), (0.99,), (0.96,)).select("panel_id", "aic", "t_eff"))
-on_panels("k05_grid_search", lambda p: model.grid_search(p, ORDERS, KAPPAS, KAPPAS))
-on_panels("k06_continuous_search", lambda p: model.continuous_search(p, (1,)))
-on_panels("k07_diagnose", lambda p: model.diagnose(p, model.grid_search(p, ORDERS, KAPPAS, KAPPAS), ORDERS))
-on_panels("k08_choose", lambda p: model.choose(model.diagnose(p, model.grid_search(p, ORDERS, KAPPAS, KAPPAS), ORDERS)))
+def _designs(p: DataFrame, orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """Packed designs that a search and its diagnosis both read."""
+    return stored(model.all_designs(p, orders), "designs")
+
+
+def _diagnosed(p: DataFrame, continuous: bool = False) -> DataFrame:
+    designs = _designs(p)
+    grid = stored(model.continuous_search(designs) if continuous else model.grid_search(designs, ORDERS, KAPPAS, KAPPAS), "grid")
+    return model.diagnose(grid, designs)
+
+
+on_panels("k03_loglik", lambda p: model.grid_search(model.all_designs(p, (1,)), (1,), KAPPAS, KAPPAS).select("panel_id", "kappa1", "kappa2", "loglik"))
+on_panels("k04_aic", lambda p: model.grid_search(model.all_designs(p, (1,)), (1,), (0.99,), (0.96,)).select("panel_id", "aic", "t_eff"))
+on_panels("k05_grid_search", lambda p: model.grid_search(model.all_designs(p, ORDERS), ORDERS, KAPPAS, KAPPAS))
+on_panels("k06_continuous_search", lambda p: model.continuous_search(model.all_designs(p, ORDERS)))
+on_panels("k07_diagnose", _diagnosed)
+on_panels("k08_choose", lambda p: model.choose(_diagnosed(p)))
+on_panels("k08_choose_continuous", lambda p: model.choose(_diagnosed(p, continuous=True)))
 on_panels("k09_predictions", lambda p: model.predictions(model.fit(_design(p)), panel.lagged_design(panel.pack(p))).select("panel_id", "t", F.posexplode(F.arrays_zip("innovation", "residual")).alias("i", "e")).select("panel_id", "t", "i", "e.innovation", "e.residual"))
 
 # connectedness of fitted panels
-on_panels("c01_moving_average", lambda p: model.phi(model.fit(_design(p)), 5, 1, 10).groupBy("panel_id", "h").agg(F.avg(F.aggregate("phi", F.lit(0.0), lambda a, v: a + F.abs(v))).alias("size")))
+on_panels("c01_moving_average", lambda p: model.phi(model.fit(_design(p)), 5).select("panel_id", "ts", "h", F.aggregate("phi", F.lit(0.0), lambda a, v: a + v).alias("total"), F.aggregate("phi", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("size")))
 on_panels("c02_gfevd", lambda p: model.connectedness(p))
 on_panels("c09_gfevd_same_date", lambda p: model.theta_long(model.theta(model.fit(_design(p)), sigma="sigma"), model.nodes(p)).drop("theta_g"))
 on_panels("c12_sigma_before", lambda p: model.fit(_design(p)).select("panel_id", "t", *[F.col(c)[0].alias(c) for c in ("sigma", "sigma_before")]))
 
 
-def connectedness_indices(p: DataFrame) -> DataFrame:
-    """The end-to-end fit: per panel, date and node what it sends and receives, and the date's total."""
-    theta = model.connectedness(p).drop("theta_g")
-    return connect.net(theta).join(connect.tci(theta), ["panel_id", "ts"])
-
-
-on_panels("c11_connectedness", connectedness_indices)
+on_panels("c08_fitted_sub_network", lambda p: model.connectedness_indices(p, sub_nodes=["1-URGENT", "3-MEDIUM", "5-LOW"]).select("panel_id", "ts", "node", "net_sub", "tci_sub"))
+on_panels("c11_connectedness", lambda p: model.connectedness_indices(p).drop("net_sub", "tci_sub"))
 
 
 # bootstrap
@@ -411,9 +441,21 @@ def b05_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.bands(_draws(spark, sf_dir)))
 
 
+@query
+def b05_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of the fitted network with their bootstrap bands, named and dated, and whether they are significant."""
+    ships = panels.shipping_panel(spark, sf_dir)
+    found = stored(bootstrap.named_bands(bootstrap.bands(_draws(spark, sf_dir)), ships), "bands")
+    measured = stored(model.measures(model.fit(model.packed_design(ships)), model.nodes(ships)), "measures")
+    nodes = network.node_significance(model.node_indices(measured).select("ts", "node", "net_idx"), found.where("metric = 'net'").select("ts", "node", "lo", "hi"))
+    theta = model.theta_long(measured.select("panel_id", "ts", "theta", F.col("theta").alias("theta_g")), model.nodes(ships)).select("ts", "to_node", "from_node", "theta")
+    edges = network.edge_significance(network.net_edges(theta), found.where("metric = 'pdc'").select("ts", "node", "node2", "lo", "hi"))
+    told = nodes.select("ts", F.col("node").alias("source"), F.lit(None).cast("string").alias("target"), F.col("net_idx").alias("value"), "significant")
+    return rounded(told.unionByName(edges.select("ts", "source", "target", F.col("weight").alias("value"), "significant")))
+
+
 @query
 def b04_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile bands of order prices by week, as bands of draws."""
     rows = table(spark, sf_dir, "orders").select(panels.week("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"))
-    found = rows.groupBy("ts").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return rounded(found.select("ts", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")))
+    return rounded(bootstrap.percentile_bands(rows, ["ts"]))

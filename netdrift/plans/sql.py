@@ -80,7 +80,7 @@ INDEX = NET + """, plain AS (
 )"""
 
 TCI = THETA + """, tci AS (
-  SELECT 'tci' AS series, ts, row_number() OVER (ORDER BY ts) AS t, value FROM (
+  SELECT 'tci' AS series, ts, row_number() OVER (ORDER BY ts) AS t, round(value, 9) + 0.0 AS value FROM (
     SELECT ts, sum(CASE WHEN to_node <> from_node THEN theta ELSE 0 END) * 20 AS value FROM theta GROUP BY ts)
 )"""
 
@@ -139,6 +139,125 @@ MOMENTS = PANEL + """, mean AS (
   FROM mean GROUP BY ALL
 )"""
 
+
+
+def erf(x: str) -> str:
+    """erf of x >= 0 by its series of positive terms; 1 to rounding from 6.4 on."""
+    y = f"greatest(least(CAST({x} AS DOUBLE), 6.4), 1e-300)"
+    term = f"exp((2 * i + 1) * ln({y}) + 2 * i * ln(2::DOUBLE) + lgamma(i + 1) - lgamma(2 * i + 2) - {y} * {y})"
+    return f"(2 / sqrt(pi()) * list_sum(list_transform(range(0, 160), lambda i: {term})))"
+
+
+def cdf(z: str) -> str:
+    """Normal distribution function."""
+    return f"(0.5::DOUBLE * (1 + sign({z}) * {erf(f'abs({z}) / sqrt(2::DOUBLE)')}))"
+
+
+def chi2_tail(stat: str, df: str, terms: int = 2000) -> str:
+    """Chi-square tail by the series of the lower gamma function; 0 to rounding where stat is far beyond df."""
+    x, a = f"greatest(least({stat} / 2, 600::DOUBLE), 1e-300)", f"({df} / 2.0::DOUBLE)"
+    series = f"list_sum(list_transform(range(0, {terms}), lambda i: exp(({a} + i) * ln({x}) - {x} - lgamma({a} + i + 1))))"
+    return f"CASE WHEN {stat} <= 0 THEN 1.0::DOUBLE ELSE least(greatest(1 - {series}, 0), 1) END"
+
+
+def wilson_hilferty(stat: str, df: str) -> str:
+    z = f"((pow({stat} / {df}, 1 / 3.0::DOUBLE) - (1 - 2 / (9.0::DOUBLE * {df}))) / sqrt(2 / (9.0::DOUBLE * {df})))"
+    return f"(1 - {cdf(z)})"
+
+
+def swept(name: str, source: str, key: str, size: int, pivots: int) -> str:
+    """CTE ``name`` (key, n, m, logdet): the matrices m of ``source`` (key, n, m) after sweeping their first ``pivots`` rows.
+
+    Of cross products of regressors and then of responses this leaves the inverse, the coefficients (m[regressor][response])
+    and, below, the cross products of residuals.
+    """
+    cell = """CASE WHEN i = s AND j = s THEN 1 / m[s][s] WHEN i = s THEN m[s][j] / m[s][s] WHEN j = s THEN -m[i][s] / m[s][s]
+  ELSE m[i][j] - m[i][s] * m[s][j] / m[s][s] END"""
+    return f"""{name}_steps AS (
+  SELECT {key}, n, m, 1 AS s, 0.0::DOUBLE AS logdet FROM {source}
+  UNION ALL
+  SELECT {key}, n, list_transform(range(1, {size + 1}), lambda i: list_transform(range(1, {size + 1}), lambda j: {cell})), s + 1, logdet + ln(greatest(m[s][s], 1e-300))
+  FROM {name}_steps WHERE s <= {pivots}
+), {name} AS (SELECT {key}, n, m, logdet FROM {name}_steps WHERE s = {pivots + 1})"""
+
+
+def products(name: str, source: str, key: str, size: int) -> str:
+    """CTE ``name`` (key, n, m): the cross products of the lists z of ``source`` (key, z)."""
+    return f"""{name}_cells AS (
+  SELECT {key}, i, j, sum(z[i] * z[j]) AS g, count(*) AS n FROM {source} CROSS JOIN (SELECT unnest(range(1, {size + 1})) AS i) CROSS JOIN (SELECT unnest(range(1, {size + 1})) AS j) GROUP BY ALL
+), {name} AS (SELECT {key}, any_value(n) AS n, list(r ORDER BY i) AS m FROM (SELECT {key}, i, any_value(n) AS n, list(g ORDER BY j) AS r FROM {name}_cells GROUP BY {key}, i) GROUP BY {key})"""
+
+
+def rw(tables: str, select: str) -> str:
+    return f"WITH RECURSIVE {tables.strip()} {select.strip()}"
+
+
+#: Panels packed by date, five series each.
+PACKED = PANEL + """, packed AS (SELECT panel_id, t, list(value ORDER BY pos) AS y FROM panel GROUP BY panel_id, t)"""
+
+
+VECH = "flatten(list_transform(range(1, len(y) + 1), lambda i: list_transform(range(1, i + 1), lambda j: y[i] * y[j])))"
+VEC = "flatten(list_transform(range(1, len(y) + 1), lambda i: list_transform(range(1, len(y) + 1), lambda j: y[i] * y[j])))"
+
+
+def _regressed(outer: str, n: int, lags: int, response: str, responses: int) -> str:
+    """Sweeps of [1, lags of ``outer``, ``response``] of packed rows: CTE fit (panel_id, n, m, logdet), and gram before it."""
+    z = "[1.0::DOUBLE] || " + " || ".join(f"lag(v, {k}) OVER o" for k in range(1, lags + 1)) + " || r"
+    size = 1 + n * lags + responses
+    return PACKED + f""", outers AS (SELECT panel_id, t, {outer} AS v, {response} AS r FROM packed),
+zs AS (SELECT panel_id, t, {z} AS z FROM outers WINDOW o AS (PARTITION BY panel_id ORDER BY t)),
+complete AS (SELECT panel_id, z FROM zs WHERE t > {lags}),
+""" + products("gram", "complete", "panel_id", size) + ", " + swept("fit", "gram", "panel_id", size, size - responses)
+
+
+def _arch(response: str, responses: int, n: int = 15, lags: int = 2) -> str:
+    """Of outer products on lags of their lower triangles: whole products as regressors span the same."""
+    first, last, df = 2 + n * lags, 1 + n * lags + responses, responses * lags
+    cells = f"range({first}, {last + 1})"
+    share = f"""1 - list_sum(list_transform({cells}, lambda i: fit.m[i][i])) / list_sum(list_transform({cells}, lambda i: gram.m[i][i] - gram.m[1][i] * gram.m[1][i] / gram.n))"""
+    return rw(_regressed(VECH, n, lags, response, responses), f""", told AS (SELECT panel_id, gram.n * ({share}) AS stat FROM fit JOIN gram USING (panel_id))
+SELECT panel_id, {r6('stat', 'stat')}, {df}::DOUBLE AS df, {r6(wilson_hilferty('stat', str(df)), 'p')} FROM told""")
+
+
+def _covariances(value: str, lags: int, over: str) -> str:
+    """CTEs c (panel_id, k, i, j, v) of centred values, for lags 0 to ``lags``, and prec (panel_id, i, j, v), the inverse at lag 0."""
+    return PANEL + f""", centred AS (SELECT panel_id, t, pos AS i, {value} - avg({value}) OVER (PARTITION BY panel_id, pos) AS d, max(t) OVER (PARTITION BY panel_id) AS size FROM panel),
+c AS (SELECT a.panel_id, k, a.i, b.i AS j, any_value(a.size) AS size, sum(a.d * b.d) / {over} AS v FROM centred a JOIN (SELECT unnest(range(0, {lags + 1})) AS k) ON true
+  JOIN centred b ON a.panel_id = b.panel_id AND b.t = a.t - k GROUP BY a.panel_id, k, a.i, b.i),
+cov AS (SELECT panel_id, any_value(n) AS n, list(r ORDER BY i) AS m FROM (SELECT panel_id, i, any_value(size) AS n, list(v ORDER BY j) AS r FROM c WHERE k = 0 GROUP BY panel_id, i) GROUP BY panel_id),
+""" + swept("inv", "cov", "panel_id", 5, 5) + """,
+prec AS (SELECT panel_id, i, j, m[i][j] AS v FROM inv CROSS JOIN (SELECT unnest(range(1, 6)) AS i) CROSS JOIN (SELECT unnest(range(1, 6)) AS j))"""
+
+
+def _hosking(value: str) -> str:
+    return rw(_covariances(value, 10, "any_value(a.size)"), f""", l AS (SELECT c.panel_id, k, p.i, c.j, any_value(size) AS size, sum(p.v * c.v) AS v FROM c JOIN prec p ON p.panel_id = c.panel_id AND p.j = c.i GROUP BY ALL),
+lr AS (SELECT l.panel_id, k, l.i, p.j, sum(l.v * p.v) AS v FROM l JOIN prec p ON p.panel_id = l.panel_id AND p.i = l.j GROUP BY ALL),
+told AS (SELECT c.panel_id, sum(c.v * lr.v / (size - k)) * any_value(size) * any_value(size) AS stat FROM c JOIN lr USING (panel_id, k, i, j) WHERE k > 0 GROUP BY c.panel_id)
+SELECT panel_id, {r6('stat', 'stat')}, {r6(chi2_tail('stat', '250'), 'p')}, 250.0::DOUBLE AS df FROM told""")
+
+
+#: Mardia's statistics by all pairs of rows.
+MARDIA = _covariances("value", 0, "any_value(a.size)") + """, u AS (SELECT d.panel_id, d.t, p.i, any_value(d.size) AS size, sum(p.v * d.d) AS u FROM centred d JOIN prec p ON p.panel_id = d.panel_id AND p.j = d.i GROUP BY ALL),
+packed AS (SELECT panel_id, t, any_value(size) AS size, list(d ORDER BY i) AS d FROM centred GROUP BY panel_id, t), packed_u AS (SELECT panel_id, t, list(u ORDER BY i) AS u FROM u GROUP BY panel_id, t),
+mardia AS (SELECT panel_id, any_value(size) AS size, sum(pow(g, 3)) / any_value(size) / 6 AS skew, sum(CASE WHEN same THEN g * g END) / any_value(size) AS kurt FROM (
+  SELECT a.panel_id, a.size, a.t = b.t AS same, list_dot_product(a.d, b.u) AS g FROM packed a JOIN packed_u b ON a.panel_id = b.panel_id) GROUP BY panel_id),
+told AS (SELECT panel_id, skew, (kurt - 35) / sqrt(280.0::DOUBLE / size) AS z FROM mardia)"""
+
+ORDERED = PANEL + f""", stats AS (SELECT panel_id, series, count(*) AS n, avg(value) AS mu, greatest(stddev_samp(value), 1e-12) AS sd FROM panel GROUP BY ALL),
+ordered AS (SELECT panel_id, series, n, row_number() OVER (PARTITION BY panel_id, series ORDER BY value) AS i, value, greatest(least({cdf('((value - mu) / sd)')}, 1 - 1e-12), 1e-12) AS f FROM panel JOIN stats USING (panel_id, series))"""
+
+#: Normal quantiles of the medians of order statistics by bisection, for each series length.
+MEDIANS = PANEL + f""", sizes AS (SELECT DISTINCT n FROM (SELECT count(*) AS n FROM panel GROUP BY panel_id, series)),
+medians AS (SELECT n, i, CASE WHEN i = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM (SELECT n, unnest(range(1, n + 1)) AS i FROM sizes)),
+halves AS (SELECT n, i, p, -8.0::DOUBLE AS low, 8.0::DOUBLE AS high, 0 AS s FROM medians UNION ALL
+  SELECT n, i, p, CASE WHEN below THEN (low + high) / 2 ELSE low END, CASE WHEN below THEN high ELSE (low + high) / 2 END, s + 1 FROM (SELECT *, {cdf('((low + high) / 2)')} < p AS below FROM halves WHERE s < 55)),
+quantiles AS (SELECT n, i, (low + high) / 2 AS q FROM halves WHERE s = 55)"""
+
+_Y = "(2 * (i - 0.5::DOUBLE) / n - 1)"
+_LOG = f"ln(1 - {_Y} * {_Y})"
+_HALF = f"(2 / (pi() * 0.147::DOUBLE) + {_LOG} / 2)"
+_START = f"(CASE WHEN {_Y} < 0 THEN -1 ELSE 1 END * sqrt(greatest(sqrt({_HALF} * {_HALF} - {_LOG} / 0.147::DOUBLE) - {_HALF}, 0)))"
+
 ORACLE: dict[str, str] = {
     "p01_choose_series": w(PANEL, f"SELECT panel_id, ts, series, {r6('value', 'value')} FROM panel WHERE series IN ('1-URGENT', '5-LOW')"),
     "p02_reshape": w(PANEL, f"SELECT panel_id, ts, series, {r6('value', 'value')} FROM panel"),
@@ -162,6 +281,72 @@ FROM d WHERE t > 2"""),
 , ranked AS (SELECT panel_id, a, b, rank() OVER (PARTITION BY panel_id, a, b ORDER BY x) + (count(*) OVER (PARTITION BY panel_id, a, b, x) - 1) / 2.0::DOUBLE AS x,
   rank() OVER (PARTITION BY panel_id, a, b ORDER BY y) + (count(*) OVER (PARTITION BY panel_id, a, b, y) - 1) / 2.0::DOUBLE AS y FROM pairs)
 SELECT panel_id, a, b, {r6('corr(x, y)', 'corr')}, count(*) AS n FROM ranked GROUP BY ALL"""),
+    "d04_kendall": w(PAIRS, f"""
+, n AS (SELECT *, row_number() OVER (PARTITION BY panel_id, a, b ORDER BY ts) AS i FROM pairs),
+s AS (SELECT l.panel_id, l.a, l.b, sum(sign(l.x - r.x) * sign(l.y - r.y)) AS c, sqrt(sum(abs(sign(l.x - r.x)))::DOUBLE) * sqrt(sum(abs(sign(l.y - r.y)))::DOUBLE) AS scale
+  FROM n l JOIN n r ON l.panel_id = r.panel_id AND l.a = r.a AND l.b = r.b AND l.i < r.i GROUP BY ALL)
+SELECT panel_id, a, b, {r6("CASE WHEN scale = 0 THEN 'NaN'::DOUBLE ELSE c / scale END", 'tau')} FROM s"""),
+    "d08_histogram_standardized": w(PANEL, f"""
+, z AS (SELECT panel_id, series, (value - avg(value) OVER s) / greatest(stddev_samp(value) OVER s, 1e-12) AS value FROM panel WINDOW s AS (PARTITION BY panel_id, series)),
+s AS (SELECT panel_id, series, min(value) AS low, max(value) AS high, count(*) AS n FROM z GROUP BY ALL),
+b AS (SELECT panel_id, series, CAST(least(floor(round((value - low) / ((high - low) / 30), 9)), 29) AS INTEGER) AS bin, count(*) AS "count", any_value(low) AS low, any_value(high) AS high, any_value(n) AS n
+FROM z JOIN s USING (panel_id, series) GROUP BY ALL)
+SELECT panel_id, series, bin, "count", {r6('"count" / (n * ((high - low) / 30))', 'density')}, {r6('low + (bin + 0.5::DOUBLE) * ((high - low) / 30)', 'middle')},
+{r6('exp(-pow(low + (bin + 0.5::DOUBLE) * ((high - low) / 30), 2) / 2) / sqrt(2 * pi())', 'normal')} FROM b"""),
+    "d10_qq_fit": rw(MEDIANS, f"""
+, o AS (SELECT panel_id, series, value, row_number() OVER (PARTITION BY panel_id, series ORDER BY value) AS i, count(*) OVER (PARTITION BY panel_id, series) AS n FROM panel)
+SELECT panel_id, series, {r6('regr_slope(value, q)', 'slope')}, {r6('regr_intercept(value, q)', 'intercept')}, {r6('corr(value, q)', 'r')} FROM o JOIN quantiles USING (n, i) GROUP BY ALL"""),
+    "d11_qq_points": w(PANEL, f"""
+, o AS (SELECT panel_id, series, (value - avg(value) OVER s) / greatest(stddev_samp(value) OVER s, 1e-12) AS z, row_number() OVER (PARTITION BY panel_id, series ORDER BY value) AS i, count(*) OVER s AS n
+  FROM panel WINDOW s AS (PARTITION BY panel_id, series)),
+x AS (SELECT DISTINCT n, i, {_Y} AS y, {_START} AS x FROM o),
+e AS (SELECT n, i, x - (sign(x) * {erf('abs(x)')} - y) * sqrt(pi()) / 2 * exp(x * x) AS x FROM x)
+SELECT panel_id, series, CAST(i AS INTEGER) AS i, {r6('sqrt(2::DOUBLE) * x', 'theory')}, {r6('z', 'z')} FROM o JOIN e USING (n, i)"""),
+    "d12_pp_points": w(ORDERED, f"SELECT panel_id, series, CAST(i AS INTEGER) AS i, {r6('i / n', 'empirical')}, {r6('f', 'normal')} FROM ordered"),
+    "g01_jarque_bera": w(MOMENTS, f""", j AS (SELECT panel_id, series, n / 6.0::DOUBLE * (skewness * skewness + 0.25 * excess_kurtosis * excess_kurtosis) AS jb FROM moments)
+SELECT panel_id, series, {r6('jb', 'jb')}, {r6(wilson_hilferty('jb', '2'), 'p')} FROM j"""),
+    "g02_anderson_darling": w(ORDERED, f"""
+, a AS (SELECT l.panel_id, l.series, (-any_value(l.n) - sum((2 * l.i - 1) * (ln(l.f) + ln(1 - r.f))) / any_value(l.n)) * (1 + 4.0::DOUBLE / any_value(l.n) - 25.0::DOUBLE / (any_value(l.n) * any_value(l.n))) AS a
+  FROM ordered l JOIN ordered r ON l.panel_id = r.panel_id AND l.series = r.series AND r.i = l.n + 1 - l.i GROUP BY l.panel_id, l.series)
+SELECT panel_id, series, {r6('a', 'stat')}, {r6("""least(greatest(CASE WHEN a < 0.2 THEN 1 - exp(-13.436 + 101.14 * a - 223.73 * a * a) WHEN a < 0.34 THEN 1 - exp(-8.318 + 42.796 * a - 59.938 * a * a)
+  WHEN a < 0.6 THEN exp(0.9177 - 4.279 * a - 1.38 * a * a) ELSE exp(least(1.2937 - 5.709 * a + 0.0186 * a * a, 700)) END, 0), 1)""", 'p')} FROM a"""),
+    "g03_kolmogorov_smirnov": w(ORDERED, f"""
+, k AS (SELECT panel_id, series, any_value(n) AS n, max(greatest(i / n - f, f - (i - 1) / n)) AS d FROM ordered GROUP BY ALL),
+m AS (SELECT *, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * d AS lam FROM k)
+SELECT panel_id, series, {r6('d', 'd')}, {r6("least(greatest(2 * list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * j * j * lam * lam))), 0), 1)", 'p')} FROM m"""),
+    "g04_cramer_von_mises_stat": w(ORDERED, f"SELECT panel_id, series, {r6('1 / (12.0::DOUBLE * any_value(n)) + sum(pow(f - (2 * i - 1) / (2.0::DOUBLE * n), 2))', 'w2')} FROM ordered GROUP BY ALL"),
+    "g06_ljung_box": w(ACF, f""", s AS (SELECT panel_id, series, max(t) AS n FROM panel GROUP BY ALL),
+q AS (SELECT acf.panel_id, acf.series, any_value(n) * (any_value(n) + 2.0::DOUBLE) * sum(acf * acf / (n - lag)) AS q FROM acf JOIN s ON s.panel_id = acf.panel_id AND s.series = acf.series WHERE lag <= 10 GROUP BY acf.panel_id, acf.series)
+SELECT panel_id, series, {r6('q', 'q')}, {r6(wilson_hilferty('q', '10'), 'p')} FROM q"""),
+    "g07_arch_lm": rw(PANEL + """, sq AS (SELECT panel_id || '|' || series AS key, t, value * value AS s FROM panel),
+zs AS (SELECT key, t, [1.0::DOUBLE, lag(s, 1) OVER o, lag(s, 2) OVER o, lag(s, 3) OVER o, lag(s, 4) OVER o, lag(s, 5) OVER o, s] AS z FROM sq WINDOW o AS (PARTITION BY key ORDER BY t)),
+complete AS (SELECT key, z FROM zs WHERE t > 5), """ + products("gram", "complete", "key", 7) + ", " + swept("fit", "gram", "key", 7, 6), f"""
+, told AS (SELECT key, gram.n * (1 - fit.m[7][7] / (gram.m[7][7] - gram.m[1][7] * gram.m[1][7] / gram.n)) AS lm FROM fit JOIN gram USING (key))
+SELECT split_part(key, '|', 1) AS panel_id, split_part(key, '|', 2) AS series, {r6('lm', 'lm')}, {r6(wilson_hilferty('lm', '5'), 'p')} FROM told"""),
+    "g08_multivariate_arch_lm": _arch(VECH, 15),
+    "g08_multivariate_arch_lm_vec": _arch(VEC, 25),
+    "g09_portmanteau": rw(_covariances("value", 10, "count(*)"), f""", r AS (SELECT c.panel_id, k, c.i, p.j, any_value(size) AS size, sum(c.v * p.v) AS v FROM c JOIN prec p ON p.panel_id = c.panel_id AND p.i = c.j GROUP BY ALL),
+told AS (SELECT panel_id, sum(v * v * size * size / (size - k)) AS stat FROM r WHERE k > 0 GROUP BY panel_id)
+SELECT panel_id, {r6('stat', 'stat')}, 250.0::DOUBLE AS df, {r6(wilson_hilferty('stat', '250'), 'p')} FROM told"""),
+    "g10_hosking": _hosking("value"),
+    "g11_hosking_squares": _hosking("value * value"),
+    "g13_mardia": rw(MARDIA, f"SELECT panel_id, {r6('skew', 'skew_stat')}, {r6(chi2_tail('skew', '35'), 'skew_p')}, {r6('z', 'kurt_z')}, {r6('2 * (1 - ' + cdf('abs(z)') + ')', 'kurt_p')} FROM told"),
+    "g14_mardia_robust": rw(MARDIA, f"SELECT panel_id, {r6('skew', 'skew_stat')}, {r6(wilson_hilferty('skew', '35'), 'skew_p')}, {r6('z', 'kurt_z')}, {r6('2 * (1 - ' + cdf('abs(z)') + ')', 'kurt_p')} FROM told"),
+    "g15_autocorrelation_lr": rw(_regressed("y", 5, 5, "y", 5) + """, own AS (SELECT panel_id, n, list_transform(range(27, 32), lambda i: list_transform(range(27, 32), lambda j: m[i][j] / n)) AS m FROM gram),
+rest AS (SELECT panel_id, n, list_transform(range(27, 32), lambda i: list_transform(range(27, 32), lambda j: m[i][j] / n)) AS m FROM fit), """ + swept("before", "own", "panel_id", 5, 5) + ", " + swept("after", "rest", "panel_id", 5, 5), f"""
+, told AS (SELECT panel_id, (before.n - 5 * 5 - 5 - 1) * (before.logdet - after.logdet) AS stat FROM before JOIN after USING (panel_id))
+SELECT panel_id, {r6('stat', 'stat')}, {r6(chi2_tail('stat', '125'), 'p')} FROM told"""),
+    "k01_ols_prior": rw(PACKED + """, zs AS (SELECT panel_id, t, lag(y) OVER (PARTITION BY panel_id ORDER BY t) || [1.0::DOUBLE] || y AS z FROM packed),
+complete AS (SELECT panel_id, z FROM zs WHERE t BETWEEN 2 AND 251), """ + products("gram", "complete", "panel_id", 11) + ", " + swept("fit", "gram", "panel_id", 11, 6), f"""
+SELECT panel_id, CAST((e - 1) * 6 + r - 1 AS INTEGER) AS i, {r6('m[r][6 + e]', 'b')} FROM fit CROSS JOIN (SELECT unnest(range(1, 6)) AS e) CROSS JOIN (SELECT unnest(range(1, 7)) AS r)"""),
+    "m04_colour": f"SELECT CAST(label AS VARCHAR) AS panel_id, vec_id, CAST(i AS INTEGER) AS i, {r6('CAST(embedding[i + 1] AS DOUBLE)', 'v')} FROM (SELECT label, vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings WHERE embedding IS NOT NULL)",
+    "n01_theta_as_of": w(THETA + ", " + REQUESTS, f"""
+, d AS (SELECT request, wanted, CASE WHEN before IS NULL THEN after WHEN after IS NULL THEN before WHEN date_diff('day', before, wanted) <= date_diff('day', wanted, after) THEN before ELSE after END AS ts
+  FROM requests LEFT JOIN LATERAL (SELECT max(ts) FILTER (ts <= wanted) AS before, min(ts) FILTER (ts >= wanted) AS after FROM dates) x ON true)
+SELECT request, wanted, ts, to_node, from_node, {r6('theta', 'theta')} FROM d JOIN theta USING (ts)"""),
+    "n16_ordered_contributions": w(THETA, f"""SELECT ts, to_node, from_node, {r6('100 * theta / CASE WHEN sum(theta) OVER (PARTITION BY ts) = 0 THEN 1 ELSE sum(theta) OVER (PARTITION BY ts) END', 'share')},
+CAST(CASE from_node WHEN 'EUROPE' THEN 1 WHEN 'AFRICA' THEN 2 WHEN 'AMERICA' THEN 3 WHEN 'MIDDLE EAST' THEN 4 ELSE 5 END AS INTEGER) AS place FROM theta WHERE to_node = 'ASIA'"""),
+    "e04_periods_start_inside": w(TCI + ", " + PERIODS, """SELECT series, ord, start, "end", name FROM (SELECT series, min(ts) AS a, max(ts) AS b FROM tci WHERE ts >= DATE '1996-06-01' GROUP BY series) JOIN periods ON start <= b AND start >= a"""),
     "d05_rolling_volatility": w(PANEL, f"""SELECT panel_id, series, ts, t, {r6('volatility', 'volatility')} FROM (
 SELECT *, stddev_samp(value) OVER (PARTITION BY panel_id, series ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS volatility FROM panel) WHERE t >= 60"""),
     "d06_rolling_correlation": w(PAIRS, f"""SELECT panel_id, a, b, ts, {r6('rolling', 'rolling')}, {r6('static', 'static')} FROM (
@@ -172,7 +357,7 @@ SELECT *, CASE WHEN min(x) OVER f < max(x) OVER f AND min(y) OVER f < max(y) OVE
 WINDOW f AS (PARTITION BY panel_id, a, b ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE n = 252 GROUP BY ALL"""),
     "d08_histogram": w(PANEL, f"""
 , s AS (SELECT panel_id, series, avg(value) AS mu, stddev_samp(value) AS sd, min(value) AS low, max(value) AS high, count(*) AS n FROM panel GROUP BY ALL),
-b AS (SELECT panel_id, series, CAST(least(floor((value - low) / ((high - low) / 60)), 59) AS INTEGER) AS bin, count(*) AS "count", any_value(low) AS low, any_value(high) AS high, any_value(mu) AS mu, any_value(sd) AS sd, any_value(n) AS n
+b AS (SELECT panel_id, series, CAST(least(floor(round((value - low) / ((high - low) / 60), 9)), 59) AS INTEGER) AS bin, count(*) AS "count", any_value(low) AS low, any_value(high) AS high, any_value(mu) AS mu, any_value(sd) AS sd, any_value(n) AS n
 FROM panel JOIN s USING (panel_id, series) GROUP BY ALL)
 SELECT panel_id, series, bin, "count", {r6('"count" / (n * ((high - low) / 60))', 'density')}, {r6('low + (bin + 0.5::DOUBLE) * ((high - low) / 60)', 'middle')},
 {r6('exp(-pow((low + (bin + 0.5::DOUBLE) * ((high - low) / 60) - mu) / sd, 2) / 2) / (sd * sqrt(2 * pi()))', 'normal')} FROM b"""),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any size; partition counts stay with the cluster.
@@ -27,3 +32,24 @@ def get_session(app: str = "netdrift", master: str | None = None, **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name under spark.checkpoint.dir, which driver and executors share. A local session without that
+    setting has a temporary one; on a cluster there must be one, as executors do not see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(found or _local_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="netdrift-")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for results that several jobs read."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,15 +76,36 @@ def test_univariate_jobs_equal_kernels(two):
     series = {k: np.array([x["value"] for x in sorted(r["v"], key=lambda x: x["t"])]) for k, r in rows.items()}
     null = stats.cramer_von_mises_null(80, 500)
     for job, kernel, names in (
-        (diagnostics.jarque_bera(two), stats.jarque_bera, ("jb", "p")), (diagnostics.anderson_darling(two), stats.anderson_darling, ("stat", "p")),
-        (diagnostics.kolmogorov_smirnov(two), stats.kolmogorov_smirnov, ("d", "p")), (diagnostics.cramer_von_mises(two), lambda x: stats.cramer_von_mises(x, null), ("w2", "p")),
-        (diagnostics.ljung_box(two, 6), lambda x: stats.ljung_box(x, 6), ("q", "p")), (diagnostics.arch_lm(two, 3), lambda x: stats.arch_lm(x, 3), ("lm", "p")),
+        (diagnostics.jarque_bera(two), stats.jarque_bera, ("jb", "p")), (diagnostics.anderson_darling(two), plain.anderson_darling, ("stat", "p")),
+        (diagnostics.kolmogorov_smirnov(two), plain.kolmogorov_smirnov, ("d", "p")), (diagnostics.cramer_von_mises(two), lambda x: plain.cramer_von_mises(x, null), ("w2", "p")),
+        (diagnostics.ljung_box(two, 6), lambda x: plain.ljung_box(x, 6), ("q", "p")), (diagnostics.arch_lm(two, 3), lambda x: plain.arch_lm(x, 3), ("lm", "p")),
     ):
         for r in job.collect():
             want = kernel(series[r["panel_id"], r["series"]])
             assert np.allclose([r[n] for n in names], want, atol=1e-8), names
 
 
+def test_multivariate_jobs_equal_plain_loops(two, spark):
+    packed = panel.pack(two).repartition(7, "t").cache()  # a panel's rows lie in many tasks
+    w = {p: np.array([r["y"] for r in sorted(packed.where(F.col("panel_id") == p).collect(), key=lambda r: r["t"])]) for p in ("a", "b")}
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")  # and in many batches
+    try:
+        for job, truth, name in (
+            (diagnostics.hosking(packed), lambda x: plain.hosking(x, 10), "stat"), (diagnostics.hosking(packed, square=True), lambda x: plain.hosking(x**2, 10), "stat"),
+            (diagnostics.portmanteau(packed), lambda x: plain.portmanteau(x, 10), "stat"), (diagnostics.autocorrelation_lr(packed), lambda x: plain.autocorrelation_lr(x, 5), "stat"),
+            (diagnostics.multivariate_arch_lm(packed), lambda x: plain.arch_lm(x, 2)[0], "stat"), (diagnostics.multivariate_arch_lm(packed, vech=False), lambda x: plain.arch_lm(x, 2, whole=True)[0], "stat"),
+            (diagnostics.mardia(packed), lambda x: plain.mardia(x)[0], "skew_stat"), (diagnostics.mardia(packed, robust=True), lambda x: plain.mardia(x)[1], "kurt_z"),
+        ):
+            found = {r["panel_id"]: r[name] for r in job.collect()}
+            assert set(found) == {"a", "b"} and all(abs(found[p] - truth(w[p])) < 1e-8 for p in w), name
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    short = packed.where("t <= 4")
+    assert {tuple(r)[1:] for r in diagnostics.multivariate_arch_lm(short, 2).collect()} == {(0.0, 0.0, 1.0)} == {tuple(r)[1:] for r in diagnostics.multivariate_arch_lm(packed, 0).collect()}
+    assert diagnostics.mardia(short, robust=True).first()["skew_p"] == 1.0
+
+
 def test_constant_series(spark):
     rows = [("a", day(t), t + 1, s, i, v) for t in range(30) for i, (s, v) in enumerate((("flat", 1.0), ("line", float(t))), 1)]
     flat = spark.createDataFrame(rows, "panel_id string, ts date, t long, series string, pos int, value double")
@@ -111,6 +133,21 @@ def test_connectedness_invariants(two):
     assert connect.sub_network(long, []).count() == 0
     with pytest.raises(ValueError):
         connect.sub_network(long, ["u", "nobody"])
+    # the one-pass indices equal the aggregates over the long table, and so do those of a sub-network
+    told = {(r["panel_id"], r["ts"], r["node"]): r for r in model.connectedness_indices(two, horizon=8, sub_nodes=["u", "w"]).collect()}
+    inner = connect.sub_network(long, ["u", "w"])
+    for whole, columns in ((connect.net(long), ("to_idx", "from_idx", "net_idx")), (connect.net(inner).withColumnRenamed("net_idx", "net_sub"), ("net_sub",))):
+        for r in whole.collect():
+            assert np.allclose([told[r["panel_id"], r["ts"], r["node"]][c] for c in columns], [r[c] for c in columns], atol=1e-9)
+    sub = {(r["panel_id"], r["ts"]): r["tci"] for r in connect.tci(inner).collect()}
+    assert len(told) == 3 * 2 * 79 and all(abs(r["tci"] - total[k[:2]]) < 1e-9 and abs(r["tci_sub"] - sub[k[:2]]) < 1e-9 for k, r in told.items())
+    with pytest.raises(Exception, match="no such node"):
+        model.connectedness_indices(two, sub_nodes=["nobody"]).collect()
+
+
+def test_one_node(spark):
+    theta = spark.createDataFrame([(day(0), "a", "a", 1.0)], "ts date, to_node string, from_node string, theta double")
+    assert [tuple(r)[1:] for r in connect.net(theta).collect()] == [("a", 0.0, 0.0, 0.0)] and connect.tci(theta).first()["tci"] == 0.0
 
 
 def test_fit_equals_kernel(two):
@@ -125,14 +162,15 @@ def test_fit_equals_kernel(two):
 
 
 def test_selection(two):
-    grid = model.grid_search(two, (1, 2), (0.95, 0.99), (0.95, 0.99))
+    designs = model.all_designs(two, (1, 2)).cache()
+    grid = model.grid_search(designs, (1, 2), (0.95, 0.99), (0.95, 0.99))
     assert grid.count() == 16 and {r["t_eff"] for r in grid.collect()} == {78}
-    done = model.diagnose(two, grid, (1, 2), top=3)
+    done = model.diagnose(grid, designs, top=3)
     assert done.where("tested").count() == 6
     best = {r["panel_id"]: r for r in model.choose(done).collect()}
     least = {r["panel_id"]: r["m"] for r in grid.groupBy("panel_id").agg(F.min("aic").alias("m")).collect()}
     assert all(best[p]["passed"] or best[p]["aic"] == least[p] for p in best)
-    found = {r["panel_id"]: r for r in model.continuous_search(two, (1,), 0.95, 0.99, n_starts=2, tol=1e-3).collect()}
+    found = {r["panel_id"]: r for r in model.continuous_search(designs.where('p = 1'), 0.95, 0.99, n_starts=2, tol=1e-3).collect()}
     corner = {r["panel_id"]: r["m"] for r in grid.where("p = 1").groupBy("panel_id").agg(F.min("aic").alias("m")).collect()}
     assert all(found[p]["opt_success"] for p in found) and set(corner) == set(found)
 
@@ -144,6 +182,15 @@ def test_bootstrap_does_not_depend_on_partitions(two):
     drawn = bootstrap.draws(small, 6, 10, horizon=5)
     assert drawn.where("tci_sub <> 0").count() == 0
     assert bootstrap.bands(drawn).where("lo > hi").count() == 0
+    found = bootstrap.named_bands(bootstrap.bands(drawn), small).collect()
+    assert {(r["node"], r["node2"]) for r in found if r["metric"] == "pdc"} == {("u", "v"), ("u", "w"), ("v", "w")} and {r["node"] for r in found if r["metric"] == "net"} == {"u", "v", "w"}
+    assert {r["ts"] for r in found} == {day(i) for i in range(1, 80)} and all((r["node"] is None) == r["metric"].startswith("tci") for r in found)
+    values = {(r["rep"], r["t"]): r for r in drawn.collect()}
+    for r in found:
+        t = (r["ts"] - DAY).days
+        at = {"net": "uvw".find(r["node"] or ""), "pdc": ["uv", "uw", "vw"].index(f"{r['node']}{r['node2']}") if r["node2"] else 0}.get(r["metric"])
+        if at is not None:
+            assert np.allclose(np.percentile([values[i, t][r["metric"]][at] for i in range(6)], [2.5, 97.5]), [r["lo"], r["hi"]])
     rows = bootstrap.resampled_rows(panel.pack(small), 2, 80)
     assert rows.where("t <> source").count() == 0
 
@@ -228,7 +275,8 @@ def test_bootstrap_and_search_queries_take_the_operators_defaults(spark, monkeyp
     def seen(*args, **options):
         raise Called(options)
 
-    monkeypatch.setattr(model, "grid_search", lambda *a, **k: None)
+    monkeypatch.setattr(model, "grid_search", lambda *a, **k: spark.range(1))
+    monkeypatch.setattr(model, "all_designs", lambda *a, **k: spark.range(1))
     names = {"b02_paths": (bootstrap, "paths"), "b03_draws": (bootstrap, "draws"), "b05_bands": (bootstrap, "draws"), "k06_continuous_search": (model, "continuous_search"), "k07_diagnose": (model, "diagnose"), "k08_choose": (model, "diagnose")}
     for name, (module, function) in names.items():
         monkeypatch.setattr(module, function, seen)

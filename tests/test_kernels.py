@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import plain
 import pytest
 
 from netdrift.functions import kernels, special, stats
@@ -153,6 +154,9 @@ def test_special_functions():
     assert np.allclose(special.normal_quantile(special.normal_cdf(z)), z, atol=1e-6)
     assert abs(special.chi2_tail(3.841458820694124, 1) - 0.05) < 1e-12 and abs(special.chi2_tail(18.307038053275146, 10) - 0.05) < 1e-12
     assert abs(special.chi2_tail(4.0, 2) - math.exp(-2)) < 1e-14 and special.chi2_tail(-1, 3) == 1 and math.isnan(special.chi2_tail(math.nan, 3))
+    stat, df = np.array([0.5, 3.0, 40.0, 300.0, 0.0, -1.0]), np.array([1.0, 7.0, 30.0, 250.0, 2.0, 3.0])
+    assert np.allclose(special.chi2_tail(stat, df)[:4], [plain.chi2_tail(a, b) for a, b in zip(stat[:4], df[:4], strict=True)], atol=2e-4) and special.chi2_tail(stat, df)[4:].tolist() == [1, 1]
+    assert np.allclose(special.chi2_tail_wilson_hilferty(stat, df)[:4], [plain.wilson_hilferty(a, b) for a, b in zip(stat[:4], df[:4], strict=True)])
     assert abs(special.chi2_tail_wilson_hilferty(18.307, 10) - 0.05) < 1e-3 and special.chi2_tail_wilson_hilferty(1, 0) == 1
     y = np.array([-0.9, 0.1, 0.5])
     assert np.allclose(special.erf(special.approximate_erfinv(y)), y, atol=1e-4)
@@ -168,20 +172,29 @@ def test_kendall():
         assert math.isnan(got) if scale == 0 else abs(got - sum(a * b for a, b in pairs) / scale) < 1e-12
 
 
-def test_mardia_equals_products_of_all_rows():
-    w = np.random.default_rng(4).normal(size=(60, 3))
-    d = w - w.mean(axis=0)
-    g = d @ np.linalg.inv(d.T @ d / 60) @ d.T
-    stat, _, z, _ = stats.mardia(w)
-    assert abs(stat - 60 * (g**3).mean() / 6) < 1e-9 and abs(z - ((np.diag(g) ** 2).mean() - 15) / math.sqrt(8 * 15 / 60)) < 1e-9
+def test_multivariate_statistics_equal_plain_loops():
+    w = np.random.default_rng(4).normal(size=(60, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 2.0]]) + 0.7
+    found = stats.mardia(w)
+    assert np.allclose([found[0], found[2]], plain.mardia(w))
+    assert np.allclose(found[1], plain.chi2_tail(found[0], 10), atol=1e-6)
     assert stats.mardia(w[:4], robust=True) == (0.0, 1.0, 0.0, 1.0)
+    assert np.allclose(stats.hosking(w, 6)[0], plain.hosking(w, 6)) and stats.hosking(w, 6)[2] == 54
+    assert np.allclose(stats.portmanteau_from(stats.gram(stats.lagged_rows(w, 6)), 3)[0], plain.portmanteau(w, 6))
+    assert np.allclose(stats.autocorrelation_lr(w, 4)[0], plain.autocorrelation_lr(w, 4))
+    for vech in (True, False):
+        stat, degrees, p = stats.multivariate_arch_lm(w, 2, vech)
+        assert degrees == (12 if vech else 18) and np.allclose((stat, p), plain.arch_lm(w, 2, whole=not vech))
+    two = stats.gram(stats.lagged_rows(w, 5))
+    assert np.allclose(two, stats.gram(stats.lagged_rows(w, 5)[:17]) + stats.gram(stats.lagged_rows(w, 5)[17:]))
 
 
 def test_degenerate_inputs():
     flat = np.ones(30)
-    assert stats.jarque_bera(flat)[0] == 0 and (stats.acf(flat, 5) == 0).all() and stats.arch_lm(flat, 2)[0] == 0
-    assert stats.anderson_darling(np.arange(7.0)) == (0.0, 1.0) and stats.kolmogorov_smirnov(np.arange(4.0)) == (0.0, 1.0)
+    assert stats.jarque_bera(flat)[0] == 0
     assert stats.multivariate_arch_lm(np.ones((3, 2)), 1) == (0.0, 0, 1.0) and math.isnan(stats.hosking(np.ones((30, 2)))[0])
+    assert stats.multivariate_arch_lm(np.ones((30, 2)), 1)[0] == 0 and math.isnan(stats.autocorrelation_lr(np.zeros((30, 2)))[0])
+    with pytest.raises(np.linalg.LinAlgError):
+        stats.mardia(np.ones((30, 2)))
     with pytest.raises(ValueError):
         stats.adf(flat)
     with pytest.raises(ValueError):
