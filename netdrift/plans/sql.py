@@ -142,10 +142,9 @@ MOMENTS = PANEL + """, mean AS (
 
 
 def erf(x: str) -> str:
-    """erf of x >= 0 by its series of positive terms; 1 to rounding from 6.4 on."""
-    y = f"greatest(least(CAST({x} AS DOUBLE), 6.4), 1e-300)"
-    term = f"exp((2 * i + 1) * ln({y}) + 2 * i * ln(2::DOUBLE) + lgamma(i + 1) - lgamma(2 * i + 2) - {y} * {y})"
-    return f"(2 / sqrt(pi()) * list_sum(list_transform(range(0, 160), lambda i: {term})))"
+    """erf of x >= 0 by its series of positive terms, nested; 1 to rounding from 6.4 on."""
+    y = f"least(CAST({x} AS DOUBLE), 6.4)"
+    return f"(2 / sqrt(pi()) * {y} * exp(-{y} * {y}) * list_reduce(range(321, 1, -2), lambda acc, k: 1 + 2 * {y} * {y} / k * acc, 1.0::DOUBLE))"
 
 
 def cdf(z: str) -> str:
@@ -166,17 +165,18 @@ def wilson_hilferty(stat: str, df: str) -> str:
 
 
 def swept(name: str, source: str, key: str, size: int, pivots: int) -> str:
-    """CTE ``name`` (key, n, m, logdet): the matrices m of ``source`` (key, n, m) after sweeping their first ``pivots`` rows.
+    """CTE ``name`` (key, n, m, logdet): the matrices m of ``source`` (key, n, m) after sweeping their first ``pivots`` rows,
+    but for those that depend on the rows before.
 
     Of cross products of regressors and then of responses this leaves the inverse, the coefficients (m[regressor][response])
     and, below, the cross products of residuals.
     """
-    cell = """CASE WHEN i = s AND j = s THEN 1 / m[s][s] WHEN i = s THEN m[s][j] / m[s][s] WHEN j = s THEN -m[i][s] / m[s][s]
-  ELSE m[i][j] - m[i][s] * m[s][j] / m[s][s] END"""
+    cell = """CASE WHEN m[s][s] <= 1e-10 * d[s] THEN CASE WHEN i = s OR j = s THEN 0 ELSE m[i][j] END
+  WHEN i = s AND j = s THEN 1 / m[s][s] WHEN i = s THEN m[s][j] / m[s][s] WHEN j = s THEN -m[i][s] / m[s][s] ELSE m[i][j] - m[i][s] * m[s][j] / m[s][s] END"""
     return f"""{name}_steps AS (
-  SELECT {key}, n, m, 1 AS s, 0.0::DOUBLE AS logdet FROM {source}
+  SELECT {key}, n, m, list_transform(range(1, {size + 1}), lambda i: m[i][i]) AS d, 1 AS s, 0.0::DOUBLE AS logdet FROM {source}
   UNION ALL
-  SELECT {key}, n, list_transform(range(1, {size + 1}), lambda i: list_transform(range(1, {size + 1}), lambda j: {cell})), s + 1, logdet + ln(greatest(m[s][s], 1e-300))
+  SELECT {key}, n, list_transform(range(1, {size + 1}), lambda i: list_transform(range(1, {size + 1}), lambda j: {cell})), d, s + 1, logdet + ln(greatest(m[s][s], 1e-300))
   FROM {name}_steps WHERE s <= {pivots}
 ), {name} AS (SELECT {key}, n, m, logdet FROM {name}_steps WHERE s = {pivots + 1})"""
 
