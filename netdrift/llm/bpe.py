@@ -5,9 +5,10 @@ characters mapped back. With them, ids decode to bytes by table lookup, a token'
 running sums of lengths, and a token that splits a character is seen by its first byte being a continuation.
 
 Speed: a text is cut before single blanks and line feeds between characters that are no white space. The
-splitting pattern of the vocabulary always ends a match there, so the pieces' ids, one after another, are the text's ids. Each worker
-keeps the ids of pieces it has met in a cache of bounded size; new pieces are encoded many at a time, joined,
-and taken apart by their byte lengths. Texts with other white space are encoded as they are.
+splitting pattern of the vocabulary always ends a match there, and between a letter or digit and a mark, so that the
+pieces' ids, one after another, are the text's ids. The pieces of a slice of texts are told apart by Arrow; each
+different one is encoded once, many at a time as one joined text that is taken apart by byte lengths, and takes its
+places in the texts again. Nothing is kept from slice to slice. Texts with other white space are encoded as they are.
 
 Defined cases: a null text is the empty one and has no ids; strings of special tokens are ordinary text;
 repeated rows give repeated rows; an empty table gives none; other columns are ignored.
@@ -28,16 +29,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, arrow_batches, slices, trimmed
+from .common import arrow_batches, slices, trimmed
 
-#: Pieces that a worker's cache may hold before it starts anew, and bytes of new pieces encoded at once.
-CACHE_PIECES = 300_000
-JOINED_BYTES = 32 << 10
+#: Rows and characters of a slice of texts that is encoded together, and bytes of pieces encoded as one text.
+ROWS = 8192
+TEXT_BYTES = 12 << 20
+JOINED_BYTES = 8 << 10
 
 #: White space other than blank and line feed; texts with any of it are encoded as they are.
 _RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 _HEAD = re.compile("[^ \n]*")
+MARKS = rf"(?P<marks>[{re.escape(string.punctuation)}]*)\z"
 
 
 def odd_blanks(text: str) -> bool:
@@ -60,6 +63,13 @@ def byte_characters() -> dict[str, int]:
     return table
 
 
+def _gather(ids: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the runs at ``places`` of ``ids``, which has runs of ``size``, one after another; and their sizes."""
+    found = size[places]
+    ends = np.cumsum(found)
+    return ids[np.repeat((np.cumsum(size) - size)[places] - ends + found, found) + np.arange(ends[-1] if len(ends) else 0)], found
+
+
 class Codec:
     """A tokenizer file with its byte tables; one in each Python worker."""
 
@@ -80,81 +90,51 @@ class Codec:
         self.begins = np.r_[0, np.cumsum(self.lengths)]
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.decimals = [str(i) for i in range(len(table))]
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}  # piece, without a leading blank -> its place in the lists below
-        self.marks: dict[str, int] = {}  # marks at a piece's end -> their place; no pieces, so never among those
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _add(self, index: dict[str, int], keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        index.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
-        self.first = np.r_[self.first, np.cumsum(size) - size + len(self.flat)]
-        self.size = np.r_[self.size, size]
-        self.flat = np.r_[self.flat, ids]
-
-    def _gather(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids at cache places in a row, and how many each place has."""
-        size = self.size[found]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.first[found] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
-
-    def _places(self, index: dict[str, int], keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Add pieces to the cache. Marks at a piece's end are encoded once for all pieces."""
-        whole, marked, cores, marks = [], [], [], []
-        for piece in pieces:
-            core = piece.rstrip(string.punctuation)
-            if len(core) < len(piece) and core and core[-1].isalnum():
-                marked.append(piece)
-                cores.append(core)
-                marks.append(piece[len(core) :])
-            else:
-                whole.append(piece)
-        self._learn_joined(list({*whole, *cores}.difference(self.index)))
-        new = list(set(marks).difference(self.marks))
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        if found:
-            self._add(self.marks, new, np.concatenate(found), np.array([len(x) for x in found]))
-        if marked:
-            ids, size = self._gather(np.stack([self._places(self.index, cores), self._places(self.marks, marks)], axis=1).ravel())
-            self._add(self.index, marked, ids, size.reshape(-1, 2).sum(axis=1))
-
-    def _learn_joined(self, pieces: list[str]) -> None:
-        """Encode many pieces as one text, each with what stands before it; a piece ends where its bytes end."""
-        if not pieces:
-            return
-        full = [p if p[0] == "\n" else " " + p for p in pieces]
-        ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "replace")) for p in full), np.int64, len(full)))
-        cuts = np.searchsorted(ends, np.arange(0, ends[-1], JOINED_BYTES)).tolist() + [len(full)]
-        texts = ["".join(full[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        last = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-        self._add(self.index, pieces, ids, np.diff(np.r_[0, last]))
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, each with what stands before it, one after another, and how many each has."""
+        full = pc.if_else(pc.starts_with(pieces, "\n"), pieces, pc.binary_join_element_wise("", pieces, " "))
+        ends = np.cumsum(pc.binary_length(full).to_numpy(), dtype=np.int64)
+        if not len(ends):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        offsets = np.r_[0, ends]
+        cuts = offsets[np.r_[np.searchsorted(ends, np.arange(0, ends[-1], JOINED_BYTES)), len(ends)]].tolist()
+        raw = full.buffers()[2].to_pybytes()[: ends[-1]]
+        ids = np.concatenate(self._plain([raw[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False) if b > a]))
+        return ids, np.diff(np.r_[0, np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1])
+
+    def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """As _joined; marks after a letter or digit at a piece's end are encoded once for all pieces."""
+        core = pc.utf8_rtrim(pieces, string.punctuation)
+        marked = pc.and_(pc.less(pc.binary_length(core), pc.binary_length(pieces)), pc.utf8_is_alnum(pc.utf8_slice_codeunits(core, -1)))
+        core = pc.if_else(marked, core, pieces).dictionary_encode()
+        marks = pc.extract_regex(pieces.filter(marked), MARKS).field("marks").dictionary_encode()
+        ids, size = self._joined(core.dictionary)
+        found = [np.zeros(0, np.uint32), *self._plain(marks.dictionary.to_pylist())]
+        places = np.full((len(pieces), 2), len(size), np.int64)
+        places[:, 0] = core.indices.to_numpy()
+        places[marked.to_numpy(zero_copy_only=False), 1] += 1 + marks.indices.to_numpy()
+        ids, size = np.concatenate([ids, *found]), np.r_[size, [len(x) for x in found]]
+        ids, size = _gather(ids, size, places.ravel())
+        return ids, size.reshape(-1, 2).sum(axis=1)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
-        if len(self.index) + len(self.marks) > CACHE_PIECES:
-            self.forget()
         odd = np.fromiter(map(odd_blanks, texts), bool, len(texts))
         even = pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string())
         cut = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
-        parts = cut.flatten().dictionary_encode()
-        pieces = parts.dictionary.to_pylist()
-        if missing := [p for p in pieces if p not in self.index]:
-            self._learn(missing)
         # the first piece has no blank before it and is encoded on its own
         counts = np.zeros(len(texts), np.int64)
         counts[~odd] = np.diff(cut.offsets.to_numpy()) - 1
+        parts = cut.flatten()
         rest = np.ones(len(parts), bool)
         rest[cut.offsets.to_numpy()[:-1]] = False
-        heads = [t if o else _HEAD.match(t)[0] for t, o in zip(texts, odd, strict=True)]
-        heads = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        ids, size = self._gather(self._places(self.index, pieces)[parts.indices.to_numpy()[rest]])
+        parts = parts.filter(pa.array(rest)).dictionary_encode()
+        heads = self._plain([t if o else _HEAD.match(t)[0] for t, o in zip(texts, odd, strict=True)])
+        ids, size = _gather(*self._pieces(parts.dictionary), parts.indices.to_numpy())
         stops = np.r_[0, np.cumsum(size)][np.cumsum(counts)].tolist()
         return [np.concatenate([h, ids[a:b]]) for h, a, b in zip(heads, [0, *stops], stops, strict=False)]
 
@@ -193,7 +173,7 @@ def _round_trip(path: str):
         c = codec(path)
         for batch in batches:
             rows = []
-            for texts in slices(batch, SLICE_BYTES):
+            for texts in slices(batch, TEXT_BYTES):
                 for ids in c.encode(texts):
                     decimal = " ".join(map(c.decimals.__getitem__, ids.tolist()))
                     raw = c.decode(ids)
@@ -201,14 +181,13 @@ def _round_trip(path: str):
                     rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), int(((first & 0xC0) == 0x80).sum())))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
-        c.forget()
 
     return run
 
 
 def token_digests(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_split (tokens that start inside a character)."""
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, ROWS)
     digest = F.arrow_udf(hinted(trimmed(_round_trip(path or default_json()))), "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_split bigint")
     return docs.select(F.col(id_column).alias("doc_id"), digest(F.col(text_column)).alias("_t")).select("doc_id", "_t.*")
 
@@ -221,13 +200,13 @@ def hinted(f):
 
 def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", ids_as: str = "ids", offsets: bool = False) -> DataFrame:
     """``docs`` with the ids of the text as an array column, and with ``offsets`` its tokens' character spans."""
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, ROWS)
     path = path or default_json()
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            found = [ids for texts in slices(batch) for ids in c.encode(texts)]
+            found = [ids for texts in slices(batch, TEXT_BYTES) for ids in c.encode(texts)]
             ids = pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))
             spans = [c.offsets(x) if offsets else (None, None) for x in found]
             yield pa.StructArray.from_arrays([ids, *(pa.array([s[i] for s in spans], pa.list_(pa.int32())) for i in (0, 1))], ["ids", "starts", "ends"])

@@ -28,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession) -> None:
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds, by rows and, where Spark knows the setting, by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * SLICE_BYTES))
 
 
@@ -74,6 +74,11 @@ class Steps:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that are done: they go when the plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def keep(self, last: DataFrame) -> DataFrame:
         """``last``, a written step, with all others dropped."""
         self.drop(*[step for _, step in list(self.paths.values()) if step is not last])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec, default_json
+from .bpe import ROWS, TEXT_BYTES, codec, default_json
 from .common import NUMBER_BLOCKS, arrow_batches, slices, trimmed, written
 
 LONGEST = 2048
@@ -37,7 +37,7 @@ def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
         c = codec(path)
         for batch in batches:
             keys = iter(batch.column("doc_id"))
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), TEXT_BYTES):
                 rows = []
                 for ids in c.encode(texts):
                     key, start = next(keys).as_py(), 0
@@ -50,7 +50,6 @@ def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
                     [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), *[pa.int64()] * 4, pa.binary()), strict=True)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
-        c.forget()  # the worker lives on for other stages
 
     return run
 
@@ -62,7 +61,7 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = LONGEST, end_i
     counts of (bucket, block) become offsets, and row_number runs inside a block.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, ROWS)
     kind = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     pieces = rows.mapInArrow(trimmed(_pieces(path or default_json(), longest, end_id, with_ids)), kind)
