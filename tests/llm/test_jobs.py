@@ -1,6 +1,7 @@
 """The operators and the pipeline on awkward rows and on the given small tables, against brute force."""
 
 import hashlib
+import io
 import json
 import re
 import zlib
@@ -21,10 +22,10 @@ ROWS = [
     (1, f"{LINE}\nfirst text here"), (2, f"  {LINE.upper()}\t\nsecond"), (3, f"{LINE}\n{LINE}"), (4, None), (5, ""), (6, "\n\n"),
     (7, BODY), (8, NEAR), (9, BODY), (9, BODY), (None, "a row without an id"), (10, "x" * 200_000), (11, "y " * 60_000), (12, "12 34 !!"), (13, "Released under the MIT License."),
 ]
-#: Every name that the code gives a column, and with underscores before it, so that no private name is missed.
+#: Every name that the code gives a column, and the private ones with one underscore more.
 CODE = "".join(Path(m.__file__).read_text() for m in (bpe, common, langid, license_scan, line_dedup, media, near_dedup, packing, sharding, topk, toxicity))
-OWN = {"doc_id", "text", "lang", "source", "n_chars"}
-CLASHING = sorted({x.lower() for w in re.findall(r"[\"']([A-Za-z_]\w{0,20})[\"']", CODE) for x in (w, "_" + w.lstrip("_"), "__" + w.lstrip("_")) if x.lower() not in OWN and w.lower() not in OWN})
+GIVEN = {x for call in re.findall(r"(?:alias|withColumns?|withColumnsRenamed|withColumnRenamed|fresh)\(([^()]*)", CODE) for x in re.findall(r"[\"'](\w+)[\"']", call)}
+CLASHING = sorted({x.lower() for g in GIVEN for x in (g, "_" + g if g.startswith("_") else g)} - {"doc_id", "text", "lang", "source", "n_chars"})
 
 
 @pytest.fixture(scope="module")
@@ -154,6 +155,60 @@ def test_license(spark, docs):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def plain_license(text):
+    """n_words, base places and labels by comparing words one by one, and by the edit distance to all substrings."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    found = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)
+    base = sorted((i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(found)) if found[i : i + len(phrase.split())] == phrase.split())
+    labels, raw = {label for _, label in base}, " ".join(found).encode()
+    for label, notice, edits in license_scan.NOTICES:
+        row = list(range(len(notice) + 1))
+        least = row[-1]
+        for c in raw:
+            new = [0]
+            for j, n in enumerate(notice.encode(), 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != n)))
+            row = new
+            least = min(least, row[-1])
+        if least <= edits:
+            labels.add(label)
+    at = [i for i, _ in base]
+    return len(found), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels))
+
+
+def test_license_equals_brute_force(spark):
+    given = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 250").orderBy("doc_id").limit(25).collect()]
+    odd = ["Apache  License,\nCC-BY cc by CC BY", "relased undr the mit licence", "Mozila Publik License x", "MIT License mit license\x00MIT\tLICENSE", "permision is hereby grantd free of charge, to any persn obtaining a copy", "ÄPACHE license", None, "", "cc by " * 30]
+    texts = given + odd + odd[:2]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in table(license_scan.scan_licenses(rows))}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        r = found[i]
+        assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) == plain_license(text), text
+        assert (r["score"] == 1.0) == (r["n_base"] > 0) and (r["score"] > 0) == bool(r["labels"])
+    assert found[len(given) + 2]["labels"] == "mpl" and [s["edits"] for s in found[len(given) + 2]["spans"]] == [2]
+
+
+def test_media_features_equal_brute_force(spark):
+    """Tiles and hashes by repeating pixels until the target's cells are whole."""
+    texts = [t for _, t in ROWS if len(t or "") < 5000] + ["é漢字😀 " * 40, "a" * 192, "b" * 193]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = set()
+    for r in table(media.text_media(rows)):
+        payload, _ = media.text_payload(texts[r["doc_id"]] or "")
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).astype(float)
+        small = image.repeat(8, axis=0).repeat(9, axis=1).reshape(8, len(image), 9, 64, 3).mean(axis=(1, 3))
+        grey = np.round(small @ media.GREY, 6)
+        bits = "".join("1" if b else "0" for b in (grey[:, 1:] > grey[:, :-1]).ravel())
+        tile = np.load(io.BytesIO(r["tile"]))
+        assert tile.shape == (8, 9, 3) and tile.dtype == np.uint8 and np.abs(tile - small).max() <= 0.5 + 1e-9
+        assert r["feature"] == f"dhash:{int(bits, 2):016x};tile:{hashlib.sha256(r['tile']).hexdigest()[:16]}"
+        assert r["format"] == ("bmp" if len(image) % 2 else "ppm") and r["media_bytes"] == len(payload) + (54 if r["format"] == "bmp" else len(f"P6\n64 {len(image)}\n255\n"))
+        kinds.add(r["format"])
+    assert kinds == {"bmp", "ppm"}
+
+
 def test_top_k(spark):
     rows = [(i, [float(x) for x in np.random.default_rng(i).integers(-3, 4, 5)]) for i in range(0, 120)]
     rows += [(200, None), (201, [1.0, None]), (202, [float("nan")] * 5), (None, [1.0] * 5), (203, [1.0, 2.0]), (204, []), (250, [float("inf")] * 5), (300, [0.5, 0.25])]
