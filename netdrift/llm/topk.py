@@ -6,8 +6,8 @@ two vectors of n components in g segments the squared distance is at least
     sum over segments of n/g * ((m1 - m2)^2 + (s1 - s2)^2)
 
 and with the squared lengths known, the inner product is at most sum of n/g * (m1 m2 + s1 s2). With 1, 4, 16, ...
-segments the bounds get tighter. A candidate is dropped for a query as soon as its bound is below the query's
-k-th best score so far; survivors get the exact integer score.
+and at last half as many segments as components the bounds get tighter. A candidate is dropped for a query as soon
+as its bound is below the query's k-th best score so far; survivors get the exact integer score.
 
 Vectors are packed into blocks of bounded size, and blocks into groups: about ``QUERY_GROUP`` blocks of queries and
 up to ``CANDIDATE_GROUP`` of candidates each. Every pair of a query group and a candidate group is a cell, the key of the
@@ -55,12 +55,12 @@ def _segments(x: np.ndarray, g: int) -> np.ndarray:
 
 
 def levels(dim: int) -> list[int]:
-    """Numbers of segments, from coarse to fine."""
-    found, g = [], 1
-    while g * 2 <= dim:
+    """Numbers of segments, from coarse to fine: 1, 4, 16, ... and last segments of two components."""
+    found, g = [1], 4
+    while g * 2 < dim:
         found.append(g)
         g *= 4
-    return found or [1]
+    return found + [dim // 2] if dim // 2 > found[-1] else found
 
 
 class BestK:
@@ -74,14 +74,19 @@ class BestK:
         self.exact = np.zeros(len(ids), np.int64)  # candidates that needed their exact score
 
     def meet(self, ids: np.ndarray, x: np.ndarray, stats: list[np.ndarray]) -> None:
-        if np.isinf(self.scores[:, -1]).any():  # no bound yet: a first part gets exact scores
-            part = slice(0, max(64, 4 * self.k))
-            self._score(np.arange(len(self.ids)).repeat(len(ids[part])), np.tile(np.arange(len(ids[part])), len(self.ids)), ids, x)
-            ids, x, stats = ids[part.stop :], x[part.stop :], [s[part.stop :] for s in stats]
-        if not len(ids):
+        """Candidates in parts that grow, so that the first tighten the bound for the others."""
+        at, size = 0, max(64, 4 * self.k)
+        while at < len(ids):
+            part = slice(at, at + size)
+            self._part(ids[part], x[part], [s[part] for s in stats])
+            at, size = at + size, min(2 * size, 1024)
+
+    def _part(self, ids: np.ndarray, x: np.ndarray, stats: list[np.ndarray]) -> None:
+        if np.isinf(self.scores[:, -1]).any():  # no bound yet
+            self._score(np.arange(len(self.ids)).repeat(len(ids)), np.tile(np.arange(len(ids)), len(self.ids)), ids, x)
             return
         slack = 1e-9 * (1 + np.abs(self.stats[0]).max(initial=0) * np.abs(stats[0]).max(initial=0) * self.x.shape[1]) + 1e-6
-        least = np.where(np.isinf(self.scores[:, -1]), -np.inf, self.scores[:, -1] - slack)
+        least = self.scores[:, -1] - slack
         q, c = np.nonzero(self.stats[0] @ stats[0].T >= least[:, None])
         for mine, other in zip(self.stats[1:], stats[1:], strict=True):
             if len(q) * 4 > len(self.ids) * len(ids):  # still dense: one product for all
