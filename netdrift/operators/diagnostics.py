@@ -1,8 +1,8 @@
 """Residual and normality diagnostics: univariate per series, multivariate per panel, all from sums that Spark takes.
 
 Univariate statistics are sums over ordered or lagged rows. Multivariate ones are functions of cross products of a
-row with rows before it, or of third and fourth moments: each Arrow batch is summed where it lies, a panel's partial
-sums come together in one small group, and a finish on small matrices follows. No task holds a panel's rows.
+row with rows before it, or of third and fourth moments: a task sums its rows where they lie, Spark adds the tasks' sums
+cell by cell, and a finish on small matrices follows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from netdrift.functions import special, stats
 
 from . import describe
 from .panel import ALONG
+from .sums import array_sums, blocks_of
 
 
 def wilson_hilferty(stat: Column, df: Column) -> Column:
@@ -171,19 +172,13 @@ def lagged(packed: DataFrame, lags: int, column: str = "y", transform: Callable[
 
 
 def summed(rows: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray], finish: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:
-    """One row of doubles per panel: ``finish`` of the total of ``sums``, which is taken of the part of a panel that a batch holds."""
+    """One row of doubles per panel: ``finish`` of the total of ``sums`` over the panel's rows."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [(panel_id, sums(own).ravel()) for panel_id, own in batch.groupby("panel_id", sort=False)]
-            yield pd.DataFrame({"panel_id": [x for x, _ in parts], "s": [x for _, x in parts]})
+            yield pd.DataFrame([[key, *map(float, finish(np.asarray(s)))] for key, s in zip(batch["panel_id"], batch["s"], strict=True)], columns=["panel_id", *names])
 
-    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.asarray(x) for x in parts["s"]], axis=0)
-        return pd.DataFrame([[key[0], *map(float, finish(total))]], columns=["panel_id", *names])
-
-    partials = rows.mapInPandas(partial, "panel_id string, s array<double>")
-    return partials.groupBy("panel_id").applyInPandas(whole, ", ".join(["panel_id string", *[f"{n} double" for n in names]]))
+    return array_sums(rows, "panel_id", sums).mapInPandas(run, ", ".join(["panel_id string", *[f"{n} double" for n in names]]))
 
 
 def with_ones(own: pd.DataFrame) -> np.ndarray:
@@ -243,28 +238,29 @@ def autocorrelation_lr(packed: DataFrame, lags: int = 5, column: str = "y") -> D
 
 
 def mardia(packed: DataFrame, robust: bool = False, column: str = "y") -> DataFrame:
-    """Two passes of sums: means and covariances, one row a panel, and with them the third and fourth moments of whitened rows."""
-    rows = packed.select("panel_id", "t", F.array(column).alias("z"))
+    """Two passes of sums: means and covariances, one row a panel, and with them the third and fourth moments of whitened rows.
+    The second pass takes rows in blocks, so that a panel's whitener travels once a block."""
+    rows = packed.select("panel_id", F.array(column).alias("z"))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whiteners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [(k, stats.gram(with_ones(own)).ravel()) for k, own in batch.groupby("panel_id", sort=False)]
-            yield pd.DataFrame({"panel_id": [k for k, _ in parts], "s": [g for _, g in parts]})
-
-    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        g = as_square(np.sum([np.asarray(x) for x in parts["s"]], axis=0))
-        mean = g[0, 1:] / g[0, 0]
-        white = stats.whitener(g[1:, 1:] / g[0, 0] - np.outer(mean, mean), robust)
-        return pd.DataFrame({"panel_id": [key[0]], "size": [g[0, 0]], "mean": [mean], "white": [white.ravel()]})
+            made = []
+            for s in batch["s"]:
+                g = as_square(np.asarray(s))
+                mean = g[0, 1:] / g[0, 0]
+                made.append((mean, stats.whitener(g[1:, 1:] / g[0, 0] - np.outer(mean, mean), robust).ravel()))
+            yield pd.DataFrame({"panel_id": batch["panel_id"], "mean": [m for m, _ in made], "white": [w for _, w in made]})
 
-    first = rows.mapInPandas(partial, "panel_id string, s array<double>").groupBy("panel_id").applyInPandas(whole, "panel_id string, size double, mean array<double>, white array<double>")
+    first = array_sums(rows, "panel_id", lambda own: stats.gram(with_ones(own))).mapInPandas(whiteners, "panel_id string, mean array<double>, white array<double>")
 
     def sums(own: pd.DataFrame) -> np.ndarray:
-        y, mean = np.stack([np.asarray(z[0]) for z in own["z"]]), own["mean"].iloc[0]
+        mean = np.asarray(own["mean"].iloc[0])
         white = np.asarray(own["white"].iloc[0]).reshape(len(mean), -1)
-        return np.r_[stats.mardia_sums((y - mean) @ white), len(own), 0.0 if len(own) == 0 else len(mean) * len(own)]
+        y = np.array([r["y"] for block in own["rows"] for r in block])
+        return np.r_[stats.mardia_sums((y - mean) @ white), len(y), float(len(mean) * len(y))]
 
     def finish(total: np.ndarray) -> tuple:
         return stats.mardia_from(total[:-2], total[-2], int(round(total[-1] / total[-2])), robust)
 
-    return summed(rows.join(first, "panel_id"), sums, finish, ["skew_stat", "skew_p", "kurt_z", "kurt_p"])
+    blocks = blocks_of(packed.select("panel_id", F.col(column).alias("y")), "panel_id")
+    return summed(blocks.join(first, "panel_id"), sums, finish, ["skew_stat", "skew_p", "kurt_z", "kurt_p"])

@@ -1,4 +1,4 @@
-"""Batched matrix jobs over tables with one row-major matrix per row."""
+"""Batched matrix jobs over tables of row-major matrices."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netdrift.functions import kernels
+from netdrift.session import stored
+
+from .sums import array_sums, on_blocks
 
 
 def square(column: pd.Series) -> np.ndarray:
@@ -19,18 +22,13 @@ def square(column: pd.Series) -> np.ndarray:
 
 
 def second_moments(rows: DataFrame, by: str, column: str = "u") -> DataFrame:
-    """``by``, m: the mean outer product (row-major) of the vectors of each group, from sums over Arrow batches."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [(key, len(own), np.stack([np.asarray(x, float) for x in own[column]])) for key, own in batch.groupby(by, sort=False)]
-            yield pd.DataFrame({by: [k for k, *_ in parts], "n": [float(n) for _, n, _ in parts], "s": [(x.T @ x).ravel() for *_, x in parts]})
+    """``by``, m: the mean outer product (row-major) of the vectors of each group."""
 
-    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: [key[0]], "m": [np.sum([np.asarray(x) for x in parts["s"]], axis=0) / parts["n"].sum()]})
+    def sums(own: pd.DataFrame) -> np.ndarray:
+        x = np.stack([np.asarray(v, float) for v in own[column]])
+        return np.r_[float(len(x)), (x.T @ x).ravel()]
 
-    sums = rows.select(by, column).mapInPandas(partial, f"`{by}` string, n double, s array<double>")
-    return sums.groupBy(by).applyInPandas(whole, f"`{by}` string, m array<double>")
+    return array_sums(rows.select(by, column), by, sums).select(by, F.transform(F.slice("s", 2, F.size("s")), lambda v: v / F.col("s")[0]).alias("m"))
 
 
 def positive_definite(matrices: DataFrame, column: str = "m", tol_symmetry: float = 1e-8, tol_eigen: float = 1e-10) -> DataFrame:
@@ -46,12 +44,14 @@ def positive_definite(matrices: DataFrame, column: str = "m", tol_symmetry: floa
     return matrices.mapInPandas(run, f"{kinds}, ok boolean, least_eigenvalue double, reason string")
 
 
-def whiten(rows: DataFrame, u: str = "u", sigma: str = "sigma", method: str = "zca", jitter: float = 1e-10, scaled: bool = False, center: bool = True, keys: str = "panel_id") -> DataFrame:
+def whiten(rows: DataFrame, u: str = "u", sigma: str = "sigma", method: str = "zca", jitter: float = 1e-10, scaled: bool = False, center: bool = True, keys: str = "panel_id", sigmas: DataFrame | None = None, on: str = "panel_id") -> DataFrame:
     """``rows`` with w = sigma^(-1/2) u, by eigenvalues; with ``center`` minus its mean over the panel.
 
+    A row's matrix is its column ``sigma`` (a fit has one for every date), or, with ``sigmas``, the column ``sigma`` of
+    the row of ``sigmas`` with the same ``on``: such shared matrices are decomposed once each and travel once a block of rows.
     ``scaled`` sets the jitter relative to the mean variance (the bootstrap's variant).
     """
-    found = _multiplied(rows, u, sigma, "w", -0.5, jitter, scaled, method)
+    found = _multiplied(rows, u, sigma, "w", -0.5, jitter, scaled, method, sigmas, on)
     if not center:
         return found
     long = found.select(keys, F.posexplode("w").alias("_i", "_v")).groupBy(keys, "_i").agg(F.avg("_v").alias("_m"))
@@ -59,12 +59,26 @@ def whiten(rows: DataFrame, u: str = "u", sigma: str = "sigma", method: str = "z
     return found.join(means, keys).withColumn("w", F.zip_with("w", "_means", lambda a, b: a - b)).drop("_means")
 
 
-def colour(rows: DataFrame, w: str = "w", sigma: str = "sigma", jitter: float = 1e-10) -> DataFrame:
-    """``rows`` with v = sigma^(1/2) w."""
-    return _multiplied(rows, w, sigma, "v", 0.5, jitter, True, "zca")
+def colour(rows: DataFrame, w: str = "w", sigma: str = "sigma", jitter: float = 1e-10, sigmas: DataFrame | None = None, on: str = "panel_id") -> DataFrame:
+    """``rows`` with v = sigma^(1/2) w; ``sigmas`` and ``on`` as in whiten()."""
+    return _multiplied(rows, w, sigma, "v", 0.5, jitter, True, "zca", sigmas, on)
+
+
+def powers(sigmas: DataFrame, on: str, sigma: str, exponent: float, jitter: float, scaled: bool, method: str) -> DataFrame:
+    """``on``, power: each matrix of ``sigmas`` decomposed once. Written, so that it is made once and Spark knows its size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                yield pd.DataFrame({on: part[on], "power": [x.ravel() for x in kernels.power(square(part[sigma]), exponent, jitter, scaled, method=method)]})
+
+    return stored(sigmas.select(on, sigma).mapInPandas(run, f"`{on}` {dict(sigmas.dtypes)[on]}, power array<double>"), "powers")
 
 
-def _multiplied(rows: DataFrame, vector: str, matrix: str, name: str, exponent: float, jitter: float, scaled: bool, method: str) -> DataFrame:
+def _multiplied(rows: DataFrame, vector: str, matrix: str, name: str, exponent: float, jitter: float, scaled: bool, method: str, sigmas: DataFrame | None, on: str) -> DataFrame:
+    if sigmas is not None:
+        return on_blocks(rows, on, powers(sigmas, on, matrix, exponent, jitter, scaled, method), "power", vector, name, lambda x, p: x @ p.reshape(x.shape[1], -1).T)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             if len(part):
@@ -73,5 +87,3 @@ def _multiplied(rows: DataFrame, vector: str, matrix: str, name: str, exponent:
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
     return rows.mapInPandas(run, f"{kinds}, `{name}` array<double>")
-
-

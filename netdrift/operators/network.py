@@ -12,40 +12,56 @@ from . import connect
 OTHER = "Otros"
 
 
+def panel_keys(rows: DataFrame) -> list[str]:
+    """What tells panels apart: panel_id, where the table has one."""
+    return [c for c in connect.keys(rows) if c != "ts"]
+
+
+def month(date: Column) -> Column:
+    return F.trunc(date, "month")
+
+
 def as_of(requests: DataFrame, dates: DataFrame, how: str = "pad") -> DataFrame:
     """``requests`` (request, wanted) with ts: the date that stands for it.
 
     how: 'exact', 'pad' (the last before or at), 'backfill' (the first after or at), 'nearest' (the earlier of two
-    equally near), 'last' (the last of all). Requests outside clamp to the ends, but for 'exact', which gives null.
-    Dates and requests are ordered together, in one task, and each looks along that order: one row per distinct date
-    of a calendar and per request, so some ten thousand rows for a century of days.
+    equally near), 'last' (the last of all). Where ``dates`` has panel_id, requests name their panel. Requests outside clamp to the ends, but for 'exact', which gives null.
+    A panel's dates and requests are ordered within a calendar month; what the months before and after hand over comes from
+    a table of one row per panel and month.
     """
-    marks = dates.select(F.col("ts").alias("at"), F.lit(None).cast("string").alias("request"), F.col("ts").alias("ts")).distinct()
-    asks = requests.select(F.col("wanted").alias("at"), "request", F.lit(None).cast("date").alias("ts"))
-    both = marks.unionByName(asks)
-    order = Window.orderBy("at", F.col("request").isNotNull())
-    back = Window.orderBy("at", F.col("request").isNull())
+    by = panel_keys(dates)
+    marks = dates.select(*by, F.col("ts").alias("at"), F.lit(None).cast("string").alias("request"), F.col("ts").alias("ts")).distinct()
+    asked = requests.select(*by, F.col("wanted").alias("at"), "request", F.lit(None).cast("date").alias("ts"))
+    both = marks.unionByName(asked).withColumn("_m", month(F.col("at")))
+    along = Window.partitionBy(*by, F.lit(0)).orderBy("_m")
+    months = both.groupBy(*by, "_m").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    months = months.withColumns({
+        "_earlier": F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)),
+        "_later": F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)),
+        "final": F.max("_last").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    }).drop("_first", "_last")
+    inside = Window.partitionBy(*by, "_m")
     rows = both.withColumns({
-        "before": F.last("ts", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("ts", ignorenulls=True).over(back.rowsBetween(0, Window.unboundedFollowing)),
-        "final": F.max("ts").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "before": F.last("ts", ignorenulls=True).over(inside.orderBy("at", F.col("request").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)),
+        "after": F.first("ts", ignorenulls=True).over(inside.orderBy("at", F.col("request").isNull()).rowsBetween(0, Window.unboundedFollowing)),
     }).where(F.col("request").isNotNull())
+    rows = rows.join(months, [*by, "_m"]).withColumns({"before": F.coalesce("before", "_earlier"), "after": F.coalesce("after", "_later")})
     nearer = F.when(F.date_diff("at", "before") <= F.date_diff("after", "at"), F.col("before")).otherwise(F.col("after"))
     found = {
         "exact": F.when(F.col("before") == F.col("at"), F.col("before")),
         "pad": F.coalesce("before", "after"),
         "backfill": F.coalesce("after", "before"),
-        "nearest": F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull(), F.col("before")).otherwise(nearer),
+        "nearest": F.coalesce(nearer, "before", "after"),
         "last": F.col("final"),
     }
     if how not in found:
         raise ValueError(f"how must be one of {sorted(found)}")
-    return rows.select("request", F.col("at").alias("wanted"), found[how].alias("ts"))
+    return rows.select(*by, "request", F.col("at").alias("wanted"), found[how].alias("ts"))
 
 
 def theta_as_of(theta: DataFrame, requests: DataFrame, how: str = "pad") -> DataFrame:
-    """theta at the dates that stand for the requests."""
-    return as_of(requests, theta.select("ts").distinct(), how).join(theta, "ts")
+    """theta at the dates that stand for the requests, by panel where theta has panel_id."""
+    return as_of(requests, theta.select(*connect.keys(theta)).distinct(), how).join(theta, connect.keys(theta))
 
 
 def group_of(nodes: DataFrame, groups: DataFrame, column: str = "node") -> DataFrame:
@@ -90,63 +106,74 @@ def significant(lo: Column, hi: Column) -> Column:
 
 
 def node_significance(nodes: DataFrame, bands: DataFrame) -> DataFrame:
-    """``nodes`` (ts, node, ...) with lo, hi and significant from ``bands`` (ts, node, lo, hi)."""
-    return nodes.join(bands, ["ts", "node"]).withColumn("significant", significant(F.col("lo"), F.col("hi")))
+    """``nodes`` (ts, node, ...) with lo, hi and significant from ``bands`` (ts, node, lo, hi); both may have panel_id."""
+    return nodes.join(bands, [*connect.keys(nodes), "node"]).withColumn("significant", significant(F.col("lo"), F.col("hi")))
 
 
 def edge_significance(edges: DataFrame, bands: DataFrame) -> DataFrame:
     """``edges`` with significant from ``bands`` (ts, node, node2, lo, hi); an edge without a band counts as such.
 
-    A band may be told for either orientation of a pair, whose sign does not matter.
+    A band may be told for either orientation of a pair, whose sign does not matter. Both tables may have panel_id.
     """
-    told = bands.select("ts", F.least("node", "node2").alias("_i"), F.greatest("node", "node2").alias("_j"), significant(F.col("lo"), F.col("hi")).alias("_s"))
-    told = told.groupBy("ts", "_i", "_j").agg(F.bool_or("_s").alias("_s"))
+    by = connect.keys(edges)
+    told = bands.select(*by, F.least("node", "node2").alias("_i"), F.greatest("node", "node2").alias("_j"), significant(F.col("lo"), F.col("hi")).alias("_s"))
+    told = told.groupBy(*by, "_i", "_j").agg(F.bool_or("_s").alias("_s"))
     keyed = edges.withColumns({"_i": F.least("source", "target"), "_j": F.greatest("source", "target")})
-    return keyed.join(told, ["ts", "_i", "_j"], "left").withColumn("significant", F.coalesce("_s", F.lit(True))).drop("_i", "_j", "_s")
+    return keyed.join(told, [*by, "_i", "_j"], "left").withColumn("significant", F.coalesce("_s", F.lit(True))).drop("_i", "_j", "_s")
 
 
 def out_strength(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per date and node: the sum of its outgoing weights and its share of the largest; nodes without edges 0."""
-    sums = edges.groupBy("ts", F.col("source").alias("node")).agg(F.sum("weight").alias("strength"))
-    filled = nodes.select("ts", "node").join(sums, ["ts", "node"], "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
-    top = F.max("strength").over(Window.partitionBy("ts"))
+    """Per date and node (and panel): the sum of its outgoing weights and its share of the largest; nodes without edges 0."""
+    by = connect.keys(edges)
+    sums = edges.groupBy(*by, F.col("source").alias("node")).agg(F.sum("weight").alias("strength"))
+    filled = nodes.select(*by, "node").join(sums, [*by, "node"], "left").withColumn("strength", F.coalesce("strength", F.lit(0.0)))
+    top = F.max("strength").over(Window.partitionBy(*by))
     return filled.withColumn("share", F.when(top > 0, F.col("strength") / top).otherwise(0.0))
 
 
 def relative_weight(edges: DataFrame, over_dates: bool = False) -> DataFrame:
-    """weight relative to the largest of its date, or of all dates (a largest of 0 or less counts as 1)."""
+    """weight relative to the largest of its date, or of all of the panel's dates (a largest of 0 or less counts as 1)."""
     if over_dates:
-        top = edges.agg(F.max("weight").alias("_top"))  # one row
-        found = edges.crossJoin(F.broadcast(top))
+        by = panel_keys(edges)
+        top = edges.groupBy(*by).agg(F.max("weight").alias("_top"))
+        found = edges.join(top, by) if by else edges.crossJoin(F.broadcast(top))  # one row without panels
     else:
-        found = edges.withColumn("_top", F.max("weight").over(Window.partitionBy("ts")))
+        found = edges.withColumn("_top", F.max("weight").over(Window.partitionBy(*connect.keys(edges))))
     return found.withColumn("relative", F.col("weight") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)).drop("_top")
 
 
 def every(dates: DataFrame, step: int = 1, wanted: Sequence[str] | None = None) -> DataFrame:
-    """Every ``step``-th of the ordered dates from the first on, or the listed ones. One task numbers the distinct dates."""
+    """Every ``step``-th of the ordered dates (of each panel) from the first on, or the listed ones. Dates are numbered
+    within their month, on top of how many the months before have."""
+    by = panel_keys(dates)
+    found = dates.select(*by, "ts").distinct()
     if wanted is not None:
         listed = dates.sparkSession.createDataFrame([(d,) for d in wanted], "d string").select(F.to_date("d").alias("ts"))
-        return dates.select("ts").distinct().join(listed, "ts", "left_semi")
-    numbered = dates.select("ts").distinct().withColumn("_t", F.row_number().over(Window.orderBy("ts")))
-    return numbered.where((F.col("_t") - 1) % max(1, step) == 0).drop("_t")
+        return found.join(listed, "ts", "left_semi")
+    dealt = found.withColumn("_m", month(F.col("ts")))
+    so_far = F.sum("_n").over(Window.partitionBy(*by, F.lit(0)).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    months = dealt.groupBy(*by, "_m").agg(F.count("*").alias("_n")).select(*by, "_m", F.coalesce(so_far, F.lit(0)).alias("_from"))
+    numbered = dealt.withColumn("_t", F.row_number().over(Window.partitionBy(*by, "_m").orderBy("ts"))).join(months, [*by, "_m"])
+    return numbered.where((F.col("_from") + F.col("_t") - 1) % max(1, step) == 0).select(*by, "ts")
 
 
 def contributions(theta: DataFrame, target: str | None = None, include_self: bool = True, order: Sequence[str] | None = None) -> DataFrame:
-    """ts, to_node, from_node, share: what each node contributes to a target (or to every one), to 100 percent.
+    """ts, to_node, from_node, share: what each node contributes to a target (or to every one), to 100 percent, by panel
+    where theta has panel_id.
 
     ``place`` orders the contributors: those named in ``order`` first and in its order, then the others (by mean share
     where there is no ``order``, by name where there is), with the target itself last.
     """
+    by, of = connect.keys(theta), panel_keys(theta)
     rows = theta if target is None else theta.where(F.col("to_node") == target)
     rows = rows if include_self else rows.where("to_node <> from_node")
-    total = F.sum("theta").over(Window.partitionBy("ts", "to_node"))
-    rows = rows.select("ts", "to_node", "from_node", (100 * F.col("theta") / F.when(total == 0, 1.0).otherwise(total)).alias("share"))
+    total = F.sum("theta").over(Window.partitionBy(*by, "to_node"))
+    rows = rows.select(*by, "to_node", "from_node", (100 * F.col("theta") / F.when(total == 0, 1.0).otherwise(total)).alias("share"))
     own = F.when(F.col("to_node") == F.col("from_node"), 1).otherwise(0)
-    means = rows.groupBy("to_node", "from_node").agg(F.avg("share").alias("mean"))
+    means = rows.groupBy(*of, "to_node", "from_node").agg(F.avg("share").alias("mean"))
     first = F.desc(F.round("mean", 9)) if order is None else F.coalesce(*[F.when(F.col("from_node") == c, i) for i, c in enumerate(order)], F.lit(len(order)))
-    place = F.row_number().over(Window.partitionBy("to_node").orderBy(own, first, "from_node"))
-    return rows.join(means.select("to_node", "from_node", place.alias("place")), ["to_node", "from_node"])
+    place = F.row_number().over(Window.partitionBy(*of, "to_node").orderBy(own, first, "from_node"))
+    return rows.join(means.select(*of, "to_node", "from_node", place.alias("place")), [*of, "to_node", "from_node"])
 
 
 def pair_name(a: Column, b: Column, longest: int = 12) -> Column:

@@ -198,7 +198,7 @@ def n08_node_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pair_bands(theta: DataFrame) -> DataFrame:
     pdc = connect.pairwise(theta).where("to_node < from_node")
-    return pdc.select("ts", F.col("to_node").alias("node"), F.col("from_node").alias("node2"), (F.col("pdc") - 0.1).alias("lo"), (F.col("pdc") + 0.1).alias("hi"))
+    return pdc.select(*connect.keys(theta), F.col("to_node").alias("node"), F.col("from_node").alias("node2"), (F.col("pdc") - 0.1).alias("lo"), (F.col("pdc") + 0.1).alias("hi"))
 
 
 @query
@@ -235,6 +235,26 @@ on_theta("n16_ordered_contributions", lambda theta: network.contributions(theta,
 on_theta("n17_all_contributions", network.contributions)
 
 
+# the same tables of several panels at once
+def on_panel_theta(name: str, job: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(job(panels.priority_flows(spark, sf_dir)))
+
+
+def _asked_panels(theta: DataFrame) -> DataFrame:
+    asked = theta.sparkSession.createDataFrame([(p, r, d) for p in ("1-URGENT", "5-LOW") for r, d in REQUESTS], "panel_id string, request string, wanted string")
+    return network.theta_as_of(theta, asked.withColumn("wanted", F.to_date("wanted")), "nearest")
+
+
+on_panel_theta("n01_theta_as_of_panels", _asked_panels)
+on_panel_theta("n08_node_significance_panels", lambda theta: network.node_significance(connect.net(theta).drop("to_idx", "from_idx"), connect.net(theta).select("panel_id", "ts", "node", (F.col("net_idx") - 2).alias("lo"), (F.col("net_idx") + 2).alias("hi"))))
+on_panel_theta("n09_edge_significance_panels", lambda theta: network.edge_significance(network.net_edges(theta), _pair_bands(theta).where("node <> 'AFRICA'")))
+on_panel_theta("n10_out_strength_panels", lambda theta: network.out_strength(network.net_edges(theta), theta.select("panel_id", "ts", F.col("to_node").alias("node")).distinct()))
+on_panel_theta("n11_relative_weight_panels", lambda theta: network.relative_weight(network.net_edges(theta)).drop("weight"))
+on_panel_theta("n12_relative_over_dates_panels", lambda theta: network.relative_weight(network.net_edges(theta), over_dates=True).drop("weight"))
+on_panel_theta("n13_every_date_panels", lambda theta: network.every(theta, 4))
+on_panel_theta("n17_all_contributions_panels", network.contributions)
+
+
 @query
 def n18_pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
@@ -338,11 +358,10 @@ def m01_positive_definite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matrices.positive_definite(matrices.second_moments(_vectors(spark, sf_dir), "panel_id")).drop("m"))
 
 
-def _with_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """_vectors with sigma, the second moments of all of them."""
-    rows = _vectors(spark, sf_dir).withColumn("whole", F.lit("all"))
-    sigma = matrices.second_moments(rows.select("whole", "u"), "whole").withColumnRenamed("m", "sigma")
-    return rows.join(sigma, "whole").drop("whole")
+def _whole_sigma(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the key that all of them share, and the second moments of all of them under that key."""
+    keyed = rows.withColumn("whole", F.lit("all"))
+    return keyed, matrices.second_moments(keyed, "whole").withColumnRenamed("m", "sigma")
 
 
 def _spread(rows: DataFrame, column: str) -> DataFrame:
@@ -350,27 +369,64 @@ def _spread(rows: DataFrame, column: str) -> DataFrame:
     return rounded(rows.select("panel_id", "vec_id", F.posexplode(column).alias("i", column)))
 
 
+def _whitened(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
+    rows, sigma = _whole_sigma(_vectors(spark, sf_dir))
+    return matrices.whiten(rows, sigmas=sigma, on="whole", **options).drop("whole")
+
+
+def _label_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two components of every vector, and the second moments of each label: 2 x 2, whose roots have a closed form."""
+    rows = _vectors(spark, sf_dir).withColumn("u", F.slice("u", 1, 2))
+    return rows, matrices.second_moments(rows, "panel_id").withColumnRenamed("m", "sigma")
+
+
+@query
+def m01_least_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(matrices.positive_definite(_label_pairs(spark, sf_dir)[1], "sigma").drop("sigma"))
+
+
 @query
 def m02_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(matrices.whiten(_with_sigma(spark, sf_dir)), "w")
+    return _spread(_whitened(spark, sf_dir), "w")
 
 
 @query
 def m02_whiten_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squares of the components: an eigenvector's sign is arbitrary."""
-    white = matrices.whiten(_with_sigma(spark, sf_dir), method="pca", center=False)
+    white = _whitened(spark, sf_dir, method="pca", center=False)
     return _spread(white.withColumn("w", F.transform("w", lambda x: x * x)), "w")
 
 
+@query
+def m02_whiten_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's vectors by the label's own matrix, centred."""
+    rows, sigma = _label_pairs(spark, sf_dir)
+    return _spread(matrices.whiten(rows, sigmas=sigma), "w")
+
+
 @query
 def m03_whiten_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(matrices.whiten(_with_sigma(spark, sf_dir), scaled=True), "w")
+    return _spread(_whitened(spark, sf_dir, scaled=True), "w")
+
+
+@query
+def m03_whiten_scaled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, sigma = _label_pairs(spark, sf_dir)
+    return _spread(matrices.whiten(rows, sigmas=sigma, scaled=True, jitter=1e-3, center=False), "w")
 
 
 @query
 def m04_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    white = matrices.whiten(_with_sigma(spark, sf_dir), scaled=True, center=False)
-    return _spread(matrices.colour(white), "v")
+    """All vectors as they are, coloured by the second moments of all."""
+    rows, sigma = _whole_sigma(_vectors(spark, sf_dir))
+    return _spread(matrices.colour(rows, "u", sigmas=sigma, on="whole"), "v")
+
+
+@query
+def m04_colour_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as they are, coloured by their label's second moments."""
+    rows, sigma = _label_pairs(spark, sf_dir)
+    return _spread(matrices.colour(rows, "u", sigmas=sigma), "v")
 
 
 # models

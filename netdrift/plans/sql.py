@@ -36,6 +36,18 @@ flow AS (
   FROM cells
 )"""
 
+#: theta by month with a panel for each order priority, and net edges of it.
+PANEL_THETA = THETA.replace("SELECT CAST(date_trunc('week'", "SELECT o_orderpriority AS panel_id, CAST(date_trunc('month'").replace("SELECT d.ts,", "SELECT d.panel_id, d.ts,").replace(
+    "SELECT DISTINCT ts FROM flow", "SELECT DISTINCT panel_id, ts FROM flow").replace("ON flow.ts = d.ts", "ON flow.panel_id = d.panel_id AND flow.ts = d.ts").replace(
+    "SELECT ts, to_node, from_node,", "SELECT panel_id, ts, to_node, from_node,").replace("PARTITION BY ts, to_node", "PARTITION BY panel_id, ts, to_node")
+PANEL_EDGES = PANEL_THETA + """, both_ways AS (
+  SELECT x.panel_id, x.ts, x.to_node, x.from_node, x.theta - y.theta AS d
+  FROM theta x JOIN theta y ON x.panel_id = y.panel_id AND x.ts = y.ts AND x.to_node = y.from_node AND x.from_node = y.to_node
+), edges AS (
+  SELECT panel_id, ts, CASE WHEN d > 0 THEN from_node ELSE to_node END AS source, CASE WHEN d > 0 THEN to_node ELSE from_node END AS target, abs(d) AS weight
+  FROM both_ways WHERE to_node < from_node AND d <> 0
+)"""
+
 NATIONS = THETA.replace("'week'", "'month'").replace("rs.r_name AS to_node, rc.r_name AS from_node", "ns.n_name AS to_node, nc.n_name AS from_node").replace(
     "a.r_name AS to_node, b.r_name AS from_node", "a.n_name AS to_node, b.n_name AS from_node").replace(
     "CROSS JOIN region a CROSS JOIN region b", "CROSS JOIN nation a CROSS JOIN nation b").replace(
@@ -193,6 +205,24 @@ def rw(tables: str, select: str) -> str:
 
 
 #: Panels packed by date, five series each.
+def label_roots(jitter: str, select: str) -> str:
+    """Vectors of two components with the entries a, b, d of their label's 2 x 2 second moments, jitter added, det its root
+    of the determinant and tr the root of trace + 2 det: sigma^(1/2) = (sigma + det I) / tr, sigma^(-1/2) = (adj(sigma) + det I) / (det tr)."""
+    return f"""
+WITH vectors AS (
+  SELECT CAST(label AS VARCHAR) AS panel_id, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings WHERE embedding IS NOT NULL
+), moments AS (SELECT panel_id, avg(x * x) AS a, avg(x * y) AS b, avg(y * y) AS d FROM vectors GROUP BY panel_id),
+stirred AS (SELECT panel_id, a + {jitter} AS a, b, d + {jitter} AS d FROM moments),
+roots AS (SELECT *, sqrt(a * d - b * b) AS det, sqrt(a + d + 2 * sqrt(a * d - b * b)) AS tr FROM stirred),
+white AS (SELECT panel_id, vec_id, ((d + det) * x - b * y) / (det * tr) AS w0, ((a + det) * y - b * x) / (det * tr) AS w1,
+          ((a + det) * x + b * y) / tr AS v0, ((d + det) * y + b * x) / tr AS v1 FROM vectors JOIN roots USING (panel_id))
+{select}"""
+
+
+def both(first: str, second: str, name: str, source: str = "white") -> str:
+    return f"SELECT panel_id, vec_id, CAST(0 AS INTEGER) AS i, {r6(first, name)} FROM {source} UNION ALL SELECT panel_id, vec_id, CAST(1 AS INTEGER) AS i, {r6(second, name)} FROM {source}"
+
+
 PACKED = PANEL + """, packed AS (SELECT panel_id, t, list(value ORDER BY pos) AS y FROM panel GROUP BY panel_id, t)"""
 
 
@@ -339,7 +369,10 @@ SELECT panel_id, {r6('stat', 'stat')}, {r6(chi2_tail('stat', '125'), 'p')} FROM
     "k01_ols_prior": rw(PACKED + """, zs AS (SELECT panel_id, t, lag(y) OVER (PARTITION BY panel_id ORDER BY t) || [1.0::DOUBLE] || y AS z FROM packed),
 complete AS (SELECT panel_id, z FROM zs WHERE t BETWEEN 2 AND 251), """ + products("gram", "complete", "panel_id", 11) + ", " + swept("fit", "gram", "panel_id", 11, 6), f"""
 SELECT panel_id, CAST((e - 1) * 6 + r - 1 AS INTEGER) AS i, {r6('m[r][6 + e]', 'b')} FROM fit CROSS JOIN (SELECT unnest(range(1, 6)) AS e) CROSS JOIN (SELECT unnest(range(1, 7)) AS r)"""),
-    "m04_colour": f"SELECT CAST(label AS VARCHAR) AS panel_id, vec_id, CAST(i AS INTEGER) AS i, {r6('CAST(embedding[i + 1] AS DOUBLE)', 'v')} FROM (SELECT label, vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings WHERE embedding IS NOT NULL)",
+    "m01_least_eigenvalues": label_roots("0.0", f"SELECT panel_id, true AS ok, {r6('(a + d - sqrt((a - d) * (a - d) + 4 * b * b)) / 2', 'least_eigenvalue')}, 'ok' AS reason FROM moments"),
+    "m02_whiten_labels": label_roots("1e-10", both("w0 - avg(w0) OVER (PARTITION BY panel_id)", "w1 - avg(w1) OVER (PARTITION BY panel_id)", "w")),
+    "m03_whiten_scaled_labels": label_roots("1e-3 * (a + d) / 2", both("w0", "w1", "w")),
+    "m04_colour_labels": label_roots("1e-10 * (a + d) / 2", both("v0", "v1", "v")),
     "n01_theta_as_of": w(THETA + ", " + REQUESTS, f"""
 , d AS (SELECT request, wanted, CASE WHEN before IS NULL THEN after WHEN after IS NULL THEN before WHEN date_diff('day', before, wanted) <= date_diff('day', wanted, after) THEN before ELSE after END AS ts
   FROM requests LEFT JOIN LATERAL (SELECT max(ts) FILTER (ts <= wanted) AS before, min(ts) FILTER (ts >= wanted) AS after FROM dates) x ON true)
@@ -443,6 +476,27 @@ FROM grouped x JOIN grouped y ON x.ts = y.ts AND x.to_node = y.from_node AND x.f
 , s AS (SELECT ts, to_node, from_node, 100 * theta / CASE WHEN sum(theta) OVER (PARTITION BY ts, to_node) = 0 THEN 1 ELSE sum(theta) OVER (PARTITION BY ts, to_node) END AS share FROM theta),
 o AS (SELECT to_node, from_node, CAST(row_number() OVER (PARTITION BY to_node ORDER BY CASE WHEN to_node = from_node THEN 1 ELSE 0 END, round(avg(share), 9) DESC, from_node) AS INTEGER) AS place FROM s GROUP BY to_node, from_node)
 SELECT ts, to_node, from_node, {r6('share', 'share')}, place FROM s JOIN o USING (to_node, from_node)"""),
+    "n01_theta_as_of_panels": w(PANEL_THETA + ", " + REQUESTS.replace("dates AS", "_ignored AS"), f"""
+, dates AS (SELECT DISTINCT panel_id, ts FROM theta), asked AS (SELECT * FROM requests, (VALUES ('1-URGENT'), ('5-LOW')) p(panel_id)),
+near AS (SELECT asked.panel_id, request, wanted, arg_min(ts, (abs(date_diff('day', ts, wanted)), ts)) AS ts FROM asked JOIN dates USING (panel_id) GROUP BY ALL)
+SELECT panel_id, request, wanted, ts, to_node, from_node, {r6('theta', 'theta')} FROM near JOIN theta USING (panel_id, ts)"""),
+    "n08_node_significance_panels": w(PANEL_EDGES, f"""
+, net AS (SELECT panel_id, ts, from_node AS node, 100 * sum(d) / 5 AS v FROM both_ways GROUP BY ALL)
+SELECT panel_id, ts, node, {r6('v', 'net_idx')}, {r6('v - 2', 'lo')}, {r6('v + 2', 'hi')}, v - 2 > 0 OR v + 2 < 0 AS significant FROM net"""),
+    "n09_edge_significance_panels": w(PANEL_EDGES, f"""
+SELECT e.panel_id, e.ts, source, target, {r6('weight', 'weight')}, coalesce(d - 0.1 > 0 OR d + 0.1 < 0, true) AS significant
+FROM edges e LEFT JOIN both_ways b ON b.panel_id = e.panel_id AND b.ts = e.ts AND b.to_node = least(source, target) AND b.from_node = greatest(source, target) AND b.to_node <> 'AFRICA'"""),
+    "n10_out_strength_panels": w(PANEL_EDGES, f"""
+, nodes AS (SELECT DISTINCT panel_id, ts, to_node AS node FROM theta), st AS (SELECT panel_id, ts, source AS node, sum(weight) AS s FROM edges GROUP BY ALL),
+f AS (SELECT nodes.panel_id, nodes.ts, nodes.node, coalesce(s, 0.0) AS s FROM nodes LEFT JOIN st USING (panel_id, ts, node))
+SELECT panel_id, ts, node, {r6('s', 'strength')}, {r6('CASE WHEN max(s) OVER (PARTITION BY panel_id, ts) > 0 THEN s / max(s) OVER (PARTITION BY panel_id, ts) ELSE 0 END', 'share')} FROM f"""),
+    "n11_relative_weight_panels": w(PANEL_EDGES, f"SELECT panel_id, ts, source, target, {r6('weight / max(weight) OVER (PARTITION BY panel_id, ts)', 'relative')} FROM edges"),
+    "n12_relative_over_dates_panels": w(PANEL_EDGES, f"SELECT panel_id, ts, source, target, {r6('weight / max(weight) OVER (PARTITION BY panel_id)', 'relative')} FROM edges"),
+    "n13_every_date_panels": w(PANEL_THETA, "SELECT panel_id, ts FROM (SELECT panel_id, ts, row_number() OVER (PARTITION BY panel_id ORDER BY ts) AS i FROM (SELECT DISTINCT panel_id, ts FROM theta)) WHERE (i - 1) % 4 = 0"),
+    "n17_all_contributions_panels": w(PANEL_THETA, f"""
+, s AS (SELECT panel_id, ts, to_node, from_node, 100 * theta / CASE WHEN sum(theta) OVER r = 0 THEN 1 ELSE sum(theta) OVER r END AS share FROM theta WINDOW r AS (PARTITION BY panel_id, ts, to_node)),
+o AS (SELECT panel_id, to_node, from_node, CAST(row_number() OVER (PARTITION BY panel_id, to_node ORDER BY CASE WHEN to_node = from_node THEN 1 ELSE 0 END, round(avg(share), 9) DESC, from_node) AS INTEGER) AS place FROM s GROUP BY panel_id, to_node, from_node)
+SELECT panel_id, ts, to_node, from_node, {r6('share', 'share')}, place FROM s JOIN o USING (panel_id, to_node, from_node)"""),
     "n18_pair_names": "SELECT a.n_name AS a, b.n_name AS b, substr(a.n_name, 1, 12) || ' vs ' || substr(b.n_name, 1, 12) AS pair FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
     "e01_zones": w(TCI, f"""
 , p AS (SELECT quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM tci WHERE t > 200)

@@ -69,21 +69,30 @@ def nation_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flows(lines, orders, customer, supplier, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", month)
 
 
-def _flows(lines, orders, customer, supplier, places: DataFrame, name: str, period) -> DataFrame:
+def priority_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly theta between regions as region_flows, one panel for each order priority."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "panel_id")
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    return _flows(lines, orders, customer, supplier, places, "r_name", month, ["panel_id"])
+
+
+def _flows(lines, orders, customer, supplier, places: DataFrame, name: str, period, by: list[str] | None = None) -> DataFrame:
+    by = by or []
     buyers = customer.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col(name).alias("from_node"))
     sellers = supplier.join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col(name).alias("to_node"))
     flow = (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
         .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(period("l_shipdate").alias("ts"), "to_node", "from_node")
+        .groupBy(*by, period("l_shipdate").alias("ts"), "to_node", "from_node")
         .agg(F.sum("l_extendedprice").alias("w"))
     )
     nodes = places.select(F.col(name).alias("to_node")).distinct()  # a dimension of fixed size
-    grid = flow.select("ts").distinct().crossJoin(F.broadcast(nodes)).crossJoin(F.broadcast(nodes.withColumnRenamed("to_node", "from_node")))
-    filled = grid.join(flow, ["ts", "to_node", "from_node"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    row = F.sum("w").over(Window.partitionBy("ts", "to_node"))
-    return filled.select("ts", "to_node", "from_node", F.when(row > 0, F.col("w") / row).otherwise(F.lit(0.0)).alias("theta"))
+    grid = flow.select(*by, "ts").distinct().crossJoin(F.broadcast(nodes)).crossJoin(F.broadcast(nodes.withColumnRenamed("to_node", "from_node")))
+    filled = grid.join(flow, [*by, "ts", "to_node", "from_node"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    row = F.sum("w").over(Window.partitionBy(*by, "ts", "to_node"))
+    return filled.select(*by, "ts", "to_node", "from_node", F.when(row > 0, F.col("w") / row).otherwise(F.lit(0.0)).alias("theta"))
 
 
 def nation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
