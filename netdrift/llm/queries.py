@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, license_scan, line_dedup, media, near_dedup, packing, sharding, topk, toxicity
+from . import bpe, html_text, langid, lexical, license_scan, line_dedup, media, near_dedup, packing, sharding, topk, toxicity, whitening
 from .common import table
 
 
@@ -62,6 +62,21 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of highest lexical score for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 leading components of all, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
+    "op11_lexical": op11_lexical,
+    "op12_html": op12_html,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
@@ -90,6 +108,27 @@ WITH whole AS (
   FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 5""",
+    "op11_lexical": r"""
+WITH terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS row FROM documents)
+), counts AS (SELECT row, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM counts GROUP BY row),
+whole AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+frequencies AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)) GROUP BY ALL
+), weighted AS (
+  SELECT item_id, term, times * CAST(floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM asked JOIN frequencies USING (term), whole
+), scored AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM weighted JOIN counts USING (term) JOIN sizes USING (row), whole WHERE doc_id IS NOT NULL GROUP BY ALL
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20""",
     "op7_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

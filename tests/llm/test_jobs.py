@@ -458,7 +458,7 @@ def test_queries_match_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         found = queries.QUERIES[name](spark, SF)
