@@ -92,7 +92,7 @@ PAGES = {
              "another day with a few more words of <a href=2>the story</a> that stayed untold.</p></div><div class=sidebar><p>More stories for you to read today.</p></div><div id=comments><p>I liked this story a lot, and "
              "will come back for more of them.</p></div>", "What happened then\nIt was a long story that nobody wanted to tell, though many people knew it.\nSo it goes.\nThen there came another day with a few more words of the story that stayed untold."),
     "comments": ("<main><p>Text.</p><section class='user-comments'><article class='comment'>I do not agree.</article></section><form><p>Write to us</p></form><p hidden>x</p><p style='display: none'>y</p><!-- <p>z</p> --></main>", "Text."),
-    "broken": ("<article><p title='a > b'>one</p><p class=\"two>three</p><p>four &lt;five&gt; &notanentity; &#x41;&#66;<", "one\nthree\nfour <five> &notanentity; AB<"),
+    "broken": ("<article><p title='a > b'>one</p><p class=\"two>three</p><p>four &lt;five&gt; &nosuch; &#x41;&#66;<", "one\nthree\nfour <five> &nosuch; AB<"),
     "empty": ("<html><body></body></html>", ""), "plain": ("", ""), "links": ("<ul><li><a href=a>a b</a></li><li><a href=b>c d</a></li></ul>", ""),
     "end tags left out": ("<article><ul><li>one<li class=ad>two<li>three</ul><table><tr><td>four<td>five</table>", "one\nthree\nfour\nfive"),
     "raw end": ("<article><p>kept</p><script>never closed <p>lost</p>", "kept"),
