@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from netdrift.functions import special
 
-from .panel import ALONG, along
+from .order import each_row, positions, value_ranks, with_history
+from .panel import ALONG
 
 TINY = 1e-12
 
@@ -49,16 +50,19 @@ def correlation(panel: DataFrame) -> DataFrame:
     return pairs(panel).groupBy("panel_id", "a", "b").agg(corr("x", "y").alias("corr"), F.count("*").alias("n"))
 
 
-def _average_rank(column: str) -> Column:
-    pair = Window.partitionBy("panel_id", "a", "b")
-    ties = F.count("*").over(pair.partitionBy("panel_id", "a", "b", column))
-    return F.rank().over(pair.orderBy(column)) + (ties - 1) / 2
-
-
 def rank_correlation(panel: DataFrame) -> DataFrame:
-    """Spearman correlation of each pair: Pearson's of the average ranks."""
-    ranked = pairs(panel).withColumns({"x": _average_rank("x"), "y": _average_rank("y")})
-    return ranked.groupBy("panel_id", "a", "b").agg(corr("x", "y").alias("corr"), F.count("*").alias("n"))
+    """Spearman correlation of each pair: Pearson's of the average ranks, (rows below) + (rows of the value + 1) / 2.
+
+    Rows of equal values are counted first and met by both ranks; their number weighs them.
+    """
+    by = ["panel_id", "a", "b"]
+    rows = pairs(panel)
+    counted = rows.groupBy(*by, "x", "y").agg(F.count("*").cast("double").alias("w"))
+    rank = {v: value_ranks(rows, by, v).select(*by, v, (F.col("below") + (F.col("m") + 1) / 2 - (F.col("n") + 1) / 2).alias(f"r{v}")) for v in ("x", "y")}
+    met = counted.join(rank["x"], [*by, "x"]).join(rank["y"], [*by, "y"])
+    product = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))  # noqa: E731  # ranks are about their mean already
+    scale = F.sqrt(product("rx", "rx")) * F.sqrt(product("ry", "ry"))
+    return met.groupBy(*by).agg(F.try_divide(product("rx", "ry"), scale).alias("corr"), F.sum("w").cast("long").alias("n"))
 
 
 def kendall_tau(panel: DataFrame) -> DataFrame:
@@ -72,18 +76,21 @@ def kendall_tau(panel: DataFrame) -> DataFrame:
 
 def rolling_volatility(panel: DataFrame, window: int = 60) -> DataFrame:
     """Sample deviation over the last ``window`` rows; rows before the first full window go."""
-    frame = along().rowsBetween(-(window - 1), 0)
-    rows = panel.withColumns({"volatility": F.stddev_samp("value").over(frame), "_n": F.count("value").over(frame)})
-    return rows.where(F.col("_n") == window).select("panel_id", "series", "ts", "t", "volatility")
+    dealt, own, order = with_history(panel, ALONG, window - 1)
+    frame = order.rowsBetween(-(window - 1), 0)
+    rows = dealt.withColumns({"volatility": F.stddev_samp("value").over(frame), "_n": F.count("value").over(frame)})
+    return rows.where(own & (F.col("_n") == window)).select("panel_id", "series", "ts", "t", "volatility")
 
 
 def rolling_correlation(panel: DataFrame, window: int = 252) -> DataFrame:
     """Correlation of each pair over its last ``window`` common rows, beside that of all its rows; ``above`` compares them to nine places."""
-    by = Window.partitionBy("panel_id", "a", "b")
-    frame = by.orderBy("ts").rowsBetween(-(window - 1), 0)
-    rows = pairs(panel).withColumns({"rolling": corr("x", "y", frame), "_n": F.count("*").over(frame), "static": corr("x", "y", by)})
-    kept = rows.where(F.col("_n") == window)
-    return kept.select("panel_id", "a", "b", "ts", "rolling", "static", (F.round("rolling", 9) >= F.round("static", 9)).alias("above"))
+    by = ["panel_id", "a", "b"]
+    rows = positions(pairs(panel).drop("t"), by, "ts")
+    static = rows.groupBy(*by).agg(corr("x", "y").alias("static"))
+    dealt, own, order = with_history(rows, by, window - 1)
+    frame = order.rowsBetween(-(window - 1), 0)
+    kept = dealt.withColumns({"rolling": corr("x", "y", frame), "_n": F.count("*").over(frame)}).where(own & (F.col("_n") == window)).join(static, by)
+    return kept.select(*by, "ts", "rolling", "static", (F.round("rolling", 9) >= F.round("static", 9)).alias("above"))
 
 
 def histogram(panel: DataFrame, bins: int = 60, standardize: bool = False) -> DataFrame:
@@ -118,8 +125,9 @@ def box(panel: DataFrame) -> DataFrame:
 
 
 def _ranked(panel: DataFrame) -> DataFrame:
-    by = Window.partitionBy(*ALONG)
-    return panel.withColumns({"i": F.row_number().over(by.orderBy("value")), "n": F.count("*").over(by), "mu": F.avg("value").over(by), "sd": F.greatest(F.stddev_samp("value").over(by), F.lit(TINY))})
+    """value_ranks() of each series with its mean mu and deviation sd."""
+    scale = panel.groupBy(*ALONG).agg(F.avg("value").alias("mu"), F.greatest(F.stddev_samp("value"), F.lit(TINY)).alias("sd"))
+    return value_ranks(panel, ALONG, "value").join(scale, list(ALONG))
 
 
 def normal_quantile(p: Column) -> Column:
@@ -132,7 +140,7 @@ def normal_cdf(z: Column) -> Column:
 
 def qq_fit(panel: DataFrame) -> DataFrame:
     """Line through ordered values against the medians of normal order statistics: slope, intercept, r."""
-    rows = _ranked(panel)
+    rows = each_row(_ranked(panel), ALONG, "value")
     half = F.pow(F.lit(0.5), 1 / F.col("n"))
     median = F.when(F.col("i") == F.col("n"), half).when(F.col("i") == 1, 1 - half).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
     rows = rows.withColumn("q", normal_quantile(median))
@@ -141,28 +149,29 @@ def qq_fit(panel: DataFrame) -> DataFrame:
 
 def qq_points(panel: DataFrame) -> DataFrame:
     """Ordered z-scores against the approximate normal quantile of (i - 1/2) / T."""
-    rows = _ranked(panel)
+    rows = each_row(_ranked(panel), ALONG, "value")
     approximate = F.pandas_udf(lambda s: pd.Series(np.sqrt(2) * special.approximate_erfinv(2 * s.to_numpy() - 1)), "double")
     return rows.select(*ALONG, "i", approximate((F.col("i") - 0.5) / F.col("n")).alias("theory"), ((F.col("value") - F.col("mu")) / F.col("sd")).alias("z"))
 
 
 def ranked_normal(panel: DataFrame) -> DataFrame:
-    """The panel ranked inside each series (i of n), with f, the normal distribution at the z-score, clipped off 0 and 1."""
-    rows = _ranked(panel)
+    """The distinct values of each series (m rows each, ``below`` of n before them), with f, the normal distribution at the
+    z-score, clipped off 0 and 1."""
     p = normal_cdf((F.col("value") - F.col("mu")) / F.col("sd"))
-    return rows.withColumn("f", F.greatest(F.least(p, F.lit(1 - TINY)), F.lit(TINY)))
+    return _ranked(panel).withColumn("f", F.greatest(F.least(p, F.lit(1 - TINY)), F.lit(TINY)))
 
 
 def pp_points(panel: DataFrame) -> DataFrame:
     """Empirical share i / T against the normal distribution at the ordered z-scores, clipped off 0 and 1."""
-    return ranked_normal(panel).select(*ALONG, "i", (F.col("i") / F.col("n")).alias("empirical"), F.col("f").alias("normal"))
+    return each_row(ranked_normal(panel), ALONG, "value").select(*ALONG, "i", (F.col("i") / F.col("n")).alias("empirical"), F.col("f").alias("normal"))
 
 
 def autocorrelation(panel: DataFrame, lags: int = 24, square: bool = False) -> DataFrame:
-    """series, lag, acf for lags 1 to ``lags``; 0 where a series does not vary. One sort serves all lags."""
+    """series, lag, acf for lags 1 to ``lags``; 0 where a series does not vary. One sort of each block serves all lags."""
     value = F.col("value") * F.col("value") if square else F.col("value")
-    rows = panel.withColumn("d", value - F.avg(value).over(Window.partitionBy(*ALONG)))
-    rows = rows.withColumns({f"_{k}": F.lag("d", k).over(along()) for k in range(1, lags + 1)})
+    means = panel.groupBy(*ALONG).agg(F.avg(value).alias("_mu"))
+    dealt, own, order = with_history(panel.join(means, list(ALONG)).withColumn("d", value - F.col("_mu")), ALONG, lags)
+    rows = dealt.withColumns({f"_{k}": F.lag("d", k).over(order) for k in range(1, lags + 1)}).where(own)
     sums = rows.groupBy(*ALONG).agg(F.sum(F.col("d") * F.col("d")).alias("_0"), F.array(*[F.sum(F.col("d") * F.col(f"_{k}")) for k in range(1, lags + 1)]).alias("c"))
     found = sums.select(*ALONG, "_0", F.posexplode("c").alias("k", "c"))
     return found.select(*ALONG, (F.col("k") + 1).alias("lag"), F.when(F.col("_0") < TINY, F.lit(0.0)).otherwise(F.coalesce(F.col("c"), F.lit(0.0)) / F.col("_0")).alias("acf"))
@@ -176,16 +185,18 @@ def acf_bound(panel: DataFrame, lags: int = 40) -> DataFrame:
 
 def cross_correlation(panel: DataFrame, lags: int = 24) -> DataFrame:
     """a, b, lag, ccf for lags -L to L: b ``lag`` rows after a; and the band 1.96 / sqrt(T)."""
-    by = Window.partitionBy("panel_id", "a", "b")
-    rows = pairs(panel).withColumns({"x": F.col("x") - F.avg("x").over(by), "y": F.col("y") - F.avg("y").over(by)})
-    order = by.orderBy("ts")
-    shifted = rows.withColumns({f"_{k + lags}": F.lead("y", k).over(order) if k >= 0 else F.lag("y", -k).over(order) for k in range(-lags, lags + 1)})
-    sums = shifted.groupBy("panel_id", "a", "b").agg(
+    by = ["panel_id", "a", "b"]
+    found = pairs(panel).drop("t")
+    means = found.groupBy(*by).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    rows = positions(found, by, "ts").join(means, by).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")})
+    dealt, own, order = with_history(rows, by, lags, lags)
+    shifted = dealt.withColumns({f"_{k + lags}": F.lead("y", k).over(order) if k >= 0 else F.lag("y", -k).over(order) for k in range(-lags, lags + 1)}).where(own)
+    sums = shifted.groupBy(*by).agg(
         F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))), F.lit(TINY)).alias("norm"), F.count("*").alias("n"),
         F.array(*[F.sum(F.col("x") * F.col(f"_{k}")) for k in range(2 * lags + 1)]).alias("c"),
     )
-    found = sums.select("panel_id", "a", "b", "norm", "n", F.posexplode("c").alias("k", "c"))
-    return found.select("panel_id", "a", "b", (F.col("k") - lags).alias("lag"), (F.coalesce("c", F.lit(0.0)) / F.col("norm")).alias("ccf"), (1.96 / F.sqrt("n")).alias("band"))
+    told = sums.select(*by, "norm", "n", F.posexplode("c").alias("k", "c"))
+    return told.select(*by, (F.col("k") - lags).alias("lag"), (F.coalesce("c", F.lit(0.0)) / F.col("norm")).alias("ccf"), (1.96 / F.sqrt("n")).alias("band"))
 
 
 def moment_columns() -> list[Column]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from netdrift.functions import special, stats
 
 from . import describe
+from .order import with_history
 from .panel import ALONG
 from .sums import array_sums, blocks_of
 
@@ -59,15 +60,19 @@ def ordered_sums(panel: DataFrame) -> DataFrame:
 
     With F the clipped normal distribution at the i-th of n ordered z-scores: ad, the mean of
     (2i - 1) ln F + (2n + 1 - 2i) ln(1 - F), which is Anderson and Darling's sum with its mirrored half told by the
-    same row; d, the largest gap to the empirical steps; and w2, Cramer and von Mises' statistic.
+    same row; d, the largest gap to the empirical steps; and w2, Cramer and von Mises' statistic. The m rows of one value
+    share F and are summed at once: with c rows before them, sums of 2i - 1 and of its square are differences of
+    (c + m)^2 - c^2 and of i (4 i^2 - 1) / 3.
     """
     rows = describe.ranked_normal(panel)
-    i, n, f = F.col("i"), F.col("n"), F.col("f")
-    gap = F.greatest(i / n - f, f - (i - 1) / n)
-    return rows.groupBy(*ALONG).agg(
-        *describe.moment_columns(), F.avg((2 * i - 1) * F.log(f) + (2 * n + 1 - 2 * i) * F.log(1 - f)).alias("ad"),
-        F.max(gap).alias("d"), (1 / (12 * F.first("n")) + F.sum((f - (2 * i - 1) / (2 * n)) ** 2)).alias("w2"),
-    )
+    c, m, n, f = F.col("below").cast("double"), F.col("m").cast("double"), F.col("n").cast("double"), F.col("f")
+    odd = m * (2 * c + m)
+    cubes = lambda i: i * (4 * i * i - 1) / 3
+    gap = F.greatest((c + m) / n - f, f - c / n)
+    apart = m * f * f - f * odd / n + (cubes(c + m) - cubes(c)) / (4 * n * n)
+    sums = rows.groupBy(*ALONG).agg(
+        (F.sum(odd * F.log(f) + (2 * n * m - odd) * F.log(1 - f)) / F.first("n")).alias("ad"), F.max(gap).alias("d"), (1 / (12 * F.first("n")) + F.sum(apart)).alias("w2"))
+    return describe.moments(panel).join(sums, list(ALONG))
 
 
 def with_anderson_darling(sums: DataFrame) -> DataFrame:
@@ -129,9 +134,8 @@ def normality_report(panel: DataFrame, draws: int = 500) -> DataFrame:
 
 def arch_lm(panel: DataFrame, lags: int = 5) -> DataFrame:
     """LM test of the squares on their lags. Spark sums the cross products; a small solve per series finishes."""
-    order = Window.partitionBy(*ALONG).orderBy("t")
-    rows = panel.withColumn("_s0", F.col("value") * F.col("value"))
-    rows = rows.withColumns({f"_s{k}": F.lag("_s0", k).over(order) for k in range(1, lags + 1)}).where(F.col(f"_s{lags}").isNotNull()).withColumn("_c", F.lit(1.0))
+    rows, own, order = with_history(panel.withColumn("_s0", F.col("value") * F.col("value")), ALONG, lags)
+    rows = rows.withColumns({f"_s{k}": F.lag("_s0", k).over(order) for k in range(1, lags + 1)}).where(own & F.col(f"_s{lags}").isNotNull()).withColumn("_c", F.lit(1.0))
     names = ["_c", *[f"_s{k}" for k in range(1, lags + 1)], "_s0"]
     sums = rows.groupBy(*ALONG).agg(F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).alias("g"))
 
@@ -165,10 +169,9 @@ def suggest_block_lengths(panel: DataFrame, max_lag: int = 24) -> DataFrame:
 
 def lagged(packed: DataFrame, lags: int, column: str = "y", transform: Callable[[Column], Column] | None = None) -> DataFrame:
     """panel_id, t, z: z is an array of the row (after ``transform``) and of the rows 1 to ``lags`` before, null where there is none."""
-    order = Window.partitionBy("panel_id").orderBy("t")
     value = F.col(column) if transform is None else transform(F.col(column))
-    rows = packed.select("panel_id", "t", value.alias("v"))
-    return rows.select("panel_id", "t", F.array("v", *[F.lag("v", k).over(order) for k in range(1, lags + 1)]).alias("z"))
+    rows, own, order = with_history(packed.select("panel_id", "t", value.alias("v")), ["panel_id"], lags)
+    return rows.withColumn("z", F.array("v", *[F.lag("v", k).over(order) for k in range(1, lags + 1)])).where(own).select("panel_id", "t", "z")
 
 
 def summed(rows: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray], finish: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:

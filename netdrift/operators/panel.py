@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ALONG = ("panel_id", "series")
-
+from .order import positions, with_history
 
-def along() -> Window:
-    return Window.partitionBy(*ALONG).orderBy("t")
+ALONG = ("panel_id", "series")
 
 
 def choose_series(panel: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -62,21 +60,19 @@ def numeric_columns(df: DataFrame, least: int = 2) -> DataFrame:
 
 def pack(panel: DataFrame) -> DataFrame:
     """panel_id, ts, t, y: the values of a date in the order of pos; dates that lack a series go."""
-    n = F.max(F.size("packed")).over(Window.partitionBy("panel_id"))
     rows = panel.groupBy("panel_id", "ts").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("packed"))
-    rows = rows.withColumn("n", n).where(F.size("packed") == F.col("n"))
-    ordinal = F.row_number().over(Window.partitionBy("panel_id").orderBy("ts")).cast("long")
-    return rows.select("panel_id", "ts", ordinal.alias("t"), F.transform("packed", lambda x: x["value"]).alias("y"))
+    rows = rows.join(rows.groupBy("panel_id").agg(F.max(F.size("packed")).alias("_n")), "panel_id").where(F.size("packed") == F.col("_n"))
+    return positions(rows.select("panel_id", "ts", F.transform("packed", lambda x: x["value"]).alias("y")), ["panel_id"], "ts").select("panel_id", "ts", "t", "y")
 
 
 def lagged_design(packed: DataFrame, p: int = 1, add_const: bool = True) -> DataFrame:
     """panel_id, ts, t, y, x: x holds y of 1 to p rows before and a final 1; the first p rows of a panel go."""
     if p < 1:
         raise ValueError("p must be 1 or more")
-    before = Window.partitionBy("panel_id").orderBy("t")
-    lags = [F.lag("y", i).over(before) for i in range(1, p + 1)]
+    dealt, own, order = with_history(packed, ["panel_id"], p)
+    lags = [F.lag("y", i).over(order) for i in range(1, p + 1)]
     x = F.concat(*lags, F.array(F.lit(1.0))) if add_const else F.concat(*lags)
-    return packed.withColumn("x", x).where(F.col("t") > p).select("panel_id", "ts", "t", "y", "x")
+    return dealt.withColumn("x", x).where(own & (F.col("t") > p)).select("panel_id", "ts", "t", "y", "x")
 
 
 def common_sample(design: DataFrame, max_p: int) -> DataFrame:

@@ -16,7 +16,7 @@ HELD = 32 << 20
 BLOCK_ROWS = 4096
 
 
-def array_sums(rows: DataFrame, by: str, sums: Callable[[pd.DataFrame], np.ndarray], kind: str = "double", held: int = HELD) -> DataFrame:
+def array_sums(rows: DataFrame, by: str | list[str], sums: Callable[[pd.DataFrame], np.ndarray], kind: str = "double", held: int = HELD) -> DataFrame:
     """``by``, s: the total of ``sums``, an array of a fixed length that is taken of the rows of a key that a batch holds.
 
     A task adds up its batches and tells each key once, or, where the sums of very many keys take over ``held``
@@ -24,14 +24,15 @@ def array_sums(rows: DataFrame, by: str, sums: Callable[[pd.DataFrame], np.ndarr
     shuffle is a (key, place), so neither many tasks nor many rows of a key meet in one group. Only the cells of a
     finished array come together.
     """
+    by = [by] if isinstance(by, str) else list(by)
     dtype = np.int64 if kind == "bigint" else np.float64
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[object, np.ndarray] = {}
+        total: dict[tuple, np.ndarray] = {}
         size = 0
 
         def told() -> pd.DataFrame:
-            return pd.DataFrame({by: list(total), "s": list(total.values())})
+            return pd.DataFrame({**{c: [key[i] for key in total] for i, c in enumerate(by)}, "s": list(total.values())})
 
         for batch in batches:
             for key, own in batch.groupby(by, sort=False, dropna=False):
@@ -47,10 +48,10 @@ def array_sums(rows: DataFrame, by: str, sums: Callable[[pd.DataFrame], np.ndarr
         if total:
             yield told()
 
-    key = f"`{by}` {dict(rows.dtypes)[by]}"
-    cells = rows.mapInPandas(partial, f"{key}, s array<{kind}>").select(by, F.posexplode("s").alias("_i", "_v"))
-    added = cells.groupBy(by, "_i").agg(F.sum("_v").alias("_v"))
-    return added.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("s"))
+    keys = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in by)
+    cells = rows.mapInPandas(partial, f"{keys}, s array<{kind}>").select(*by, F.posexplode("s").alias("_i", "_v"))
+    added = cells.groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
+    return added.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("s"))
 
 
 def blocks_of(rows: DataFrame, by: str, size: int = BLOCK_ROWS) -> DataFrame:

@@ -219,6 +219,39 @@ white AS (SELECT panel_id, vec_id, ((d + det) * x - b * y) / (det * tr) AS w0, (
 {select}"""
 
 
+#: Residuals e of each series: about its mean, or of the regression on the row before and a constant; their products at all lags under 400.
+def _residual_products(residuals: str) -> str:
+    return PANEL + f""", {residuals}, products AS (
+  SELECT a.panel_id, a.series, k, sum(a.e * b.e) AS c FROM e a JOIN (SELECT unnest(range(0, 400)) AS k) ON true
+  JOIN e b ON a.panel_id = b.panel_id AND a.series = b.series AND b.t = a.t - k GROUP BY ALL
+)"""
+
+
+KPSS = w(_residual_products("e AS (SELECT panel_id, series, t, value - avg(value) OVER (PARTITION BY panel_id, series) AS e, count(*) OVER (PARTITION BY panel_id, series) AS n FROM panel)"), f"""
+, sizes AS (SELECT panel_id, series, any_value(n) AS n FROM e GROUP BY ALL),
+first AS (SELECT panel_id, series, n, sum(CASE WHEN k = 0 THEN c / n ELSE c * 2 / n END) AS s0, sum(k * c * 2 / n) AS s1
+  FROM products JOIN sizes USING (panel_id, series) WHERE k <= floor(pow(n, 2 / 9::DOUBLE)) GROUP BY panel_id, series, n),
+width AS (SELECT *, CAST(least(floor(1.1447 * pow((s1 / s0) * (s1 / s0), 1 / 3::DOUBLE) * pow(n, 1 / 3::DOUBLE)), n - 1) AS INTEGER) AS lags FROM first),
+long_run AS (SELECT panel_id, series, n, lags, sum(CASE WHEN k = 0 THEN c ELSE 2 * c * (1 - k / (lags + 1)) END) / n AS v FROM products JOIN width USING (panel_id, series) WHERE k <= lags GROUP BY panel_id, series, n, lags),
+walks AS (SELECT panel_id, series, sum(e) OVER (PARTITION BY panel_id, series ORDER BY t) AS s FROM e),
+found AS (SELECT panel_id, series, any_value(lags) AS lags, sum(s * s) / any_value(n) / any_value(n) / any_value(v) AS stat FROM walks JOIN long_run USING (panel_id, series) GROUP BY panel_id, series)
+SELECT panel_id, series, {r6('stat', 'stat')}, {r6("""CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - 0.05 * (stat - 0.347) / 0.116 WHEN stat <= 0.574 THEN 0.05 - 0.025 * (stat - 0.463) / 0.111
+  WHEN stat <= 0.739 THEN 0.025 - 0.015 * (stat - 0.574) / 0.165 ELSE 0.01 END""", 'p')}, lags, CAST(NULL AS INTEGER) AS nobs,
+0.739::DOUBLE AS crit_1, 0.463::DOUBLE AS crit_5, 0.347::DOUBLE AS crit_10, CAST(NULL AS VARCHAR) AS error FROM found""")
+
+PHILLIPS_PERRON = w(_residual_products("""steps_of AS (SELECT panel_id, series, t, value AS y, lag(value) OVER (PARTITION BY panel_id, series ORDER BY t) AS z FROM panel),
+fit AS (SELECT panel_id, series, regr_slope(y, z) AS b, regr_intercept(y, z) AS a, count(z) AS n, regr_sxx(y, z) AS sxx FROM steps_of WHERE z IS NOT NULL GROUP BY ALL),
+e AS (SELECT panel_id, series, t, y - a - b * z AS e FROM steps_of JOIN fit USING (panel_id, series) WHERE z IS NOT NULL)"""), f"""
+, sums AS (SELECT panel_id, series, n, b, sxx, CAST(ceil(12 * pow((n + 1) / 100, 0.25)) AS INTEGER) AS lags, max(c) FILTER (k = 0) / n AS g0,
+  sum(CASE WHEN k = 0 THEN c ELSE 2 * c * (1 - k / (ceil(12 * pow((n + 1) / 100, 0.25)) + 1)) END) FILTER (k <= ceil(12 * pow((n + 1) / 100, 0.25))) / n AS v
+  FROM products JOIN fit USING (panel_id, series) GROUP BY panel_id, series, n, b, sxx),
+found AS (SELECT *, sqrt(g0 / v) * (b - 1) / sqrt(g0 * n / (n - 2) / sxx) - 0.5 * (v - g0) / sqrt(v) * n * sqrt(g0 * n / (n - 2) / sxx) / sqrt(g0 * n / (n - 2)) AS stat FROM sums),
+scored AS (SELECT *, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat END AS z FROM found)
+SELECT panel_id, series, {r6('stat', 'stat')}, {r6(f"CASE WHEN stat > 2.74 THEN 1 WHEN stat < -18.83 THEN 0 ELSE {cdf('z')} END", 'p')}, lags, CAST(n AS INTEGER) AS nobs,
+{r6('-3.43035 - 6.5393 / n - 16.786 / (n * n) - 79.433 / (n * n * n)', 'crit_1')}, {r6('-2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n)', 'crit_5')},
+{r6('-2.56677 - 1.5384 / n - 2.809 / (n * n)', 'crit_10')}, CAST(NULL AS VARCHAR) AS error FROM scored""")
+
+
 def both(first: str, second: str, name: str, source: str = "white") -> str:
     return f"SELECT panel_id, vec_id, CAST(0 AS INTEGER) AS i, {r6(first, name)} FROM {source} UNION ALL SELECT panel_id, vec_id, CAST(1 AS INTEGER) AS i, {r6(second, name)} FROM {source}"
 
@@ -476,6 +509,8 @@ FROM grouped x JOIN grouped y ON x.ts = y.ts AND x.to_node = y.from_node AND x.f
 , s AS (SELECT ts, to_node, from_node, 100 * theta / CASE WHEN sum(theta) OVER (PARTITION BY ts, to_node) = 0 THEN 1 ELSE sum(theta) OVER (PARTITION BY ts, to_node) END AS share FROM theta),
 o AS (SELECT to_node, from_node, CAST(row_number() OVER (PARTITION BY to_node ORDER BY CASE WHEN to_node = from_node THEN 1 ELSE 0 END, round(avg(share), 9) DESC, from_node) AS INTEGER) AS place FROM s GROUP BY to_node, from_node)
 SELECT ts, to_node, from_node, {r6('share', 'share')}, place FROM s JOIN o USING (to_node, from_node)"""),
+    "t02_kpss": KPSS,
+    "t03_phillips_perron": PHILLIPS_PERRON,
     "n01_theta_as_of_panels": w(PANEL_THETA + ", " + REQUESTS.replace("dates AS", "_ignored AS"), f"""
 , dates AS (SELECT DISTINCT panel_id, ts FROM theta), asked AS (SELECT * FROM requests, (VALUES ('1-URGENT'), ('5-LOW')) p(panel_id)),
 near AS (SELECT asked.panel_id, request, wanted, arg_min(ts, (abs(date_diff('day', ts, wanted)), ts)) AS ts FROM asked JOIN dates USING (panel_id) GROUP BY ALL)

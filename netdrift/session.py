@@ -48,8 +48,17 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="netdrift-")
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have Hadoop's file system remove ``path`` when the driver ends, in whatever way."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, for results that several jobs read."""
+    """``df`` written to the shared folder and read back, for results that several jobs read; the folder goes with the session."""
     path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:  # what a broken job has written, too
+        remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 
+from netdrift.functions import stats
+
 TINY = 1e-12
 
 
@@ -123,3 +125,84 @@ def autocorrelation_lr(w, lags):
     x = np.array([np.r_[w[t - lags : t][::-1].ravel(), 1.0] for t in range(lags, len(w))])
     e, n = residuals(y, x), w.shape[1]
     return (len(y) - n * lags - n - 1) * math.log(np.linalg.det(y.T @ y / len(y)) / np.linalg.det(e.T @ e / len(y)))
+
+
+# unit roots of a whole series held in memory
+def _deterministic(size: int, trend: str) -> list[np.ndarray]:
+    return [np.ones(size)] * (trend != "n") + [np.arange(1.0, size + 1)] * (trend == "ct")
+
+
+def _regress(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, their standard errors, residuals."""
+    inverse = np.linalg.pinv(x.T @ x)
+    b = inverse @ (x.T @ y)
+    e = y - x @ b
+    return b, np.sqrt(np.maximum(np.diag(inverse) * (e @ e) / max(len(y) - x.shape[1], 1), 0)), e
+
+
+def adf(x: np.ndarray, trend: str = "c") -> dict:
+    """Augmented Dickey-Fuller, lags by AIC on the common sample of all candidates."""
+    trend = stats.trend_name(trend)
+    size, extra = len(x), {"n": 0, "c": 1, "ct": 2}[trend]
+    most = min(math.ceil(12 * (size / 100) ** 0.25), size // 2 - extra - 1)
+    if most < 0 or np.ptp(x) == 0:
+        raise ValueError("series too short or constant")
+    d = np.diff(x)
+
+    def design(lags: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = len(d) - cut
+        columns = [x[cut:-1], *[d[cut - i : len(d) - i] for i in range(1, lags + 1)], *_deterministic(rows, trend)]
+        return d[cut:], np.column_stack(columns)
+
+    def aic(lags: int) -> float:
+        y, z = design(lags, most)
+        e = _regress(y, z)[2]
+        return len(y) * (math.log(2 * math.pi) + math.log(max(e @ e, 1e-300) / len(y)) + 1) + 2 * z.shape[1]
+
+    lags = min(range(most + 1), key=lambda i: (aic(i), i))
+    y, z = design(lags, lags)
+    b, se, _ = _regress(y, z)
+    stat = float(b[0] / se[0])
+    return {"stat": stat, "p": stats.mackinnon_p(stat, trend), "lags": lags, "nobs": len(y), "critical": stats.mackinnon_critical(len(y), trend)}
+
+
+def kpss(x: np.ndarray, trend: str = "c") -> dict:
+    """KPSS with the bandwidth of Hobijn and others; p by interpolation, within 0.01 and 0.1."""
+    if trend not in stats._KPSS:
+        raise ValueError("trend must be 'c' or 'ct'")
+    size = len(x)
+    if size < 3 or np.ptp(x) == 0:
+        raise ValueError("series too short or constant")
+    e = _regress(x, np.column_stack(_deterministic(size, trend)))[2]
+    products = [float(e[i:] @ e[: size - i]) for i in range(size)] if size <= 64 else None
+    product = (lambda i: products[i]) if products else (lambda i: float(e[i:] @ e[: size - i]))
+    s0, s1 = product(0) / size, 0.0
+    for i in range(1, int(size ** (2 / 9)) + 1):
+        s0 += product(i) / (size / 2)
+        s1 += i * product(i) / (size / 2)
+    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * size ** (1 / 3)), size - 1)
+    long_run = (product(0) + 2 * sum(product(i) * (1 - i / (lags + 1)) for i in range(1, lags + 1))) / size
+    if not long_run > 0:
+        raise ValueError("no long-run variance")
+    stat = float((np.cumsum(e) ** 2).sum() / size**2 / long_run)
+    at = stats._KPSS[trend]
+    return {"stat": stat, "p": float(np.interp(stat, at, stats._KPSS_P)), "lags": lags, "critical": [at[3], at[1], at[0]]}
+
+
+def phillips_perron(x: np.ndarray, trend: str = "c") -> dict:
+    """Z-tau with a Newey-West variance of ceil(12 (T / 100)^(1/4)) lags."""
+    trend = stats.trend_name(trend)
+    if len(x) < 3 or np.ptp(x) == 0:
+        raise ValueError("series too short or constant")
+    lags = math.ceil(12 * (len(x) / 100) ** 0.25)
+    y = x[1:]
+    z = np.column_stack([x[:-1], *_deterministic(len(y), trend)])
+    b, se, e = _regress(y, z)
+    size = len(y)
+    gamma = [float(e[i:] @ e[: size - i]) / size for i in range(lags + 1)]
+    long_run = gamma[0] + 2 * sum((1 - i / (lags + 1)) * gamma[i] for i in range(1, lags + 1))
+    s = math.sqrt(e @ e / (size - z.shape[1]))
+    if not (long_run > 0 and s > 0):
+        raise ValueError("constant series")
+    stat = math.sqrt(gamma[0] / long_run) * (b[0] - 1) / se[0] - 0.5 * (long_run - gamma[0]) / math.sqrt(long_run) * size * se[0] / s
+    return {"stat": float(stat), "p": stats.mackinnon_p(stat, trend), "lags": lags, "nobs": size, "critical": stats.mackinnon_critical(size, trend)}
