@@ -71,14 +71,16 @@ def _gather(ids: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.n
 
 
 class Codec:
-    """A tokenizer file with its byte tables; one in each Python worker."""
+    """A tokenizer file with its byte tables; one in each Python worker. With ``special`` the file's special tokens get their
+    own ids where a text spells them, as the library does unless told otherwise; else they are text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         alphabet = byte_characters()
         vocabulary = self.tokenizer.get_vocab()
         table = [b""] * (max(vocabulary.values()) + 1)
@@ -123,7 +125,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
-        odd = np.fromiter(map(odd_blanks, texts), bool, len(texts))
+        odd = np.fromiter((odd_blanks(t) or any(s in t for s in self.special) for t in texts), bool, len(texts))
         even = pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string())
         cut = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
         # the first piece has no blank before it and is encoded on its own
@@ -162,8 +164,8 @@ class Codec:
 
 
 @functools.cache
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, special: bool = False) -> Codec:
+    return Codec(path, special)
 
 
 def _round_trip(path: str):

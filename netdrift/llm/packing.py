@@ -34,7 +34,7 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
 
 def _pieces(path: str, longest: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, special=True)
         for batch in batches:
             keys = iter(batch.column("doc_id"))
             for texts in slices(batch.column("text"), TEXT_BYTES):

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from netdrift.llm import html_text, lexical, queries, whitening
+from netdrift.llm import bpe, html_text, lexical, packing, queries, sharding, whitening
 
 SF = "/root/testdata/sf0.001"
 EXTRA = ("item", "n", "terms", "tf", "rank", "score", "rows", "x", "dim", "n_chars", "id", "w", "sums", "_i", "_v", "s", "held")
@@ -209,3 +209,37 @@ def test_deviations_are_exact():
     assert whitening.deviations(x, 3, x.sum(axis=0)) == [None, None, (9 - 3) ** 2 + (27 - 21) ** 2]
     small = np.array([[1, 2], [4, 4]], np.int64)
     assert whitening.deviations(small, 2, small.sum(axis=0)) == [9 + 4, 9 + 4]
+
+
+def test_packing_has_the_ids_of_the_library(spark):
+    """Texts that spell a special token get its id, as by the library's plain call on the file."""
+    from tokenizers import Tokenizer
+
+    path = bpe.default_json()
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain words\nand <|endof text|> none", "x<|endoftext|>\n\n  y's 12345 ß", "<|endoftext|><|endoftext|> tail."]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    plain = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])])
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_ID]
+    assert bpe.codec(path).encode(["<|endoftext|>"])[0].tolist() != plain.encode("<|endoftext|>", add_special_tokens=False).ids
+
+
+def test_shards_are_as_even_as_plain_lpt(spark):
+    """Two levels of heaps against one heap over all groups of equal texts, largest first."""
+    import heapq
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r["text"] or ""] += len((r["text"] or "").encode()) + 1
+    heap = [(0, s) for s in range(16)]
+    for size in sorted(sizes.values(), reverse=True):
+        load, shard = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, shard))
+    loads = Counter()
+    for r in sharding.shard_documents(docs, 16).collect():
+        loads[r["shard"]] += r["size"]
+    best = max(load for load, _ in heap)
+    assert sum(loads.values()) == sum(sizes.values()) and max(loads.values()) <= best + max(sizes.values())
