@@ -37,6 +37,8 @@ QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 4096
 QUERY_GROUP = 16
 CANDIDATE_GROUP = 16
+#: Numbers that the vectors of pairs handled at once hold, whatever the vectors' length.
+CELLS = 1 << 22
 FOUND = "query_id bigint, vec_id bigint, score bigint, exact bigint, cell int"
 
 
@@ -63,6 +65,12 @@ def levels(dim: int) -> list[int]:
     return found + [dim // 2] if dim // 2 > found[-1] else found
 
 
+def _cuts(pairs: int, width: int) -> list[slice]:
+    """Parts of ``pairs`` whose vectors of ``width`` numbers hold about CELLS; one empty part of none."""
+    step = max(1, CELLS // max(width, 1))
+    return [slice(at, at + step) for at in range(0, max(pairs, 1), step)]
+
+
 class BestK:
     """The k best (score, id) of each query of one block."""
 
@@ -94,12 +102,15 @@ class BestK:
                 dense[q, c] = True
                 q, c = np.nonzero(dense & (mine @ other.T >= least[:, None]))
             else:
-                alive = np.einsum("ij,ij->i", mine[q], other[c]) >= least[q]
+                alive = np.concatenate([np.einsum("ij,ij->i", mine[q[p]], other[c[p]]) >= least[q[p]] for p in _cuts(len(q), mine.shape[1])])
                 q, c = q[alive], c[alive]
-        for at in range(0, len(q), 1 << 18):
-            self._score(q[at : at + (1 << 18)], c[at : at + (1 << 18)], ids, x)
+        self._score(q, c, ids, x)
 
     def _score(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        for part in _cuts(len(q), x.shape[1]):
+            self._score_part(q[part], c[part], ids, x)
+
+    def _score_part(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         own = self.ids[q] != ids[c]
         q, c = q[own], c[own]
         self.exact += np.bincount(q, minlength=len(self.exact))

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from netdrift.llm import bpe, html_text, lexical, packing, queries, sharding, whitening
+from netdrift.llm import bpe, html_text, lexical, packing, queries, sharding, topk, whitening
 
 SF = "/root/testdata/sf0.001"
 EXTRA = ("item", "n", "terms", "tf", "rank", "score", "rows", "x", "dim", "n_chars", "id", "w", "sums", "_i", "_v", "s", "held")
@@ -243,3 +243,21 @@ def test_shards_are_as_even_as_plain_lpt(spark):
         loads[r["shard"]] += r["size"]
     best = max(load for load, _ in heap)
     assert sum(loads.values()) == sum(sizes.values()) and max(loads.values()) <= best + max(sizes.values())
+
+
+def test_a_block_of_long_vectors_is_cut_by_numbers():
+    """A block of 512 queries against 4,096 candidates of 768 components stays under 500 MB, and is right."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-256, 256, (4096, 768)).astype(float)
+    ids = np.arange(4096)
+    tracemalloc.start()
+    best = topk.BestK(ids[:512], x[:512], 5)
+    best.meet(ids, x, [topk._segments(x, g) for g in topk.levels(768)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 500 << 20
+    score = x[:512] @ x.T
+    score[np.arange(512), np.arange(512)] = -np.inf
+    assert np.array_equal(best.scores, -np.sort(-score, axis=1)[:, :5])
