@@ -156,30 +156,62 @@ def chi2_tail_wilson_hilferty(stat: np.ndarray, df: np.ndarray) -> np.ndarray:
         return np.where((df <= 0) | (stat < 0), 1.0, 1.0 - normal_cdf(z))[()]
 
 
-def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    """Tau-b by sorting on x and counting inversions of y bottom-up, merged in numpy."""
-    ok = np.isfinite(x) & np.isfinite(y)
-    x, y = x[ok], y[ok]
+def inversions(rank: np.ndarray, width: int = 64) -> int:
+    """How many earlier items are larger than later ones: blocks of ``width`` by counting, then merges of all blocks at once."""
+    n = len(rank)
+    blocks = 1 << max(-(-n // width) - 1, 0).bit_length()
+    top = int(rank.max(initial=0)) + 1
+    run = np.full(blocks * width, top, np.int64)  # fillers are larger than all and last
+    run[:n] = rank
+    run = run.reshape(blocks, width)
+    upper = np.triu(np.ones((width, width), bool), 1)
+    swaps = 0
+    for low in range(0, blocks, 256):
+        part = run[low : low + 256]
+        swaps += int(((part[:, :, None] > part[:, None, :]) & upper).sum())
+    run = np.sort(run, axis=1)
+    while len(run) > 1:
+        width = run.shape[1]
+        pair = np.arange(len(run) // 2)[:, None]
+        left, right = run[::2] + pair * (top + 1), run[1::2] + pair * (top + 1)
+        met = np.searchsorted(left.ravel(), right.ravel(), side="right").reshape(right.shape) - pair * width
+        swaps += int((width - met).sum())
+        run = np.sort(run.reshape(len(run) // 2, 2 * width), axis=1)
+    return swaps
+
+
+def concordance(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs of rows in which x and y go the same way, less those in which they do not; ties on either count as neither."""
     n = len(x)
-    if n < 2:
-        return math.nan
     order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    rank = np.unique(y, return_inverse=True)[1]
+    x, y = np.asarray(x)[order], np.unique(np.asarray(y)[order], return_inverse=True)[1]
 
     def tied(*keys: np.ndarray) -> int:
-        counts = np.unique(np.stack(keys, axis=1), axis=0, return_counts=True)[1].astype(np.int64)
+        edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+        counts = np.diff(np.r_[-1, edges, n - 1])
         return int((counts * (counts - 1) // 2).sum())
 
-    both, on_x, on_y = tied(x, y), tied(x), tied(y)
-    swaps, width, run = 0, 1, rank.astype(np.int64)
-    while width < n:
-        merged = np.empty_like(run)
-        for low in range(0, n, 2 * width):
-            left, right = run[low : low + width], run[low + width : low + 2 * width]
-            swaps += int((len(left) - np.searchsorted(left, right, side="right")).sum())
-            merged[low : low + 2 * width] = np.sort(np.concatenate([left, right]), kind="stable")
-        run, width = merged, 2 * width
-    total = n * (n - 1) // 2
+    return n * (n - 1) // 2 - tied(x) - tied(np.sort(y)) + tied(x, y) - 2 * inversions(y) if n else 0
+
+
+def grid_concordance(row: np.ndarray, column: np.ndarray, count: np.ndarray) -> int:
+    """concordance() of rows that are counted by cells of a grid, pairs of one grid row or column being ties."""
+    grid = np.zeros((int(row.max(initial=0)) + 1, int(column.max(initial=0)) + 1), np.int64)
+    np.add.at(grid, (row, column), count)
+    before = np.zeros_like(grid[0])
+    same = 0
+    for cells in grid:  # rows of smaller x against those of this x
+        left = np.cumsum(before) - before
+        same += int((cells * (2 * left + before - before.sum())).sum())
+        before += cells
+    return same
+
+
+def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
+    """Tau-b of rows with finite values; nan where a side is constant."""
+    ok = np.isfinite(x) & np.isfinite(y)
+    x, y = x[ok], y[ok]
+    total = len(x) * (len(x) - 1) // 2
+    on_x, on_y = (int(sum(int(c) * (int(c) - 1) // 2 for c in np.unique(v, return_counts=True)[1])) for v in (x, y))
     scale = math.sqrt(float(total - on_x)) * math.sqrt(float(total - on_y))
-    return (total - on_x - on_y + both - 2 * swaps) / scale if scale else math.nan
+    return concordance(x, y) / scale if scale else math.nan

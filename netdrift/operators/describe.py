@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netdrift.functions import special
+from netdrift.session import stored
 
-from .order import each_row, positions, value_ranks, with_history
+from .order import BLOCK, each_row, percentiles, positions, quantile_ranges, value_ranks, with_history
 from .panel import ALONG
 
 TINY = 1e-12
@@ -65,13 +68,40 @@ def rank_correlation(panel: DataFrame) -> DataFrame:
     return met.groupBy(*by).agg(F.try_divide(product("rx", "ry"), scale).alias("corr"), F.sum("w").cast("long").alias("n"))
 
 
-def kendall_tau(panel: DataFrame) -> DataFrame:
-    """Kendall's tau-b of each pair, by a merge count of one pair's rows in a task."""
+def kendall_tau(panel: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Kendall's tau-b of each pair; null where a side is constant.
+
+    x and y are cut into ranges of about ``block`` rows. Rows of unlike ranges of both are compared by counts of the cells
+    of ranges; rows that share a range of x, of y or of both by a merge count of that range, and the last are taken off once,
+    having been told twice. A range of a single value holds ties alone and is left out, so no task has more than a range.
+    """
+    by = ["panel_id", "a", "b"]
+    finite = [F.col(v).between(-sys.float_info.max, sys.float_info.max) for v in ("x", "y")]
+    rows = stored(quantile_ranges(pairs(panel).where(finite[0] & finite[1]).select(*by, "x", "y"), by, ("x", "y"), block), "kendall")
+
+    def told(group: list[str], over: list[str], sign: int) -> DataFrame:
+        """The concordance inside each group of rows; groups in which a side is constant are left out."""
+        spread = rows.groupBy(*by, *group).agg(*[(F.min(v) < F.max(v)).alias(f"_{v}") for v in over]).where(" AND ".join(f"_{v}" for v in over)).select(*by, *group)
+
+        def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([[*key[:3], sign * special.concordance(part["x"].to_numpy(), part["y"].to_numpy())]], columns=[*by, "s"])
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, special.kendall_tau_b(rows["x"].to_numpy(), rows["y"].to_numpy())]], columns=["panel_id", "a", "b", "tau"])
+        return rows.join(spread, [*by, *group], "left_semi").groupBy(*by, *group).applyInPandas(one, kind)
 
-    return pairs(panel).groupBy("panel_id", "a", "b").applyInPandas(one, "panel_id string, a string, b string, tau double")
+    def cells(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, special.grid_concordance(part["x_range"].to_numpy(), part["y_range"].to_numpy(), part["c"].to_numpy())]], columns=[*by, "s"])
+
+    kind = "panel_id string, a string, b string, s long"
+    far = rows.groupBy(*by, "x_range", "y_range").agg(F.count("*").alias("c")).groupBy(*by).applyInPandas(cells, kind)
+    near = told(["x_range"], ["x", "y"], 1).unionByName(told(["y_range"], ["x", "y"], 1)).unionByName(told(["x_range", "y_range"], ["x", "y"], -1))
+    found = far.unionByName(near).groupBy(*by).agg(F.sum("s").alias("s"))
+    couples = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    total = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, couples("n").alias("total"))
+    for v in ("x", "y"):
+        ties = rows.groupBy(*by, v).agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum(couples("n")).alias(f"on_{v}"))
+        total = total.join(ties, by)
+    scale = F.sqrt(F.col("total") - F.col("on_x")) * F.sqrt(F.col("total") - F.col("on_y"))
+    return found.join(total, by).select(*by, F.try_divide(F.col("s").cast("double"), scale).alias("tau"))
 
 
 def rolling_volatility(panel: DataFrame, window: int = 60) -> DataFrame:
@@ -98,11 +128,13 @@ def histogram(panel: DataFrame, bins: int = 60, standardize: bool = False) -> Da
 
     Places are rounded to nine digits, so that a value on an edge does not move by rounding errors.
     """
-    by = Window.partitionBy(*ALONG)
-    rows = panel.withColumns({"mu": F.avg("value").over(by), "sd": F.stddev_samp("value").over(by)})
+    known = panel.groupBy(*ALONG).agg(
+        F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"),
+    )
+    rows = panel.join(known, list(ALONG))
     if standardize:
-        rows = rows.withColumn("value", (F.col("value") - F.col("mu")) / F.greatest("sd", F.lit(TINY))).withColumns({"mu": F.lit(0.0), "sd": F.lit(1.0)})
-    rows = rows.withColumns({"low": F.min("value").over(by), "high": F.max("value").over(by), "n": F.count("value").over(by)})
+        standard = {c: (F.col(c) - F.col("mu")) / F.greatest("sd", F.lit(TINY)) for c in ("value", "low", "high")}
+        rows = rows.withColumns(standard).withColumns({"mu": F.lit(0.0), "sd": F.lit(1.0)})
     width = (F.col("high") - F.col("low")) / bins
     place = F.when(width > 0, F.least(F.floor(F.round((F.col("value") - F.col("low")) / width, 9)), F.lit(bins - 1))).otherwise(0).cast("int")
     found = rows.groupBy(*ALONG, place.alias("bin")).agg(F.count("*").alias("count"), *[F.first(c).alias(c) for c in ("mu", "sd", "low", "high", "n")])
@@ -113,7 +145,7 @@ def histogram(panel: DataFrame, bins: int = 60, standardize: bool = False) -> Da
 
 def box(panel: DataFrame) -> DataFrame:
     """Quartiles, the last values inside 1.5 interquartile ranges, and how many lie outside."""
-    quartiles = panel.groupBy(*ALONG).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    quartiles = percentiles(panel, ALONG, "value", (0.25, 0.5, 0.75))
     quartiles = quartiles.select(*ALONG, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)

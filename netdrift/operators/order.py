@@ -1,4 +1,4 @@
-"""Order without one task a series: ranks by ranges of values, and blocks of time with what the rows before them hand over."""
+"""Order without one task a series: ranks and percentiles by ranges of values, and blocks of time with what the rows before them hand over."""
 
 from __future__ import annotations
 
@@ -52,13 +52,67 @@ def each_row(ranked: DataFrame, by: Sequence[str], value: str, chunk: int = BLOC
     return parts.withColumn("i", F.explode(F.sequence(F.col("below") + first, F.col("below") + most))).drop("_c", "m", "below")
 
 
-def positions(rows: DataFrame, by: Sequence[str], order: str, name: str = "t", ranged: int | None = None) -> DataFrame:
+def percentiles(rows: DataFrame, by: Sequence[str], value: str, at: Sequence[float], name: str = "q") -> DataFrame:
+    """``by`` and ``name``, an array: the exact percentiles of ``value`` at the shares ``at``, interpolated between order
+    statistics. Null values are no rows; a key without others is left out. ``rows`` are read three times.
+
+    A sketch of bounded size gives a narrow bracket of values about each order statistic, and a count of the rows below and
+    inside tells whether it is in the bracket, before or behind it, so that the sketch's errors cost time alone. Only the distinct
+    values of that range are then put in order: no task or buffer holds the values of a key.
+    """
+    by = list(by)
+    some = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    edges = [min(max(p + d, 0.0), 1.0) for p in at for d in (-1 / RANGES, 1 / RANGES)]
+    known = some.groupBy(*by).agg(F.percentile_approx("_v", F.lit(edges), F.lit(4 * RANGES)).alias("_e"))
+    count = [F.count_if(F.col("_v") < F.col("_e")[i] if i % 2 == 0 else F.col("_v") <= F.col("_e")[i]).alias(f"_c{i}") for i in range(len(edges))]
+    counted = some.join(known, by).groupBy(*by, "_e").agg(F.count("*").alias("_n"), *count)
+    wanted = []
+    for i, p in enumerate(at):
+        low, high, below, upto = F.col("_e")[2 * i], F.col("_e")[2 * i + 1], F.col(f"_c{2 * i}"), F.col(f"_c{2 * i + 1}")
+        for side, whole in enumerate((F.floor, F.ceil)):
+            k = whole((F.col("_n") - 1) * F.lit(p))
+            before, behind = k < below, k >= upto
+            base = F.when(before, 0).when(behind, upto).otherwise(below)
+            first, last = F.when(behind, high).when(~before, low), F.when(before, low).when(~behind, high)
+            wanted.append(F.struct(F.lit(2 * i + side).alias("id"), k.alias("k"), base.alias("base"), first.alias("first"), last.alias("last"), before.alias("before"), behind.alias("behind")))
+    asked = counted.select(*by, F.col("_n"), F.array(*wanted).alias("_w"))
+    begins = lambda w: w["first"].isNull() | F.when(w["behind"], F.col("_v") > w["first"]).otherwise(F.col("_v") >= w["first"])
+    ends = lambda w: w["last"].isNull() | F.when(w["before"], F.col("_v") < w["last"]).otherwise(F.col("_v") <= w["last"])
+    near = some.join(asked, by).select(*by, "_n", "_v", F.explode(F.filter("_w", lambda w: begins(w) & ends(w))).alias("w"))
+    ties = near.groupBy(*by, "_n", "w.id", "w.k", "w.base", "_v").agg(F.count("*").alias("_m"))
+    upto = F.col("base") + F.sum("_m").over(Window.partitionBy(*by, "id").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = ties.withColumn("_to", upto).where((F.col("k") < F.col("_to")) & (F.col("k") >= F.col("_to") - F.col("_m")))
+    picked = found.groupBy(*by, "_n").agg(*[F.max(F.when(F.col("id") == i, F.col("_v"))).alias(f"_s{i}") for i in range(2 * len(at))])
+    out = []
+    for i, p in enumerate(at):
+        place, low, high = (F.col("_n") - 1) * F.lit(p), F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
+        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high))
+    return picked.select(*by, F.array(*out).alias(name))
+
+
+def positions(rows: DataFrame, by: Sequence[str], order: str, name: str = "t", ranged: int | None = None, written: bool = False) -> DataFrame:
     """``rows`` with their number from 1 along ``order``, which does not repeat within ``by``. They are written first, being read
-    four times."""
-    numbered = _summed_before(stored(rows, "ordered"), list(by), order, F.lit(1), "_before", ranged)
+    four times, unless they are ``written`` already."""
+    numbered = _summed_before(rows if written else stored(rows, "ordered"), list(by), order, F.lit(1), "_before", ranged)
     return numbered.withColumn(name, (F.col("_before") + 1).cast("long")).drop("_before")
 
 
+def quantile_ranges(rows: DataFrame, by: Sequence[str], values: Sequence[str], block: int = BLOCK, most: int = 256) -> DataFrame:
+    """``rows`` with an int column ``value``_range for each of ``values``, which grows with the value: ranges of about ``block``
+    rows (``most`` + 1 cuts at most). A value at a cut has a range of its own, so that one of very many rows stands alone there.
+    """
+    by = list(by)
+    steps = F.lit([i / most for i in range(1, most)])
+    found = rows.groupBy(*by).agg(F.count("*").alias("_n"), *[F.percentile_approx(v, steps, F.lit(16 * most)).alias(f"_{v}") for v in values])
+    parts = F.least(F.lit(most), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("_n") / block, F.lit(1)))))).cast("int")
+    cuts = found.select(*by, *[F.array_distinct(F.filter(f"_{v}", lambda _, i: (i + 1) % F.try_divide(F.lit(most), parts).cast("int") == 0)).alias(f"_{v}") for v in values])
+
+    def place(v: str) -> Column:
+        return (F.size(F.filter(f"_{v}", lambda c: c < F.col(v))) * 2 + F.array_contains(f"_{v}", F.col(v)).cast("int")).cast("int")
+
+    return rows.join(cuts, by).withColumns({f"{v}_range": place(v) for v in values}).drop(*[f"_{v}" for v in values])
+
+
 def with_history(rows: DataFrame, by: Sequence[str], before: int, after: int = 0, t: str = "t", block: int | None = None) -> tuple[DataFrame, Column, Window]:
     """``rows``, numbered by ``t``, dealt to blocks of time; which of a block's rows are its own; and the window over a block.
 
