@@ -2,11 +2,13 @@
 
 Each task takes one panel's packed fit and a chunk of replicas: resample the whitened innovations in blocks, colour
 them, simulate, filter again with a diffuse start, decompose. A replica's random stream is keyed by (seed, panel,
-replica), so draws do not depend on the partitioning. Bands are exact percentiles over the draws, by Spark.
+replica), so draws do not depend on the partitioning. Bands are exact percentiles over the draws, by Spark; a group has as
+many values as replicas. A long run can be drawn in batches that are kept, so that a lost job draws only what is missing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netdrift.functions import kernels
+from netdrift.session import finished
 
 from . import model
 from . import panel as panels
@@ -27,8 +30,8 @@ def generator(seed: int, panel_id: str, rep: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=[seed, zlib.crc32(panel_id.encode()) << 32 | rep]))
 
 
-def draws(panel: DataFrame, replicas: int = 1000, block: int = 20, p: int = 1, kappa1: float = 0.99, kappa2: float = 0.96, horizon: int = 20, sub_nodes: Sequence[str] = (), add_const: bool = True, seed: int = 7, chunk: int = 16) -> DataFrame:
-    """One row per panel, replica and date. pdc holds the pairs i < j, row by row."""
+def draws(panel: DataFrame, replicas: int = 1000, block: int = 20, p: int = 1, kappa1: float = 0.99, kappa2: float = 0.96, horizon: int = 20, sub_nodes: Sequence[str] = (), add_const: bool = True, seed: int = 7, chunk: int = 16, first: int = 0) -> DataFrame:
+    """One row per panel, replica (from ``first`` to ``replicas`` - 1) and date. pdc holds the pairs i < j, row by row."""
     wanted = list(sub_nodes)
 
     def measured(row, reps, ys, xs, sigma0):
@@ -41,7 +44,26 @@ def draws(panel: DataFrame, replicas: int = 1000, block: int = 20, p: int = 1, k
             found = kernels.indices(share, mask, numer)
             yield pd.DataFrame({"panel_id": row.panel_id, "rep": int(rep), "t": np.arange(ys.shape[1]) + 1, "tci": found["tci"], "net": list(found["net"]), "pdc": list(found["pdc"][:, i, j]), "tci_sub": found["tci_sub"], "net_sub": list(found["net_sub"])})
 
-    return _replicated(panel, measured, DRAWS, replicas, block, p, kappa1, kappa2, add_const, seed, chunk)
+    return _replicated(panel, measured, DRAWS, replicas, block, p, kappa1, kappa2, add_const, seed, chunk, first)
+
+
+def resumed_draws(panel: DataFrame, folder: str, replicas: int = 1000, batch: int = 128, **settings: object) -> DataFrame:
+    """draws() kept below ``folder`` by batches of replicas: those that a former run has finished are read, the others drawn.
+
+    A batch is finished when its success marker is there; what a broken job left of one is drawn again. Batches are kept apart by
+    the settings and by a digest of the panel's rows, so that other data or settings share none, while more replicas
+    of the same draw on those that are there. The caller removes the folder.
+    """
+    spark = panel.sparkSession
+    known = panel.agg(F.count("*"), F.sum(F.xxhash64("panel_id", "series", "ts", "pos", "value").cast("decimal(38,0)"))).first()
+    name = hashlib.sha256(repr((tuple(known), sorted(settings.items()))).encode()).hexdigest()[:32]
+    paths = []
+    for low in range(0, replicas, batch):
+        high = min(low + batch, replicas)
+        paths.append(f"{folder.rstrip('/')}/{name}/replicas-{low}-{high}")
+        if not finished(spark, paths[-1]):
+            draws(panel, high, first=low, **settings).write.mode("overwrite").parquet(paths[-1])
+    return spark.read.schema(DRAWS).parquet(*paths)
 
 
 def paths(panel: DataFrame, replicas: int = 1000, block: int = 20, p: int = 1, kappa1: float = 0.99, kappa2: float = 0.96, add_const: bool = True, seed: int = 7, chunk: int = 16) -> DataFrame:
@@ -54,25 +76,33 @@ def paths(panel: DataFrame, replicas: int = 1000, block: int = 20, p: int = 1, k
     return _replicated(panel, told, "panel_id string, rep int, t bigint, y array<double>", replicas, block, p, kappa1, kappa2, add_const, seed, chunk)
 
 
-def _replicated(panel: DataFrame, tell, kind: str, replicas: int, block: int, p: int, kappa1: float, kappa2: float, add_const: bool, seed: int, chunk: int) -> DataFrame:
-    """``tell``'s rows of each panel and chunk of replicas, from paths with resampled innovations."""
+def _replicated(panel: DataFrame, tell, kind: str, replicas: int, block: int, p: int, kappa1: float, kappa2: float, add_const: bool, seed: int, chunk: int, start: int = 0) -> DataFrame:
+    """``tell``'s rows of each panel and chunk of replicas, from paths with resampled innovations.
+
+    A task's chunks come by panel, and the panel's fit is made once for them.
+    """
     designs = model.packed_design(panel, p, add_const).join(model.nodes(panel), "panel_id")
-    chunks = panel.sparkSession.range(-(-replicas // chunk)).select((F.col("id") * chunk).alias("first"))
-    tasks = model.spread(designs.crossJoin(F.broadcast(chunks)), "panel_id", "first")  # panels x chunks of replicas
+    chunks = panel.sparkSession.range(-(-(replicas - start) // chunk)).select((F.col("id") * chunk + start).alias("first"))
+    tasks = model.spread(designs.crossJoin(F.broadcast(chunks)), "panel_id", "first").sortWithinPartitions("panel_id", "first")  # panels x chunks of replicas
+
+    def observed(row):
+        """The first lags, the prior's covariance, coefficients, roots of the covariances and white innovations."""
+        y, x = model.matrix(row.y), model.matrix(row.x)
+        _, sigma0, a0, p0 = kernels.ols_prior(y[: model.PRIOR_ROWS], x[: model.PRIOR_ROWS])
+        f = kernels.kalman(y, x, sigma0, a0, p0, kappa1, kappa2, ("beta", "s", "innovation"))
+        white = np.einsum("tij,tj->ti", kernels.power(f.s[0], -0.5, scaled=True), f.innovation[0])
+        return x[0, : y.shape[1] * p].reshape(p, -1), sigma0, f.beta[0], kernels.power(f.s[0], 0.5, scaled=True), white - white.mean(axis=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        panel_id = None
         for part in batches:
             for row in part.itertuples():
-                y, x = model.matrix(row.y), model.matrix(row.x)
-                steps, n = y.shape
-                _, sigma0, a0, p0 = kernels.ols_prior(y[: model.PRIOR_ROWS], x[: model.PRIOR_ROWS])
-                f = kernels.kalman(y, x, sigma0, a0, p0, kappa1, kappa2, ("beta", "s", "innovation"))
-                white = np.einsum("tij,tj->ti", kernels.power(f.s[0], -0.5, scaled=True), f.innovation[0])
-                white = white - white.mean(axis=0)
+                if row.panel_id != panel_id:
+                    panel_id, (lags, sigma0, beta, root, white) = row.panel_id, observed(row)
                 reps = np.arange(row.first, min(row.first + chunk, replicas))
-                rows = np.stack([kernels.block_rows(generator(seed, row.panel_id, int(r)), steps, block) for r in reps])
-                shocks = np.einsum("tij,btj->bti", kernels.power(f.s[0], 0.5, scaled=True), white[rows])
-                yield from tell(row, reps, *kernels.simulate(f.beta[0], shocks, x[0, : n * p].reshape(p, n), p, add_const), sigma0)
+                rows = np.stack([kernels.block_rows(generator(seed, panel_id, int(r)), len(white), block) for r in reps])
+                shocks = np.einsum("tij,btj->bti", root, white[rows])
+                yield from tell(row, reps, *kernels.simulate(beta, shocks, lags, p, add_const), sigma0)
 
     return tasks.mapInPandas(run, kind)
 

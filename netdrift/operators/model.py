@@ -55,7 +55,7 @@ def fit(designs: DataFrame, kappa1: float = 0.99, kappa2: float = 0.96, keep: Se
     """The filter's history, one row per panel and date; ``keep`` may add gain, p_filt, p_pred.
 
     The prior is from the first rows of the design. sigma_before is the covariance one step back (the prior's
-    first). History leaves in slices of dates.
+    first). History leaves in slices of dates. Designs with columns kappa1 and kappa2 (chosen_designs) take their own.
     """
     extra = [c for c in ("gain", "p_filt", "p_pred") if c in keep]
 
@@ -64,7 +64,7 @@ def fit(designs: DataFrame, kappa1: float = 0.99, kappa2: float = 0.96, keep: Se
             for row in part.itertuples():
                 y, x = matrix(row.y), matrix(row.x)
                 _, sigma0, a0, p0 = kernels.ols_prior(y[:PRIOR_ROWS], x[:PRIOR_ROWS])
-                f = kernels.kalman(y, x, sigma0, a0, p0, kappa1, kappa2, ("beta", "sigma", "y_pred", "s", "innovation", *extra))
+                f = kernels.kalman(y, x, sigma0, a0, p0, getattr(row, "kappa1", kappa1), getattr(row, "kappa2", kappa2), ("beta", "sigma", "y_pred", "s", "innovation", *extra))
                 before = np.concatenate([sigma0[None], f.sigma[0, :-1]])
                 for a in range(0, len(y), slice_rows):
                     cut = slice(a, a + slice_rows)
@@ -254,7 +254,7 @@ def measures(fitted: DataFrame, names: DataFrame, p: int = 1, horizon: int = 20,
     """One row per panel and date: theta (row-major) and all its indices as arrays in the order of ``names``, which is
     kept as a column; tci_sub and net_sub are of the network among ``sub_nodes`` alone (0 outside and without any).
 
-    A name that a panel lacks is an error.
+    A name that a panel lacks is an error. ``names`` may have a column p: each panel's own lag order.
     """
     wanted = list(sub_nodes)
     rows = fitted.select("panel_id", "ts", "beta", F.col(sigma).alias("sigma")).join(names, "panel_id")
@@ -265,8 +265,8 @@ def measures(fitted: DataFrame, names: DataFrame, p: int = 1, horizon: int = 20,
                 known = list(own["names"].iloc[0])
                 if missing := set(wanted) - set(known):
                     raise ValueError(f"no such node in {panel_id}: {sorted(missing)}")
-                n = len(known)
-                share, _, numer = kernels.gfevd(matrix(own["beta"]), matrix(own["sigma"]).reshape(-1, n, n), p, horizon)
+                n, order = len(known), int(own["p"].iloc[0]) if "p" in own else p
+                share, _, numer = kernels.gfevd(matrix(own["beta"]), matrix(own["sigma"]).reshape(-1, n, n), order, horizon)
                 found = kernels.indices(share, np.isin(known, wanted), numer)
                 yield pd.DataFrame({"panel_id": panel_id, "ts": own["ts"].to_numpy(), "tci": found["tci"], "to_idx": list(found["to"]), "from_idx": list(found["from"]), "net_idx": list(found["net"]),
                                     "tci_sub": found["tci_sub"], "net_sub": list(found["net_sub"]), "theta": list(share.reshape(len(own), -1)), "names": [known] * len(own)})
@@ -310,3 +310,23 @@ def connectedness_indices(panel: DataFrame, p: int = 1, kappa1: float = 0.99, ka
     """node_indices from end to end, with one filter and one decomposition for all of them."""
     fitted = fit(packed_design(panel, p, add_const), kappa1, kappa2)
     return node_indices(measures(fitted, nodes(panel), p, horizon, sub_nodes=sub_nodes))
+
+
+def chosen_designs(panel: DataFrame, chosen: DataFrame, add_const: bool = True, orders: Sequence[int] = (1, 2)) -> DataFrame:
+    """Packed designs with kappa1 and kappa2, each panel at its own order: ``chosen`` (panel_id, p, kappa1, kappa2) of choose().
+
+    A panel is packed once, for its order alone, over all the rows that this order leaves. Panels without a choice, or with an
+    order outside ``orders``, take no part. ``chosen`` is read once for each order: store what is dear.
+    """
+    found = None
+    for p in sorted(set(orders)):
+        own = chosen.where(F.col("p") == p).select("panel_id", "kappa1", "kappa2")
+        some = packed_design(panel.join(own, "panel_id", "left_semi"), p, add_const).join(own, "panel_id")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def chosen_indices(panel: DataFrame, chosen: DataFrame, horizon: int = 20, add_const: bool = True, sub_nodes: Sequence[str] = (), orders: Sequence[int] = (1, 2)) -> DataFrame:
+    """node_indices from end to end, each panel with its own p, kappa1 and kappa2 of ``chosen`` (see chosen_designs)."""
+    names = nodes(panel).join(chosen.select("panel_id", "p"), "panel_id")
+    return node_indices(measures(fit(chosen_designs(panel, chosen, add_const, orders)), names, horizon=horizon, sub_nodes=sub_nodes))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netdrift.operators import bootstrap, connect, describe, diagnostics, events, matrices, model, network, panel, stationarity
-from netdrift.session import shared_folder, stored, table
+from netdrift.session import remove_at_end, shared_folder, stored, table
 from netdrift.sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,6 +471,14 @@ on_panels("c08_fitted_sub_network", lambda p: model.connectedness_indices(p, sub
 on_panels("c11_connectedness", lambda p: model.connectedness_indices(p).drop("net_sub", "tci_sub"))
 
 
+@query
+def c11_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, diagnosis and choice for each panel, then its connectedness with the p, kappa1 and kappa2 that were chosen."""
+    p = stored(panels.nation_panels(spark, sf_dir), "panel")
+    chosen = stored(model.choose(_diagnosed(p)).select("panel_id", "p", "kappa1", "kappa2"), "chosen")
+    return rounded(model.chosen_indices(p, chosen, orders=ORDERS).drop("net_sub", "tci_sub"))
+
+
 # bootstrap
 def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.draws(panels.shipping_panel(spark, sf_dir), sub_nodes=("AF", "NO", "RF"))
@@ -492,6 +500,17 @@ def b03_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_draws(spark, sf_dir).select("panel_id", "rep", "t", "tci", "tci_sub"))
 
 
+@query
+def b03_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws by batches of replicas that a broken run would find again; here the folder goes with the session."""
+    folder = shared_folder(spark, "draws")
+    try:
+        drawn = bootstrap.resumed_draws(panels.shipping_panel(spark, sf_dir), folder, sub_nodes=("AF", "NO", "RF"))
+    finally:
+        remove_at_end(spark, folder)
+    return rounded(drawn.select("panel_id", "rep", "t", "tci", "tci_sub"))
+
+
 @query
 def b05_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.bands(_draws(spark, sf_dir)))

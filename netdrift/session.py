@@ -54,6 +54,12 @@ def remove_at_end(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written all of ``path``, by the marker that Spark leaves last."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back, for results that several jobs read; the folder goes with the session."""
     path = shared_folder(df.sparkSession, label)

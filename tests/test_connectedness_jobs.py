@@ -222,6 +222,47 @@ def test_as_of(spark):
         network.as_of(asks, dates, "other")
 
 
+def test_panels_with_their_own_choice(spark, two):
+    """Orders, kappas and sub-networks of each panel: equal to each panel alone with these values."""
+    chosen = spark.createDataFrame([("a", 2, 0.97, 0.95), ("b", 1, 0.99, 0.94), ("none", 1, 0.99, 0.96)], "panel_id string, p int, kappa1 double, kappa2 double")
+    got = {(r["panel_id"], r["ts"], r["node"]): r for r in model.chosen_indices(two, chosen, 6, sub_nodes=("u", "v")).collect()}
+    assert {k[0] for k in got} == {"a", "b"}
+    for name, p, k1, k2 in (("a", 2, 0.97, 0.95), ("b", 1, 0.99, 0.94)):
+        alone = model.connectedness_indices(two.where(F.col("panel_id") == name), p, k1, k2, 6, sub_nodes=("u", "v")).collect()
+        assert len(alone) == sum(k[0] == name for k in got)
+        for r in alone:
+            assert np.allclose([r[c] for c in ("tci", "to_idx", "from_idx", "net_idx", "net_sub", "tci_sub")], [got[name, r["ts"], r["node"]][c] for c in ("tci", "to_idx", "from_idx", "net_idx", "net_sub", "tci_sub")])
+    unknown = spark.createDataFrame([("a", 9, 0.97, 0.95)], chosen.schema)
+    assert model.chosen_indices(two, unknown, 6).count() == 0 and model.chosen_indices(two, chosen.limit(0), 6).count() == 0
+
+
+def test_draws_resume(spark, two, tmp_path, monkeypatch):
+    """A run that breaks off keeps its finished batches; the next draws the rest alone, to the same result."""
+    small, made = two.where("panel_id = 'a'"), []
+    whole = bootstrap.draws
+
+    def draws(panel, replicas, first=0, **settings):
+        made.append((first, replicas))
+        if len(made) == 3:
+            raise RuntimeError("lost")
+        return whole(panel, replicas, first=first, **settings)
+
+    monkeypatch.setattr(bootstrap, "draws", draws)
+    settings = {"block": 10, "horizon": 5, "chunk": 2}
+    with pytest.raises(RuntimeError, match="lost"):
+        bootstrap.resumed_draws(small, str(tmp_path), 8, 3, **settings)
+    told = lambda df: sorted((r["rep"], r["t"], round(r["tci"], 8)) for r in df.collect())
+    got = told(bootstrap.resumed_draws(small, str(tmp_path), 8, 3, **settings))
+    assert made == [(0, 3), (3, 6), (6, 8), (6, 8)]
+    assert got == told(whole(small, 8, **settings)) and {r[0] for r in got} == set(range(8))
+    (marker,) = tmp_path.glob("*/replicas-3-6/_SUCCESS")
+    marker.unlink()  # a batch that a job left unfinished
+    assert told(bootstrap.resumed_draws(small, str(tmp_path), 8, 3, **settings)) == got and made[4:] == [(3, 6)]
+    bootstrap.resumed_draws(small, str(tmp_path), 3, 3, **{**settings, "horizon": 4})
+    bootstrap.resumed_draws(small.withColumn("value", F.col("value") * 2), str(tmp_path), 3, 3, **settings)
+    assert made[5:] == [(0, 3), (0, 3)]
+
+
 def test_network_edges(spark):
     theta = spark.createDataFrame([(day(0), "a", "b", 0.5), (day(0), "b", "a", 0.2), (day(0), "a", "a", 0.5), (day(0), "b", "b", 0.8), (day(1), "a", "b", 0.3), (day(1), "b", "a", 0.3)], "ts date, to_node string, from_node string, theta double")
     edge = network.net_edges(theta).collect()
