@@ -52,7 +52,7 @@ def resumed_draws(panel: DataFrame, folder: str, replicas: int = 1000, batch: in
 
     A batch is finished when its success marker is there; what a broken job left of one is drawn again. Batches are kept apart by
     the settings and by a digest of the panel's rows, so that other data or settings share none, while more replicas
-    of the same draw on those that are there. The caller removes the folder.
+    of the same draw on those that are there. The panel is read for each batch: store what is dear. The caller removes the folder.
     """
     spark = panel.sparkSession
     known = panel.agg(F.count("*"), F.sum(F.xxhash64("panel_id", "series", "ts", "pos", "value").cast("decimal(38,0)"))).first()

@@ -505,7 +505,7 @@ def b03_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws by batches of replicas that a broken run would find again; here the folder goes with the session."""
     folder = shared_folder(spark, "draws")
     try:
-        drawn = bootstrap.resumed_draws(panels.shipping_panel(spark, sf_dir), folder, sub_nodes=("AF", "NO", "RF"))
+        drawn = bootstrap.resumed_draws(stored(panels.shipping_panel(spark, sf_dir), "panel"), folder, sub_nodes=("AF", "NO", "RF"))
     finally:
         remove_at_end(spark, folder)
     return rounded(drawn.select("panel_id", "rep", "t", "tci", "tci_sub"))
