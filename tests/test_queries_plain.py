@@ -151,6 +151,16 @@ def test_search_and_diagnosis(spark, y):
     assert set(searched) == {1, 2} and all(searched[p]["aic"] <= min(grid[k]["aic"] for k in grid if k[0] == p) + 1e-6 for p in (1, 2) if searched[p]["aic"] is not None)
 
 
+def test_connectedness_of_the_choice(spark):
+    """c11_chosen is the connectedness of a panel at the values that k08_choose names for it."""
+    chosen = rows(spark, "k08_choose")[0]
+    one = panels.nation_panels(spark, SF).where(F.col("panel_id") == chosen["panel_id"])
+    want = {(r["ts"], r["node"]): r for r in model.connectedness_indices(one, chosen["p"], chosen["kappa1"], chosen["kappa2"]).collect()}
+    got = {(r["ts"], r["node"]): r for r in rows(spark, "c11_chosen") if r["panel_id"] == chosen["panel_id"]}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(abs(got[k][c] - want[k][c]) < 1e-6 for k in got for c in ("to_idx", "from_idx", "net_idx", "tci"))
+
+
 def test_unit_roots(spark, series):
     for name, lag in (("t01_adf", True), ("t03_phillips_perron", False)):
         for r in rows(spark, name):
