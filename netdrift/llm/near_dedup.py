@@ -8,14 +8,14 @@ exact copies meet nothing but their representative.
    in which they stand in the text (order MinHash; Marcais and others 2019). Two texts get the same sketch with a
    probability that falls with their edit distance, not only their overlap. Texts of ``LEAST`` to ``SHORT`` words
    also have each of their k-mers as a sketch.
-2. Candidates. Texts with an equal sketch share a bucket. Members of a bucket of up to ``FEW`` are candidates of each
-   other; in a larger one (a hot one: a template, a long passage, a large group of copies) each is a candidate with
-   the bucket's smallest and largest member. So candidates grow with the members, whatever a bucket's size.
-   A first round links each text with the smallest that it meets. A text with ``MOSTLY`` sketches or more in hot buckets that
-   then hold texts of several classes (a short text: with one) is sketched further, with the same rule: by the ``SINGLES``
-   labelled k-mers of least hash, one bucket each, so that texts that share a template and more meet in what is
-   not the template; and, over ``SHORT`` words, by each run of ``CHAIN`` sketches as one bucket, in which up to ``CHAINED`` members all meet: this splits the
-   hot buckets of texts that are made of nothing but shared passages. Texts with fewer sketches in hot buckets meet their likes in the others.
+2. Candidates. Texts with an equal sketch share a bucket. A first round links each text with the smallest that it meets.
+   Of the buckets whose members are then in several classes, members of one of up to ``FEW`` are all candidates of
+   each other. The texts of larger ones (hot: a template, a long passage) meet by an exact filter, so that no pair is lost:
+   texts with a similarity of ``SIMILARITY`` have so many words in common that the rarest fifth of each holds one
+   of them (prefix filter). Texts with such a word in common are candidates where up to ``COLD`` texts have it; those
+   with a word there that more texts of several classes have go through the same filter by runs of 3 words, and
+   those that are left after that (texts of nothing but shared passages) are compared all with all, by blocks. Which
+   word counts as rare is told by hashed counters; a wrong order costs time, not pairs.
    Texts of up to 9 words may differ by one edit. They meet, whatever a bucket's size, by what is left without one
    word and by the gap where it stood: all texts with an equal one are links of each other (see ``variants``).
 3. Verification. The similarity is 1 - (edit distance of the words) / (words of the longer text), and a candidate
@@ -27,10 +27,8 @@ exact copies meet nothing but their representative.
 Recall: for two texts whose k-mers overlap by J a sketch agrees with probability of about J^2. Edits at random
 places leave J = 0.34 at a similarity of 0.80, and one of 64 sketches agrees with probability 0.9997. Texts of 10
 to 50 words at 0.80 have 2 k-mers in common at least, whatever the edits' places; of 5 to 9 words none is lost.
-A text with fewer than 8 of 64 sketches in hot buckets has about a third of its k-mers there at most; of two such texts at
-0.80, all edits outside, 6 of 64 sketches are expected to agree elsewhere (none: 0.003). Texts made of nothing but shared
-passages (10,300 texts of 6 out of 12, in any order; pairs with 5 in common) were found to 0.98 (294 of 300).
-What may be lost: pairs of more than 9 words all of whose shared k-mers and runs taken stand in hot buckets with strangers.
+A pair that shares a bucket, of whatever size, is always compared, unless its texts are in one class by then; what may
+be lost is a pair without any sketch in common. The texts left to blocks cost time with the square of their number.
 
 Defined cases: null and empty texts, and texts without words, are copies only of texts that are equal to them;
 rows with a null id take no part; rows that repeat an id give one row for each text (of equal words), and each
@@ -45,23 +43,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import hinted
-from .common import Steps, arrow_batches, fresh, join_sized, slices, trimmed, written
+from .common import Steps, arrow_batches, fresh, join_sized, n_partitions, slices, trimmed, written
 
 K = 3
 L = 2
 SKETCHES = 64
-#: Words of the texts whose every k-mer is a sketch; members of a bucket in which all meet; k-mers of a further sketch.
+#: Words of the texts whose every k-mer is a sketch; members of a bucket in which all meet.
 LEAST, SHORT = 8, 50
 FEW = 8
-SINGLES, CHAIN = 64, 3
-#: Members of a bucket of a run in which all meet.
-CHAINED = 48
-#: Sketches of a text in hot buckets from which it is sketched further.
-MOSTLY = 8
+#: Words of the grams of the exact filter, one round each; rare grams that a pair must have in common; texts with a gram in common
+#: that all meet; counters of the grams' order.
+GRAMS = (1, 3)
+COMMON = 2
+COLD = 32
+COUNTERS = 1 << 20
+#: Texts and words of a block of those that meet all others, and the bins of a text's words there.
+BLOCK, BLOCK_WORDS, BINS = 512, 1 << 18, 64
 #: Texts that a task remembers in order to sketch copies once.
 KNOWN = 500_000
 #: Pairs of one text that stay together, and parts over which those of a text with more are dealt.
@@ -147,27 +147,24 @@ def buckets(w: np.ndarray) -> np.ndarray:
     return np.r_[found, labelled(w).view(np.int64)] if len(w) <= SHORT else found
 
 
-def singles(w: np.ndarray, n: int = SINGLES) -> np.ndarray:
-    """The ``n`` labelled k-mers of least hash, each a bucket."""
-    h = labelled(w)
-    with np.errstate(over="ignore"):
-        h = h * _MIX[1, 0]
-        h ^= h >> np.uint64(32)
-        h *= _MIX[0, 1]
-    return (np.partition(h, n)[:n] if len(h) > n else h).view(np.int64)
+def most_edits(n: int, least: float) -> int:
+    """The edits that a similarity of ``least`` allows where the longer text has ``n`` words."""
+    return int((1 - least) * n + 1e-9)
 
 
-def chains(w: np.ndarray) -> np.ndarray:
-    """Each run of ``CHAIN`` order-MinHash sketches, as one bucket; none for texts without sketches."""
-    found = order_minhash(w).view(np.uint64)
-    if not len(found):
-        return np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        h = np.arange(len(found), dtype=np.uint64) * _MIX[2, 1]
-        for i in range(CHAIN):
-            h = (h ^ np.roll(found, -i)) * np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 / golden ratio
-            h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+def rare_grams(n: int, k: int, least: float) -> int:
+    """How many of the rarest labelled k-mers of a text of ``n`` words hold ``COMMON`` that any similar text has among its own.
+
+    An edit changes at most k of them, so a text of m >= n words has m - k + 1 - k * edits of them in common with this one.
+    """
+    m = np.arange(n, int(n / least) + 2)
+    edits = np.floor((1 - least) * m + 1e-9).astype(np.int64)
+    return int((n - m + k * edits)[m - edits <= n].max()) + COMMON
+
+
+def filters(k: int, least: float) -> bool:
+    """Whether texts of ``LEAST`` words or more with that similarity have ``COMMON`` k-mers in common for certain."""
+    return all(n - k + 1 - k * most_edits(n, least) >= COMMON for n in range(LEAST, 1000))
 
 
 def variants(w: np.ndarray) -> list[int]:
@@ -234,7 +231,7 @@ def banded_distance(a: list, b: list, most: int) -> int:
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether 1 - distance / longer length is at least ``least``, by bounds first and then by alignment."""
     longer, shorter = max(len(a), len(b)), min(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
+    most = most_edits(longer, least)
     if longer - shorter > most:
         return False
     differ = np.flatnonzero(a[:shorter] != b[:shorter])
@@ -280,11 +277,104 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*same, *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "text_hash", "a", "b", "size", "buckets", "variants", "tokens"])
 
 
-def _singles(batches):
+def _grams(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+    return [labelled(np.frombuffer(x.as_py(), np.uint32).astype(np.uint64), k) for x in batch.column("tokens")]
+
+
+def _count(k: int, bits: int):
+    """cell, n: a task's k-mers by the leading ``bits`` bits of their hash."""
+
+    def run(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                counts += np.bincount((np.concatenate(_grams(batch, k)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells])], ["cell", "n"])
+
+    return run
+
+
+def _rarest(k: int, least: float, counts: np.ndarray):
+    """node, size, root, bucket: the ``rare_grams`` k-mers of each text that come first by ``counts`` of their cells."""
+    shift = np.uint64(65 - len(counts).bit_length())
+
+    def run(batches):
+        for batch in batches:
+            found, sizes = [], []
+            for h, x in zip(_grams(batch, k), batch.column("tokens"), strict=True):
+                sizes.append(len(x.as_py()) // 4)
+                found.append(h[np.lexsort((h, counts[h >> shift]))[: rare_grams(sizes[-1], k, least)]].view(np.int64))
+            if not found:
+                continue
+            times = [len(x) for x in found]
+            same = (np.repeat(np.array(x, np.int64), times) for x in (batch.column("node"), sizes, batch.column("root")))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(np.concatenate(found))], ["node", "size", "root", "bucket"])
+
+    return run
+
+
+def _blocks(batches):
+    """Texts, which come by their number of words, in blocks."""
+    names = ["low", "high", "root", "nodes", "roots", "texts"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()))
+
+    def block(held):
+        nodes, roots, texts = zip(*held, strict=True)
+        sizes = [len(x) // 4 for x in texts]
+        row = min(sizes), max(sizes), roots[0] if len(set(roots)) == 1 else None, nodes, roots, texts
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+
+    held, held_words = [], 0
     for batch in batches:
-        found = (np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in batch)
-        # told apart by the last bit; every k-mer of a short text is a bucket anyway
-        yield pa.array([np.r_[singles(w) & ~1, chains(w) | 1] if len(w) > SHORT else singles(w) & ~1 for w in found], pa.list_(pa.int64()))
+        for row in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "tokens")), strict=True):
+            held.append(row)
+            held_words += len(row[2]) // 4
+            if len(held) >= BLOCK or held_words >= BLOCK_WORDS:
+                yield block(held)
+                held, held_words = [], 0
+    if held:
+        yield block(held)
+
+
+def _binned(texts: list[np.ndarray]) -> np.ndarray:
+    return np.array([np.minimum(np.bincount(w % BINS, minlength=BINS), 255) for w in texts], np.int16)
+
+
+def _compared(least: float):
+    """u, v: links between the texts of two blocks. Of texts that links, or classes given, already join none is compared."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = ([np.frombuffer(t, np.uint32) for t in row[c]] for c in ("texts_a", "texts_b"))
+                parent = {r: r for r in (*row["roots_a"], *row["roots_b"])}
+
+                def root(r, parent=parent):
+                    while parent[r] != r:
+                        parent[r] = r = parent[parent[r]]
+                    return r
+
+                bins, sizes, roots = _binned(y), np.array([len(w) for w in y]), np.array(row["roots_b"])
+                links = []
+                for i, (w, counted) in enumerate(zip(x, _binned(x), strict=True)):
+                    longer = np.maximum(sizes, len(w))
+                    most = np.floor((1 - least) * longer + 1e-9)
+                    near = (longer - np.minimum(sizes, len(w)) <= most) & (roots != row["roots_a"][i])
+                    if row["a"] == row["b"]:
+                        near[: i + 1] = False
+                    at = np.flatnonzero(near)
+                    apart = counted - bins[at]
+                    at = at[np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most[at]]
+                    for j in at.tolist():
+                        one, two = root(row["roots_a"][i]), root(row["roots_b"][j])
+                        if one != two and similar(w, y[j], least):
+                            parent[max(one, two)] = min(one, two)
+                            links.append((row["nodes_a"][i], row["nodes_b"][j]))
+                u, v = zip(*links, strict=True) if links else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
 
 
 def _verify(least: float):
@@ -344,12 +434,50 @@ def _of_several(shared: DataFrame, roots: DataFrame, steps: Steps, label: str) -
     return steps(shared.join(mixed.hint("merge"), "bucket", "left_semi"), label)
 
 
-def _candidates(shared: DataFrame, few: Column | None = None) -> DataFrame:
-    """node, other: each member with its bucket's ends, and with all members of a bucket of up to ``few`` (FEW)."""
-    ends = shared.select("node", F.explode(F.array("low", "high")).alias("other"))
-    few = shared.where((F.col("n") >= 4) & (F.col("n") <= (F.lit(FEW) if few is None else few))).groupBy("bucket").agg(F.collect_set("node").alias("all"))
-    few = few.select(F.explode("all").alias("node"), "all").select("node", F.explode("all").alias("other"))
-    return ends.unionByName(few)
+def _candidates(shared: DataFrame) -> DataFrame:
+    """node, other: members of a bucket with each other."""
+    all_ = shared.groupBy("bucket").agg(F.collect_set("node").alias("all"))
+    return all_.select(F.explode("all").alias("node"), "all").select("node", F.explode("all").alias("other")).where("node < other")
+
+
+def _rare_pairs(texts: DataFrame, k: int, least: float, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of ``texts`` (node, root, tokens) with ``COMMON`` rare k-mers in common, and the texts (node) with one that too many have.
+
+    Every pair that is similar and of two roots is among the former, or both its texts are among the latter.
+    """
+    bits = min(max((texts.count() * 64).bit_length(), 10), COUNTERS.bit_length() - 1)
+    told = texts.select("tokens").mapInArrow(trimmed(_count(k, bits)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << bits, np.int64)
+    counts[told.column("cell").to_numpy()] = told.column("n").to_numpy()
+    members = steps(texts.select("node", "root", "tokens").mapInArrow(trimmed(_rarest(k, least, counts)), "node bigint, size bigint, root bigint, bucket bigint"), "near-rare")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket", "n")
+    shared = steps(members.join(sizes.hint("merge"), "bucket"), "near-rare-shared")
+    steps.drop(members)
+    cold = shared.where(F.col("n") <= COLD).groupBy("bucket").agg(F.collect_list(F.struct("node", "size", "root")).alias("all"))
+
+    def other(one, o):
+        longer = F.greatest(one["size"], o["size"])
+        return (o["node"] > one["node"]) & (o["root"] != one["root"]) & (longer - F.least(one["size"], o["size"]) <= F.floor((1 - least) * longer + 1e-9))
+
+    met = cold.select(F.explode("all").alias("one"), "all").select("one.node", F.explode(F.filter("all", lambda o: other(F.col("one"), o))).alias("o"))
+    pairs = met.groupBy(F.col("node").alias("x"), F.col("o.node").alias("y")).count().where(F.col("count") >= COMMON)
+    pairs = steps(pairs.select("x", "y"), "near-rare-pairs")
+    rest = steps(shared.where(F.col("n") > COLD).select("node").distinct(), "near-rest")
+    steps.drop(shared)
+    return pairs, rest
+
+
+def _all_links(texts: DataFrame, least: float, steps: Steps) -> DataFrame:
+    """Links (u, v) between ``texts`` (node, root, tokens) of different roots, each compared with all of about its length, block by block."""
+    ordered = texts.select("node", "root", "tokens").repartitionByRange(F.length("tokens"), "node").sortWithinPartitions(F.length("tokens"))
+    kind = "low bigint, high bigint, root bigint, nodes array<bigint>, roots array<bigint>, texts array<binary>"
+    blocks = steps(ordered.mapInArrow(trimmed(_blocks), kind).withColumn("block", F.monotonically_increasing_id()), "near-blocks")
+    ends = lambda x: blocks.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("low", "high", "root")))
+    reach = lambda x, y: F.col(f"low_{x}") - F.floor((1 - least) * F.col(f"low_{x}") + 1e-9) <= F.col(f"high_{y}")
+    met = ends("a").join(ends("b"), (F.col("a") <= F.col("b")) & reach("a", "b") & reach("b", "a")).where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
+    whole = lambda x: blocks.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("nodes", "roots", "texts")))
+    both = met.join(whole("a").hint("merge"), "a").join(whole("b").hint("merge"), "b").repartition(n_partitions(texts.sparkSession), "a", "b")
+    return steps(both.mapInArrow(trimmed(_compared(least)), "u bigint, v bigint"), "near-block-links")
 
 
 def _classes(docs: DataFrame, least: float, id_column: str, text_column: str) -> DataFrame:
@@ -360,7 +488,7 @@ def _classes(docs: DataFrame, least: float, id_column: str, text_column: str) ->
     size, so that a small run moves what a large one does. Links
     are verified in two rounds: first each text with the smallest text that it shares a bucket with, which joins a
     large group by about one alignment for each member; then the candidates of buckets whose members are in several
-    components yet.
+    components yet, in the larger ones by an exact filter. The texts that it leaves are compared by blocks.
     """
     arrow_batches(docs.sparkSession)
     steps = Steps(docs.sparkSession)
@@ -401,28 +529,33 @@ def _classes(docs: DataFrame, least: float, id_column: str, text_column: str) ->
     steps.release()
 
     mixed = _of_several(shared, roots, steps, "near-mixed")
-    hot = mixed.where(F.col("n") > FEW).groupBy("node").agg(F.count("*").alias("in_hot")).join(texts.select("node", "size"), "node")
-    hot = hot.where((F.col("in_hot") >= MOSTLY) | (F.col("size") <= SHORT)).select("node")
-    single = F.arrow_udf(hinted(trimmed(_singles)), "array<bigint>")("tokens")
-    singles_ = steps(tokens.join(hot.hint("merge"), "node", "left_semi").select("node", F.explode(single).alias("bucket")), "near-singles")
-    further = _shared(singles_, steps, "near-further")
-    steps.drop(singles_)
-    steps.release()
-    # in a larger bucket each meets the ends alone, and pairs of one component go below: no need to tell which buckets are mixed
-    wide = F.when(F.col("bucket") % 2 == 0, FEW).otherwise(CHAINED)
-    small = _of_several(further.where(F.col("n") <= wide), roots, steps, "near-further-mixed")
-    later = _candidates(small.unionByName(further.where(F.col("n") > wide)), wide)
-    pairs = like(_candidates(mixed).unionByName(later).unionByName(close), "near-pairs")
-    steps.release()
+    pairs = like(_candidates(mixed.where(F.col("n") <= FEW)).unionByName(close), "near-pairs")
     known = pairs.join(roots.withColumnsRenamed({"node": "x", "root": "rx"}), "x", "left").join(roots.withColumnsRenamed({"node": "y", "root": "ry"}), "y", "left")
-    apart = steps(known.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y"), "near-apart")
-    steps.drop(shared, mixed, further, small, close, pairs)
+    apart = known.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
+    hot = steps(mixed.where(F.col("n") > FEW).select("node").distinct(), "near-hot")
+    steps.drop(shared, mixed, close)
+    steps.release()
+
+    def rooted(nodes: DataFrame, roots: DataFrame, label: str) -> DataFrame:
+        named = tokens.join(nodes.hint("merge"), "node", "left_semi").join(roots.hint("merge"), "node", "left")
+        return steps(named.select("node", F.coalesce("root", "node").alias("root"), "tokens"), label)
+
+    rest = hot
+    for k in GRAMS:
+        if filters(k, least) and not rest.isEmpty():
+            met, rest = _rare_pairs(rooted(rest, roots, "near-hot-texts"), k, least, steps)
+            apart = apart.unionByName(met)
+            steps.release()
+    late = _links(steps(apart.distinct(), "near-apart"), tokens, least, steps)
     steps.release()
-    late = _links(apart, tokens, least, steps)
-    steps.drop(tokens, apart)
+    of = lambda roots: roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    root = steps(components(of(roots).unionByName(late), steps=steps), "near-roots")
+    if not rest.isEmpty():
+        found = _all_links(rooted(rest, root, "near-rest-texts"), least, steps)
+        root = steps(components(of(root).unionByName(found), steps=steps), "near-roots")
+    steps.drop(tokens)
     steps.release()
 
-    root = steps(components(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late), steps=steps), "near-roots")
     classes = texts.join(root.hint("merge"), "node", "left").select("a", "b", "node", F.coalesce("root", "node").alias("root"))
     return steps.keep(steps(named.join(classes, ["a", "b"]).select("doc_id", "text_hash", "node", "root"), "near-classes"))
 

@@ -296,6 +296,45 @@ def test_near_dedup_pairs_in_hot_buckets(spark):
     assert all(found[3000 + i] == i for i in order) and all(found[i] == i for i in range(3000))
 
 
+def _passages(rng, n, own, same):
+    """``n`` strangers that share a passage, and copies of each tenth with ``same`` of its own words kept, no two side by side."""
+    template, fresh = [f"t{i}" for i in range(100 - own)], lambda k: [f"u{x}" for x in rng.integers(1 << 40, size=k)]
+    rows = [(i, template + fresh(own)) for i in range(n)]
+    for i in range(0, n, 10):
+        words = template + fresh(own)
+        for at in range(101 - own, 101 - own + 2 * same, 2):
+            words[at] = rows[i][1][at]
+        rows.append((n + i, words))
+    return rows
+
+
+@pytest.mark.parametrize(("own", "same"), [(21, 2), (38, 18)])
+def test_near_dedup_pairs_that_meet_in_hot_buckets_alone(spark, own, same):
+    """Texts whose runs of three words in common are those of all: by rare words, and by blocks where these are too few."""
+    rows = _passages(np.random.default_rng(own), 200, own, same)
+    assert _classes(spark, rows) == {i: i - 200 * (i >= 200) for i, _ in rows}
+
+
+def test_rare_grams_hold_what_similar_texts_share():
+    """Whatever the order of the grams, two similar texts have ``COMMON`` of those that come first in common."""
+    rng, tried = np.random.default_rng(8), 0
+    for n in [*range(8, 40)] * 12:
+        a = rng.integers(0, 12 + n // 2, n).astype(np.uint64)
+        b = a.tolist()
+        for _ in range(int(rng.integers(1, n // 4 + 2))):
+            at = int(rng.integers(len(b)))
+            b[at : at + int(rng.integers(2))] = rng.integers(1 << 30, size=int(rng.integers(2))).tolist()
+        b = np.array(b, np.uint64)
+        if len(b) < near_dedup.LEAST or not near_dedup.similar(a.astype(np.uint32), b.astype(np.uint32)):
+            continue
+        tried += 1
+        for k in near_dedup.GRAMS:
+            assert near_dedup.filters(k, near_dedup.SIMILARITY)
+            order = lambda w: set(sorted(near_dedup.labelled(w, k).tolist(), key=lambda h: h * 0x9E3779B97F4A7C15 % (1 << 64))[: near_dedup.rare_grams(len(w), k, near_dedup.SIMILARITY)])  # noqa: B023, E731
+            assert len(order(a) & order(b)) >= near_dedup.COMMON
+    assert tried > 100
+
+
 def test_near_dedup_recall_at_the_threshold(spark):
     """Scattered edits at a similarity of just 0.8 or more, in texts of 5 words and more."""
     rng = np.random.default_rng(6)
