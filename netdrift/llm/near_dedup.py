@@ -11,11 +11,11 @@ exact copies meet nothing but their representative.
 2. Candidates. Texts with an equal sketch share a bucket. A first round links each text with the smallest that it meets.
    Of the buckets whose members are then in several classes, members of one of up to ``FEW`` are all candidates of
    each other. The texts of larger ones (hot: a template, a long passage) meet by an exact filter, so that no pair is lost:
-   texts with a similarity of ``SIMILARITY`` have so many words in common that the rarest fifth of each holds one
-   of them (prefix filter). Texts with such a word in common are candidates where up to ``COLD`` texts have it; those
-   with a word there that more texts of several classes have go through the same filter by runs of 3 words, and
-   those that are left after that (texts of nothing but shared passages) are compared all with all, by blocks. Which
-   word counts as rare is told by hashed counters; a wrong order costs time, not pairs.
+   texts with a similarity of ``SIMILARITY`` have so many k-mers in common that the rarest three fifths of each (and
+   ``COMMON`` more) hold ``COMMON`` of them (prefix filter). Texts that share so many there are candidates where up to ``COLD``
+   texts have each; those with a k-mer there that more texts of several classes have go through the same filter by words
+   (the rarest fifth), and those that are left after that (texts of nothing but shared passages) are compared all with
+   all, by blocks. Which k-mer counts as rare is told by hashed counters; a wrong order costs time, not pairs.
    Texts of up to 9 words may differ by one edit. They meet, whatever a bucket's size, by what is left without one
    word and by the gap where it stood: all texts with an equal one are links of each other (see ``variants``).
 3. Verification. The similarity is 1 - (edit distance of the words) / (words of the longer text), and a candidate
@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Steps, arrow_batches, fresh, join_sized, n_partitions, slices, trimmed, written
@@ -56,10 +56,10 @@ LEAST, SHORT = 8, 50
 FEW = 8
 #: Words of the grams of the exact filter, one round each; rare grams that a pair must have in common; texts with a gram in common
 #: that all meet; counters of the grams' order.
-GRAMS = (1, 3)
+GRAMS = (3, 1)
 COMMON = 2
 COLD = 32
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 #: Texts and words of a block of those that meet all others, and the bins of a text's words there.
 BLOCK, BLOCK_WORDS, BINS = 512, 1 << 18, 64
 #: Texts that a task remembers in order to sketch copies once.
@@ -422,16 +422,25 @@ def _links(pairs: DataFrame, tokens: DataFrame, least: float, steps: Steps) -> D
 
 
 def _shared(members: DataFrame, steps: Steps, label: str) -> DataFrame:
-    """``members`` (node, bucket) of buckets that two texts or more share, with the bucket's smallest and largest node, low and high, and n."""
-    sizes = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
-    return steps(members.join(sizes.hint("merge"), "bucket"), label)
+    """``members`` (node, bucket) of buckets that two texts or more share, with the bucket's smallest node, low, and n.
+
+    By a window, which moves each row once; a bucket's rows, of two numbers, meet in one task, as they would to be sorted.
+    """
+    whole = Window.partitionBy("bucket")
+    return steps(members.withColumns({"low": F.min("node").over(whole), "n": F.count("*").over(whole)}).where("n > 1"), label)
 
 
 def _of_several(shared: DataFrame, roots: DataFrame, steps: Steps, label: str) -> DataFrame:
-    """``shared`` without the buckets whose members are all in one component (``roots``: node, root) already."""
-    known = shared.select("node", "bucket").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = known.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    return steps(shared.join(mixed.hint("merge"), "bucket", "left_semi"), label)
+    """node, bucket, n of ``shared`` without the buckets whose members are all in one component (``roots``: node, root) already."""
+    known = shared.select("node", "bucket", "n").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return steps(_mixed(known).drop("root"), label)
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """``members`` of the buckets that hold several roots."""
+    whole = Window.partitionBy("bucket")
+    ends = members.withColumns({"_a": F.min("root").over(whole), "_b": F.max("root").over(whole)})
+    return ends.where("_a < _b").drop("_a", "_b")
 
 
 def _candidates(shared: DataFrame) -> DataFrame:
@@ -449,10 +458,8 @@ def _rare_pairs(texts: DataFrame, k: int, least: float, steps: Steps) -> tuple[D
     told = texts.select("tokens").mapInArrow(trimmed(_count(k, bits)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << bits, np.int64)
     counts[told.column("cell").to_numpy()] = told.column("n").to_numpy()
-    members = steps(texts.select("node", "root", "tokens").mapInArrow(trimmed(_rarest(k, least, counts)), "node bigint, size bigint, root bigint, bucket bigint"), "near-rare")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket", "n")
-    shared = steps(members.join(sizes.hint("merge"), "bucket"), "near-rare-shared")
-    steps.drop(members)
+    members = texts.select("node", "root", "tokens").mapInArrow(trimmed(_rarest(k, least, counts)), "node bigint, size bigint, root bigint, bucket bigint")
+    shared = steps(_mixed(members.withColumn("n", F.count("*").over(Window.partitionBy("bucket")))), "near-rare-shared")
     cold = shared.where(F.col("n") <= COLD).groupBy("bucket").agg(F.collect_list(F.struct("node", "size", "root")).alias("all"))
 
     def other(one, o):
