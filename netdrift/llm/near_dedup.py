@@ -67,6 +67,8 @@ KNOWN = 500_000
 #: Pairs of one text that stay together, and parts over which those of a text with more are dealt.
 MANY = 1_000
 SALTS = 64
+#: Edges that a task of a step of components() writes, and the tasks of a smaller one.
+EDGES, FEW_TASKS = 20_000, 8
 SIMILARITY = 0.8
 CACHE_WORDS = 200_000
 WORD = re.compile(r"\w+")
@@ -388,36 +390,41 @@ def _verify(least: float):
 def components(edges: DataFrame, label: str = "near-edges", steps: Steps | None = None) -> DataFrame:
     """node, root (the smallest node of its component) of every node of ``edges`` (u, v).
 
-    Large-star and small-star steps (Kiveris and others 2014), each written to the shared folder, until no edge
-    changes; a step that has been taken is removed.
+    Large-star and small-star steps (Kiveris and others 2014), each written to the shared folder by as many tasks as its
+    edges need, until all edges are stars: no node has two edges to smaller ones, or one and one to a larger. A step
+    that has been taken is removed.
     """
     steps = steps or Steps(edges.sparkSession)
     edges = steps(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), label)
-    before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if state == before:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select("v", F.lit(0), F.lit(1)).toDF("node", "down", "up"))
+        nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        n, stars = nodes.agg(F.sum("down"), F.min(F.col("down") + F.when(F.col("down") > 0, F.col("up")).otherwise(0) <= 1)).first()
+        if stars is None or stars:
             break
-        before = state
+        put = lambda rows, n=n: steps(rows.coalesce(max(FEW_TASKS, n // EDGES)), label)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = steps(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), label)
-        large = steps(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), label)
+        least = put(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = put(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         steps.drop(edges, least)
-        least = steps(large.groupBy("u").agg(F.min("v").alias("m")), label)
-        stars = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = steps(stars.where("u <> v").distinct(), label)
+        least = put(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = put(joined.where("u <> v").distinct())
         steps.drop(large, least)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _links(pairs: DataFrame, tokens: DataFrame, least: float, steps: Steps) -> DataFrame:
-    """The pairs (x, y) whose texts are similar. A text with over ``MANY`` pairs is dealt, with them, over ``SALTS``."""
-    hot = pairs.groupBy("x").count().where(F.col("count") > MANY).select("x", F.lit(SALTS).alias("salts"))
+    """The pairs (x, y) whose texts are similar. A text with over ``MANY`` pairs is dealt, with them, over ``SALTS``.
+
+    Such texts are broadcast, since there is less than one for ``MANY`` pairs, so that the tokens are not moved to meet them.
+    """
+    hot = F.broadcast(pairs.groupBy("x").count().where(F.col("count") > MANY).select("x", F.lit(SALTS).alias("salts")))
     dealt = pairs.join(hot, "x", "left").select("x", "y", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("y"), "salts")).otherwise(0).cast("int").alias("salt"))
     of_x = tokens.withColumnsRenamed({"node": "x", "tokens": "tx"}).join(hot, "x", "left")
     of_x = of_x.select("x", "tx", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    both = dealt.join(of_x, ["x", "salt"]).join(tokens.withColumnsRenamed({"node": "y", "tokens": "ty"}), "y")
+    both = dealt.join(of_x.hint("merge"), ["x", "salt"]).join(tokens.withColumnsRenamed({"node": "y", "tokens": "ty"}).hint("merge"), "y")
     return steps(both.where(F.arrow_udf(_verify(least), "boolean")("tx", "ty")).select(F.col("x").alias("u"), F.col("y").alias("v")), "near-links")
 
 
@@ -477,6 +484,7 @@ def _rare_pairs(texts: DataFrame, k: int, least: float, steps: Steps) -> tuple[D
 def _all_links(texts: DataFrame, least: float, steps: Steps) -> DataFrame:
     """Links (u, v) between ``texts`` (node, root, tokens) of different roots, each compared with all of about its length, block by block."""
     ordered = texts.select("node", "root", "tokens").repartitionByRange(F.length("tokens"), "node").sortWithinPartitions(F.length("tokens"))
+    ordered = ordered.coalesce(texts.count() // BLOCK + 1)  # else a block is as small as a partition, and their pairs grow with the square of the partitions
     kind = "low bigint, high bigint, root bigint, nodes array<bigint>, roots array<bigint>, texts array<binary>"
     blocks = steps(ordered.mapInArrow(trimmed(_blocks), kind).withColumn("block", F.monotonically_increasing_id()), "near-blocks")
     ends = lambda x: blocks.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("low", "high", "root")))
@@ -543,23 +551,22 @@ def _classes(docs: DataFrame, least: float, id_column: str, text_column: str) ->
     steps.drop(shared, mixed, close)
     steps.release()
 
-    def rooted(nodes: DataFrame, roots: DataFrame, label: str) -> DataFrame:
-        named = tokens.join(nodes.hint("merge"), "node", "left_semi").join(roots.hint("merge"), "node", "left")
-        return steps(named.select("node", F.coalesce("root", "node").alias("root"), "tokens"), label)
-
-    rest = hot
+    # the texts of hot buckets, with the classes of the first round, are taken from all tokens once; each round leaves some of them
+    held = tokens.join(hot.hint("merge"), "node", "left_semi").join(roots.hint("merge"), "node", "left")
+    held = steps(held.select("node", F.coalesce("root", "node").alias("root"), "tokens"), "near-hot-texts")
     for k in GRAMS:
-        if filters(k, least) and not rest.isEmpty():
-            met, rest = _rare_pairs(rooted(rest, roots, "near-hot-texts"), k, least, steps)
+        if filters(k, least) and not held.isEmpty():
+            met, rest = _rare_pairs(held, k, least, steps)
             apart = apart.unionByName(met)
+            before, held = held, steps(held.join(rest.hint("merge"), "node", "left_semi"), "near-rest-texts")
+            steps.drop(before, rest)
             steps.release()
     late = _links(steps(apart.distinct(), "near-apart"), tokens, least, steps)
     steps.release()
-    of = lambda roots: roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    root = steps(components(of(roots).unionByName(late), steps=steps), "near-roots")
-    if not rest.isEmpty():
-        found = _all_links(rooted(rest, root, "near-rest-texts"), least, steps)
-        root = steps(components(of(root).unionByName(found), steps=steps), "near-roots")
+    if not held.isEmpty():
+        late = late.unionByName(_all_links(held, least, steps))
+    first = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    root = steps(components(first.unionByName(late), steps=steps), "near-roots")
     steps.drop(tokens)
     steps.release()
 

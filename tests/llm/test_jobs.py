@@ -505,3 +505,30 @@ def test_queries_match_sql(spark):
         order = list(rel.columns)
         assert sorted(order) == sorted(found.columns)
         assert json.dumps(sorted(map(list, found.select(*order).collect()))) == json.dumps(sorted(map(list, rel.fetchall()))), name
+
+
+def test_components_steps_follow_the_edges(spark, monkeypatch):
+    """Stars take no step but their own, and a step of few edges is written by few tasks, whatever the shuffle partitions."""
+    taken = []
+    put = common.Steps.__call__
+
+    def call(self, df, label):
+        out = put(self, df, label)
+        taken.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common.Steps, "__call__", call)
+    stars = [(10 * a + b, 10 * a) for a in range(5) for b in range(1, 4)]
+    found = {r["node"]: r["root"] for r in table(near_dedup.components(spark.createDataFrame(stars, "u long, v long")))}
+    assert found == {n: n // 10 * 10 for a in range(5) for n in range(10 * a, 10 * a + 4)} and len(taken) == 1
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        taken.clear()
+        found = table(near_dedup.components(spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")))
+        assert {(r["node"], r["root"]) for r in found} == {(i, 0) for i in range(61)} and len(taken) > 1
+        assert max(taken[1:]) <= near_dedup.FEW_TASKS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was[1])
