@@ -13,9 +13,9 @@ exact copies meet nothing but their representative.
    each other. The texts of larger ones (hot: a template, a long passage) meet by an exact filter, so that no pair is lost:
    texts with a similarity of ``SIMILARITY`` have so many k-mers in common that the rarest three fifths of each (and
    ``COMMON`` more) hold ``COMMON`` of them (prefix filter). Texts that share so many there are candidates where up to ``COLD``
-   texts have each; those with a k-mer there that more texts of several classes have go through the same filter by words
-   (the rarest fifth), and those that are left after that (texts of nothing but shared passages) are compared all with
-   all, by blocks. Which k-mer counts as rare is told by hashed counters; a wrong order costs time, not pairs.
+   texts have each; those with a k-mer there that more texts of several classes have go through the same filter by runs of
+   two words (the rarest two fifths), then by words (the rarest fifth), and those that are left after that (texts of nothing
+   but shared passages) are compared all with all, by blocks. Which k-mers are rare is told by exact counts.
    Texts of up to 9 words may differ by one edit. They meet, whatever a bucket's size, by what is left without one
    word and by the gap where it stood: all texts with an equal one are links of each other (see ``variants``).
 3. Verification. The similarity is 1 - (edit distance of the words) / (words of the longer text), and a candidate
@@ -38,6 +38,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Steps, arrow_batches, fresh, join_sized, n_partitions, slices, trimmed, written
+from .common import Steps, arrow_batches, fresh, join_sized, slices, trim, trimmed, written
 
 K = 3
 L = 2
@@ -55,13 +56,15 @@ SKETCHES = 64
 LEAST, SHORT = 8, 50
 FEW = 8
 #: Words of the grams of the exact filter, one round each; rare grams that a pair must have in common; texts with a gram in common
-#: that all meet; counters of the grams' order.
-GRAMS = (3, 1)
+#: that all meet.
+GRAMS = (3, 2, 1)
 COMMON = 2
 COLD = 32
-COUNTERS = 1 << 18
-#: Texts and words of a block of those that meet all others, and the bins of a text's words there.
-BLOCK, BLOCK_WORDS, BINS = 512, 1 << 18, 64
+#: Texts and words of a block of those that meet all others, and the bins of a text's words there, few for all and more for those left.
+BLOCK, BLOCK_WORDS, BINS, FINE = 512, 1 << 18, 64, 512
+#: Shelves of blocks at least, where there are so many blocks, the blocks of a shelf where there are more, and the bytes that a run of
+#: shelves may move at least.
+SHELVES, SHELF, ROOM = 24, 16, 1 << 28
 #: Texts that a task remembers in order to sketch copies once.
 KNOWN = 500_000
 #: Pairs of one text that stay together, and parts over which those of a text with more are dealt.
@@ -154,6 +157,7 @@ def most_edits(n: int, least: float) -> int:
     return int((1 - least) * n + 1e-9)
 
 
+@functools.lru_cache(1 << 16)
 def rare_grams(n: int, k: int, least: float) -> int:
     """How many of the rarest labelled k-mers of a text of ``n`` words hold ``COMMON`` that any similar text has among its own.
 
@@ -283,36 +287,27 @@ def _grams(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return [labelled(np.frombuffer(x.as_py(), np.uint32).astype(np.uint64), k) for x in batch.column("tokens")]
 
 
-def _count(k: int, bits: int):
-    """cell, n: a task's k-mers by the leading ``bits`` bits of their hash."""
+def _all_grams(k: int):
+    """node, root (null where it is the node), bucket: every labelled k-mer of each text."""
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                counts += np.bincount((np.concatenate(_grams(batch, k)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells])], ["cell", "n"])
+            found = _grams(batch, k)
+            if not found:
+                continue
+            times = [len(x) for x in found]
+            node, root = (np.repeat(np.array(batch.column(c), np.int64), times) for c in ("node", "root"))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root, mask=root == node), pa.array(np.concatenate(found).view(np.int64))], ["node", "root", "bucket"])
 
     return run
 
 
-def _rarest(k: int, least: float, counts: np.ndarray):
-    """node, size, root, bucket: the ``rare_grams`` k-mers of each text that come first by ``counts`` of their cells."""
-    shift = np.uint64(65 - len(counts).bit_length())
-
-    def run(batches):
-        for batch in batches:
-            found, sizes = [], []
-            for h, x in zip(_grams(batch, k), batch.column("tokens"), strict=True):
-                sizes.append(len(x.as_py()) // 4)
-                found.append(h[np.lexsort((h, counts[h >> shift]))[: rare_grams(sizes[-1], k, least)]].view(np.int64))
-            if not found:
-                continue
-            times = [len(x) for x in found]
-            same = (np.repeat(np.array(x, np.int64), times) for x in (batch.column("node"), sizes, batch.column("root")))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array(np.concatenate(found))], ["node", "size", "root", "bucket"])
+def _needed(k: int, least: float):
+    """``rare_grams`` of a number of words."""
+    def run(size: pa.Array) -> pa.Array:
+        return pa.array([rare_grams(n, k, least) for n in size.to_pylist()], pa.int64())
 
+    run.__annotations__ = {"size": pa.Array, "return": pa.Array}
     return run
 
 
@@ -339,42 +334,64 @@ def _blocks(batches):
         yield block(held)
 
 
-def _binned(texts: list[np.ndarray]) -> np.ndarray:
-    return np.array([np.minimum(np.bincount(w % BINS, minlength=BINS), 255) for w in texts], np.int16)
+def _binned(texts: list[np.ndarray], bins: int = BINS) -> np.ndarray:
+    return np.array([np.minimum(np.bincount(w % bins, minlength=bins), 255) for w in texts], np.int16)
 
 
-def _compared(least: float):
-    """u, v: links between the texts of two blocks. Of texts that links, or classes given, already join none is compared."""
+def _within(counted: np.ndarray, bins: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows of ``bins`` differ from ``counted`` by at most as many words, of either, as ``most`` allows."""
+    apart = counted - bins
+    return np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                x, y = ([np.frombuffer(t, np.uint32) for t in row[c]] for c in ("texts_a", "texts_b"))
-                parent = {r: r for r in (*row["roots_a"], *row["roots_b"])}
-
-                def root(r, parent=parent):
-                    while parent[r] != r:
-                        parent[r] = r = parent[parent[r]]
-                    return r
-
-                bins, sizes, roots = _binned(y), np.array([len(w) for w in y]), np.array(row["roots_b"])
-                links = []
-                for i, (w, counted) in enumerate(zip(x, _binned(x), strict=True)):
-                    longer = np.maximum(sizes, len(w))
+
+def _reach(low, high, least: float):
+    """Whether a text of at least ``low`` words may be similar to one of at most ``high``."""
+    return low - int((1 - least) * low + 1e-9) <= high
+
+
+def _compared(least: float):
+    """u, v: links between the texts of two shelves of blocks. Of texts that links, or classes given, already join none is compared."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        blocks = cell.sort_by("block").to_pylist()
+        parent = {r: r for block in blocks for r in block["roots"]}
+        for block in blocks:
+            block["texts"] = [np.frombuffer(t, np.uint32) for t in block["texts"]]
+            block["bins"], block["fine"] = _binned(block["texts"]), _binned(block["texts"], FINE)
+            block["sizes"], block["roots"] = np.array([len(w) for w in block["texts"]]), np.array(block["roots"])
+
+        def root(r):
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        links = []
+        for a, x in enumerate(blocks):
+            for b, y in enumerate(blocks):
+                # blocks of two shelves meet here, those of one where the shelf meets itself
+                if b < a or (x["shelf"] == y["shelf"]) != (x["a"] == x["b"]) or not (_reach(x["low"], y["high"], least) and _reach(y["low"], x["high"], least)):
+                    continue
+                if x["root"] is not None and x["root"] == y["root"]:
+                    continue
+                for i, (w, counted) in enumerate(zip(x["texts"], x["bins"], strict=True)):
+                    longer = np.maximum(y["sizes"], len(w))
                     most = np.floor((1 - least) * longer + 1e-9)
-                    near = (longer - np.minimum(sizes, len(w)) <= most) & (roots != row["roots_a"][i])
-                    if row["a"] == row["b"]:
+                    near = (longer - np.minimum(y["sizes"], len(w)) <= most) & (y["roots"] != x["roots"][i])
+                    if a == b:
                         near[: i + 1] = False
                     at = np.flatnonzero(near)
-                    apart = counted - bins[at]
-                    at = at[np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= most[at]]
+                    at = at[_within(counted, y["bins"][at], most[at])]
+                    at = at[_within(x["fine"][i], y["fine"][at], most[at])]
                     for j in at.tolist():
-                        one, two = root(row["roots_a"][i]), root(row["roots_b"][j])
-                        if one != two and similar(w, y[j], least):
+                        one, two = root(x["roots"][i].item()), root(y["roots"][j].item())
+                        if one != two and similar(w, y["texts"][j], least):
                             parent[max(one, two)] = min(one, two)
-                            links.append((row["nodes_a"][i], row["nodes_b"][j]))
-                u, v = zip(*links, strict=True) if links else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                            links.append((x["nodes"][i], y["nodes"][j]))
+        u, v = zip(*links, strict=True) if links else ((), ())
+        out = pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        del blocks, parent, cell
+        trim()
+        return out
 
     return run
 
@@ -459,15 +476,21 @@ def _candidates(shared: DataFrame) -> DataFrame:
 def _rare_pairs(texts: DataFrame, k: int, least: float, steps: Steps) -> tuple[DataFrame, DataFrame]:
     """Pairs (x, y) of ``texts`` (node, root, tokens) with ``COMMON`` rare k-mers in common, and the texts (node) with one that too many have.
 
-    Every pair that is similar and of two roots is among the former, or both its texts are among the latter.
+    Every pair that is similar and of two roots is among the former, or both its texts are among the latter. A text's
+    k-mers that no other class has come first, then the others by how many texts have them.
     """
-    bits = min(max((texts.count() * 64).bit_length(), 10), COUNTERS.bit_length() - 1)
-    told = texts.select("tokens").mapInArrow(trimmed(_count(k, bits)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << bits, np.int64)
-    counts[told.column("cell").to_numpy()] = told.column("n").to_numpy()
-    members = texts.select("node", "root", "tokens").mapInArrow(trimmed(_rarest(k, least, counts)), "node bigint, size bigint, root bigint, bucket bigint")
-    shared = steps(_mixed(members.withColumn("n", F.count("*").over(Window.partitionBy("bucket")))), "near-rare-shared")
-    cold = shared.where(F.col("n") <= COLD).groupBy("bucket").agg(F.collect_list(F.struct("node", "size", "root")).alias("all"))
+    members = texts.select("node", "root", "tokens").mapInArrow(trimmed(_all_grams(k)), "node bigint, root bigint, bucket bigint")
+    counted = members.withColumns({"n": F.count("*").over(Window.partitionBy("bucket")), "root": F.coalesce("root", "node")})
+    shared = steps(_mixed(counted).drop("root"), "near-rare-shared")
+    size = (F.length("tokens") / 4).cast("bigint")
+    told = texts.select("node", "root", size.alias("size"))
+    # what is left of the rare k-mers of a text when those that it shares with no other class are taken
+    own = Window.partitionBy("node")
+    ranked = shared.withColumns({"at": F.row_number().over(own.orderBy("n", "bucket")), "of": F.count("*").over(own)}).join(told.hint("merge"), "node")
+    rare = ranked.where(F.col("at") <= F.arrow_udf(_needed(k, least), "bigint")("size") - (F.col("size") - (k - 1) - F.col("of")))
+    rare = steps(rare.select("node", "size", "root", "bucket", "n"), "near-rare")
+    steps.drop(shared)
+    cold = rare.where(F.col("n") <= COLD).groupBy("bucket").agg(F.collect_list(F.struct("node", "size", "root")).alias("all"))
 
     def other(one, o):
         longer = F.greatest(one["size"], o["size"])
@@ -476,23 +499,41 @@ def _rare_pairs(texts: DataFrame, k: int, least: float, steps: Steps) -> tuple[D
     met = cold.select(F.explode("all").alias("one"), "all").select("one.node", F.explode(F.filter("all", lambda o: other(F.col("one"), o))).alias("o"))
     pairs = met.groupBy(F.col("node").alias("x"), F.col("o.node").alias("y")).count().where(F.col("count") >= COMMON)
     pairs = steps(pairs.select("x", "y"), "near-rare-pairs")
-    rest = steps(shared.where(F.col("n") > COLD).select("node").distinct(), "near-rest")
-    steps.drop(shared)
+    rest = steps(rare.where(F.col("n") > COLD).select("node").distinct(), "near-rest")
+    steps.drop(rare)
     return pairs, rest
 
 
-def _all_links(texts: DataFrame, least: float, steps: Steps) -> DataFrame:
-    """Links (u, v) between ``texts`` (node, root, tokens) of different roots, each compared with all of about its length, block by block."""
+def _all_links(texts: DataFrame, least: float, steps: Steps, room: int = 0) -> DataFrame:
+    """Links (u, v) between ``texts`` (node, root, tokens) of different roots, each compared with all of about its length, block by block.
+
+    Blocks of about one length form a shelf, and a shelf meets another in one task, so that a block is moved once for each shelf that its own
+    meets, not for each block. What that moves is dealt over as many runs as keep each within about ``room`` bytes, or ``ROOM`` where that is less.
+    """
     ordered = texts.select("node", "root", "tokens").repartitionByRange(F.length("tokens"), "node").sortWithinPartitions(F.length("tokens"))
     ordered = ordered.coalesce(texts.count() // BLOCK + 1)  # else a block is as small as a partition, and their pairs grow with the square of the partitions
     kind = "low bigint, high bigint, root bigint, nodes array<bigint>, roots array<bigint>, texts array<binary>"
     blocks = steps(ordered.mapInArrow(trimmed(_blocks), kind).withColumn("block", F.monotonically_increasing_id()), "near-blocks")
-    ends = lambda x: blocks.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("low", "high", "root")))
+    n = blocks.count()
+    bytes_ = F.aggregate("texts", F.lit(0).cast("bigint"), lambda all_, t: all_ + F.length(t))
+    ends = blocks.select("block", "low", "high", bytes_.alias("bytes"))
+    ends = steps(ends.withColumn("shelf", F.ntile(min(n, max(SHELVES, n // SHELF + 1))).over(Window.orderBy("low", "block"))), "near-shelves")
+    shelves = ends.groupBy("shelf").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("bytes").alias("bytes"))
+    side = lambda x: shelves.select(*(F.col(c).alias(f"{c}_{x}") for c in shelves.columns))
     reach = lambda x, y: F.col(f"low_{x}") - F.floor((1 - least) * F.col(f"low_{x}") + 1e-9) <= F.col(f"high_{y}")
-    met = ends("a").join(ends("b"), (F.col("a") <= F.col("b")) & reach("a", "b") & reach("b", "a")).where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
-    whole = lambda x: blocks.select(F.col("block").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("nodes", "roots", "texts")))
-    both = met.join(whole("a").hint("merge"), "a").join(whole("b").hint("merge"), "b").repartition(n_partitions(texts.sparkSession), "a", "b")
-    return steps(both.mapInArrow(trimmed(_compared(least)), "u bigint, v bigint"), "near-block-links")
+    met = side("a").join(side("b"), (F.col("shelf_a") <= F.col("shelf_b")) & reach("a", "b") & reach("b", "a"))
+    cells = steps(met.select(F.col("shelf_a").alias("a"), F.col("shelf_b").alias("b"), (F.col("bytes_a") + F.col("bytes_b")).alias("bytes")), "near-cells")
+    runs = cells.agg(F.sum("bytes")).first()[0] // max(ROOM, room) + 1
+    whole = blocks.join(F.broadcast(ends.select("block", "shelf")), "block")
+    links = None
+    for run in range(runs):
+        of_run = cells.where(F.pmod(F.xxhash64("a", "b"), F.lit(runs)) == run).select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("shelf"))
+        found = whole.join(F.broadcast(of_run), "shelf").groupBy("a", "b").applyInArrow(_compared(least), "u bigint, v bigint")
+        found = steps(found, "near-block-links")
+        links = found if links is None else links.unionByName(found)
+        steps.release()
+    steps.drop(blocks, ends, cells)
+    return links
 
 
 def _classes(docs: DataFrame, least: float, id_column: str, text_column: str) -> DataFrame:
@@ -564,7 +605,7 @@ def _classes(docs: DataFrame, least: float, id_column: str, text_column: str) ->
     late = _links(steps(apart.distinct(), "near-apart"), tokens, least, steps)
     steps.release()
     if not held.isEmpty():
-        late = late.unionByName(_all_links(held, least, steps))
+        late = late.unionByName(_all_links(held, least, steps, room=4 * texts.agg(F.sum("size")).first()[0]))
     first = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     root = steps(components(first.unionByName(late), steps=steps), "near-roots")
     steps.drop(tokens)
